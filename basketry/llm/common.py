@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,22 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; other columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about ``most`` bytes of text each, a row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        start, base = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start, base = stop, int(ends[stop - 1])
+
+
+def as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
+    """A text column as UTF-8 bytes, without decoding."""
+    return batch.column(name).cast(pa.binary()).to_pylist()

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_documents, token_digests
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .pii import find_spans, span_digests
+from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,13 +28,36 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ranks() -> tuple[str, str]:
+    """The rank file and the pattern of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_documents(_read(spark, sf_dir, "documents"), *_ranks()))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_spans(_read(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 50256 is the id that the rank file leaves free
+    return token_counts(_read(spark, sf_dir, "documents"), *_ranks(), eod=50256)
+
+
 QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
+    "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
