@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,3 +75,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
 def as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """A text column as UTF-8 bytes, without decoding."""
     return batch.column(name).cast(pa.binary()).to_pylist()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when memory happens to run low."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -11,6 +11,7 @@ from .bpe import encode_documents, token_digests
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .pii import find_spans, span_digests
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _ranks() -> tuple[str, str]:
     """The rank file and the pattern of the public byte-level vocabulary."""
     import public_tokenizers
@@ -54,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
@@ -75,6 +82,18 @@ its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT i
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op3_substring_dedup": r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM dw WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS m FROM s GROUP BY h),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM s JOIN f USING (h) WHERE m < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM dw WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t FROM each ANTI JOIN cov USING (doc_id, k) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """,
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
