@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_documents, token_digests
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .pii import find_spans, span_digests
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -34,6 +35,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 def _ranks() -> tuple[str, str]:
     """The rank file and the pattern of the public byte-level vocabulary."""
     import public_tokenizers
@@ -61,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_id": op4_language_id,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
