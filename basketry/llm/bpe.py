@@ -25,7 +25,22 @@ from pyspark.sql import functions as F
 from .common import columns, pieces
 
 #: Distinct pre-tokens whose ids a task remembers before it forgets all of them.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+
+class _Known(dict):
+    """The ids of pre-tokens as bytes; those of up to 64 characters are remembered."""
+
+    def __init__(self, merge, most: int):
+        self.merge, self.most = merge, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.merge(piece.encode()).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Bpe:
@@ -38,7 +53,7 @@ class Bpe:
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(pattern).findall
-        self.remembered, self.known = remembered, {}
+        self.known = _Known(self.merge, remembered)
         words = -(-len(self.tokens) // 64)
         self.low, self.mid, self.buckets = [0] * words, [0] * (-(-words // 64)), {}
 
@@ -90,20 +105,28 @@ class Bpe:
                 new = rank(piece[i : after[k]], -1) if after[k] - i <= longest else -1
             else:
                 new = -1
-            p = before[i]
-            for at, r in ((i, new), (p, (rank(piece[p:k], -1) if k - p <= longest else -1) if p >= 0 else -1)):
-                if at < 0:
-                    continue
-                pair[at] = r
-                if r >= 0:
-                    if (bucket := buckets.get(r)) is None:
-                        buckets[r] = [at]
-                        w = r >> 6
-                        low[w] |= 1 << (r & 63)
+            pair[i] = new
+            if new >= 0:
+                if (bucket := buckets.get(new)) is None:
+                    buckets[new] = [i]
+                    w = new >> 6
+                    low[w] |= 1 << (new & 63)
+                    mid[w >> 6] |= 1 << (w & 63)
+                    top |= 1 << (w >> 6)
+                else:
+                    heappush(bucket, i)
+            if (p := before[i]) >= 0:
+                new = rank(piece[p:k], -1) if k - p <= longest else -1
+                pair[p] = new
+                if new >= 0:
+                    if (bucket := buckets.get(new)) is None:
+                        buckets[new] = [p]
+                        w = new >> 6
+                        low[w] |= 1 << (new & 63)
                         mid[w >> 6] |= 1 << (w & 63)
                         top |= 1 << (w >> 6)
                     else:
-                        heappush(bucket, at)
+                        heappush(bucket, p)
         ids, i, ranks = array("i"), 0, self.ranks
         while i < n:
             j = after[i]
@@ -113,22 +136,7 @@ class Bpe:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text: those of its pre-tokens, one after another."""
-        found, known = self.split(text), self.known
-        try:
-            return np.frombuffer(b"".join([known[x] for x in found]), np.int32)
-        except KeyError:
-            pass
-        out = []
-        for x in found:
-            ids = known.get(x)
-            if ids is None:
-                ids = self.merge(x.encode()).tobytes()
-                if len(x) <= 64:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    known[x] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids."""
