@@ -11,6 +11,7 @@ from .bpe import encode_documents, token_digests
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .ngram_join import near_duplicates
 from .pii import find_spans, span_digests
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -39,6 +40,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def _ranks() -> tuple[str, str]:
     """The rank file and the pattern of the public byte-level vocabulary."""
     import public_tokenizers
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op6_ngram_join": op6_ngram_join,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
