@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents, token_digests
+from .chat_format import conversations, format_preferences, with_swapped_reply
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .language_id import identify
 from .ngram_join import near_duplicates
 from .pii import find_spans, span_digests
@@ -23,6 +25,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(with_swapped_reply(conversations(_read(spark, sf_dir, "conversations"))))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -40,6 +46,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -69,9 +79,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_html_text": op5_html_text,
     "op6_ngram_join": op6_ngram_join,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
@@ -80,6 +92,23 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": """
+WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+p AS (SELECT c.conv_id AS pair_id, c.t AS c, list_concat(list_slice(c.t, 1, len(c.t) - 1), [{'role': c.t[-1].role, 'text': coalesce(o.t[-1].text, '')}]) AS r
+      FROM c LEFT JOIN c o ON o.conv_id = xor(c.conv_id, 1)),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i].role IS DISTINCT FROM r[i].role OR c[i].text IS DISTINCT FROM r[i].text)) - 1,
+                         least(len(c), len(r))) AS n FROM p),
+s AS (SELECT pair_id, n, list_slice(c, 1, n) AS p, list_slice(c, n + 1, len(c)) AS c, list_slice(r, n + 1, len(r)) AS r FROM n)
+SELECT pair_id, n AS n_prefix,
+  coalesce(array_to_string(list_transform(p, lambda t: '<|im_start|>' || coalesce(t.role, 'unknown') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(c, lambda t: '<|im_start|>' || coalesce(t.role, 'unknown') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(c, lambda t: CASE WHEN coalesce(t.role, 'unknown') = 'assistant' THEN '0:22,1:' || (length(coalesce(t.text, '')) + 11)
+     ELSE '0:' || (13 + length(coalesce(t.role, 'unknown')) + length(coalesce(t.text, '')) + 11) END), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(r, lambda t: '<|im_start|>' || coalesce(t.role, 'unknown') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(r, lambda t: CASE WHEN coalesce(t.role, 'unknown') = 'assistant' THEN '0:22,1:' || (length(coalesce(t.text, '')) + 11)
+     ELSE '0:' || (13 + length(coalesce(t.role, 'unknown')) + length(coalesce(t.text, '')) + 11) END), ','), '') AS rejected_mask
+FROM s
+""",
     "op2_decontaminate": r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
