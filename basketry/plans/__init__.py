@@ -1,4 +1,4 @@
 """Queries over the retail roles."""
 
-from . import quality_queries  # noqa: F401
+from . import quality_queries, question_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
