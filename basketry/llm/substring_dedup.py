@@ -265,6 +265,9 @@ def boundary_windows(parsed: DataFrame) -> DataFrame:
         "no", "doc_id", F.col("w.high").alias("high"), F.col("w.low").alias("low"), F.col("w.starts").alias("start")
     )
     first = each.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    # written, so that both sides of the join are dealt anew and a common window can be split
+    first = saved(first)
+    release(parsed.sparkSession)
     found = each.join(first, ["high", "low"]).where("first < doc_id")
     return found.groupBy("no").agg(F.collect_list("start").alias("dup"))
 
