@@ -1,4 +1,4 @@
 """Queries over the retail roles."""
 
-from . import quality_queries, question_queries, reco_queries  # noqa: F401
+from . import nba_queries, quality_queries, question_queries, reco_queries, serving_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
