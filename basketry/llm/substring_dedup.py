@@ -178,7 +178,8 @@ def shared_anchors(index: DataFrame) -> DataFrame:
         .where(F.col("block.doc_id") < F.col("last"))
         .drop("last")
     )
-    found = each.select("key", "hash", "place").join(blocks, "hash")
+    # written, so that both sides of the join are dealt anew and a common anchor can be split
+    found = each.select("key", "hash", "place").join(saved(blocks), "hash")
     return saved(
         found.groupBy("key").agg(
             F.collect_list(F.struct("place", F.col("block.doc_id").alias("doc"), F.col("block.place").alias("there"), F.col("block.link").alias("link"))).alias("shared")
