@@ -7,8 +7,10 @@ times at most, whatever the text. Numbers need no anchor: runs of digits are the
 
 The four base kinds give exactly the leftmost non-overlapping matches of their patterns
 that pass their checks (a match that fails is dropped, and the search goes on behind it).
-More kinds are added: ``url`` (a scheme with a host), ``account`` (an IBAN whose check
-digits hold), and ``secret`` (a value that a cue such as ``password`` is set to).
+The parsers add what the patterns miss, because a greedy match ran into the next number: a
+``card`` or ``phone`` of whole digit groups inside a match that failed. They also add more
+kinds: ``url`` (a scheme with a host), ``account`` (an IBAN whose check digits hold), and
+``secret`` (a value that a cue such as ``password`` is set to).
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ _LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
 _SET = re.compile(r"[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,512})")
@@ -98,26 +101,58 @@ class Finder:
                 at = end + 1
         return found
 
-    def cards(self, text: str) -> list[Span]:
-        found = []
+    def cards(self, text: str) -> tuple[list[Span], list[Span]]:
+        """Base spans, and those of groups of digits in runs that failed."""
+        found, more = [], []
         for m in _CARD_RUN.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 12 <= len(digits) <= 19 and luhn(digits):
                     found.append(m.span())
-        return found
+                else:
+                    more += self._grouped_cards(m[0], m.start())
+        return found, more
+
+    def _grouped_cards(self, run: str, base: int) -> list[Span]:
+        """From the left, the longest sequences of whole groups that are card numbers; a group starts a few at most."""
+        groups, out, i = [g.span() for g in _DIGITS.finditer(run)], [], 0
+        while i < len(groups):
+            digits, best = "", None
+            for j in range(i, len(groups)):
+                digits += run[slice(*groups[j])]
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and luhn(digits):
+                    best = j
+            if best is None:
+                i += 1
+            else:
+                out.append((base + groups[i][0], base + groups[best][1]))
+                i = best + 1
+        return out
 
-    def phones(self, text: str, pluses: list[int]) -> list[Span]:
-        found, floor = [], 0
+    def phones(self, text: str, pluses: list[int]) -> tuple[list[Span], list[Span]]:
+        """Base spans, and the leading groups, of 9 to 15 digits, of matches that had too many."""
+        found, more, floor = [], [], 0
         for at in pluses:
             if at >= floor and (m := _PHONE.match(text, at)):
                 floor = m.end()
-                if 9 <= sum(map(str.isdigit, m[0])) <= 15:
+                n = sum(map(str.isdigit, m[0]))
+                if 9 <= n <= 15:
                     found.append(m.span())
-        return found
+                elif n > 15:
+                    n, stop = 0, 0
+                    for g in _DIGITS.finditer(text, at, m.end()):
+                        n += g.end() - g.start()
+                        if n > 15:
+                            break
+                        stop = g.end() if n >= 9 else 0
+                    if stop:
+                        more.append((at, stop))
+        return found, more
 
     def find(self, text: str) -> dict[str, list[Span]]:
-        """The spans of each kind, in code points, end exclusive."""
+        """The spans of each kind, in code points, end exclusive; ``card+`` and ``phone+`` are added ones."""
         ats, pluses, urls, secrets, accounts, behind = [], [], [], [], [], 0
         for end, (kind, size) in self.anchors.iter(text):
             if kind == "at":
@@ -142,20 +177,21 @@ class Finder:
                         if not accounts or m.start() >= accounts[-1][1]:
                             accounts.append((m.start(), stop))
                         break
+        (cards, more_cards), (phones, more_phones) = self.cards(text), self.phones(text, pluses)
         return {
-            "email": self.emails(text, ats), "ip": self.ips(text), "card": self.cards(text), "phone": self.phones(text, pluses),
-            "url": urls, "account": accounts, "secret": secrets,
+            "email": self.emails(text, ats), "ip": self.ips(text), "card": cards, "phone": phones,
+            "url": urls, "account": accounts, "secret": secrets, "card+": more_cards, "phone+": more_phones,
         }
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id`` and ``spans``, a list of (kind, start, end).
+    """Per row of ``docs``: ``doc_id`` and ``spans``, a list of (kind, start, end, base).
 
     Spans are sorted by start, then by kind as in ``KINDS``. Null and empty texts have none;
     repeated rows give repeated results; null ids are kept; other columns play no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    entry = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    entry = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
@@ -163,22 +199,22 @@ def find_spans(docs: DataFrame) -> DataFrame:
             out = []
             for text in batch.column("text").to_pylist():
                 found = finder.find(text) if text else {}
-                rows = sorted((s, i, e) for i, k in enumerate(KINDS) for s, e in found.get(k, ()))
-                out.append([{"kind": KINDS[i], "start": s, "end": e} for s, i, e in rows])
+                rows = sorted((s, KINDS.index(k.rstrip("+")), e, k in KINDS[:4]) for k, spans in found.items() for s, e in spans)
+                out.append([{"kind": KINDS[i], "start": s, "end": e, "base": base} for s, i, e, base in rows])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(entry))], ["doc_id", "spans"])
 
-    return columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
+    return columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of ``find_spans``."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of ``find_spans``; counts and digest are of base spans."""
     base = KINDS[:4]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
         *[number(k) for k in base],
-        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"),
+        F.sha2(joined(F.filter("spans", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
 
@@ -196,7 +232,7 @@ def redact(docs: DataFrame) -> DataFrame:
                     parts, at = [], 0
                     for s, e, k in sorted((s, -e, k) for k, spans in finder.find(text).items() for s, e in spans):
                         if s >= at:
-                            parts += [text[at:s], f"<{k}>"]
+                            parts += [text[at:s], f"<{k.rstrip('+')}>"]
                             at = -e
                     text = "".join([*parts, text[at:]])
                 out.append(text)
