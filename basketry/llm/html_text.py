@@ -27,6 +27,8 @@ from .common import columns, pieces
 LEARN_PAGES, CONTEXTS = 2_000, 5_000
 #: Weight of a tag, and the largest weight of a word either way.
 TAG_WEIGHT, MOST = -1.0, 3.0
+#: Weight of a word in furniture, and the most that a run of it costs: an advert within an article doesn't end it.
+OUT_WEIGHT, OUT_MOST = -0.5, -30.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -167,7 +169,7 @@ class Weights:
     other: float = 1.0
 
     def of(self, context: str, out: bool) -> float:
-        return -MOST if out else self.by_context.get(context, self.other)
+        return OUT_WEIGHT if out else self.by_context.get(context, self.other)
 
 
 def learn(pages: DataFrame, learn_pages: int = LEARN_PAGES, contexts: int = CONTEXTS) -> Weights:
@@ -219,13 +221,14 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     found = tokenize(page)
-    scores = []
+    scores = []  # the tags before each run, then its words
     for (raw, context, out, _, _), tags in zip(found.runs, found.tags, strict=True):
         weight = weights.of(context, out)
-        scores.append(weight * len(raw.split()) + TAG_WEIGHT * tags * (0.1 if weight > 0 else 1))
+        scores.append(TAG_WEIGHT * tags * (0.1 if weight > 0 else 1))
+        scores.append(max(weight * len(raw.split()), OUT_MOST) if out else weight * len(raw.split()))
     start, end = best_run(scores)
     blocks: dict[int, list[str]] = {}
-    for raw, context, out, _, block in found.runs[start:end]:
+    for raw, context, out, _, block in found.runs[start // 2 : -(-end // 2)]:
         if not out and weights.of(context, out) > -1:
             blocks.setdefault(block, []).append(raw)
     lines = (_SPACE.sub(" ", html.unescape("".join(parts))).strip(" ") for parts in blocks.values())
