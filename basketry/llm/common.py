@@ -53,6 +53,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.unhex(F.md5(body.cast("binary")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; other columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])

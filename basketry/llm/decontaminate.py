@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, row_key, saved
+from .common import columns, fresh, row_key, saved
 
 #: Words of a window; anchors of a window.
 WINDOW, ANCHORS = 13, 2
@@ -271,6 +271,6 @@ def decontaminate(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs``, whole rows, without the contaminated ones."""
-    bad = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("key").alias("_key")).distinct()
-    names = docs.columns
-    return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").select(*[F.col(f"`{n}`") for n in names])
+    key = fresh(docs, "_key")
+    bad = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns])

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, saved
+from .common import columns, fresh, saved
 
 
 def digest_runs(docs: DataFrame) -> DataFrame:
@@ -89,15 +89,12 @@ def drop_copies(docs: DataFrame, keep: str = "max", fan: int = 8) -> DataFrame:
     """``docs``, whole rows, with one row left of each group of equal texts."""
     runs = digest_runs(docs)
     merged = merge_runs(runs, keep, fan)
-    stay = merged.select("digest", "check", F.col("winner.doc_id").alias("_id"), (F.col("group_size") > 1).alias("_group"))
+    digest, check, best = fresh(docs, "_digest"), fresh(docs, "_check"), fresh(docs, "_best")
+    stay = merged.select(F.col("digest").alias(digest), F.col("check").alias(check), F.col("winner.doc_id").alias(best))
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = docs.columns
-    keyed = docs.withColumns({"_digest": F.sha2(text.cast("binary"), 256), "_check": F.xxhash64(text, F.length(text))})
-    kept = keyed.join(
-        stay.select(F.col("digest").alias("_digest"), F.col("check").alias("_check"), "_id"),
-        ["_digest", "_check"],
-    ).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    keyed = docs.withColumns({digest: F.sha2(text.cast("binary"), 256), check: F.xxhash64(text, F.length(text))})
+    kept = keyed.join(stay, [digest, check]).where(F.col("doc_id").eqNullSafe(F.col(best)))
     repeated = runs.groupBy("digest", "check", "doc_id").count().where("count > 1").limit(1).count() > 0
     if repeated:
-        kept = kept.dropDuplicates(["_digest", "_check"])
-    return kept.select(*[F.col(f"`{n}`") for n in names])
+        kept = kept.dropDuplicates([digest, check])
+    return kept.select(*[F.col(f"`{n}`") for n in docs.columns])

@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, columns, pieces, release, row_key, saved
+from .common import as_bytes, columns, fresh, pieces, release, row_key, saved
 from .decontaminate import words_of
 from .substring_dedup import Rolling, _lists, _mix, repeated
 
 WORDS, SIMILARITY = 5, (4, 5)
-TREES, LONGEST, RECALL = 20, 8, 0.9999
+TREES, LONGEST, RECALL = 24, 8, 0.99999
 #: Sets below a trie node up to which their pairs are listed; sets of a chunk above that.
 FEW, CHUNK = 16, 256
 
@@ -303,9 +303,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES) ->
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs``, whole rows, with one row left of each class (rows without words all stay)."""
     found = near_duplicates(docs, **options)
-    stay = found.where("first").select(F.col("key").alias("_key"), (F.col("n_shingles") > 0).alias("_words")).distinct()
-    names = docs.columns
-    kept = docs.withColumn("_key", row_key()).join(stay, "_key")
+    key, some = fresh(docs, "_key"), fresh(docs, "_some")
+    stay = found.where("first").select(F.col("key").alias(key), (F.col("n_shingles") > 0).alias(some)).distinct()
+    kept = docs.withColumn(key, row_key()).join(stay, key)
     if repeated(found):
-        kept = kept.where("not _words").unionByName(kept.where("_words").dropDuplicates(["_key"]))
-    return kept.select(*[F.col(f"`{n}`") for n in names])
+        kept = kept.where(~F.col(some)).unionByName(kept.where(F.col(some)).dropDuplicates([key]))
+    return kept.select(*[F.col(f"`{n}`") for n in docs.columns])
