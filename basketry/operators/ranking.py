@@ -204,6 +204,60 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, clusters: DataFrame, metric: st
     )
 
 
+# --- ablations and the ceiling -----------------------------------------------------------
+
+#: Variants of the ordering: name, quota of a category, whether the cart's categories go last.
+VARIANTS = (("none", 1000, False), ("quota", 1, False), ("cart", 1000, True), ("both", 1, True), ("two each", 2, True))
+
+
+def ablation(scored: DataFrame, q: DataFrame, k: int = 5) -> DataFrame:
+    """``variant`` and mean metrics of each way to order the same pool, all in one pass over it."""
+    ways = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(c).alias("quota"), F.lit(d).alias("cart")) for n, c, d in VARIANTS])
+    each = scored.withColumn("w", F.explode(ways)).select("*", "w.*").withColumn("query_id", F.concat_ws("|", "variant", "query_id")).drop("w")
+    place = F.row_number().over(W.partitionBy("query_id", "category").orderBy(F.desc("score"), "product_id"))
+    late = ((place > F.col("quota")) | (F.col("cart") & (F.col("cat_in_cart") > 0))).cast("int")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("demoted", F.desc("score"), "product_id"))
+    top = each.withColumn("demoted", late).withColumn("rank", rank).where(F.col("rank") <= k)
+    all_q = q.withColumn("variant", F.explode(F.array(*[F.lit(n) for n, _, _ in VARIANTS]))).withColumn("query_id", F.concat_ws("|", "variant", "query_id"))
+    return summarise(per_query_metrics(top, all_q, k), all_q, "variant").where("variant <> 'all'").select("variant", "n", "ndcg", "recall", "hit")
+
+
+def _drawn(chances: DataFrame, samples: int, salt: str) -> DataFrame:
+    each = chances.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    return each.where(uniform(F.concat_ws("-", "query_id", "category", "s"), salt) < F.col("p")).select("query_id", "category", "s")
+
+
+def ceiling_choice(chances: DataFrame, samples: int = 40, k: int = 5, salt: str = "ceiling") -> DataFrame:
+    """``query_id, category``: the k categories drawn most often on the even samples."""
+    even = _drawn(chances, samples, salt).where("s % 2 = 0").groupBy("query_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("query_id").orderBy(F.desc("n"), "category")
+    return even.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "category")
+
+
+def ceiling(chances: DataFrame, samples: int = 40, k: int = 5, salt: str = "ceiling") -> DataFrame:
+    """Per query, what the best list could hit: ``query_id, expected_hits, se``.
+
+    ``chances`` has the probability ``p`` of each category. Baskets are simulated from hashes;
+    the list is chosen on the even samples and valued on the odd ones, so that choosing on
+    noise doesn't count.
+    """
+    drawn, best = _drawn(chances, samples, salt), ceiling_choice(chances, samples, k, salt)
+    per = drawn.where("s % 2 = 1").join(best, ["query_id", "category"]).groupBy("query_id", "s").agg(F.count(F.lit(1)).alias("h"))
+    odd = samples // 2
+    sums = per.groupBy("query_id").agg(F.sum("h").alias("h"), F.sum(F.col("h") * F.col("h")).alias("h2"))
+    mean = F.coalesce(F.col("h"), F.lit(0)) / odd
+    spread = F.greatest((F.coalesce(F.col("h2"), F.lit(0)) - odd * mean * mean) / (odd - 1), F.lit(0.0))
+    return chances.select("query_id").distinct().join(sums, "query_id", "left").select("query_id", fixed(mean, 6).alias("expected_hits"), fixed(F.sqrt(spread / odd), 6).alias("se"))
+
+
+def ceiling_check(expected: DataFrame, realised: DataFrame) -> DataFrame:
+    """One row: mean realised hits (``query_id, hits``) against the ceiling, and how many deviations apart."""
+    both = expected.join(realised, "query_id")
+    gap = F.avg("hits") - F.avg("expected_hits")
+    scale = F.sqrt(F.var_samp(F.col("hits") - F.col("expected_hits")) / F.count(F.lit(1)))
+    return both.agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("hits"), 6).alias("realised"), fixed(F.avg("expected_hits"), 6).alias("ceiling"), fixed(F.when(scale > 0, gap / scale), 4).alias("z"))
+
+
 # --- learning to rank --------------------------------------------------------------------
 
 

@@ -547,3 +547,66 @@ def _(t):
     half = (F.hash("query_id") % 2) == 0
     model = rk.fit_ranker(full.where(half), fe.FEATURES, iterations=5, depth=4)
     return rk.top_k(rk.rank_with(model, full.where(~half), fe.FEATURES), 5).select("query_id", "product_id", "score", "rank", "label")
+
+
+def _variant(name: str, quota: int, cart: bool) -> str:
+    order = f"CAST(row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, product_id) > {quota}{' OR cat_in_cart > 0' if cart else ''} AS INT)"
+    return f"""(SELECT '{name}' AS variant, count(*) AS n, round(avg(ndcg) * 1e6::DOUBLE) / 1e6::DOUBLE AS ndcg, round(avg(recall) * 1e6::DOUBLE) / 1e6::DOUBLE AS recall, round(avg(hit) * 1e6::DOUBLE) / 1e6::DOUBLE AS hit FROM (
+SELECT query_id, round(coalesce(coalesce(dcg, 0) / CASE WHEN n_target > 0 THEN {_IDEAL.format(n="n_target", k=5)} END, 0) * 1e6::DOUBLE) / 1e6::DOUBLE AS ndcg, round(coalesce(coalesce(hits, 0) / nullif(n_target, 0), 0) * 1e6::DOUBLE) / 1e6::DOUBLE AS recall, CAST(coalesce(hits, 0) > 0 AS INT) AS hit
+FROM qs LEFT JOIN (SELECT query_id, sum(CASE WHEN label = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(label) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dm, score DESC, product_id) AS rank FROM (SELECT *, {order} AS dm FROM scored)) WHERE rank <= 5 GROUP BY 1) USING (query_id)))"""
+
+
+@query("rank_ablation", SCORED + " " + " UNION ALL ".join(_variant(*v) for v in rk.VARIANTS))
+def _(t):
+    w = Window(t)
+    return rk.ablation(w.scored(), w.q)
+
+
+@query("rank_cut_report", METRICS + """ SELECT CASE WHEN prefix_size >= 10 THEN '10+' ELSE CAST(prefix_size AS VARCHAR) END AS size_bin, count(*) AS n, round(avg(ndcg) * 1e6::DOUBLE) / 1e6::DOUBLE AS ndcg, round(avg(hit) * 1e6::DOUBLE) / 1e6::DOUBLE AS hit FROM pq JOIN qs USING (query_id) GROUP BY 1""")
+def _(t):
+    w = Window(t)
+    return rk.summarise(w.metrics(), rk.prefix_bins(w.q), "size_bin").where("size_bin <> 'all'").select("size_bin", "n", "ndcg", "hit")
+
+
+@query("rank_cold_start", METRICS + " SELECT profile IN (1, 2) AS is_new, count(*) AS n, round(avg(ndcg) * 1e6::DOUBLE) / 1e6::DOUBLE AS ndcg, round(avg(hit) * 1e6::DOUBLE) / 1e6::DOUBLE AS hit FROM pq JOIN qs USING (query_id) GROUP BY 1")
+def _(t):
+    w = Window(t)
+    groups = w.q.select("query_id", F.when(F.col("is_known"), "false").otherwise("true").alias("is_new"))
+    return rk.summarise(w.metrics(), groups, "is_new").where("is_new <> 'all'").select((F.col("is_new") == "true").alias("is_new"), "n", "ndcg", "hit")
+
+
+_CHANCE = QS + "," + ASOF + """,
+ch AS (SELECT query_id, category, least(0.9::DOUBLE, n_days / 20) AS p FROM hcat),
+dr AS (SELECT query_id, category, s FROM ch, range(0, 40) r(s) WHERE """ + u("concat_ws('-', query_id, category, s)", "ceiling") + """ < p),
+ev AS (SELECT query_id, category FROM (SELECT query_id, category, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, category) AS r FROM dr WHERE s % 2 = 0 GROUP BY 1, 2) WHERE r <= 5),
+od AS (SELECT query_id, s, count(*) AS h FROM dr JOIN ev USING (query_id, category) WHERE s % 2 = 1 GROUP BY 1, 2),
+sm AS (SELECT query_id, sum(h) AS h, sum(h * h) AS h2 FROM od GROUP BY 1),
+ce AS (SELECT query_id, round(coalesce(h, 0) / 20 * 1e6::DOUBLE) / 1e6::DOUBLE AS expected_hits, round(sqrt(greatest((coalesce(h2, 0) - 20 * (coalesce(h, 0) / 20) * (coalesce(h, 0) / 20)) / 19, 0) / 20) * 1e6::DOUBLE) / 1e6::DOUBLE AS se FROM (SELECT DISTINCT query_id FROM ch) LEFT JOIN sm USING (query_id))"""
+
+
+def chances(w):
+    return w.asof()["category"].select("query_id", "category", F.least(F.lit(0.9), F.col("n_days") / 20).alias("p"))
+
+
+@query("rank_ceiling", _CHANCE + " SELECT * FROM ce")
+def _(t):
+    return rk.ceiling(chances(Window(t)))
+
+
+@query("rank_ceiling_check", _CHANCE + """, w AS (SELECT DISTINCT query_id, category FROM target JOIN products USING (product_id)),
+re AS (SELECT query_id, count(w.category) AS hits FROM (SELECT DISTINCT query_id FROM ch) LEFT JOIN ev USING (query_id) LEFT JOIN w USING (query_id, category) GROUP BY 1)
+SELECT count(*) AS n, round(avg(hits) * 1e6::DOUBLE) / 1e6::DOUBLE AS realised, round(avg(expected_hits) * 1e6::DOUBLE) / 1e6::DOUBLE AS ceiling, round((avg(hits) - avg(expected_hits)) / sqrt(var_samp(hits - expected_hits) / count(*)) * 10000) / 10000 AS z FROM re JOIN ce USING (query_id)""")
+def _(t):
+    w = Window(t)
+    p = chances(w)
+    best = rk.ceiling_choice(p)
+    wanted = w.target.join(t["products"].select("product_id", "category"), "product_id").select("query_id", "category").distinct().withColumn("y", F.lit(1))
+    realised = p.select("query_id").distinct().join(best, "query_id", "left").join(wanted, ["query_id", "category"], "left").groupBy("query_id").agg(F.count("y").alias("hits"))
+    return rk.ceiling_check(rk.ceiling(p), realised)
+
+
+@query("rank_importance")
+def _(t):
+    w = Window(t)
+    full = fe.with_relevance(matrix(t), w.target, t["products"])
+    return rk.importance(rk.fit_ranker(full, fe.FEATURES, iterations=3, depth=3), fe.FEATURES, full.sparkSession)
