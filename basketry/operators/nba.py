@@ -101,8 +101,8 @@ def category_features(lines: DataFrame, customers: DataFrame, products: DataFram
     recent = in_window(past, _day(cutoff, -90), _day(cutoff)).groupBy("customer_id", "category").agg(money("line_amount").alias("spend_90"), F.countDistinct("basket_id").alias("baskets_90"))
     recent = recent.withColumn("spend_share", fixed(ratio("spend_90", F.sum("spend_90").over(W.partitionBy("customer_id"))), 6))
     typical = products.groupBy("category").agg(F.round(F.avg("typical_days")).cast("int").alias("typical"))
-    full = days.join(recent, ["customer_id", "category"], "full_outer").join(customers.select("customer_id", "household_size"), "customer_id", "left").join(F.broadcast(typical), "category")
-    full = full.join(F.broadcast(category_popularity(lines, cutoff)), "category", "left")
+    full = days.join(recent, ["customer_id", "category"], "full_outer").join(customers.select("customer_id", "household_size"), "customer_id", "left").join(typical, "category")
+    full = full.join(category_popularity(lines, cutoff), "category", "left")
     expected, since = expected_days(mean_gap("first_day", "last_day", "n_days"), "typical", household_factor("household_size"), "n_days"), F.datediff(F.lit(cutoff).cast("date"), F.col("last_day"))
     return full.select(
         "customer_id", "category", "n_days", since.alias("days_since"), fixed(expected, 4).alias("expected_days"), fixed(since / expected, 4).alias("overdue_ratio"), (since >= expected).cast("int").alias("due"),
@@ -146,11 +146,11 @@ def predict(model, matrix: DataFrame, features: list[str], name: str) -> DataFra
 def classification_metrics(scored: DataFrame, score: str, label: str) -> DataFrame:
     """One row ``n, auc, pr_auc, base_rate, lift``; null where there is one class only.
 
-    Everything comes from counts by distinct score, so the one ordered pass runs over
-    distinct scores, not rows. ``lift`` is the rate of the best tenth over the base rate,
+    Everything comes from counts by score to six decimals, so the one ordered pass runs over
+    a million scores at most, whatever the rows. ``lift`` is the rate of the best tenth over the base rate,
     rows of a tied score counting in proportion.
     """
-    per = scored.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+    per = scored.groupBy(F.round(F.col(score).cast("double"), 6).alias("s")).agg(F.sum(label).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
     down = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     every = W.partitionBy()
     run = per.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
@@ -215,7 +215,7 @@ def policy_candidates(pairs: DataFrame, churn: DataFrame, spend: DataFrame, feat
     own = features.select("customer_id", "category", "overdue_ratio", "spend_90", "baskets_90")
     full = (
         pairs.join(churn.select("customer_id", "p_churn"), "customer_id").join(spend.select("customer_id", F.col("spend_90").alias("c_spend")), "customer_id").join(own, ["customer_id", "category"], "left")
-        .join(F.broadcast(margin), "category").join(F.broadcast(economics), "category", "left")
+        .join(margin, "category").join(economics, "category", "left")
     )
     expected = F.least(F.coalesce(ratio("spend_90", "baskets_90"), F.col("basket_spend"), F.lit(0.0)), F.lit(SPEND_CAP_DAYS))
     return full.select(

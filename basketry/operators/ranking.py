@@ -130,7 +130,7 @@ def baseline_scores(kind: str, q: DataFrame, categories: DataFrame, prefix: Data
     if kind not in BASELINES:
         raise ValueError(f"no such baseline: {kind}")
     cart = prefix.join(products.select("product_id", "category"), "product_id").select("query_id", "category").distinct()
-    grid = q.select("query_id", F.month("basket_day").alias("month")).crossJoin(F.broadcast(categories.select("category", F.col("n").alias("fill"))))
+    grid = q.select("query_id", F.month("basket_day").alias("month")).crossJoin(categories.select("category", F.col("n").alias("fill")))
     grid = grid.join(cart, ["query_id", "category"], "left_anti")
     none = F.lit(-1.0)
     if kind == "random":
@@ -138,7 +138,7 @@ def baseline_scores(kind: str, q: DataFrame, categories: DataFrame, prefix: Data
     elif kind == "global":
         score, out = F.col("fill").cast("double"), grid
     elif kind == "month":
-        out = grid.join(F.broadcast(monthly.select("month", "category", F.col("n").alias("m"))), ["month", "category"], "left")
+        out = grid.join(monthly.select("month", "category", F.col("n").alias("m")), ["month", "category"], "left")
         score = F.coalesce(F.col("m").cast("double"), none)
     elif kind == "rules":
         best = cart.withColumnRenamed("category", "antecedent").join(rules.select("antecedent", F.col("consequent").alias("category"), "confidence"), "antecedent").groupBy("query_id", "category").agg(F.max("confidence").alias("c"))

@@ -45,7 +45,7 @@ def repurchase_cycles(days: DataFrame, typical: DataFrame) -> DataFrame:
     both = gaps.where("gap is not null").join(heavy, "customer_id", "left")
     return both.groupBy("category").agg(
         F.count(F.lit(1)).alias("n_gaps"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.percentile(F.when(F.col("heavy"), F.col("gap")), F.lit(0.5)).alias("median_gap_heavy")
-    ).join(F.broadcast(typical), "category")
+    ).join(typical, "category")
 
 
 def sku_loyalty(lines: DataFrame, min_purchases: int = 3) -> DataFrame:
