@@ -135,6 +135,21 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t FROM each ANTI JOI
 gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM dw LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+""",
+    "op6_ngram_join": r"""
+WITH RECURSIVE dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM dw WHERE len(w) > 0)),
+sets AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS s, count(*) AS n FROM sh GROUP BY 1),
+reps AS (SELECT s, min(doc_id) AS rep, any_value(n) AS n, count(*) AS n_copies FROM sets GROUP BY 1),
+rs AS (SELECT rep, g FROM sh JOIN reps ON rep = doc_id),
+pairs AS (SELECT a.rep AS a, b.rep AS b, count(*) AS x FROM rs a JOIN rs b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN reps p ON p.rep = a JOIN reps q ON q.rep = b WHERE 5 * x >= 4 * (p.n + q.n - x)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT rep, rep FROM reps UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+cls AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY 1),
+deg AS (SELECT a AS rep, count(*) AS n_links FROM edges GROUP BY 1)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN reps USING (s) LEFT JOIN cls USING (rep) LEFT JOIN deg USING (rep)
 """,
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
