@@ -31,7 +31,7 @@ TAG_WEIGHT, MOST = -1.0, 3.0
 OUT_WEIGHT, OUT_MOST = -0.5, -30.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -51,9 +51,9 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 CLOSED_BY_SAME = {"p": BLOCKS - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 #: Words of classes and ids that name furniture.
 FURNITURE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disclaimer disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
-    "related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment commentlist comments consent cookie cookies "
+    "copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
+    "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 #: A header inside an article may hold its title; outside it is furniture.
 SECTIONS = frozenset("article aside body div dialog fieldset figure footer form header main menu nav section table ul ol".split())
@@ -67,6 +67,7 @@ class Element:
     context: str
     out: bool
     in_article: bool
+    in_main: bool
 
 
 @dataclass
@@ -79,7 +80,7 @@ class Page:
 
 def tokenize(page: str) -> Page:
     """Runs of text with their context; one linear pass, whatever is left open or closed twice."""
-    out, stack, at, block, tags = Page(), [Element("", "", False, False)], 0, 0, 0
+    out, stack, at, block, tags = Page(), [Element("", "", False, False, False)], 0, 0, 0
     lower = None
     matches = _TOKEN.finditer(page)
     skip_to = 0
@@ -148,14 +149,17 @@ def tokenize(page: str) -> Page:
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if key in ("class", "id", "role"):
                     names.update(_NAME.findall(value))
+                elif key == "style":
+                    hidden |= "display:none" in value.replace(" ", "")
                 elif key == "hidden" or value == "true":
                     hidden = True
         top = stack[-1]
         article = top.in_article or name == "article"
         furniture = name in FURNITURE or hidden or bool(names & FURNITURE_NAMES) and name not in ("html", "body", "article", "main")
-        furniture |= name == "header" and not top.in_article
+        main = top.in_main or name in ("article", "main") or "main" in names
+        furniture |= (name == "header" or names == {"header"}) and not top.in_main
         context = " ".join([name, *sorted(names)]) if name in BLOCKS else top.context
-        stack.append(Element(name, context[:80], top.out or furniture, article))
+        stack.append(Element(name, context[:80], top.out or furniture, article, main))
     if at < len(page):
         text(page[at:])
     return out
@@ -183,8 +187,9 @@ def learn(pages: DataFrame, learn_pages: int = LEARN_PAGES, contexts: int = CONT
         for batch in pieces(batches, "html"):
             found: Counter = Counter()
             for page in batch.column("html").to_pylist():
-                for raw, context, _, inside, _ in tokenize(page).runs:
-                    found[context, inside] += len(raw.split())
+                for raw, context, out, inside, _ in tokenize(page).runs:
+                    if not out:  # furniture is known; its contexts may well stand in articles
+                        found[context, inside] += len(raw.split())
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(list(found.values()), pa.int64())],

@@ -49,6 +49,21 @@ def test_boilerplate_goes():
     assert h.main_text(page(f"<article>{inner}</article>"), PLAIN) == WANT
 
 
+def test_articles_of_other_shapes():
+    lists = "<ul><li>one thing to note</li><li>another thing to note</li></ul><table><tr><td>cell one</td><td>cell two</td></tr></table><blockquote>said somebody once</blockquote>"
+    want = "The title of it all\n" + WANT + "\none thing to note\nanother thing to note\ncell one\ncell two\nsaid somebody once"
+    body = "<header><h1>The title of it all</h1></header>" + ARTICLE + lists
+    for shape in ("<main>{}</main>", "<article>{}</article>", '<div id="main">{}</div>', "<main><article data-id='ad'>{}</article></main>"):
+        for weights in (PLAIN, h.Weights({"p": 3.0, "h1": 3.0}, 1.0)):
+            assert h.main_text(page("<nav><ul><li>Home</li></ul></nav>" + shape.format(body) + '<div style="display: none">gone for good</div><div class="header">Site</div>'), weights) == want
+
+
+def test_lists_in_menus_don_t_teach_lists(spark):
+    rows = [(i, "u", page(f"<nav><ul><li>Home and away</li></ul></nav><article>{ARTICLE}</article><div>Stray words outside of it</div>")) for i in range(5)]
+    weights = h.learn(pages_of(spark, rows))
+    assert "li" not in weights.by_context and weights.by_context["p"] > 1 > 0 > weights.by_context["div"]
+
+
 def test_broken_markup_and_references():
     assert h.main_text("<p>one <b>two<p>three</b> four<br>five", PLAIN) == "one two\nthree four\nfive"
     assert h.main_text("a &lt;b&gt; &eacute;&#233;&#xe9; &nope; x", PLAIN) == "a <b> ééé &nope; x"
