@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, pieces
 
+#: Languages learnt: those of most rows.
+LANGUAGES = 1_000
 #: Learning rows of each language on average (a fixed share of its rows by hash), kept words, and kept n-grams of each length.
 ROWS_PER_LANGUAGE, WORDS, GRAMS = 2_000, 50_000, 20_000
 LONGEST_GRAM = 5
@@ -61,8 +63,10 @@ def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
     is such that ``rows_per_language`` come on average, which bounds the model's work.
     """
     able = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = able.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("share"))
+    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("n")).alias("share"))
     chance = F.pmod(F.xxhash64(F.lit("learn"), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    # the shares have LANGUAGES rows at most
     return able.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "text")
 
 
