@@ -39,6 +39,32 @@ def recommend(spark, t: dict[str, DataFrame], customer_id: int | None, day: str,
     return ranking.top_k(scored, k).select("product_id", "category", "score", "rank")
 
 
+def export_bundle(t: dict[str, DataFrame], day: str, folder: str, latent_top: int = 0) -> list[str]:
+    """The fitted sources of a day and customers' histories as Parquet, for lookups by key; the names written.
+
+    Histories are partitioned by a bucket of the customer, so that a lookup reads one part.
+    """
+    from ..sources.files import write_tables
+    from . import affinity, candidates, splits
+
+    history = splits.before(t["baskets"], day)
+    items = splits.restrict(t["items"], history)
+    popular = candidates.popularity(history, items)
+    bought = candidates.customer_products(history, items)
+    bucket = F.pmod(F.xxhash64("customer_id"), F.lit(64)).cast("int")
+    tables = {
+        "popularity": popular, "category_popularity": candidates.category_popularity(popular, t["products"]),
+        "affinity_product": affinity.cooccurrence(affinity.basket_items(items, t["products"], "product"), 2, top=20),
+        "affinity_category": affinity.cooccurrence(affinity.basket_items(items, t["products"])),
+        "leaders": candidates.category_leaders(history, items, t["products"]), "customer_products": bought.withColumn("bucket", bucket),
+    }
+    if latent_top:
+        model = candidates.fit_latent(bought)
+        tables["latent"] = model.recommendForAllUsers(latent_top)
+    write_tables(tables, folder, {"customer_products": ["bucket"]})
+    return list(tables)
+
+
 def slice_for(tables: dict[str, DataFrame], customers: DataFrame) -> dict[str, DataFrame]:
     """Tables cut to some customers; those without a customer_id stay whole."""
     chosen = customers.select("customer_id").distinct()

@@ -153,3 +153,13 @@ def volumes(tables: dict[str, DataFrame]) -> DataFrame:
         row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def validate_catalog(categories: dict[str, str], typical_days: dict[str, int], pairs: list[tuple[str, str, float]], margins: dict[str, float]) -> list[str]:
+    """What is wrong with a catalogue's configuration: unknown names, and values out of range."""
+    wrong = [f"{c}: no typical days" for c in categories if c not in typical_days]
+    wrong += [f"{c}: typical days {d} aren't positive" for c, d in typical_days.items() if d <= 0]
+    wrong += [f"{a} - {b}: unknown category {x}" for a, b, _ in pairs for x in (a, b) if x not in categories]
+    wrong += [f"{a} - {b}: lift {lift} isn't positive" for a, b, lift in pairs if lift <= 0]
+    wrong += [f"{d}: margin {m} is outside [0, 1]" for d, m in margins.items() if not 0 <= m <= 1]
+    return wrong + [f"{d}: no such department" for d in margins if d not in set(categories.values())]
