@@ -7,7 +7,6 @@ silent. A document's scores are the sums over its words.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns, pieces
+from .common import columns, pieces, saved
 
 #: Languages learnt: those of most rows.
 LANGUAGES = 1_000
@@ -49,11 +49,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies: ``words`` and ``grams[n]`` map to a row of a table with a column a language."""
+    """Log frequencies: ``words`` and ``grams[n]`` give a row of ``table``, which has a column a language."""
 
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: dict[str, int]
+    grams: dict[int, dict[str, int]]
+    table: np.ndarray
 
 
 def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
@@ -70,49 +71,65 @@ def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
     return able.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "text")
 
 
-def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """A model of bounded size: the most frequent words, and n-grams of each length."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """``lang, word, n`` of ``lang, text`` rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for word, n in Counter(letter_words(text)).items():
-                    found[lang, 0, word] += n
-                    for size in range(1, LONGEST_GRAM + 1):
-                        for gram in grams_of(word, size):
-                            found[lang, size, gram] += n
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-                ["lang", "size", "gram", "n"],
-            )
+                found.update((lang, word) for word in letter_words(text))
+            yield _counted(found, ["lang", "word"])
+
+    return rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def count_grams(words: DataFrame) -> DataFrame:
+    """``size, gram, lang, n`` of counted words; a word is its own gram of size 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+                for size in range(1, LONGEST_GRAM + 1):
+                    for gram in grams_of(word, size):
+                        found[lang, str(size), gram] += n
+            yield _counted(found, ["lang", "size", "gram"])
+
+    grams = words.mapInArrow(count, "lang string, size string, gram string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    return words.select(F.lit("0").alias("size"), F.col("word").alias("gram"), "lang", "n").unionByName(grams)
+
 
-    counted = (
-        learning_rows(docs, rows_per_language)
-        .mapInArrow(count, "lang string, size int, gram string, n long")
-        .groupBy("size", "gram", "lang")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("size", "gram")
-        .agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n")))).alias("by"))
-        .where("total > 1")
-        .persist()
-    )
-    tables, totals = {}, Counter()
-    for size in range(LONGEST_GRAM + 1):
-        rows = counted.where(F.col("size") == size).orderBy(F.desc("total"), "gram").limit(grams if size else words).collect()
-        tables[size] = {r["gram"]: r["by"] for r in rows}
-        for by in tables[size].values():
-            for lang, n in by.items():
-                totals[size, lang] += n
-    counted.unpersist()
-    languages = tuple(sorted({lang for _, lang in totals}))
-
-    def logs(size: int) -> dict[str, np.ndarray]:
-        room = [math.log(totals[size, x] + 0.5 * len(tables[size]) + 1) for x in languages]
-        return {g: np.array([math.log(by.get(x, 0) + 0.5) - r for x, r in zip(languages, room, strict=True)]) for g, by in tables[size].items()}
-
-    return Model(languages, logs(0), {n: logs(n) for n in range(1, LONGEST_GRAM + 1)})
+def _counted(found: Counter, names: list[str]) -> pa.RecordBatch:
+    keys = list(found)
+    columns_ = [pa.array([k[i] for k in keys], pa.string()) for i in range(len(names))]
+    return pa.RecordBatch.from_arrays([*columns_, pa.array(list(found.values()), pa.int64())], [*names, "n"])
+
+
+def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> Model:
+    """A model of bounded size: the most frequent words, and n-grams of each length."""
+    counted = saved(count_words(learning_rows(docs, rows_per_language)))
+    by = F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n"))))
+    totals = count_grams(counted).groupBy("size", "gram").agg(F.sum("n").alias("total"), by.alias("by")).where("total > 1")
+    order = W.partitionBy("size", "part").orderBy(F.desc("total"), "gram")
+    # the best of each part, and the best of those: no task orders all n-grams of a length
+    parts = totals.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
+    limit = F.when(F.col("size") == "0", words).otherwise(grams)
+    best = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
+    best = best.withColumn("r", F.row_number().over(W.partitionBy("size").orderBy(F.desc("total"), "gram"))).where(F.col("r") <= limit)
+    tables: dict[int, dict[str, dict[str, int]]] = {n: {} for n in range(LONGEST_GRAM + 1)}
+    for r in best.select("size", "gram", "by").toLocalIterator():
+        tables[int(r["size"])][r["gram"]] = r["by"]
+    languages = tuple(sorted({lang for table in tables.values() for counts in table.values() for lang in counts}))
+    column, rows, places = {x: i for i, x in enumerate(languages)}, [], {}
+    for size, table in tables.items():
+        counts = np.zeros((len(table), len(languages)))
+        for i, gram in enumerate(sorted(table)):
+            for lang, n in table[gram].items():
+                counts[i, column[lang]] = n
+        places[size] = {gram: i + sum(map(len, rows)) for i, gram in enumerate(sorted(table))}
+        rows.append(np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(table) + 1))
+    return Model(languages, places[0], {n: places[n] for n in range(1, LONGEST_GRAM + 1)}, np.concatenate(rows))
 
 
 class _Scores(dict):
@@ -122,27 +139,24 @@ class _Scores(dict):
         self.model, self.table, self.used = model, np.zeros((1024, len(model.languages))), 1  # row 0: silent
 
     def __missing__(self, token: str) -> int:
-        total = np.zeros(len(self.model.languages))
-        for word in letter_words(token):
-            total += self.word(word)
         at = self.used
         if at == len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[at] = total
+        self.table[at] = sum(map(self.word, letter_words(token)), np.zeros(len(self.model.languages)))
         self.used += 1
         if len(token) <= REMEMBERED_LENGTH:
             self[token] = at
         return at
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> np.ndarray | float:
         model = self.model
         if (known := model.words.get(word)) is not None:
-            return known
+            return model.table[known]
         for n in range(LONGEST_GRAM, 0, -1):
-            table = model.grams[n]
-            if found := [table[g] for g in grams_of(word, n) if g in table]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(model.languages))
+            place = model.grams[n].get
+            if found := [r for g in grams_of(word, n) if (r := place(g)) is not None]:
+                return model.table.take(found, axis=0).sum(axis=0) / len(found)
+        return 0.0
 
     def forget(self) -> None:
         if self.used > REMEMBERED:

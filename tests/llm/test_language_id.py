@@ -23,7 +23,7 @@ def test_labels_of_held_out_rows_play_no_part(spark):
 def test_backoff():
     import numpy as np
 
-    model = li.Model(("a", "b"), {"known": np.array([-1.0, -5.0])}, {1: {"z": np.array([-3.0, -2.0])}, 2: {"zz": np.array([-9.0, -1.0])}, 3: {}, 4: {}, 5: {}})
+    model = li.Model(("a", "b"), {"known": 0}, {1: {"z": 1}, 2: {"zz": 2}, 3: {}, 4: {}, 5: {}}, np.array([[-1.0, -5.0], [-3.0, -2.0], [-9.0, -1.0]]))
     scores = li._Scores(model)
     assert scores.table[scores["Known,"]].tolist() == [-1.0, -5.0]
     assert scores.table[scores["zzz"]].tolist() == [-9.0, -1.0]  # bigrams before letters
