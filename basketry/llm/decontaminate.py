@@ -171,12 +171,15 @@ def anchors_of(windows: DataFrame, frequencies: DataFrame, anchors: int = ANCHOR
 
 
 def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``key, window_id, start``: where all anchors of a window stand at their offsets."""
+    """``key, window_id, start``: where all anchors of a window stand at their offsets.
+
+    Repeated rows share a key and repeat its postings, so distinct anchors are counted.
+    """
     lists = index.where("term is not null").select("key", "term", "positions")
     placed = lists.join(anchors, "term").select(
-        "key", "window_id", "needed", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start")
+        "key", "window_id", "rank", "needed", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start")
     ).where("start >= 0")
-    return placed.groupBy("key", "window_id", "start").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where(
+    return placed.groupBy("key", "window_id", "start").agg(F.countDistinct("rank").alias("n"), F.first("needed").alias("needed")).where(
         "n = needed"
     ).drop("n", "needed")
 
@@ -191,13 +194,13 @@ def proximity_matches(index: DataFrame, anchors: DataFrame, slop: int, window: i
     each = lists.join(anchors, "term")
     rare = each.where("rank = 0").select("key", "window_id", "needed", F.explode("positions").alias("start"))
     rest = each.where("rank > 0").select("key", "window_id", "rank", "positions")
-    alone = rare.where("needed = 1").select("key", "window_id", "start", F.lit(0).alias("span"))
+    alone = rare.where("needed = 1").select("key", "window_id", "start", F.lit(0).alias("span")).distinct()
     near = (
         rare.join(rest, ["key", "window_id"])
         .withColumn("gap", F.array_min(F.transform("positions", lambda p: F.abs(p - F.col("start")))))
         .where(F.col("gap") < window + slop)
         .groupBy("key", "window_id", "start")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.max("gap").alias("span"))
+        .agg(F.countDistinct("rank").alias("n"), F.first("needed").alias("needed"), F.max("gap").alias("span"))
         .where("n = needed - 1")
         .select("key", "window_id", "start", "span")
     )

@@ -75,3 +75,23 @@ def test_proximity(spark):
     assert rows_of(near.select("doc_id").distinct()) == [(1,), (4,)]
     far = d.proximity_matches(index, anchors, slop=60, window=6).join(index.where("term is null").select("key", "doc_id"), "key")
     assert rows_of(far.select("doc_id").distinct()) == [(1,), (2,), (4,)]
+
+
+def test_repeated_contaminated_rows(spark):
+    pairs = [(1, "one two three"), (1, "one two three"), (1, "one two three"), (2, "fox owl"), (2, "fox owl"), (3, "two words"), (3, "two words")]
+    bench = [(7, "two three"), (8, "one two three"), (9, "owl")]
+    want = plain(pairs, bench)
+    assert [x[4] for x in want] == [True] * 5 + [False] * 2
+    docs = docs_of(spark, pairs)
+    assert got(d.decontaminate(docs, bench_of(spark, bench))) == want
+    assert rows_of(d.drop_contaminated(docs, bench_of(spark, bench)).select("doc_id")) == [(3,), (3,)]
+
+
+def test_proximity_of_repeated_rows(spark):
+    docs = docs_of(spark, [(1, "red fox and the blue owl"), (1, "red fox and the blue owl"), (2, "blue only"), (2, "blue only")])
+    windows = d.item_windows(bench_of(spark, [(1, "fox sees owl"), (2, "fox owl"), (3, "blue")]))
+    anchors = d.anchors_of(windows, d.document_frequencies(docs, d.window_terms(windows).select("term").distinct()))
+    index = d.build_index(docs, anchors.select("term").distinct())
+    near = d.proximity_matches(index, anchors, slop=0, window=6)
+    names = index.where("term is null").select("key", "doc_id").distinct()
+    assert rows_of(near.join(names, "key").select("doc_id", "start", "span")) == [(1, 1, 4), (1, 4, 0), (2, 0, 0)]
