@@ -27,7 +27,8 @@ from .common import columns, pieces
 LEARN_PAGES, CONTEXTS = 2_000, 5_000
 #: Weight of a tag, and the largest weight of a word either way.
 TAG_WEIGHT, MOST = -1.0, 3.0
-#: Weight of a word in furniture, and the most that a run of it costs: an advert within an article doesn't end it.
+#: Weight of a word in furniture, and the most that an element of it costs with all its tags. Inside main or
+#: article it costs nothing: an advert within an article doesn't end it.
 OUT_WEIGHT, OUT_MOST = -0.5, -30.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -68,30 +69,36 @@ class Element:
     out: bool
     in_article: bool
     in_main: bool
+    piece: int  # number of the outermost furniture element around it, 0 for none
 
 
 @dataclass
 class Page:
-    """The tokens of a page: for each run of text its context, and where blocks begin."""
+    """The tokens of a page: for each run of text its context, and where blocks begin.
+
+    ``pieces`` has for each run the number of its furniture element, 0 for none, and -1 inside main or article.
+    """
 
     runs: list[tuple[str, str, bool, bool, int]] = field(default_factory=list)  # text, context, out, labelled, block
     tags: list[int] = field(default_factory=list)  # tags before each run
+    pieces: list[int] = field(default_factory=list)
 
 
 def tokenize(page: str) -> Page:
     """Runs of text with their context; one linear pass, whatever is left open or closed twice."""
-    out, stack, at, block, tags = Page(), [Element("", "", False, False, False)], 0, 0, 0
+    out, stack, at, block, tags = Page(), [Element("", "", False, False, False, 0)], 0, 0, 0
     lower = None
     matches = _TOKEN.finditer(page)
-    skip_to = 0
+    skip_to = made = inner = 0  # inner: tags inside furniture since the last run
 
     def text(raw: str) -> None:
-        nonlocal tags
+        nonlocal tags, inner
         if raw and not raw.isspace():
             top = stack[-1]
             out.runs.append((raw, top.context, top.out, top.in_article, block))
-            out.tags.append(tags)
-            tags = 0
+            out.tags.append(tags + inner if top.out else tags)
+            out.pieces.append(top.piece)
+            tags = inner = 0
         elif raw and out.runs:
             last = out.runs[-1]
             if last[4] == block:
@@ -106,7 +113,10 @@ def tokenize(page: str) -> Page:
         if name is None:
             continue
         name = name.lower()
-        tags += 1
+        if stack[-1].out:
+            inner += 1
+        else:
+            tags += 1
         if m[1]:
             if name in BLOCKS:
                 block += 1
@@ -159,7 +169,11 @@ def tokenize(page: str) -> Page:
         main = top.in_main or name in ("article", "main") or "main" in names
         furniture |= (name == "header" or names == {"header"}) and not top.in_main
         context = " ".join([name, *sorted(names)]) if name in BLOCKS else top.context
-        stack.append(Element(name, context[:80], top.out or furniture, article, main))
+        piece = top.piece
+        if furniture and not top.out:
+            made += 1
+            piece = -1 if top.in_main else made
+        stack.append(Element(name, context[:80], top.out or furniture, article, main, piece))
     if at < len(page):
         text(page[at:])
     return out
@@ -227,10 +241,17 @@ def main_text(page: str | None, weights: Weights) -> str:
         return ""
     found = tokenize(page)
     scores = []  # the tags before each run, then its words
-    for (raw, context, out, _, _), tags in zip(found.runs, found.tags, strict=True):
+    piece, left = 0, OUT_MOST  # a furniture element, and what more it may cost
+    for (raw, context, out, _, _), tags, at in zip(found.runs, found.tags, found.pieces, strict=True):
         weight = weights.of(context, out)
-        scores.append(TAG_WEIGHT * tags * (0.1 if weight > 0 else 1))
-        scores.append(max(weight * len(raw.split()), OUT_MOST) if out else weight * len(raw.split()))
+        costs = [TAG_WEIGHT * tags * (0.1 if weight > 0 else 1), weight * len(raw.split())]
+        if out:
+            if at != piece:
+                piece, left = at, OUT_MOST
+            for i, cost in enumerate(costs):
+                costs[i] = 0.0 if at < 0 else max(cost, left)
+                left -= costs[i]
+        scores += costs
     start, end = best_run(scores)
     blocks: dict[int, list[str]] = {}
     for raw, context, out, _, block in found.runs[start // 2 : -(-end // 2)]:

@@ -87,3 +87,16 @@ def test_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>text here</p>"), (2, "u", ""), (2, "u", "")]
     assert rows_of(h.extract(pages_of(spark, rows)).select("page_id", "url", "text", "n_chars")) == sorted([(1, None, "", 0), (None, "u", "text here", 9), (2, "u", "", 0), (2, "u", "", 0)], key=repr)
     assert h.extract(pages_of(spark, [])).count() == 0
+
+
+def test_long_furniture_inside_keeps_both_sides():
+    lead, last = " ".join(f"lead{i}" for i in range(80)), "Five words end the article."
+    links = lambda tag, n: f"<{tag}><ul>" + "".join(f"<li><a href='#{i}'>Entry number {i}</a></li>" for i in range(n)) + f"</ul></{tag}>"
+    pictures = "<nav>" + "<a href='#'><img src=x></a>" * 200 + "</nav>"
+    for weights in (PLAIN, h.Weights({"p": 3.0}, 1.0)):
+        for inner in (links("nav", 60), links("aside", 300), "<aside>" + "Buy " * 40 + "</aside>", '<div class="ad">' + "Buy " * 400 + "</div>", pictures):
+            for shape in ("<article>{}</article>", "<main>{}</main>"):
+                for a, b in ((lead, WANT), (WANT, last), ("A short lead.", WANT + WANT), (WANT, "End.")):
+                    assert h.main_text(page(shape.format(f"<p>{a}</p>{inner}<p>{b}</p>")), weights) == " ".join(a.split()) + "\n" + " ".join(b.split())
+            # without main or article the whole element costs a bounded sum
+            assert h.main_text(page(f"<div><p>{lead}</p>{inner}<p>{WANT}</p></div>"), weights) == lead + "\n" + " ".join(WANT.split())
