@@ -6,6 +6,10 @@ its context stands inside than outside. One linear scan finds the contiguous run
 with the largest sum; its blocks, without the boilerplate that may stand inside, are the
 text. Pages teach which contexts are boilerplate: a context is the innermost block or
 sectioning element with its class and id words.
+
+Some elements are furniture whatever they hold (``FURNITURE``, hidden ones). Forms, and
+elements with a listed word in class, id or role, are furniture unless they turn out to wrap
+the page's content (``wrappers``); in those the scan decides.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ _NAME = re.compile(r"[a-z]+")
 #: Their text is no text.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
 #: Never part of an article.
-FURNITURE = frozenset("nav footer aside form button dialog menu head".split())
+FURNITURE = frozenset("nav footer aside button dialog menu head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: They begin and end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -70,6 +75,53 @@ class Element:
     in_article: bool
     in_main: bool
     piece: int  # number of the outermost furniture element around it, 0 for none
+    hard: bool  # in furniture, whatever the named elements around it are
+    hidden: bool
+    named: int  # number of the innermost named element around it, 0 for none
+
+
+@dataclass
+class Named:
+    """A form or an element with a listed word; its words are those outside of other furniture."""
+
+    outer: int  # the named element around it
+    in_main: bool
+    before: int  # words of main or article directly in the outer one before it
+    holds_main: bool = False
+    own: int = 0  # words directly in it, without headings
+    own_article: int = 0  # those of main or article
+    words: int = 0
+    article: int = 0
+
+
+def wrappers(named: list[Named]) -> frozenset[int]:
+    """The named elements that aren't furniture; the first stands for the page itself.
+
+    An element outside main and article wraps content if it holds ``main``; or has words of an
+    article, with none beside it before it and fewer behind it; or if there is no article
+    and nothing but headings beside named elements, of which it has most words. One inside
+    main or article does if nothing but headings of those is beside it, and it has most words.
+    """
+    for n in named:
+        n.words, n.article = n.words + n.own, n.article + n.own_article
+    for n in reversed(named[1:]):  # an element comes behind the one around it
+        outer = named[n.outer]
+        outer.words, outer.article, outer.holds_main = outer.words + n.words, outer.article + n.article, outer.holds_main or n.holds_main
+    most: dict[tuple[int, bool], int] = {}
+    for i, n in enumerate(named[1:], 1):
+        at = (n.outer, n.in_main)
+        if at not in most or n.words > named[most[at]].words:
+            most[at] = i
+    wraps = {0}
+    for i, n in enumerate(named[1:], 1):
+        outer = named[n.outer]
+        if n.outer not in wraps or not (n.words or n.holds_main):
+            continue
+        alone = most[n.outer, n.in_main] == i and not (outer.own_article if n.in_main else outer.own or outer.article)
+        first = not n.in_main and (n.holds_main or n.article > outer.own_article and not n.before)
+        if alone or first:
+            wraps.add(i)
+    return frozenset(wraps - {0})
 
 
 @dataclass
@@ -85,8 +137,16 @@ class Page:
 
 
 def tokenize(page: str) -> Page:
-    """Runs of text with their context; one linear pass, whatever is left open or closed twice."""
-    out, stack, at, block, tags = Page(), [Element("", "", False, False, False, 0)], 0, 0, 0
+    """Runs of text with their context; a second pass if named elements turn out to wrap content."""
+    found, named = _scan(page, frozenset())
+    wraps = wrappers(named)
+    return _scan(page, wraps)[0] if wraps else found
+
+
+def _scan(page: str, wraps: frozenset[int]) -> tuple[Page, list[Named]]:
+    """One linear pass, whatever is left open or closed twice; named elements in ``wraps`` aren't furniture."""
+    out, stack, at, block, tags = Page(), [Element("", "", False, False, False, 0, False, False, 0)], 0, 0, 0
+    named = [Named(0, False, 0)]
     lower = None
     matches = _TOKEN.finditer(page)
     skip_to = made = inner = 0  # inner: tags inside furniture since the last run
@@ -99,6 +159,11 @@ def tokenize(page: str) -> Page:
             out.tags.append(tags + inner if top.out else tags)
             out.pieces.append(top.piece)
             tags = inner = 0
+            if not top.hard:
+                inmost = named[top.named]
+                n = len(raw.split()) if top.context.split(" ", 1)[0] not in HEADINGS else 0
+                inmost.own += n
+                inmost.own_article += n if top.in_main else 0
         elif raw and out.runs:
             last = out.runs[-1]
             if last[4] == block:
@@ -165,18 +230,27 @@ def tokenize(page: str) -> Page:
                     hidden = True
         top = stack[-1]
         article = top.in_article or name == "article"
-        furniture = name in FURNITURE or hidden or bool(names & FURNITURE_NAMES) and name not in ("html", "body", "article", "main")
         main = top.in_main or name in ("article", "main") or "main" in names
-        furniture |= (name == "header" or names == {"header"}) and not top.in_main
+        hidden |= top.hidden
+        # what main is left in by broken markup doesn't count
+        hard = hidden or name in FURNITURE or top.hard and name != "main" or (name == "header" or names == {"header"}) and not top.in_main
+        inmost = top.named
+        if name == "form" or names & FURNITURE_NAMES and name not in ("html", "body", "article", "main"):
+            inmost = len(named)
+            named.append(Named(top.named, top.in_main, named[top.named].own_article))
+        elif name == "main" and not hidden:
+            named[inmost].holds_main = True
+        soft = inmost > 0 and (inmost not in wraps)
+        furniture = hard or soft
         context = " ".join([name, *sorted(names)]) if name in BLOCKS else top.context
-        piece = top.piece
+        piece = top.piece if furniture else 0
         if furniture and not top.out:
             made += 1
             piece = -1 if top.in_main else made
-        stack.append(Element(name, context[:80], top.out or furniture, article, main, piece))
+        stack.append(Element(name, context[:80], furniture, article, main, piece, hard, hidden, inmost))
     if at < len(page):
         text(page[at:])
-    return out
+    return out, named
 
 
 @dataclass(frozen=True)

@@ -100,3 +100,27 @@ def test_long_furniture_inside_keeps_both_sides():
                     assert h.main_text(page(shape.format(f"<p>{a}</p>{inner}<p>{b}</p>")), weights) == " ".join(a.split()) + "\n" + " ".join(b.split())
             # without main or article the whole element costs a bounded sum
             assert h.main_text(page(f"<div><p>{lead}</p>{inner}<p>{WANT}</p></div>"), weights) == lead + "\n" + " ".join(WANT.split())
+
+
+def test_wrappers_with_listed_words():
+    plain = f"<div class='content'>{ARTICLE}</div>"
+    boxes = "<div class='sidebar'><p>Other things to read today</p></div><div class='cookie-notice'>We use cookies</div>"
+    for weights in (PLAIN, h.Weights({"p": 3.0}, 1.0)):
+        for around in ("<div class='layout with-sidebar'>{}</div>", "<div class='post has-comments'>{}</div>", "<div id='page' class='no-ads'>{}</div>", "<form action='/'>{}</form>", "<div class='has-menu'><form id='f'>{}</form></div>"):
+            for content in (f"<main>{ARTICLE}</main>", f"<article>{ARTICLE}</article>", f"<main><article>{ARTICLE}</article></main>", plain):
+                nav = "<nav><a href=/>Home</a></nav>"
+                for body in (around.format(content), nav + around.format(content + boxes), nav + around.format(content) + boxes, around.format(nav + content)):
+                    assert h.main_text(page(body), weights) == WANT, body
+    for inside in ("<main><div class='post has-comments'>{}</div></main>", "<article><div class='no-ads'>{}</div></article>", "<main><div class='with-sidebar'><article>{}</article></div></main>"):
+        assert h.main_text(page("<div>Stray</div>" + inside.format(plain) + boxes), h.Weights({"div": -3.0}, 1.0)) == WANT
+    # a short heading outside doesn't make the rest furniture
+    assert h.main_text(page(f"<h1>The title</h1><div class='post has-comments'>{plain}</div>"), PLAIN) == "The title\n" + WANT
+    # an unclosed nav doesn't take main along
+    assert h.main_text(page(f"<nav><ul><li>Home<main>{ARTICLE}</main>"), PLAIN) == WANT
+
+
+def test_sections_with_listed_words_still_go():
+    replies = "<section class='comments'>" + "<article class='reply'><p>I do not agree with this at all</p></article>" * 20 + "</section>"
+    for body in (f"<article>{ARTICLE}</article>{replies}", f"<article>{ARTICLE}{replies}</article>", f"<div class='has-ads'><article>{ARTICLE}</article>{replies}</div>", f"<div>{ARTICLE}</div><div class='comments'>{ARTICLE * 9}</div>"):
+        assert h.main_text(page(body), PLAIN) == WANT, body
+    assert h.main_text(page(f"<div hidden><main>{ARTICLE}</main></div>"), PLAIN) == ""
