@@ -36,8 +36,11 @@ _CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
-_SET = re.compile(r"[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,512})")
+_SET = re.compile(r"[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})")
+_IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: An account begins at most so many characters behind its cue, or behind the account before it.
+ACCOUNT_REACH = 60
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key")
 ACCOUNT_CUES = ("iban", "account")
@@ -151,6 +154,24 @@ class Finder:
                         more.append((at, stop))
         return found, more
 
+    def _accounts(self, text: str, at: int, found: list[Span]) -> None:
+        """Adds the accounts behind a cue that ends at ``at``; where a look-alike fails, the next one is tried."""
+        last = at + ACCOUNT_REACH
+        at = max(at, found[-1][1] if found else 0)
+        while (head := _IBAN_HEAD.search(text, at, last + 4)) and head.start() <= last:
+            at = head.start() + 1
+            m = _IBAN.match(text, head.start())
+            code = m[0].replace(" ", "") if m else ""
+            for cut in range(min(len(code), 34), 14, -1):
+                if iban_holds(code[:cut]):
+                    stop, left = m.start(), cut
+                    while left:
+                        left -= text[stop] != " "
+                        stop += 1
+                    found.append((m.start(), stop))
+                    at, last = stop, stop + ACCOUNT_REACH
+                    break
+
     def find(self, text: str) -> dict[str, list[Span]]:
         """The spans of each kind, in code points, end exclusive; ``card+`` and ``phone+`` are added ones."""
         ats, pluses, urls, secrets, accounts, behind = [], [], [], [], [], 0
@@ -166,17 +187,8 @@ class Finder:
             elif kind == "secret":
                 if (m := _SET.match(text, end + 1)) and any(c.isdigit() for c in m[1]) and (not secrets or m.start(1) >= secrets[-1][1]):
                     secrets.append(m.span(1))
-            elif m := _IBAN.search(text, end + 1, end + 60):
-                code = m[0].replace(" ", "")
-                for cut in range(min(len(code), 34), 14, -1):
-                    if iban_holds(code[:cut]):
-                        stop, left = m.start(), cut
-                        while left:
-                            left -= text[stop] != " "
-                            stop += 1
-                        if not accounts or m.start() >= accounts[-1][1]:
-                            accounts.append((m.start(), stop))
-                        break
+            else:
+                self._accounts(text, end + 1, accounts)
         (cards, more_cards), (phones, more_phones) = self.cards(text), self.phones(text, pluses)
         return {
             "email": self.emails(text, ats), "ip": self.ips(text), "card": cards, "phone": phones,

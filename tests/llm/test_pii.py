@@ -83,3 +83,24 @@ def test_rows(spark):
     assert got.where("doc_id = 50").first()["spans"] == "email:2:8,card:9:28,phone:29:46,ip:50:60"
     assert pii.find_spans(docs_of(spark, [])).count() == 0
     assert rows_of(pii.redact(docs_of(spark, [(1, "mail x@y.zz now"), (2, None)]))) == [(1, "mail <email> now"), (2, None)]
+
+
+def test_accounts_anywhere_behind_a_cue():
+    first, second = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    accounts = lambda t: [t[a:b] for a, b in pii.Finder().find(t)["account"]]
+    assert accounts(f"account holder Maria Mustermann, Berlin: {first}") == [first]
+    for gap in range(70):
+        assert accounts("iban" + " " * gap + first) == [first] * (gap <= 60)
+    assert accounts(f"IBAN: {first}, or {second}.") == [first, second]
+    assert accounts(f"iban {first} / {second} / {first}; account {second}") == [first, second, first, second]
+    assert accounts(f"iban AB12 is no. Not DE00 3704 0044 0532 0130 00, but {first}") == [first]
+    assert accounts(f"iban XX00 1111 2222 3333 {first}") == [first]
+    pii.Finder().find("iban " * 50_000 + "DE89" * 50_000 + (first + " ") * 10_000)
+
+
+def test_whole_secrets(spark):
+    value = "0aB3" * 1000
+    t = f"token={value} end"
+    assert pii.Finder().find(t)["secret"] == [(6, 4006)]
+    assert rows_of(pii.redact(docs_of(spark, [(1, t)]))) == [(1, "token=<secret> end")]
+    pii.Finder().find("token" * 100_000 + "=" + "token1" * 100_000)
