@@ -292,8 +292,8 @@ def _(t):
 @query("cand_latent")
 def _(t):
     w = Window(t)
-    model = ca.fit_latent(ca.customer_products(w.history, w.history_items), rank=8, iterations=5)
-    return ca.from_latent(w.q, model, 20)
+    model = ca.fit_latent(ca.customer_products(w.history, w.history_items))
+    return ca.from_latent(w.q, model)
 
 
 @query("cand_union", POOL + " SELECT * FROM pool")

@@ -97,3 +97,14 @@ def test_scan_is_pruned(spark):
     plan = entry.queries()["file_point_read"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     scan = next(x for x in plan.split("== Physical Plan ==")[1].splitlines() if "FileScan parquet" in x)
     assert "o_totalprice" not in scan and "EqualTo(o_orderkey,77)" in scan
+
+
+def test_latent_query_uses_the_production_settings(spark, monkeypatch):
+    from __spark_entry__ import queries
+    from basketry.plans import reco_queries
+
+    seen = []
+    monkeypatch.setattr(reco_queries.ca, "fit_latent", lambda counts, *args, **options: seen.append((args, options)))
+    monkeypatch.setattr(reco_queries.ca, "from_latent", lambda q, model, *args, **options: seen.append((args, options)) or q)
+    queries()["cand_latent"](spark, "/root/testdata/sf0.001")
+    assert seen == [((), {}), ((), {})]
