@@ -211,7 +211,11 @@ def identify(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, **options: int) -> DataFrame:
-    """``docs``, whole rows, without those of no language or a score below ``least``."""
+    """``docs``, whole rows, without those of no language or a score below ``least``.
+
+    The score compares languages with each other over the whole text, so in effect texts
+    without letters and near ties go; text in a language that wasn't learnt stays.
+    """
     held = docs.sparkSession.sparkContext.broadcast(learn(docs, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

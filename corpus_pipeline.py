@@ -23,7 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model is sure of; the model learns from ``docs``."""
+    """Documents with letters, but for near ties of languages; the model learns from ``docs``."""
     return keep_identified(docs)
 
 
