@@ -1,15 +1,17 @@
 """Main text of web pages by the maximum-scoring subsequence of their tokens.
 
-A page is a sequence of words and tags. Every token has a weight: words inside the labelled
-article of learning pages score positive, tags negative, by how much more often a token of
-its context stands inside than outside. One linear scan finds the contiguous run of tokens
-with the largest sum; its blocks, without the boilerplate that may stand inside, are the
-text. Pages teach which contexts are boilerplate: a context is the innermost block or
-sectioning element with its class and id words.
-
-Some elements are furniture whatever they hold (``FURNITURE``, hidden ones). Forms, and
-elements with a listed word in class, id or role, are furniture unless they turn out to wrap
-the page's content (``wrappers``); in those the scan decides.
+A page is a sequence of words and tags. Words score positive and tags negative, each with a
+weight learnt from labelled pages, those with one ``article`` element: how much more often a
+word of such a block, or such a tag, stands inside the article than outside. One linear scan
+finds the contiguous run of tokens with the largest sum; all its blocks are the text, without
+the furniture among them.
+
+Names teach what furniture is: every word that classes, ids and roles end in has a weight,
+learnt from the words in elements of that name outside and inside of articles. A list of
+names (``FURNITURE_NAMES``) is where learning starts from, so that names that no labelled page
+has are judged too. An element whose names weigh little is furniture unless it turns out to
+wrap the page's content (``wrappers``). Some elements are furniture by what HTML says that they
+are (``FURNITURE``, hidden ones).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,22 +29,28 @@ from pyspark.sql import functions as F
 
 from .common import columns, pieces
 
-#: Labelled pages learnt from, on average, and contexts kept.
-LEARN_PAGES, CONTEXTS = 2_000, 5_000
-#: Weight of a tag, and the largest weight of a word either way.
-TAG_WEIGHT, MOST = -1.0, 3.0
+#: Labelled pages learnt from, on average; of their tags and names the most frequent are kept, others have the weight they start from.
+LEARN_PAGES, LEARNT = 2_000, 50_000
+#: Weight of an unknown tag, the least of any tag, and the largest weight of a word either way.
+TAG_WEIGHT, TAG_LEAST, MOST = -0.1, -3.0, 3.0
 #: Weight of a word in furniture, and the most that an element of it costs with all its tags. Inside main or
 #: article it costs nothing: an advert within an article doesn't end it.
 OUT_WEIGHT, OUT_MOST = -0.5, -30.0
+#: Weight of a word beside an article or main element that has most words of the page, unless it is in a heading; and the least inside.
+BESIDE, INSIDE = -0.5, 0.5
+#: Where learning starts for a listed name, the most that it moves a name's weight, and the weight from which an element is furniture.
+LISTED, MOVES, FURNITURE_FROM = -3.0, 4.0, -1.0
+#: An element inside the article teaches its names only with so large a share of the article's words: an advert in it doesn't make adverts content.
+WRAPS = 1 / 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 # The elements of HTML by what they mean here.
 #: Their text is no text.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
+_RAW_END = {name: re.compile(f"</{name}(?![A-Za-z0-9:-])", re.I | re.A) for name in RAW}
 #: Never part of an article.
 FURNITURE = frozenset("nav footer aside button dialog menu head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -55,19 +63,54 @@ BLOCKS = frozenset(
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open one ends when the same or another of these begins.
 CLOSED_BY_SAME = {"p": BLOCKS - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
-#: Words of classes and ids that name furniture.
+#: Names from which furniture is expected until pages teach otherwise.
 FURNITURE_NAMES = frozenset(
-    "ad ads adsbygoogle advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment commentlist comments consent cookie cookies "
-    "copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
-    "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo "
+    "cookie cookies copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo "
+    "promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words behind the one that a name is about, and words in front that tell of an element elsewhere.
+CONTAINERS = frozenset(
+    "area articles bar block bottom box button buttons column container content form group inner item items left link links list module outer panel posts right row section slot stories top unit wrap wrapper".split()
+)
+ELSEWHERE = frozenset("has hide is no non not off with without".split())
 #: A header inside an article may hold its title; outside it is furniture.
 SECTIONS = frozenset("article aside body div dialog fieldset figure footer form header main menu nav section table ul ol".split())
 
 
+def name_of(token: str) -> str:
+    """What a class, id or role is about: its last word but for ``CONTAINERS``; empty if it tells of an element elsewhere."""
+    words = [w.lower() for w in _NAME.findall(token)]
+    if not words or len(words) > 1 and words[0] in ELSEWHERE:
+        return ""
+    while len(words) > 1 and words[-1] in CONTAINERS:
+        words.pop()
+    return words[-1]
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Weights of words by their innermost block (``other`` for unknown ones), of tags, and of names."""
+
+    by_context: dict[str, float] = field(default_factory=dict)
+    other: float = 1.0
+    tags: dict[str, float] = field(default_factory=dict)
+    names: dict[str, float] = field(default_factory=dict)
+
+    def tag(self, name: str) -> float:
+        return self.tags.get(name, TAG_WEIGHT)
+
+    def is_furniture(self, names: set[str]) -> bool:
+        """Whether names weigh so little that their element is furniture."""
+        return any(self.names.get(n, LISTED if n in FURNITURE_NAMES else 0.0) <= FURNITURE_FROM for n in names)
+
+
+UNTAUGHT = Weights()
+
+
 @dataclass
 class Element:
-    """An open element: its name, context and whether its text is out of the question."""
+    """An open element: its name, innermost block and whether its text is out of the question."""
 
     name: str
     context: str
@@ -78,6 +121,9 @@ class Element:
     hard: bool  # in furniture, whatever the named elements around it are
     hidden: bool
     named: int  # number of the innermost named element around it, 0 for none
+    names: frozenset[str] = frozenset()
+    words: int = 0  # in it, and those of them in the article
+    article: int = 0
 
 
 @dataclass
@@ -128,48 +174,73 @@ def wrappers(named: list[Named]) -> frozenset[int]:
 class Page:
     """The tokens of a page: for each run of text its context, and where blocks begin.
 
-    ``pieces`` has for each run the number of its furniture element, 0 for none, and -1 inside main or article.
+    ``costs`` has the weight of the tags before each run. ``pieces`` has for each run the number of its
+    furniture element, 0 for none, and -1 inside main or article; ``mains`` whether it stands in one of those.
     """
 
     runs: list[tuple[str, str, bool, bool, int]] = field(default_factory=list)  # text, context, out, labelled, block
-    tags: list[int] = field(default_factory=list)  # tags before each run
+    costs: list[float] = field(default_factory=list)
     pieces: list[int] = field(default_factory=list)
+    mains: list[bool] = field(default_factory=list)
 
 
-def tokenize(page: str) -> Page:
+def tokenize(page: str, weights: Weights = UNTAUGHT, teach: Taught | None = None) -> Page:
     """Runs of text with their context; a second pass if named elements turn out to wrap content."""
-    found, named = _scan(page, frozenset())
+    found, named = _scan(page, weights, frozenset(), None)
     wraps = wrappers(named)
-    return _scan(page, wraps)[0] if wraps else found
+    return _scan(page, weights, wraps, teach)[0] if wraps or teach else found
+
+
+class Taught:
+    """What pages teach: (kind, name) and how often inside and outside of the article."""
+
+    def __init__(self):
+        self.counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
 
+    def add(self, kind: str, name: str, inside: bool, n: int) -> None:
+        self.counts[kind, name][not inside] += n
 
-def _scan(page: str, wraps: frozenset[int]) -> tuple[Page, list[Named]]:
+
+def _scan(page: str, weights: Weights, wraps: frozenset[int], teach: Taught | None) -> tuple[Page, list[Named]]:
     """One linear pass, whatever is left open or closed twice; named elements in ``wraps`` aren't furniture."""
-    out, stack, at, block, tags = Page(), [Element("", "", False, False, False, 0, False, False, 0)], 0, 0, 0
+    out, stack, at, block, cost = Page(), [Element("", "", False, False, False, 0, False, False, 0)], 0, 0, 0.0
     named = [Named(0, False, 0)]
-    lower = None
-    matches = _TOKEN.finditer(page)
+    closed: list[Element] = []  # of the article's words, for what is taught
     skip_to = made = inner = 0  # inner: tags inside furniture since the last run
 
     def text(raw: str) -> None:
-        nonlocal tags, inner
+        nonlocal cost, inner
         if raw and not raw.isspace():
             top = stack[-1]
             out.runs.append((raw, top.context, top.out, top.in_article, block))
-            out.tags.append(tags + inner if top.out else tags)
+            out.costs.append(cost - inner if top.out else cost)
             out.pieces.append(top.piece)
-            tags = inner = 0
-            if not top.hard:
-                inmost = named[top.named]
-                n = len(raw.split()) if top.context.split(" ", 1)[0] not in HEADINGS else 0
-                inmost.own += n
-                inmost.own_article += n if top.in_main else 0
+            out.mains.append(top.in_main)
+            cost = 0.0
+            inner = 0
+            if teach is not None or not top.hard:
+                n = len(raw.split())
+                top.words += n
+                top.article += n if top.in_article else 0
+                if not top.hard and top.context not in HEADINGS:
+                    inmost = named[top.named]
+                    inmost.own += n
+                    inmost.own_article += n if top.in_main else 0
         elif raw and out.runs:
             last = out.runs[-1]
             if last[4] == block:
                 out.runs[-1] = (last[0] + " ", *last[1:])
 
-    for m in matches:
+    def close(depth: int) -> None:
+        if teach is not None:
+            for e in range(len(stack) - 1, depth - 1, -1):
+                stack[e - 1].words += stack[e].words
+                stack[e - 1].article += stack[e].article
+                if stack[e].names:
+                    closed.append(stack[e])
+        del stack[depth:]
+
+    for m in _TOKEN.finditer(page):
         if m.start() < skip_to:
             continue
         text(page[at : m.start()])
@@ -181,7 +252,9 @@ def _scan(page: str, wraps: frozenset[int]) -> tuple[Page, list[Named]]:
         if stack[-1].out:
             inner += 1
         else:
-            tags += 1
+            cost += weights.tag(name)
+            if teach is not None:
+                teach.add("tag", name, stack[-1].in_article, 1)
         if m[1]:
             if name in BLOCKS:
                 block += 1
@@ -193,41 +266,40 @@ def _scan(page: str, wraps: frozenset[int]) -> tuple[Page, list[Named]]:
                     break
                 depth -= 1
             if depth > 0:
-                del stack[depth:]
+                close(depth)
             continue
         if name in BLOCKS:
             block += 1
             while len(stack) > 1 and name in CLOSED_BY_SAME.get(stack[-1].name, ()):
-                stack.pop()
+                close(len(stack) - 1)
             if name in BLOCKS and name not in SECTIONS:
                 # a new block ends inline elements that were left open around an unclosed p
                 depth = len(stack) - 1
                 while depth > 0 and stack[depth].name not in BLOCKS:
                     depth -= 1
                 if depth > 0 and stack[depth].name == "p" and name in CLOSED_BY_SAME["p"]:
-                    del stack[depth:]
+                    close(depth)
         if name in EMPTY:
             continue
         attributes = m[3] or ""
         if name in RAW:
             if attributes.rstrip().endswith("/"):
                 continue
-            lower = page.lower() if lower is None and len(page.lower()) == len(page) else lower
-            end = (lower or page).find(f"</{name}", at)
-            end = len(page) if end < 0 else end
-            close = page.find(">", end)
-            at = skip_to = len(page) if close < 0 else close + 1
+            end = _RAW_END[name].search(page, at)
+            close_at = page.find(">", end.end()) if end else -1
+            at = skip_to = len(page) if close_at < 0 else close_at + 1
             continue
         names, hidden = set(), False
         if attributes:
             for a in _ATTRIBUTE.finditer(attributes):
-                key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id", "role"):
-                    names.update(_NAME.findall(value))
+                    names.update(map(name_of, value.split()))
                 elif key == "style":
-                    hidden |= "display:none" in value.replace(" ", "")
-                elif key == "hidden" or value == "true":
+                    hidden |= "display:none" in value.lower().replace(" ", "")
+                elif key == "hidden" or value.lower() == "true":
                     hidden = True
+            names.discard("")
         top = stack[-1]
         article = top.in_article or name == "article"
         main = top.in_main or name in ("article", "main") or "main" in names
@@ -235,66 +307,77 @@ def _scan(page: str, wraps: frozenset[int]) -> tuple[Page, list[Named]]:
         # what main is left in by broken markup doesn't count
         hard = hidden or name in FURNITURE or top.hard and name != "main" or (name == "header" or names == {"header"}) and not top.in_main
         inmost = top.named
-        if name == "form" or names & FURNITURE_NAMES and name not in ("html", "body", "article", "main"):
+        if name == "form" or names and name not in ("html", "body", "article", "main") and weights.is_furniture(names):
             inmost = len(named)
             named.append(Named(top.named, top.in_main, named[top.named].own_article))
         elif name == "main" and not hidden:
             named[inmost].holds_main = True
         soft = inmost > 0 and (inmost not in wraps)
         furniture = hard or soft
-        context = " ".join([name, *sorted(names)]) if name in BLOCKS else top.context
+        context = name if name in BLOCKS else top.context
         piece = top.piece if furniture else 0
         if furniture and not top.out:
             made += 1
             piece = -1 if top.in_main else made
-        stack.append(Element(name, context[:80], furniture, article, main, piece, hard, hidden, inmost))
+        stack.append(Element(name, context, furniture, article, main, piece, hard, hidden, inmost, frozenset(names)))
     if at < len(page):
         text(page[at:])
+    if teach is not None:
+        close(1)
+        whole = stack[0].article
+        for e in closed:
+            if not e.article:
+                for n in e.names:
+                    teach.add("name", n, False, e.words)
+            elif e.in_article and e.name != "article" and e.article >= WRAPS * whole:
+                for n in e.names:
+                    teach.add("name", n, True, e.article)
     return out, named
 
 
-@dataclass(frozen=True)
-class Weights:
-    """The weight of a word by its context; ``other`` for contexts that weren't learnt."""
+def learn(pages: DataFrame, learn_pages: int = LEARN_PAGES, learnt: int = LEARNT) -> Weights:
+    """Weights from labelled pages, those with one article element, of which a share by hash is taken.
 
-    by_context: dict[str, float]
-    other: float = 1.0
-
-    def of(self, context: str, out: bool) -> float:
-        return OUT_WEIGHT if out else self.by_context.get(context, self.other)
-
-
-def learn(pages: DataFrame, learn_pages: int = LEARN_PAGES, contexts: int = CONTEXTS) -> Weights:
-    """Weights from labelled pages: those with one article element, of which a share by hash is taken."""
-    labelled = columns(pages, "page_id", "html").where(F.lower("html").rlike(r"<article[\s>]"))
+    Words and tags in furniture teach nothing about blocks and tags: those may well stand in articles.
+    """
+    labelled = columns(pages, "page_id", "html").where(F.regexp_count(F.lower("html"), F.lit(r"<article[\s>]")) == 1)
     n = labelled.count()
     share = min(1.0, learn_pages / n) if n else 0.0
     chance = F.pmod(F.xxhash64(F.lit("learn"), F.col("page_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
-            found: Counter = Counter()
+            found = Taught()
             for page in batch.column("html").to_pylist():
-                for raw, context, out, inside, _ in tokenize(page).runs:
-                    if not out:  # furniture is known; its contexts may well stand in articles
-                        found[context, inside] += len(raw.split())
-            keys = list(found)
+                for raw, context, out, inside, _ in tokenize(page, UNTAUGHT, found).runs:
+                    if not out:
+                        found.add("word", context, inside, len(raw.split()))
+            keys, counts = list(found.counts), list(found.counts.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(list(found.values()), pa.int64())],
-                ["context", "inside", "n"],
+                [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)],
+                ["kind", "name", "ins", "outs"],
             )
 
     rows = (
         labelled.where(chance < share)
-        .mapInArrow(count, "context string, inside boolean, n long")
-        .groupBy("context")
-        .agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("ins"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outs"))
-        .orderBy(F.desc(F.col("ins") + F.col("outs")), "context")
-        .limit(contexts)
+        .mapInArrow(count, "kind string, name string, ins long, outs long")
+        .groupBy("kind", "name")
+        .agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"))
+        .orderBy(F.desc(F.col("ins") + F.col("outs")), "kind", "name")
+        .limit(learnt)
         .collect()
     )
-    clip = lambda x: max(-MOST, min(MOST, x))
-    return Weights({r["context"]: clip(math.log((r["ins"] + 1) / (r["outs"] + 1))) for r in rows})
+    tables: dict[str, dict[str, float]] = {"word": {}, "tag": {}, "name": {}}
+    for r in rows:
+        odds = math.log((r["ins"] + 1) / (r["outs"] + 1))
+        if r["kind"] == "word":
+            weight = max(-MOST, min(MOST, odds))
+        elif r["kind"] == "tag":
+            weight = max(TAG_LEAST, min(TAG_WEIGHT, odds))
+        else:
+            weight = (LISTED if r["name"] in FURNITURE_NAMES else 0.0) + max(-MOVES, min(MOVES, odds))
+        tables[r["kind"]][r["name"]] = weight
+    return Weights(tables["word"], 1.0, tables["tag"], tables["name"])
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -313,36 +396,51 @@ def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best run, one a line."""
     if not page:
         return ""
-    found = tokenize(page)
-    scores = []  # the tags before each run, then its words
-    piece, left = 0, OUT_MOST  # a furniture element, and what more it may cost
-    for (raw, context, out, _, _), tags, at in zip(found.runs, found.tags, found.pieces, strict=True):
-        weight = weights.of(context, out)
-        costs = [TAG_WEIGHT * tags * (0.1 if weight > 0 else 1), weight * len(raw.split())]
+    found = tokenize(page, weights)
+    sizes = [len(raw.split()) for raw, *_ in found.runs]
+    inside = sum(n for n, run, main in zip(sizes, found.runs, found.mains, strict=True) if main and not run[2])
+    marked = 2 * inside > sum(n for n, run in zip(sizes, found.runs, strict=True) if not run[2])
+    start, end = best_run(_scores(found, sizes, weights, marked))
+    if not end:  # no block of the kinds that articles have: all count alike
+        start, end = best_run(_scores(found, sizes, UNTAUGHT, marked))
+    blocks: dict[int, list[str]] = {}
+    for raw, _, out, _, block in found.runs[start // 2 : -(-end // 2)]:
+        if not out:
+            blocks.setdefault(block, []).append(raw)
+    lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
+    return "\n".join(x for x in lines if x)
+
+
+def _scores(found: Page, sizes: list[int], weights: Weights, marked: bool) -> list[float]:
+    """The weight of the tags before each run, then that of its words; ``marked`` if main or article hold most of them."""
+    scores, piece, left = [], 0, OUT_MOST  # a furniture element, and what more it may cost
+    for (_, context, out, _, _), n, cost, at, main in zip(found.runs, sizes, found.costs, found.pieces, found.mains, strict=True):
+        weight = OUT_WEIGHT if out else weights.by_context.get(context, weights.other)
+        if marked and not out:
+            if main:
+                weight, cost = max(weight, INSIDE), max(cost, -weight * n / 2, -INSIDE * n / 2)
+            elif context not in HEADINGS:
+                weight = min(weight, BESIDE)
+        costs = [cost, weight * n]
         if out:
             if at != piece:
                 piece, left = at, OUT_MOST
-            for i, cost in enumerate(costs):
-                costs[i] = 0.0 if at < 0 else max(cost, left)
+            for i, c in enumerate(costs):
+                costs[i] = 0.0 if at < 0 else max(c, left)
                 left -= costs[i]
         scores += costs
-    start, end = best_run(scores)
-    blocks: dict[int, list[str]] = {}
-    for raw, context, out, _, block in found.runs[start // 2 : -(-end // 2)]:
-        if not out and weights.of(context, out) > -1:
-            blocks.setdefault(block, []).append(raw)
-    lines = (_SPACE.sub(" ", html.unescape("".join(parts))).strip(" ") for parts in blocks.values())
-    return "\n".join(x for x in lines if x)
+    return scores
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, **options: int) -> DataFrame:
     """Per row of ``pages``: ``page_id, url, text, n_chars``.
 
-    The whole page is read. Null and empty pages, and pages without words, have an empty
-    text; repeated rows give repeated results; null ids and urls are kept; other columns
-    play no part. Without labelled pages every context that isn't furniture counts alike.
+    The whole page is read, however long, in time linear in its length. Null and empty pages, and
+    pages without words, have an empty text; repeated rows give repeated results; null ids and urls
+    are kept; other columns play no part; an empty table gives none. Without labelled pages every
+    block counts alike and names have the weight that learning starts from. Learning runs when called.
     """
-    held = pages.sparkSession.sparkContext.broadcast(weights or learn(pages, **options))  # bounded by CONTEXTS
+    held = pages.sparkSession.sparkContext.broadcast(weights or learn(pages, **options))  # bounded by LEARNT
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,7 @@
 import random
+import time
+from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 
@@ -124,3 +127,89 @@ def test_sections_with_listed_words_still_go():
     for body in (f"<article>{ARTICLE}</article>{replies}", f"<article>{ARTICLE}{replies}</article>", f"<div class='has-ads'><article>{ARTICLE}</article>{replies}</div>", f"<div>{ARTICLE}</div><div class='comments'>{ARTICLE * 9}</div>"):
         assert h.main_text(page(body), PLAIN) == WANT, body
     assert h.main_text(page(f"<div hidden><main>{ARTICLE}</main></div>"), PLAIN) == ""
+
+
+class Reference(HTMLParser):
+    """The article of a page with one, by the standard library's parser: its text in blocks."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.skip = 0, [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag in h.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+        if tag in h.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skip:
+            self.blocks[-1] += data
+
+
+def reference(page):
+    parser = Reference()
+    parser.feed(page)
+    parser.close()
+    return "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+
+
+def test_against_another_extractor(spark):
+    """Recall and precision of article lines, page by page."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: reference(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in h.extract(pages).collect()}
+    assert got.keys() == want.keys()
+    lines = lambda t: Counter((i, x) for i, text in t.items() for x in text.split("\n"))
+    both = (lines(got) & lines(want)).total()
+    assert both / lines(want).total() >= 0.99 and both / lines(got).total() >= 0.99
+    assert sum(got[i] == want[i] for i in want) / len(want) >= 0.98
+
+
+def test_names_are_learnt(spark):
+    """Names that no list has become furniture; listed ones that wrap articles don't stay it."""
+    other = "".join(f"<p>Words of a strip number {i} that isn't the article.</p>" for i in range(6))
+    make = lambda i: page(f"<div class='zone-q7'>{other}</div><div class='zone-q7 strip'>{other}</div><article><div class='widget'>{ARTICLE}</div></article>")
+    weights = h.learn(pages_of(spark, [(i, "u", make(i)) for i in range(8)]))
+    assert weights.names["strip"] <= h.FURNITURE_FROM < weights.names["widget"] and weights.tags["p"] <= h.TAG_WEIGHT
+    body = f"<div>{ARTICLE}</div><div class='strip'>{other}</div>"
+    assert h.main_text(page(body), weights) == WANT != h.main_text(page(body), PLAIN)
+    # an advert in articles doesn't make adverts content
+    ads = h.learn(pages_of(spark, [(i, "u", page(f"<article>{ARTICLE}<div class='ad'>Buy now</div></article>")) for i in range(50)]))
+    assert ads.is_furniture({"ad"})
+
+
+def test_names():
+    names = {
+        "no-sidebar": "", "has-comments": "", "related-work": "work", "related-posts": "related", "social-science": "science", "widget-area": "widget", "login-required": "required",
+        "share-count": "count", "banner-off": "off", "cookieNotice": "notice", "site-footer": "footer", "main-content": "main", "content": "content", "SIDEBAR": "sidebar", "12": "",
+    }
+    assert {n: h.name_of(n) for n in names} == names
+
+
+def test_elements_that_are_named_like_furniture_but_hold_the_page():
+    for name in ("content no-sidebar", "post has-comments", "related-work", "social-science", "widget-area", "notice-board", "banner-off", "login-required"):
+        for shape in ("<div class='{}'>{}</div>", "<main><div class='{}'>{}</div></main>", "<article><div class='{}'>{}</div></article>", "<form class='{}'>{}</form>"):
+            assert h.main_text(page(shape.format(name, ARTICLE)), PLAIN) == WANT, (name, shape)
+
+
+def test_every_block_of_the_run_stays():
+    body = ARTICLE + "<blockquote>" + "quoted words " * 5 + "</blockquote>" + ARTICLE
+    for shape in ("<article>{}</article>", "<div>{}</div>"):
+        assert h.main_text(page(shape.format(body)), h.Weights({"blockquote": -2.0, "p": 2.0})) == WANT + "\n" + ("quoted words " * 5).strip() + "\n" + WANT
+
+
+def test_raw_elements_and_white_space():
+    assert h.main_text("<p>İstanbul one</p><SCRIPT>x</p></Script ><p>two\u0085three four</p><style>p{}</styles></style><p>five</p>", PLAIN) == "İstanbul one\ntwo three four\nfive"
+    times = []
+    for n in (4_000, 16_000):
+        long, began = "<p>İ a</p>" + "<SCRIPT>x</SCRIPT><p>w</p>" * n, time.perf_counter()
+        assert h.main_text(long, PLAIN).count("\n") == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 16 * times[0]
