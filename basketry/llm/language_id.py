@@ -2,7 +2,9 @@
 
 A word that the model knows scores its log frequency in each language. For another word
 the longest n-grams of it that are known speak, down to single letters; what has none is
-silent. A document's scores are the sums over its words.
+silent. A document's language is the one with the largest sum over its words, and its score
+that language's share of a word's evidence on average, so that long texts aren't surer than
+short ones.
 """
 
 from __future__ import annotations
@@ -11,35 +13,55 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import columns, pieces, saved
 
-#: Languages learnt: those of most rows.
-LANGUAGES = 1_000
-#: Learning rows of each language on average (a fixed share of its rows by hash), kept words, and kept n-grams of each length.
-ROWS_PER_LANGUAGE, WORDS, GRAMS = 2_000, 50_000, 20_000
+#: Learning rows of each language on average: a fixed share of its rows by hash. The one bound of the model.
+ROWS_PER_LANGUAGE = 2_000
 LONGEST_GRAM = 5
-#: Words that a task remembers before it forgets all of them, and the length up to which it does.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 40
+#: The pipeline drops documents whose score is below this by more than its standard error. Text in a language that was learnt
+#: scores 0.8 to 0.9, word salad about 0.3.
+LEAST_SCORE = 0.45
+#: Bytes of scores that a task remembers before it forgets all of them, the length up to which it remembers a word,
+#: and the bytes of scores summed at a time.
+REMEMBERED, REMEMBERED_LENGTH, AT_ONCE = 64 << 20, 40, 8 << 20
+#: Characters of a text read at a time.
+SEGMENT = 1 << 19
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+_SPACE = re.compile(r"\s")
 
 
-def letter_words(token: str) -> list[str]:
+def _alphabetic(run: str) -> list[str]:
+    """The words of a run: without numerals such as superscripts and fractions, which aren't letters."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
+def letter_words(text: str) -> list[str]:
     """The runs of letters of a text, in lower case."""
-    return _LETTERS.findall(token.lower())
+    return [word for run in _RUNS.findall(text.lower()) for word in _alphabetic(run)]
+
 
+def segments(text: str) -> Iterator[str]:
+    """The text in parts of about ``SEGMENT`` characters, cut at white space; a longer word is one part."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + SEGMENT) if at + SEGMENT < len(text) else None
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
 
-def grams_of(word: str, n: int) -> list[str]:
+
+def grams_of(word: str, n: int) -> Iterator[str]:
     """The n-grams of a word with its ends marked by a space; single letters without marks."""
     padded = f" {word} " if n > 1 else word
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return (padded[i : i + n] for i in range(len(padded) - n + 1))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -49,12 +71,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies: ``words`` and ``grams[n]`` give a row of ``table``, which has a column a language."""
+    """Log frequencies by language, of which only those seen are stored.
+
+    ``places[n]`` gives the row of a known n-gram, words being those of size 0. A row lists
+    the languages it was seen in (``langs[starts[row] : starts[row + 1]]``) and by how much
+    its log frequency there (``above``) exceeds that of an unseen one, ``floor[n]``.
+    """
 
     languages: tuple[str, ...]
-    words: dict[str, int]
-    grams: dict[int, dict[str, int]]
-    table: np.ndarray
+    places: tuple[dict[str, int], ...]
+    floor: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    above: np.ndarray
 
 
 def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
@@ -64,11 +93,9 @@ def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
     is such that ``rows_per_language`` come on average, which bounds the model's work.
     """
     able = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("n")).alias("share"))
+    shares = able.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("share"))
     chance = F.pmod(F.xxhash64(F.lit("learn"), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    # the shares have LANGUAGES rows at most
-    return able.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "text")
+    return able.join(shares, "lang").where(chance < F.col("share")).select("lang", "text")
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -78,7 +105,8 @@ def count_words(rows: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.update((lang, word) for word in letter_words(text))
+                for part in segments(text):
+                    found.update((lang, word) for word in letter_words(part))
             yield _counted(found, ["lang", "word"])
 
     return rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -93,109 +121,163 @@ def count_grams(words: DataFrame) -> DataFrame:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
                 for size in range(1, LONGEST_GRAM + 1):
                     for gram in grams_of(word, size):
-                        found[lang, str(size), gram] += n
+                        found[lang, size, gram] += n
             yield _counted(found, ["lang", "size", "gram"])
 
-    grams = words.mapInArrow(count, "lang string, size string, gram string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
-    return words.select(F.lit("0").alias("size"), F.col("word").alias("gram"), "lang", "n").unionByName(grams)
+    grams = words.mapInArrow(count, "lang string, size int, gram string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    return words.select(F.lit(0).alias("size"), F.col("word").alias("gram"), "lang", "n").unionByName(grams)
 
 
 def _counted(found: Counter, names: list[str]) -> pa.RecordBatch:
     keys = list(found)
-    columns_ = [pa.array([k[i] for k in keys], pa.string()) for i in range(len(names))]
+    columns_ = [pa.array([k[i] for k in keys], pa.int32() if name == "size" else pa.string()) for i, name in enumerate(names)]
     return pa.RecordBatch.from_arrays([*columns_, pa.array(list(found.values()), pa.int64())], [*names, "n"])
 
 
-def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """A model of bounded size: the most frequent words, and n-grams of each length."""
+def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    """A model of all words and n-grams of the learning rows, which are bounded for each language."""
     counted = saved(count_words(learning_rows(docs, rows_per_language)))
-    by = F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n"))))
-    totals = count_grams(counted).groupBy("size", "gram").agg(F.sum("n").alias("total"), by.alias("by")).where("total > 1")
-    order = W.partitionBy("size", "part").orderBy(F.desc("total"), "gram")
-    # the best of each part, and the best of those: no task orders all n-grams of a length
-    parts = totals.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
-    limit = F.when(F.col("size") == "0", words).otherwise(grams)
-    best = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
-    best = best.withColumn("r", F.row_number().over(W.partitionBy("size").orderBy(F.desc("total"), "gram"))).where(F.col("r") <= limit)
-    tables: dict[int, dict[str, dict[str, int]]] = {n: {} for n in range(LONGEST_GRAM + 1)}
-    for r in best.select("size", "gram", "by").toLocalIterator():
-        tables[int(r["size"])][r["gram"]] = r["by"]
-    languages = tuple(sorted({lang for table in tables.values() for counts in table.values() for lang in counts}))
-    column, rows, places = {x: i for i, x in enumerate(languages)}, [], {}
-    for size, table in tables.items():
-        counts = np.zeros((len(table), len(languages)))
-        for i, gram in enumerate(sorted(table)):
-            for lang, n in table[gram].items():
-                counts[i, column[lang]] = n
-        places[size] = {gram: i + sum(map(len, rows)) for i, gram in enumerate(sorted(table))}
-        rows.append(np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(table) + 1))
-    return Model(languages, places[0], {n: places[n] for n in range(1, LONGEST_GRAM + 1)}, np.concatenate(rows))
+    return model_of(count_grams(counted).toArrow())
+
+
+def model_of(counts: pa.Table) -> Model:
+    """The model of ``size, gram, lang, n``."""
+    counts = counts.sort_by([("size", "ascending"), ("gram", "ascending"), ("lang", "ascending")])
+    lang = counts["lang"].combine_chunks().dictionary_encode()
+    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+    order = np.argsort(np.array(lang.dictionary.to_pylist(), object)) if len(lang.dictionary) else np.empty(0, np.int64)
+    languages = tuple(lang.dictionary[int(i)].as_py() for i in order)
+    langs = np.argsort(order).astype(np.int32)[lang.indices.to_numpy(zero_copy_only=False)] if len(languages) else np.empty(0, np.int32)
+    size, n = counts["size"].to_numpy(), counts["n"].to_numpy().astype(np.float64)
+    grams = counts["gram"].to_pylist()
+    new = np.fromiter((i == 0 or size[i] != size[i - 1] or grams[i] != grams[i - 1] for i in range(len(grams))), bool, len(grams))
+    firsts = np.flatnonzero(new)
+    places: tuple[dict[str, int], ...] = tuple({} for _ in range(LONGEST_GRAM + 1))
+    for row, at in enumerate(firsts.tolist()):
+        places[size[at]][grams[at]] = row
+    floor = np.zeros((LONGEST_GRAM + 1, len(languages)))
+    for k, table in enumerate(places):
+        of = size == k
+        floor[k] = np.log(0.5) - np.log(np.bincount(langs[of], n[of], len(languages)) + 0.5 * len(table) + 1)
+    return Model(languages, places, floor, np.append(firsts, len(grams)), langs, np.log(n + 0.5) - np.log(0.5))
 
 
 class _Scores(dict):
-    """The row of ``table`` for a token: the sum over its words."""
+    """The row of ``table`` for a run: over its words, the sum of log frequencies, then of each language's share of the evidence, and their number."""
 
     def __init__(self, model: Model):
-        self.model, self.table, self.used = model, np.zeros((1024, len(model.languages))), 1  # row 0: silent
+        self.model, width = model, max(1, len(model.languages))
+        self.most = max(1024, REMEMBERED // (16 * width + 8))
+        self.table, self.used = np.zeros((1024, 2 * width + 1)), 0
 
-    def __missing__(self, token: str) -> int:
-        at = self.used
+    def __missing__(self, run: str) -> int:
+        at, width = self.used, len(self.model.languages)
         if at == len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[at] = sum(map(self.word, letter_words(token)), np.zeros(len(self.model.languages)))
+        row = self.table[at]
+        row[:] = 0.0
+        for word in _alphabetic(run):
+            one = self.word(word)
+            share = np.exp(one - one.max())
+            row[:width] += one
+            row[width:-1] += share / share.sum()
+            row[-1] += 1
         self.used += 1
-        if len(token) <= REMEMBERED_LENGTH:
-            self[token] = at
+        if len(run) <= REMEMBERED_LENGTH:
+            self[run] = at
         return at
 
-    def word(self, word: str) -> np.ndarray | float:
+    def word(self, word: str) -> np.ndarray:
+        """The word's log frequency in each language, else the mean over its longest known n-grams."""
         model = self.model
-        if (known := model.words.get(word)) is not None:
-            return model.table[known]
+        if (known := model.places[0].get(word)) is not None:
+            return self.sum({known: 1}, 0)
         for n in range(LONGEST_GRAM, 0, -1):
-            place = model.grams[n].get
-            if found := [r for g in grams_of(word, n) if (r := place(g)) is not None]:
-                return model.table.take(found, axis=0).sum(axis=0) / len(found)
-        return 0.0
+            place = model.places[n].get
+            found: dict[int, int] = {}
+            for g in grams_of(word, n):
+                if (r := place(g)) is not None:
+                    found[r] = found.get(r, 0) + 1
+            if found:
+                return self.sum(found, n) / sum(found.values())
+        return np.zeros(len(model.languages))
+
+    def sum(self, rows: dict[int, int], n: int) -> np.ndarray:
+        model = self.model
+        out = model.floor[n] * sum(rows.values())
+        for row, times in rows.items():
+            a, b = model.starts[row], model.starts[row + 1]
+            out[model.langs[a:b]] += times * model.above[a:b]
+        return out
 
     def forget(self) -> None:
-        if self.used > REMEMBERED:
+        if self.used > self.most:
             self.clear()
-            self.used = 1
+            self.used = 0
 
 
 class Judge:
-    """Predicts the language of one text after another."""
+    """Predicts the languages of texts."""
 
     def __init__(self, model: Model):
         self.scores, self.languages = _Scores(model), model.languages
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTERS.search(text):
-            return "und", 0.0
-        tokens, scores = text.split(), self.scores
-        rows = np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
-        total = scores.table[rows].sum(axis=0)
+        return self.judge([text])[0][:2]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """Language, score and number of words of each text."""
+        width = len(self.languages)
+        if not width:
+            return [("und", 0.0, 0)] * len(texts)
+        totals = np.zeros((len(texts), 2 * width + 1))
+        runs: list[list[str]] = []  # of the rows below
+        rows: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for part in segments(text or ""):
+                runs.append(_RUNS.findall(part.lower()))
+                rows.append(i)
+                held += len(part)
+                if held >= SEGMENT:
+                    self._add(runs, rows, totals)
+                    held = 0
+        self._add(runs, rows, totals)
+        best, words = totals[:, :width].argmax(axis=1), totals[:, -1].astype(np.int64)
+        share = totals[np.arange(len(texts)), width + best] / np.maximum(words, 1)
+        return [(self.languages[b], min(1.0, s), n) if n else ("und", 0.0, 0) for b, s, n in zip(best.tolist(), share.tolist(), words.tolist(), strict=True)]
+
+    def _add(self, runs: list[list[str]], rows: list[int], totals: np.ndarray) -> None:
+        """Adds the scores of each list of runs to the total of its row."""
+        scores, sizes = self.scores, [len(x) for x in runs]
+        at = np.fromiter(map(scores.__getitem__, chain.from_iterable(runs)), np.int64, sum(sizes))
+        step = max(1, AT_ONCE // (8 * totals.shape[1]))
+        owner = np.repeat(np.array(rows, np.int64), sizes)
+        for a in range(0, len(at), step):
+            own = owner[a : a + step]
+            firsts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            totals[own[firsts]] += np.add.reduceat(scores.table[at[a : a + step]], firsts, axis=0)
+        runs.clear()
+        rows.clear()
         scores.forget()
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs``: ``doc_id, lang_pred, score`` from the whole text alone.
 
-    ``lang_pred`` is ``und`` with score 0 for a null text, one without letters, or a model
-    without languages; ties go to the first language in alphabetical order. ``score`` is
-    the share of the predicted language after normalising. Repeated rows give repeated
-    results; null ids are kept; other columns play no part.
+    ``lang_pred`` is ``und`` with score 0 for a null or empty text, one without letters, or a
+    model without languages; ties go to the first language in alphabetical order. ``score`` is
+    the mean over the words of the share that the predicted language has of a word's evidence.
+    Very long texts are read whole, a segment at a time. Repeated rows give repeated results;
+    null ids are kept; other columns play no part; an empty table gives none.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ROWS_PER_LANGUAGE
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in pieces(batches):
-            found = [judge(text) for text in batch.column("text").to_pylist()]
+            found = judge.judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -205,23 +287,30 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, **options: int) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row, by a model learnt from those not held out."""
+    """``doc_id, held_out, lang_pred, score`` of every row, by a model learnt from those not held out.
+
+    Odd rows as in ``predict``. Learning runs when called.
+    """
     found = predict(docs, learn(docs, **options))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, **options: int) -> DataFrame:
-    """``docs``, whole rows, without those of no language or a score below ``least``.
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, **options: int) -> DataFrame:
+    """``docs``, whole rows, without those of no language or a score surely below ``least``.
 
-    The score compares languages with each other over the whole text, so in effect texts
-    without letters and near ties go; text in a language that wasn't learnt stays.
+    Null and empty texts and those without letters go; a text goes too if its words speak for the
+    language it is nearest to less than ``least`` on average, by more than the standard error that a
+    mean of so many shares has at most, as in a language that wasn't learnt or in word salad; a few
+    words alone prove nothing. Very long texts are read whole; rows that repeat all stay or go;
+    null ids and other columns, whatever their names, are kept; an empty table gives none.
+    Learning runs when called.
     """
     held = docs.sparkSession.sparkContext.broadcast(learn(docs, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in pieces(batches):
-            found = [judge(text) for text in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([name != "und" and share >= least for name, share in found], pa.bool_()))
+            found = judge.judge(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([name != "und" and share + 0.5 / n**0.5 >= least for name, share, n in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
