@@ -33,7 +33,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated",
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"),
     )
 
 
@@ -119,10 +119,19 @@ starts AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' '
            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, i, n, item_id FROM starts JOIN win USING (n, p)),
 cov AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY 1),
-its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS s FROM hit GROUP BY 1)
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS s FROM hit GROUP BY 1),
+wt AS (SELECT DISTINCT p, unnest(string_split(p, ' ')) AS t FROM win),
+dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS at FROM dw WHERE len(w) > 0),
+dfs AS (SELECT t, count(DISTINCT doc_id) AS df FROM dt SEMI JOIN wt USING (t) GROUP BY t),
+known AS (SELECT p FROM wt LEFT JOIN dfs USING (t) GROUP BY p HAVING count(df) = count(*)),
+rk AS (SELECT p, t, row_number() OVER (PARTITION BY p ORDER BY df, t) AS r FROM wt JOIN dfs USING (t) SEMI JOIN known USING (p)),
+two AS (SELECT DISTINCT a.t AS rare, b.t AS other FROM rk a LEFT JOIN rk b ON b.p = a.p AND b.r = 2 WHERE a.r = 1),
+near AS (SELECT DISTINCT x.doc_id, x.at FROM two JOIN dt x ON x.t = rare WHERE other IS NULL UNION
+         SELECT DISTINCT x.doc_id, x.at FROM two JOIN dt x ON x.t = rare JOIN dt y ON y.doc_id = x.doc_id AND y.t = other WHERE abs(x.at - y.at) < 16),
+nn AS (SELECT doc_id, count(*) AS n_near FROM near GROUP BY 1)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nn USING (doc_id)
 """,
     "op3_substring_dedup": r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
