@@ -1,16 +1,22 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Each distinct set of five-word shingles has a signature: ``TREES`` prefix tries hold it,
-one MinHash value a level. Two sets of similarity s share the first k levels of a trie with
-probability s^k, so that ``1 - (1 - s^k)^TREES`` of all pairs meet in some trie. Matched
-prefixes begin at ``LONGEST`` levels and are shortened until that share reaches the target
-at the least similarity asked for; all pairs below the trie nodes at that depth are
-candidates, and the whole shingle sets decide.
+Each distinct set of five-word shingles has ``TREES`` signatures of ``LONGEST`` levels, one
+MinHash value (16 bits of it) a level: a leaf in each of as many prefix tries. Two sets of
+similarity s share the first k levels of a trie with probability s^k, so that a share of
+``1 - (1 - s^k)^TREES`` of such pairs meets in a node of depth k.
+
+Matching begins at the longest prefixes. All pairs below the trie nodes of a depth are
+candidates, and the whole shingle sets decide. The links found tell how similar links are in
+these data, and with that how many must have been missed: each stands for one over its chance
+of being found. While the share found misses ``RECALL``, prefixes are shortened to the depth at
+which that mixture of similarities reaches it. One unseen link at the least similarity is always
+assumed, so that few links prove nothing.
 
 Trie nodes with few sets below them give pairs of ids. Nodes with many are cut into chunks;
 each pair of chunks is a task of its own that compares the sets of both with matrix
 products and gives back, for each set, the number of its links and the component it is in,
 never the pairs. A pair below several large nodes counts in the one with the smallest key.
+Chunks hold a bounded number of sets and, on average, of shingles.
 """
 
 from __future__ import annotations
@@ -26,31 +32,51 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, columns, fresh, pieces, release, row_key, saved
 from .decontaminate import words_of
-from .substring_dedup import Rolling, _lists, _mix, repeated
+from .substring_dedup import Rolling, repeated
 
 WORDS, SIMILARITY = 5, (4, 5)
 TREES, LONGEST, RECALL = 24, 8, 0.99999
-#: Sets below a trie node up to which their pairs are listed; sets of a chunk above that.
-FEW, CHUNK = 16, 256
+#: Sets below a trie node up to which their pairs are listed; sets, and shingles on average, of a chunk above that.
+FEW, CHUNK, CHUNK_SHINGLES = 16, 256, 1 << 21
+#: Bytes of a level in a signature; similarities are counted in so many steps.
+LEVEL, STEPS = 2, 100
 
 
-def stop_depth(similarity: float, recall: float = RECALL, trees: int = TREES, longest: int = LONGEST) -> int:
-    """The longest prefix at which the share of pairs that meet reaches ``recall``."""
-    for depth in range(longest, 1, -1):
-        if 1 - (1 - similarity**depth) ** trees >= recall:
-            return depth
-    return 1
+def found_share(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The share of pairs of that similarity that meet in some trie's node of that depth."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def recall_at(depth: int, links: dict[int, float], trees: int = TREES) -> float:
+    """The share of links that meet at ``depth``; ``links`` has how many there are of each similarity, in ``STEPS``."""
+    total = sum(links.values())
+    return sum(n * found_share(s / STEPS, depth, trees) for s, n in links.items()) / total
+
+
+def next_depth(depth: int, seen: dict[int, int], recall: float = RECALL, trees: int = TREES) -> int:
+    """The longest prefix, of ``depth`` levels at most, at which the links that ``seen`` ones at ``depth`` stand for are found.
+
+    ``seen`` has numbers of links by similarity, in ``STEPS`` rounded down.
+    """
+    least = SIMILARITY[0] * STEPS // SIMILARITY[1]
+    links = {s: n / found_share(s / STEPS, depth, trees) for s, n in seen.items()}
+    links[least] = links.get(least, 0.0) + 1.0
+    return next((d for d in range(depth, 1, -1) if recall_at(d, links, trees) >= recall), 1)
+
+
+def least_depth(recall: float = RECALL, trees: int = TREES, longest: int = LONGEST) -> int:
+    """The depth at which links of the least similarity are found: prefixes are never shorter."""
+    return next_depth(longest, {SIMILARITY[0] * STEPS // SIMILARITY[1]: 1 << 40}, recall, trees)
 
 
 class Shingler:
     """Sets of hashed shingles, and their signatures, a piece at a time."""
 
-    def __init__(self, words: int, trees: int, depth: int):
-        self.words, self.trees, self.depth, self.rolling = words, trees, depth, Rolling()
+    def __init__(self, words: int, trees: int, levels: int):
+        self.words, self.trees, self.levels, self.rolling = words, trees, levels, Rolling()
         draw = np.random.default_rng(5)
-        self.factors = draw.integers(0, 1 << 63, trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.flips = draw.integers(0, 1 << 63, trees * depth, np.uint64)
-        self.salts = draw.integers(0, 1 << 63, trees, np.uint64)
+        self.factors = draw.integers(0, 1 << 31, trees * levels, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.flips = draw.integers(0, 1 << 32, trees * levels, np.uint32)
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The sorted distinct shingles of each text; a text of fewer words, but not none, is one."""
@@ -70,77 +96,80 @@ class Shingler:
             at += len(x)
         return out
 
-    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
-        """For each set (none empty) and trie, a key of its node at the stop depth."""
-        flat = np.concatenate(sets)
+    def signatures(self, sets: list[np.ndarray]) -> list[bytes]:
+        """For each set (none empty) its leaves: for each trie, ``LEVEL`` bytes of a MinHash value a level."""
+        flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-        out = np.empty((len(sets), self.trees), np.uint64)
-        for tree in range(self.trees):
-            key = np.full(len(sets), self.salts[tree])
-            for level in range(self.depth):
-                i = tree * self.depth + level
-                key = _mix(key ^ np.minimum.reduceat((flat ^ self.flips[i]) * self.factors[i], offsets)) * np.uint64(0x9E3779B97F4A7C15)
-            out[:, tree] = key
-        return out
+        out, mixed = np.empty((len(sets), self.trees * self.levels), "<u2"), np.empty_like(flat)
+        for i in range(self.trees * self.levels):
+            np.bitwise_xor(flat, self.flips[i], out=mixed)
+            np.multiply(mixed, self.factors[i], out=mixed)
+            least = np.minimum.reduceat(mixed, offsets)
+            out[:, i] = (least ^ (least >> np.uint32(16))).astype("<u2")
+        return [row.tobytes() for row in out]
 
 
-def sign(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int | None = None) -> DataFrame:
-    """Written, per row: ``key, doc_id, n_shingles, set_id, nodes``; ``nodes`` is empty without words."""
-    depth = depth or stop_depth(SIMILARITY[0] / SIMILARITY[1])
+def sign(docs: DataFrame, words: int = WORDS, trees: int = TREES, levels: int = LONGEST) -> DataFrame:
+    """Written, per row: ``key, doc_id, n_shingles, set_id, leaves``; ``leaves`` is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words, trees, depth)
+        shingler = Shingler(words, trees, levels)
         for batch in pieces(batches):
             sets = shingler.sets(as_bytes(batch))
             some = [s for s in sets if len(s)]
-            found = iter(shingler.keys(some).view(np.int64)) if some else iter(())
-            none = np.empty(0, np.int64)
+            found = iter(shingler.signatures(some) if some else ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    _lists([next(found) if len(s) else none for s in sets], pa.int64()),
+                    pa.array([next(found) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["key", "doc_id", "n_shingles", "set_id", "nodes"],
+                ["key", "doc_id", "n_shingles", "set_id", "leaves"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return saved(
-        docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(
-            run, f"key binary, doc_id {kind}, n_shingles long, set_id binary, nodes array<long>"
-        )
-    )
+    return saved(docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, f"key binary, doc_id {kind}, n_shingles long, set_id binary, leaves binary"))
 
 
 def distinct_sets(signed: DataFrame) -> DataFrame:
-    """Written, per distinct set with shingles: ``node, set_id, rep, rep_key, n_copies, nodes``.
+    """Written, per distinct set with shingles: ``node, set_id, rep, rep_key, n_copies, n_shingles, leaves``.
 
     ``rep`` is its smallest doc_id (null only if no copy has one).
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "nodes")).alias("m")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n_shingles", "leaves")).alias("m")
     sets = signed.where("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("n_copies"))
     return saved(
         sets.select(
-            F.monotonically_increasing_id().alias("node"), "set_id", F.col("m.doc_id").alias("rep"), F.col("m.key").alias("rep_key"), "n_copies", F.col("m.nodes").alias("nodes")
+            F.monotonically_increasing_id().alias("node"), "set_id", F.col("m.doc_id").alias("rep"), F.col("m.key").alias("rep_key"), "n_copies",
+            F.col("m.n_shingles").alias("n_shingles"), F.col("m.leaves").alias("leaves"),
         )
-    )
+    )
+
 
+def trie_nodes(sets: DataFrame, depth: int, trees: int = TREES, levels: int = LONGEST) -> DataFrame:
+    """Written ``node, key, n_shingles, size, weight``: the trie nodes of ``depth`` above each set that have others below them too."""
+    prefix = F.expr(f"substring(leaves, tree * {levels * LEVEL} + 1, {depth * LEVEL})")
+    each = sets.select("node", "n_shingles", "leaves", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("node", "n_shingles", F.xxhash64("tree", prefix).alias("key"))
+    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
+    return saved(each.join(sizes, "key"))
 
-def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written: ``a, b``, pairs below small trie nodes; and ``node, hot``, the large ones above each set.
+
+def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: pairs below small trie nodes; and, written, ``node, hot``: the large ones above each set.
 
     A pair that has a large trie node in common isn't listed.
     """
-    each = sets.select("node", F.explode("nodes").alias("key"))
-    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = saved(each.join(sizes, "key"))
     few = members.where(F.col("size") <= FEW).select("key", "node")
-    hot = saved(members.where(F.col("size") > FEW).groupBy("node").agg(F.collect_list(F.struct("key", "size")).alias("hot")))
+    hot = saved(members.where(F.col("size") > FEW).groupBy("node").agg(F.collect_list(F.struct("key", "size", "weight")).alias("hot")))
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
+    return apart(pairs, hot), hot
+
+
+def apart(pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b and others) without a large trie node in common."""
     keys = hot.select("node", F.col("hot.key").alias("keys"))
-    pairs = pairs.join(keys.toDF("a", "keys_a"), "a", "left").join(keys.toDF("b", "keys_b"), "b", "left")
-    pairs = pairs.where(~F.coalesce(F.arrays_overlap("keys_a", "keys_b"), F.lit(False))).select("a", "b")
-    return saved(pairs), hot
+    both = pairs.join(keys.toDF("a", "keys_a"), "a", "left").join(keys.toDF("b", "keys_b"), "b", "left")
+    return both.where(~F.coalesce(F.arrays_overlap("keys_a", "keys_b"), F.lit(False))).select(*pairs.columns)
 
 
 def _linked(n_a: np.ndarray | int, n_b: np.ndarray | int, both: np.ndarray | int):
@@ -148,23 +177,32 @@ def _linked(n_a: np.ndarray | int, n_b: np.ndarray | int, both: np.ndarray | int
     return both * SIMILARITY[1] >= (n_a + n_b - both) * SIMILARITY[0]
 
 
+def _step(n_a: np.ndarray | int, n_b: np.ndarray | int, both: np.ndarray | int):
+    """The Jaccard similarity in ``STEPS``, rounded down."""
+    return both * STEPS // (n_a + n_b - both)
+
+
 def verify_pairs(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``a, b``: the pairs whose shingle sets are similar enough."""
+    """``a, b, step``: the pairs whose shingle sets are similar enough, and their similarity in ``STEPS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, 1, 1)
         for batch in pieces(batches, "text_a"):
             one, two = shingler.sets(as_bytes(batch, "text_a")), shingler.sets(as_bytes(batch, "text_b"))
-            keep = [bool(_linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))) for x, y in zip(one, two, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sizes = [(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(one, two, strict=True)]
+            out = batch.select(["a", "b"]).append_column("step", pa.array([_step(*x) for x in sizes], pa.int32()))
+            yield out.filter(pa.array([bool(_linked(*x)) for x in sizes], pa.bool_()))
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, step int")
 
 
 def verify_chunks(hot: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node, n, root``: per set and pair of chunks, its links there and its component's first set."""
+    """``node, n, root, steps``: per set and pair of chunks, its links there and its component's first set.
+
+    ``steps`` has, in one row of each pair of chunks, how many links have which similarity.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         key, i, j = int(group["key"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
@@ -185,15 +223,17 @@ def verify_chunks(hot: DataFrame, texts: DataFrame, words: int = WORDS) -> DataF
         for rows in above.values():  # these pairs count elsewhere
             if len(rows) > 1:
                 link[np.ix_(rows, rows)] = False
-        return pd.DataFrame({"node": nodes, "n": link.sum(axis=1).astype(np.int64), "root": nodes[_components(link)]})
+        one, two = np.nonzero(np.triu(link))
+        steps = np.bincount(_step(sizes[one], sizes[two], both[one, two]), minlength=STEPS + 1).tolist()
+        return pd.DataFrame({"node": nodes, "n": link.sum(axis=1).astype(np.int64), "root": nodes[_components(link)], "steps": [steps] + [None] * (len(nodes) - 1)})
 
-    each = hot.select("node", F.col("hot.key").alias("keys"), F.explode("hot").alias("h")).select("node", "keys", F.col("h.key").alias("key"), F.col("h.size").alias("size"))
-    each = each.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    each = hot.select("node", F.col("hot.key").alias("keys"), F.explode("hot").alias("h")).select("node", "keys", "h.key", "h.size", "h.weight")
+    each = each.withColumn("chunks", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int"))
     each = each.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     cells = each.select("node", "keys", "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     cells = cells.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other")
     rows = cells.join(texts, "node").select("node", "keys", "key", "chunk", "i", "j", "text")
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "node long, n long, root long")
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "node long, n long, root long, steps array<long>")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -256,7 +296,40 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES) -> DataFrame:
+def _seen(linked: DataFrame, cells: DataFrame) -> dict[int, int]:
+    """How many links there are of each similarity: ``STEPS`` numbers at most."""
+    of_cells = cells.where("steps is not null").select(F.posexplode("steps").alias("step", "n")).where("n > 0")
+    both = linked.select("step", F.lit(1).cast("long").alias("n")).unionByName(of_cells)
+    return {r["step"]: r["n"] for r in both.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+
+
+def forest_links(sets: DataFrame, texts, recall: float = RECALL, words: int = WORDS, trees: int = TREES, levels: int = LONGEST) -> tuple[DataFrame, DataFrame, int]:
+    """``a, b`` of links below small trie nodes, ``node, n, root`` of those below large ones, and the depth at which matching ended.
+
+    ``texts`` is called with the nodes that any depth can match and gives ``node, text`` of them.
+    """
+    spark, least, depth = sets.sparkSession, least_depth(recall, trees, levels), levels
+    shallow = trie_nodes(sets, least, trees, levels)
+    some = shallow.select("node").distinct()
+    texts, sets = texts(some), saved(sets.join(some, "node"))
+    tried = linked = None
+    while True:
+        members = shallow if depth == least else trie_nodes(sets, depth, trees, levels)
+        pairs, hot = candidates(members)
+        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        release(spark)
+        found = saved(verify_pairs(pairs, texts, words))
+        cells = saved(verify_chunks(hot, texts, words))
+        release(spark)
+        # links that now have a large node in common count there
+        linked = found if linked is None else saved(apart(linked, hot).unionByName(found))
+        shorter = max(least, next_depth(depth, _seen(linked, cells), recall, trees))
+        if shorter >= depth:
+            return linked, cells, depth
+        depth, tried = shorter, pairs if tried is None else tried.unionByName(pairs)
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """Per row of ``docs``: ``key, doc_id, class_id, n_links, n_copies, n_shingles, first``.
 
     Two texts are linked if the Jaccard similarity of their sets of five lower-cased words
@@ -264,21 +337,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES) ->
     doc_id that links and copies lead to, ``n_links`` the number of other distinct sets that
     a row's set is linked with, ``n_copies`` the number of rows with its set, itself
     included, and ``first`` tells the one distinct row that stands for the class. Rows
-    without words (null, empty) are alone: their class is their own id. Null ids are kept
-    and lose against others; repeated rows give equal results; other columns play no part.
+    without words (null, empty) are alone: their class is their own id. Very long texts are
+    compared whole. Null ids are kept and lose against others; repeated rows give equal results;
+    an empty table gives none; other columns play no part. Tables are written when called.
     """
     spark = docs.sparkSession
     signed = sign(docs, words, trees)
     sets = distinct_sets(signed)
-    pairs, hot = candidates(sets)
-    release(spark)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
     bodies = columns(docs, "doc_id", "text").select("text", row_key().alias("rep_key")).where("text is not null")
-    texts = sets.select("node", "rep_key").join(wanted, "node").join(bodies, "rep_key").select("node", "text")
-    texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")) if repeated(signed) else texts)
-    release(spark)
-    linked = saved(verify_pairs(pairs, texts, words))
-    cells = saved(verify_chunks(hot, texts, words))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        out = sets.select("node", "rep_key").join(wanted, "node").join(bodies, "rep_key").select("node", "text")
+        return saved(out.groupBy("node").agg(F.first("text").alias("text")) if repeated(signed) else out)
+
+    linked, cells, _ = forest_links(sets, texts, recall, words, trees)
     release(spark)
     labels = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(cells.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     degrees = (
@@ -301,7 +373,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES) ->
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, whole rows, with one row left of each class (rows without words all stay)."""
+    """``docs``, whole rows, with one row left of each class, that of the smallest doc_id.
+
+    Classes are those of ``near_duplicates``. Rows without words (null, empty) all stay; very long
+    texts are compared whole; null ids lose against others; of rows equal in id and text one
+    stays; other columns, whatever their names, are kept; an empty table gives none. Tables are
+    written when called.
+    """
     found = near_duplicates(docs, **options)
     key, some = fresh(docs, "_key"), fresh(docs, "_some")
     stay = found.where("first").select(F.col("key").alias(key), (F.col("n_shingles") > 0).alias(some)).distinct()

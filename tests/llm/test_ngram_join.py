@@ -1,8 +1,8 @@
-import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from basketry.llm import ngram_join as nj
 from basketry.llm.decontaminate import words_of
@@ -88,22 +88,65 @@ def test_empty(spark):
     assert nj.near_duplicates(docs_of(spark, [])).count() == 0 and nj.drop_near_duplicates(docs_of(spark, [])).count() == 0
 
 
-def test_depth_follows_recall():
-    d = nj.stop_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** nj.TREES >= nj.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** nj.TREES
-    assert nj.stop_depth(0.99) > d and math.isclose(0.8**1, 0.8)
-
-
-def test_recall_of_the_forest():
-    """Pairs at the threshold itself meet in some trie."""
+def test_depth_follows_the_links():
+    """Links of high similarity are found at long prefixes; those near the threshold, or few ones, need short ones."""
+    d = nj.least_depth()
+    assert nj.found_share(0.8, d) >= nj.RECALL > nj.found_share(0.8, d + 1)
+    assert nj.next_depth(nj.LONGEST, {98: 10**7}) == nj.LONGEST > nj.next_depth(nj.LONGEST, {85: 10**7}) > nj.next_depth(nj.LONGEST, {80: 10**7}) == d
+    assert nj.next_depth(nj.LONGEST, {}) == nj.next_depth(nj.LONGEST, {98: 3}) == d  # too little seen to tell
+    assert nj.next_depth(6, {98: 10**7}) == 6
+
+
+def test_depth_used_depends_on_the_data(spark):
+    """Many links of high similarity end the search sooner than many at the threshold."""
+
+    def copies(n_words, changed, groups, each, seed):
+        rng, out = random.Random(seed), []
+        for g in range(groups):
+            base = [f"g{g}w{i}" for i in range(n_words)]
+            for k in range(each):
+                w = list(base)
+                for i in rng.sample(range(n_words), changed):
+                    w[i] = f"x{g}y{k}z{i}"
+                out.append((len(out), " ".join(w)))
+        return out
+
+    def depth(pairs, recall):
+        docs = docs_of(spark, pairs)
+        sets = nj.distinct_sets(nj.sign(docs))
+        texts = lambda wanted: sets.select("node", "rep").join(wanted, "node").join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id")).select("node", "text")
+        return nj.forest_links(sets, texts, recall)[2]
+
+    alike, less = copies(300, 1, 150, 4, 1), copies(90, 1, 150, 4, 2)
+    assert depth(alike, 0.999) > depth(less, 0.999) >= nj.least_depth(0.999)
+
+
+def test_recall_of_the_forest(spark):
+    """Links at the threshold itself: found ones against all."""
+    rng = random.Random(3)
+    pairs = []
+    for g in range(300):  # 96 shingles, of which 10 or 11 aren't shared
+        base = [f"g{g}w{i}" for i in range(100)]
+        for k in range(2):
+            w = list(base)
+            w[rng.choice((20, 50, 80))] = f"g{g}k{k}"
+            w[99 if k else 0] = f"g{g}e{k}"
+            pairs.append((2 * g + k, " ".join(w)))
+    want = sum(x[2] for x in plain(pairs))
+    for recall in (0.9, nj.RECALL):
+        found = sum(r["n_links"] for r in nj.near_duplicates(docs_of(spark, pairs), recall=recall).collect())
+        assert want > 150 and found >= recall * want
+    assert found == want
+
+
+def test_signatures_meet_as_often_as_sets_are_similar():
     rng = np.random.default_rng(3)
-    sh = nj.Shingler(5, nj.TREES, nj.stop_depth(0.8))
-    met = 0
-    for _ in range(400):
-        core, a, b = rng.integers(0, 1 << 63, 80, np.uint64), rng.integers(0, 1 << 63, 10, np.uint64), rng.integers(0, 1 << 63, 10, np.uint64)
-        k = sh.keys([np.unique(np.concatenate((core, a))), np.unique(np.concatenate((core, b)))])
-        met += bool((k[0] == k[1]).any())
-    assert met >= 399
+    sh, met = nj.Shingler(5, nj.TREES, nj.LONGEST), 0
+    for _ in range(300):
+        core, a, b = rng.integers(0, 1 << 63, 80, np.uint64) * np.uint64(2), *rng.integers(0, 1 << 63, (2, 10), np.uint64)
+        x, y = (np.frombuffer(s, "<u2") for s in sh.signatures([np.unique(np.concatenate((core, a))), np.unique(np.concatenate((core, b)))]))
+        met += (x == y).mean() / 300
+    assert abs(met - 0.8) < 0.01
 
 
 def test_components(spark):
