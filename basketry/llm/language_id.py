@@ -93,7 +93,8 @@ def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
     is such that ``rows_per_language`` come on average, which bounds the model's work.
     """
     able = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = able.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("share"))
+    # written, so that its size is known when the join is planned: a row a language
+    shares = saved(able.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("share")))
     chance = F.pmod(F.xxhash64(F.lit("learn"), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     return able.join(shares, "lang").where(chance < F.col("share")).select("lang", "text")
 
@@ -166,49 +167,69 @@ class _Scores(dict):
     """The row of ``table`` for a run: over its words, the sum of log frequencies, then of each language's share of the evidence, and their number."""
 
     def __init__(self, model: Model):
-        self.model, width = model, max(1, len(model.languages))
-        self.most = max(1024, REMEMBERED // (16 * width + 8))
-        self.table, self.used = np.zeros((1024, 2 * width + 1)), 0
+        self.model, self.width = model, max(1, len(model.languages))
+        self.most = max(1024, REMEMBERED // (16 * self.width + 8))
+        self.table, self.used = np.zeros((1024, 2 * self.width + 1)), 0
+
+    def rows(self, runs: list[str]) -> np.ndarray:
+        """The row of each run; those that aren't remembered are scored first, each once."""
+        new = [run for run in set(runs) if run not in self]
+        step = max(1, AT_ONCE // (16 * self.width))
+        for at in range(0, len(new), step):
+            self.add(new[at : at + step])
+        out = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+        for run in new:
+            if len(run) > REMEMBERED_LENGTH:
+                del self[run]
+        return out
 
-    def __missing__(self, run: str) -> int:
-        at, width = self.used, len(self.model.languages)
-        if at == len(self.table):
+    def add(self, runs: list[str]) -> None:
+        """Scores runs: the log frequencies of each word, else the mean over its longest known n-grams."""
+        model, width = self.model, len(self.model.languages)
+        known = model.places[0].get
+        rows: list[int] = []  # of the model, word after word
+        often: list[tuple[int, int]] = []  # places in ``rows`` of n-grams that a long word has more than once
+        ends, sizes, of_run = [], [], []
+        for k, run in enumerate(runs):
+            for word in _alphabetic(run):
+                size = 0
+                if (row := known(word)) is not None:
+                    rows.append(row)
+                else:
+                    for n in range(LONGEST_GRAM, 0, -1):
+                        place = model.places[n].get
+                        if len(word) > 1000:
+                            found = Counter(r for g in grams_of(word, n) if (r := place(g)) is not None)
+                            often += enumerate(found.values(), len(rows))
+                        else:
+                            found = [r for g in grams_of(word, n) if (r := place(g)) is not None]
+                        if found:
+                            rows += found
+                            size = n
+                            break
+                ends.append(len(rows))
+                sizes.append(size)
+                of_run.append(k)
+        lens, row = np.diff(np.array(ends, np.int64), prepend=0), np.array(rows, np.int64)
+        times = np.ones(len(row))
+        for i, n in often:
+            times[i] = n
+        word_of = np.repeat(np.arange(len(lens)), lens)
+        first = model.starts[row]
+        spread = model.starts[row + 1] - first
+        flat = np.repeat(first - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum())
+        cell = np.repeat(word_of, spread) * width + model.langs[flat]
+        logs = np.bincount(cell, model.above[flat] * np.repeat(times, spread), len(lens) * width).reshape(-1, width)
+        n = np.bincount(word_of, times, len(lens))[:, None]
+        logs = (logs + model.floor[sizes] * n) / np.maximum(n, 1)
+        share = np.exp(logs - logs.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        while self.used + len(runs) > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        row = self.table[at]
-        row[:] = 0.0
-        for word in _alphabetic(run):
-            one = self.word(word)
-            share = np.exp(one - one.max())
-            row[:width] += one
-            row[width:-1] += share / share.sum()
-            row[-1] += 1
-        self.used += 1
-        if len(run) <= REMEMBERED_LENGTH:
-            self[run] = at
-        return at
-
-    def word(self, word: str) -> np.ndarray:
-        """The word's log frequency in each language, else the mean over its longest known n-grams."""
-        model = self.model
-        if (known := model.places[0].get(word)) is not None:
-            return self.sum({known: 1}, 0)
-        for n in range(LONGEST_GRAM, 0, -1):
-            place = model.places[n].get
-            found: dict[int, int] = {}
-            for g in grams_of(word, n):
-                if (r := place(g)) is not None:
-                    found[r] = found.get(r, 0) + 1
-            if found:
-                return self.sum(found, n) / sum(found.values())
-        return np.zeros(len(model.languages))
-
-    def sum(self, rows: dict[int, int], n: int) -> np.ndarray:
-        model = self.model
-        out = model.floor[n] * sum(rows.values())
-        for row, times in rows.items():
-            a, b = model.starts[row], model.starts[row + 1]
-            out[model.langs[a:b]] += times * model.above[a:b]
-        return out
+        self.table[self.used : self.used + len(runs)] = 0.0
+        np.add.at(self.table, self.used + np.array(of_run, np.int64), np.hstack((logs, share, np.ones((len(lens), 1)))))
+        self.update(zip(runs, range(self.used, self.used + len(runs)), strict=True))
+        self.used += len(runs)
 
     def forget(self) -> None:
         if self.used > self.most:
@@ -250,7 +271,7 @@ class Judge:
     def _add(self, runs: list[list[str]], rows: list[int], totals: np.ndarray) -> None:
         """Adds the scores of each list of runs to the total of its row."""
         scores, sizes = self.scores, [len(x) for x in runs]
-        at = np.fromiter(map(scores.__getitem__, chain.from_iterable(runs)), np.int64, sum(sizes))
+        at = scores.rows(list(chain.from_iterable(runs)))
         step = max(1, AT_ONCE // (8 * totals.shape[1]))
         owner = np.repeat(np.array(rows, np.int64), sizes)
         for a in range(0, len(at), step):
