@@ -58,7 +58,13 @@ def expected_days(observed: Column | str, typical: Column | str, factor: Column
 
 def need_weight(overdue: Column | str) -> Column:
     """Overdue ratio as a weight in [0, 1]; unknown is 0."""
-    return F.coalesce(F.greatest(F.least(col(overdue), F.lit(1.0)), F.lit(0.0)), F.lit(0.0))
+    ratio = col(overdue)
+    return F.when(ratio.isNull(), 0.0).when(ratio >= 1, 1.0).otherwise(ratio)
+
+
+def category_need_score(n_days: Column | str, due: Column | str) -> Column:
+    """How much a category is needed: the days it was bought on, doubled if it is due; unknown due is not due."""
+    return col(n_days).cast("double") * (1 + F.coalesce(col(due).cast("double"), F.lit(0.0)))
 
 
 def personal_score(n: Column | str, overdue: Column | str) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fn import count_if, expected_days, fixed, household_factor, mean_gap, money, need_weight, ratio, uniform
+from ..functions.fn import count_if, fixed, money, need_weight, ratio, uniform
+from .segments import repurchase
 
 HORIZON, CHURN, LOOKBACK = 7, 28, 180
 
@@ -25,7 +26,7 @@ def _day(cutoff: str, shift: int = 0) -> Column:
 
 
 def category_lines(baskets: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
-    """``customer_id, basket_id, basket_day, category, product_id, line_amount, is_promo`` of identified baskets."""
+    """``customer_id, basket_id, basket_day, category, product_id, quantity, line_amount, is_promo`` of identified baskets."""
     return items.join(baskets.where("customer_id is not null").select("basket_id", "customer_id", "basket_day"), "basket_id").join(products.select("product_id", "category"), "product_id")
 
 
@@ -59,32 +60,52 @@ def label_agreement(churn: DataFrame, customers: DataFrame) -> DataFrame:
 # --- features ---------------------------------------------------------------------------
 
 
+#: Closed domains, in the order of their numbers.
+TIERS, CHANNELS = ("bronze", "silver", "gold"), ("app", "web", "store")
+
+
 def trend(now: Column, previous: Column) -> Column:
     """now / previous; 1 where there is nothing to compare with."""
     return F.when(previous > 0, now.cast("double") / previous).otherwise(1.0)
 
 
-def customer_features(baskets: DataFrame, lines: DataFrame, cutoff: str) -> DataFrame:
-    """Per active customer: recency, visits and spend of windows back from the cutoff, trends, variety and promotion share."""
-    past, sold = in_window(baskets, _day(cutoff, -LOOKBACK), _day(cutoff)), in_window(lines, _day(cutoff, -LOOKBACK), _day(cutoff))
-    age = F.datediff(F.lit(cutoff).cast("date"), F.col("basket_day"))
-    within = lambda lo, hi: (age > lo) & (age <= hi)
+def level(c: str, domain: tuple[str, ...]) -> Column:
+    """The place of a value in its domain; -1 for others and null."""
+    return F.coalesce(F.array_position(F.lit(list(domain)), F.col(c)).cast("int") - 1, F.lit(-1))
+
+
+CUSTOMER_FEATURES = (
+    "recency", "tenure", "frequency", "monetary", "avg_ticket", "cadence", "n_28", "n_prev28", "n_90", "spend_28", "spend_prev28", "spend_90", "visit_trend", "spend_trend", "ticket_trend",
+    "n_categories", "n_products", "promo_share", "household_size", "signup_tenure", "tier_idx", "channel_idx",
+)
+
+
+def customer_features(baskets: DataFrame, lines: DataFrame, customers: DataFrame, cutoff: str) -> DataFrame:
+    """``CUSTOMER_FEATURES`` of every customer with a basket before the cutoff: history, windows of days back, trends, variety, master data.
+
+    The windows are [cutoff - 28, cutoff), [cutoff - 56, cutoff - 28) and [cutoff - 90, cutoff).
+    Variety is null where no basket has lines.
+    """
+    at = F.lit(cutoff).cast("date")
+    past, sold = (x.where(F.col("customer_id").isNotNull() & (F.col("basket_day") < at)) for x in (baskets, lines))
+    age = F.datediff(at, F.col("basket_day"))
+    spans = {"28": age <= 28, "prev28": (age > 28) & (age <= 56), "90": age <= 90}
     spend = lambda c: F.coalesce(F.sum(F.when(c, F.col("total_amount").cast("decimal(18,2)"))).cast("double"), F.lit(0.0))
     one = past.groupBy("customer_id").agg(
-        F.min(age).alias("recency"), F.count(F.lit(1)).alias("n_180"), *[count_if(within(0, d)).alias(f"n_{d}") for d in (28, 56, 90)], count_if(within(28, 56)).alias("n_prev28"), count_if(within(90, 180)).alias("n_prev90"),
-        *[spend(within(0, d)).alias(f"spend_{d}") for d in (28, 90)], spend(within(90, 180)).alias("spend_prev90"), F.countDistinct("channel").alias("n_channels"), F.max(age).alias("oldest"),
+        F.min(age).alias("recency"), F.max(age).alias("tenure"), F.count(F.lit(1)).alias("frequency"), money("total_amount").alias("monetary"),
+        *[count_if(c).alias(f"n_{n}") for n, c in spans.items()], *[spend(c).alias(f"spend_{n}") for n, c in spans.items()],
     )
-    variety = sold.groupBy("customer_id").agg(
-        F.countDistinct("category").alias("n_categories"), F.countDistinct("product_id").alias("n_products"), F.count(F.lit(1)).alias("n_lines"), fixed(F.avg(F.col("is_promo").cast("double")), 6).alias("promo_share")
-    )
-    full = one.join(variety, "customer_id", "left")
+    variety = sold.groupBy("customer_id").agg(F.countDistinct("category").alias("n_categories"), F.countDistinct("product_id").alias("n_products"), fixed(F.avg(F.col("is_promo").cast("double")), 6).alias("promo_share"))
+    master = customers.select("customer_id", "household_size", F.datediff(at, F.col("signup_date")).alias("signup_tenure"), level("tier", TIERS).alias("tier_idx"), level("preferred_channel", CHANNELS).alias("channel_idx"))
+    n, m, c, d = (F.col(x) for x in ("n_28", "n_prev28", "spend_28", "spend_prev28"))
+    ticket = lambda total, times: F.coalesce(ratio(total, times), F.lit(0.0))
+    full = one.join(variety, "customer_id", "left").join(master, "customer_id")
     return full.withColumns(
         {
-            "visit_trend_28": fixed(trend(F.col("n_28"), F.col("n_prev28")), 6), "visit_trend_90": fixed(trend(F.col("n_90"), F.col("n_prev90")), 6), "spend_trend_90": fixed(trend(F.col("spend_90"), F.col("spend_prev90")), 6),
-            "cadence": fixed(ratio(F.col("oldest") - F.col("recency"), F.col("n_180") - 1), 4), "avg_ticket_90": fixed(ratio("spend_90", "n_90"), 4),
-            "n_categories": F.coalesce("n_categories", F.lit(0)), "n_products": F.coalesce("n_products", F.lit(0)), "n_lines": F.coalesce("n_lines", F.lit(0)), "promo_share": F.coalesce("promo_share", F.lit(0.0)),
+            "avg_ticket": fixed(ratio("monetary", "frequency"), 4), "cadence": fixed(F.when(F.col("frequency") > 1, F.col("tenure") / (F.col("frequency") - 1)), 4),
+            "visit_trend": fixed(trend(n, m), 6), "spend_trend": fixed(trend(c, d), 6), "ticket_trend": fixed(trend(ticket(c, n), ticket(d, m)), 6),
         }
-    ).drop("oldest")
+    ).select("customer_id", *CUSTOMER_FEATURES)
 
 
 def category_popularity(lines: DataFrame, cutoff: str, days: int = 90) -> DataFrame:
@@ -94,20 +115,34 @@ def category_popularity(lines: DataFrame, cutoff: str, days: int = 90) -> DataFr
     return sums.select("category", fixed(F.when(total > 0, F.col("s") / total).otherwise(1.0), 6).alias("pop_share"))
 
 
-def category_features(lines: DataFrame, customers: DataFrame, products: DataFrame, cutoff: str) -> DataFrame:
-    """Per pair with any purchase before the cutoff: cycle, overdue ratio, and shares of the customer's spend."""
-    past = lines.where(F.col("basket_day") < F.lit(cutoff).cast("date"))
-    days = past.groupBy("customer_id", "category").agg(F.countDistinct("basket_day").alias("n_days"), F.min("basket_day").alias("first_day"), F.max("basket_day").alias("last_day"))
-    recent = in_window(past, _day(cutoff, -90), _day(cutoff)).groupBy("customer_id", "category").agg(money("line_amount").alias("spend_90"), F.countDistinct("basket_id").alias("baskets_90"))
-    recent = recent.withColumn("spend_share", fixed(ratio("spend_90", F.sum("spend_90").over(W.partitionBy("customer_id"))), 6))
-    typical = products.groupBy("category").agg(F.round(F.avg("typical_days")).cast("int").alias("typical"))
-    full = days.join(recent, ["customer_id", "category"], "full_outer").join(customers.select("customer_id", "household_size"), "customer_id", "left").join(typical, "category")
-    full = full.join(category_popularity(lines, cutoff), "category", "left")
-    expected, since = expected_days(mean_gap("first_day", "last_day", "n_days"), "typical", household_factor("household_size"), "n_days"), F.datediff(F.lit(cutoff).cast("date"), F.col("last_day"))
-    return full.select(
-        "customer_id", "category", "n_days", since.alias("days_since"), fixed(expected, 4).alias("expected_days"), fixed(since / expected, 4).alias("overdue_ratio"), (since >= expected).cast("int").alias("due"),
-        F.coalesce("spend_90", F.lit(0.0)).alias("spend_90"), F.coalesce("baskets_90", F.lit(0)).alias("baskets_90"), F.coalesce("spend_share", F.lit(0.0)).alias("spend_share"), F.coalesce("pop_share", F.lit(0.0)).alias("pop_share"),
-    )
+def category_departments(products: DataFrame) -> DataFrame:
+    """``category, department``: the one with most of its products, first in the alphabet."""
+    counts = products.groupBy("category", "department").agg((-F.count(F.lit(1))).alias("n"))
+    return counts.groupBy("category").agg(F.min(F.struct("n", "department"))["department"].alias("department"))
+
+
+CATEGORY_FEATURES = (
+    "days_since", "expected_days", "observed_days", "gap_std", "typical", "overdue_ratio", "due", "n_days", "cat_spend", "spend_share", "cat_units", "pop_share", "department_idx",
+)
+
+
+def category_features(lines: DataFrame, baskets: DataFrame, items: DataFrame, customers: DataFrame, products: DataFrame, cutoff: str) -> DataFrame:
+    """``department`` and ``CATEGORY_FEATURES`` of each pair bought before the cutoff: its cycle then, and what was spent on it.
+
+    ``spend_share`` is the category's share of all that the customer spent; departments are
+    numbered in alphabetical order.
+    """
+    at = F.lit(cutoff).cast("date")
+    past = baskets.where(F.col("basket_day") < at)
+    cycles = repurchase(customers, past, items, products, day=cutoff)
+    spent = lines.where(F.col("basket_day") < at).groupBy("customer_id", "category").agg(money("line_amount").alias("cat_spend"), F.sum("quantity").cast("long").alias("cat_units"))
+    total = F.sum(F.col("cat_spend").cast("decimal(18,2)")).over(W.partitionBy("customer_id")).cast("double")
+    spent = spent.withColumn("spend_share", fixed(F.when(total > 0, F.col("cat_spend") / total).otherwise(0.0), 6))
+    of = category_departments(products)
+    numbers = of.select("department").distinct().agg(F.array_sort(F.collect_list("department")).alias("all"))  # a closed domain
+    of = of.crossJoin(F.broadcast(numbers)).select("category", "department", (F.array_position("all", F.col("department")) - 1).cast("int").alias("department_idx"))
+    full = cycles.join(spent, ["customer_id", "category"], "full_outer").join(category_popularity(lines, cutoff), "category", "left").join(of, "category", "left")
+    return full.withColumn("due", F.col("due").cast("int")).select("customer_id", "category", "department", *CATEGORY_FEATURES)
 
 
 def sample_customers(customers: DataFrame, cutoff: str, n: int) -> DataFrame:
@@ -117,9 +152,9 @@ def sample_customers(customers: DataFrame, cutoff: str, n: int) -> DataFrame:
 
 
 def economics(lines: DataFrame, cutoff: str) -> DataFrame:
-    """``category, basket_spend``: mean spend on a category in baskets that have it."""
-    per = lines.where(F.col("basket_day") < F.lit(cutoff).cast("date")).groupBy("category", "basket_id").agg(money("line_amount").alias("s"))
-    return per.groupBy("category").agg(fixed(F.avg(F.col("s").cast("decimal(18,2)")).cast("double"), 2).alias("basket_spend"))
+    """One row ``visit_spend``: what a customer spends on a category on a day of buying it, on average; 0 without lines."""
+    per = lines.where(F.col("basket_day") < F.lit(cutoff).cast("date")).groupBy("customer_id", "basket_day", "category").agg(F.sum(F.col("line_amount").cast("decimal(18,2)")).alias("s"))
+    return per.agg(fixed(F.coalesce(F.sum("s").cast("double") / F.count("s"), F.lit(0.0)), 4).alias("visit_spend"))
 
 
 # --- propensity -------------------------------------------------------------------------
@@ -190,7 +225,7 @@ class Action:
 # The assumptions of the actions, margins by department, and the policy's parameters.
 NONE, HIGHLIGHT, COUPON = Action("none"), Action("highlight", 0.01, 0.0, 1.10, 0.02), Action("coupon", 0.05, 2.54, 1.35, 0.10)
 ACTIONS = (NONE, HIGHLIGHT, COUPON)
-DEFAULT_MARGIN, MIN_RELEVANCE, WEEKS, SPEND_CAP_DAYS = 0.25, 0.15, 4, 60.0
+DEFAULT_MARGIN, MIN_RELEVANCE, WEEKS, MAX_SPEND = 0.25, 0.15, 4, 60.0
 
 
 def relevance(overdue: Column | str, least: float = MIN_RELEVANCE) -> Column:
@@ -198,29 +233,40 @@ def relevance(overdue: Column | str, least: float = MIN_RELEVANCE) -> Column:
     return F.lit(least) + (1 - least) * need_weight(overdue)
 
 
-def blended_margin(lines: DataFrame, margins: dict[str, float], products: DataFrame) -> DataFrame:
-    """``category, margin``: department margins weighted by the category's spend in each."""
-    table = F.create_map(*[x for k, v in margins.items() for x in (F.lit(k), F.lit(float(v)))]) if margins else F.create_map(F.lit(""), F.lit(0.0))
-    each = lines.select("product_id", "line_amount").join(products.select("product_id", "category", "department"), "product_id").groupBy("category", "department").agg(money("line_amount").alias("s"))
-    m = F.coalesce(table[F.col("department")], F.lit(DEFAULT_MARGIN))
-    return each.groupBy("category").agg(fixed(ratio(F.sum(F.col("s") * m), F.sum("s")), 6).alias("margin"))
+def margin_rate(margins: dict[str, float]) -> Column:
+    """The margin of ``department``; the default for others and null."""
+    if not margins:
+        return F.lit(DEFAULT_MARGIN)
+    return F.coalesce(F.create_map(*[x for k, v in margins.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("department")], F.lit(DEFAULT_MARGIN))
 
 
-def policy_candidates(pairs: DataFrame, churn: DataFrame, spend: DataFrame, features: DataFrame, margin: DataFrame, economics: DataFrame) -> DataFrame:
+def blended_margin(pairs: DataFrame, margins: dict[str, float]) -> DataFrame:
+    """``customer_id, blended``: each customer's mean margin over their own mix of departments, weighted by spend.
+
+    ``pairs`` has customer_id, department and cat_spend. Without spend it is the default.
+    """
+    spent = F.coalesce("cat_spend", F.lit(0.0))
+    exact = lambda c: F.sum(c.cast("decimal(28,8)")).cast("double")
+    return pairs.groupBy("customer_id").agg(fixed(F.coalesce(ratio(exact(spent * margin_rate(margins)), exact(spent)), F.lit(DEFAULT_MARGIN)), 6).alias("blended"))
+
+
+def policy_candidates(pairs: DataFrame, churn: DataFrame, features: DataFrame, economics: DataFrame, margins: dict[str, float]) -> DataFrame:
     """``customer_id, category, p_purchase, p_churn, expected_spend, gross_margin, retention_value, relevance``.
 
-    ``pairs`` has p_purchase, ``churn`` p_churn, ``spend`` spend_90, ``features`` the overdue
-    ratio and own category spend.
+    ``pairs`` has p_purchase, ``churn`` p_churn and spend_90 by customer, ``features`` what
+    ``category_features`` gives. A purchase is expected to cost what the customer spent on the
+    category a day of buying it, up to ``MAX_SPEND``, or ``economics`` if there was none; it earns
+    the margin of the category's department. Keeping a customer is worth ``WEEKS`` of their recent
+    spend at their blended margin, whichever category is offered; unknown customers' churn counts 0.
     """
-    own = features.select("customer_id", "category", "overdue_ratio", "spend_90", "baskets_90")
-    full = (
-        pairs.join(churn.select("customer_id", "p_churn"), "customer_id").join(spend.select("customer_id", F.col("spend_90").alias("c_spend")), "customer_id").join(own, ["customer_id", "category"], "left")
-        .join(margin, "category").join(economics, "category", "left")
-    )
-    expected = F.least(F.coalesce(ratio("spend_90", "baskets_90"), F.col("basket_spend"), F.lit(0.0)), F.lit(SPEND_CAP_DAYS))
+    own = pairs.join(features.select("customer_id", "category", "department", "cat_spend", "n_days", "overdue_ratio"), ["customer_id", "category"], "left")
+    kept = churn.select("customer_id", "p_churn", "spend_90").join(blended_margin(own, margins), "customer_id", "left")
+    kept = kept.select("customer_id", "p_churn", fixed(WEEKS * (F.col("spend_90") * F.lit(7.0 / 90.0)) * F.coalesce("blended", F.lit(DEFAULT_MARGIN)), 6).alias("retention_value"))
+    full = own.join(kept, "customer_id", "left").crossJoin(F.broadcast(economics))  # one row
+    expected = F.least(F.coalesce(ratio("cat_spend", "n_days"), F.col("visit_spend")), F.lit(MAX_SPEND))
     return full.select(
-        "customer_id", "category", "p_purchase", "p_churn", fixed(expected, 4).alias("expected_spend"), fixed(expected * F.col("margin"), 6).alias("gross_margin"),
-        fixed(WEEKS * F.col("c_spend") * 7 / 90 * F.col("margin"), 6).alias("retention_value"), fixed(relevance("overdue_ratio"), 6).alias("relevance"),
+        "customer_id", "category", "p_purchase", F.coalesce("p_churn", F.lit(0.0)).alias("p_churn"), fixed(expected, 4).alias("expected_spend"),
+        fixed(expected * margin_rate(margins), 6).alias("gross_margin"), F.coalesce("retention_value", F.lit(0.0)).alias("retention_value"), fixed(relevance("overdue_ratio"), 6).alias("relevance"),
     )
 
 

@@ -9,6 +9,7 @@ from ..operators import nba
 from ..operators import questions as q
 from ..operators import segments as seg
 from ..operators import verify as ve
+from ..shared import forget, saved
 from .quality_queries import CYCLES
 from .question_queries import LINES
 from .registry import query
@@ -18,43 +19,44 @@ C = f"DATE '{CUT}'"
 R6, R4 = "round({} * 1e6::DOUBLE) / 1e6::DOUBLE", "round({} * 10000) / 10000"
 
 CL = """
-cl AS (SELECT b.customer_id, i.basket_id, b.basket_day, category, i.product_id, line_amount, is_promo FROM items i JOIN baskets b ON b.basket_id = i.basket_id JOIN products p ON p.product_id = i.product_id WHERE b.customer_id IS NOT NULL)"""
+cl AS (SELECT b.customer_id, i.basket_id, b.basket_day, category, i.product_id, quantity, line_amount, is_promo FROM items i JOIN baskets b ON b.basket_id = i.basket_id JOIN products p ON p.product_id = i.product_id WHERE b.customer_id IS NOT NULL)"""
 PAIRS = f"""{CL},
 pairs AS (SELECT DISTINCT customer_id, category FROM cl WHERE basket_day >= {C} - 180 AND basket_day < {C}),
 labels_ AS (SELECT customer_id, category, coalesce(x, 0) AS label FROM pairs LEFT JOIN (SELECT DISTINCT customer_id, category, 1 AS x FROM cl WHERE basket_day >= {C} AND basket_day < {C} + 7) USING (customer_id, category)),
 act AS (SELECT DISTINCT customer_id FROM baskets WHERE customer_id IS NOT NULL AND basket_day >= {C} - 180 AND basket_day < {C}),
 churn_ AS (SELECT customer_id, CAST(x IS NULL AS INT) AS churned FROM act LEFT JOIN (SELECT DISTINCT customer_id, 1 AS x FROM baskets WHERE customer_id IS NOT NULL AND basket_day >= {C} AND basket_day < {C} + 28) USING (customer_id))"""
 CFEAT = f"""{PAIRS},
-past AS (SELECT *, date_diff('day', basket_day, {C}) AS age FROM baskets WHERE customer_id IS NOT NULL AND basket_day >= {C} - 180 AND basket_day < {C}),
-cf1 AS (SELECT customer_id, CAST(min(age) AS INT) AS recency, count(*) AS n_180, count(*) FILTER (age <= 28 AND age > 0) AS n_28, count(*) FILTER (age <= 56 AND age > 0) AS n_56, count(*) FILTER (age <= 90 AND age > 0) AS n_90,
-  count(*) FILTER (age > 28 AND age <= 56) AS n_prev28, count(*) FILTER (age > 90 AND age <= 180) AS n_prev90, coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) FILTER (age > 0 AND age <= 28) AS DOUBLE), 0) AS spend_28,
-  coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) FILTER (age > 0 AND age <= 90) AS DOUBLE), 0) AS spend_90, coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) FILTER (age > 90 AND age <= 180) AS DOUBLE), 0) AS spend_prev90,
-  count(DISTINCT channel) AS n_channels, max(age) AS oldest FROM past GROUP BY 1),
-cf2 AS (SELECT customer_id, count(DISTINCT category) AS n_categories, count(DISTINCT product_id) AS n_products, count(*) AS n_lines, {R6.format("avg(CAST(is_promo AS DOUBLE))")} AS promo_share FROM cl WHERE basket_day >= {C} - 180 AND basket_day < {C} GROUP BY 1),
-cfeat AS (SELECT customer_id, recency, n_180, n_28, n_56, n_90, n_prev28, n_prev90, spend_28, spend_90, spend_prev90, n_channels, coalesce(n_categories, 0) AS n_categories, coalesce(n_products, 0) AS n_products, coalesce(n_lines, 0) AS n_lines,
-  coalesce(promo_share, 0) AS promo_share, {R6.format("(CASE WHEN n_prev28 > 0 THEN n_28 / n_prev28 ELSE 1 END)")} AS visit_trend_28, {R6.format("(CASE WHEN n_prev90 > 0 THEN n_90 / n_prev90 ELSE 1 END)")} AS visit_trend_90,
-  {R6.format("(CASE WHEN spend_prev90 > 0 THEN spend_90 / spend_prev90 ELSE 1 END)")} AS spend_trend_90, {R4.format("((oldest - recency) / nullif(n_180 - 1, 0))")} AS cadence, {R4.format("(spend_90 / nullif(n_90, 0))")} AS avg_ticket_90 FROM cf1 LEFT JOIN cf2 USING (customer_id))"""
-KFEAT = f"""
+past AS (SELECT *, date_diff('day', basket_day, {C}) AS age FROM baskets WHERE customer_id IS NOT NULL AND basket_day < {C}),
+cf1 AS (SELECT customer_id, CAST(min(age) AS INT) AS recency, CAST(max(age) AS INT) AS tenure, count(DISTINCT basket_id) AS frequency, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS monetary,
+  count(*) FILTER (basket_day >= {C} - 28) AS n_28, count(*) FILTER (basket_day >= {C} - 56 AND basket_day < {C} - 28) AS n_prev28, count(*) FILTER (basket_day >= {C} - 90) AS n_90,
+  coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) FILTER (basket_day >= {C} - 28) AS DOUBLE), 0) AS spend_28, coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) FILTER (basket_day >= {C} - 56 AND basket_day < {C} - 28) AS DOUBLE), 0) AS spend_prev28,
+  coalesce(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) FILTER (basket_day >= {C} - 90) AS DOUBLE), 0) AS spend_90 FROM past GROUP BY 1),
+cf2 AS (SELECT customer_id, count(DISTINCT category) AS n_categories, count(DISTINCT product_id) AS n_products, {R6.format("avg(CAST(is_promo AS DOUBLE))")} AS promo_share FROM cl WHERE basket_day < {C} GROUP BY 1),
+cfeat AS (SELECT customer_id, recency, tenure, frequency, monetary, {R4.format("(monetary / frequency)")} AS avg_ticket, {R4.format("(CASE WHEN frequency > 1 THEN tenure / (frequency - 1) END)")} AS cadence, n_28, n_prev28, n_90, spend_28, spend_prev28, spend_90,
+  {R6.format("(CASE WHEN n_prev28 > 0 THEN n_28 / n_prev28 ELSE 1 END)")} AS visit_trend, {R6.format("(CASE WHEN spend_prev28 > 0 THEN spend_28 / spend_prev28 ELSE 1 END)")} AS spend_trend,
+  {R6.format("(CASE WHEN n_prev28 > 0 AND spend_prev28 > 0 THEN (CASE WHEN n_28 > 0 THEN spend_28 / n_28 ELSE 0 END) / (spend_prev28 / n_prev28) ELSE 1 END)")} AS ticket_trend, n_categories, n_products, promo_share, household_size,
+  CAST(date_diff('day', signup_date, {C}) AS INT) AS signup_tenure, CASE tier WHEN 'bronze' THEN 0 WHEN 'silver' THEN 1 WHEN 'gold' THEN 2 ELSE -1 END AS tier_idx, CASE preferred_channel WHEN 'app' THEN 0 WHEN 'web' THEN 1 WHEN 'store' THEN 2 ELSE -1 END AS channel_idx
+  FROM cf1 LEFT JOIN cf2 USING (customer_id) JOIN customers USING (customer_id))"""
+KFEAT = CYCLES.replace("(SELECT max(basket_day) FROM baskets)", C).replace("WHERE customer_id IS NOT NULL", f"WHERE customer_id IS NOT NULL AND basket_day < {C}") + f""",
 kpop0 AS (SELECT category, CAST(sum(CAST(line_amount AS DECIMAL(18,2))) AS DOUBLE) AS s FROM cl WHERE basket_day >= {C} - 90 AND basket_day < {C} GROUP BY 1),
 kpop AS (SELECT category, {R6.format("(s / sum(s) OVER ())")} AS pop_share FROM kpop0),
-kdays AS (SELECT customer_id, category, count(DISTINCT basket_day) AS n_days, min(basket_day) AS f, max(basket_day) AS l FROM cl WHERE basket_day < {C} GROUP BY 1, 2),
-krec AS (SELECT customer_id, category, spend_90, baskets_90, {R6.format("(spend_90 / sum(spend_90) OVER (PARTITION BY customer_id))")} AS spend_share FROM (SELECT customer_id, category, CAST(sum(CAST(line_amount AS DECIMAL(18,2))) AS DOUBLE) AS spend_90,
-  count(DISTINCT basket_id) AS baskets_90 FROM cl WHERE basket_day >= {C} - 90 AND basket_day < {C} GROUP BY 1, 2)),
-ktyp AS (SELECT category, CAST(round(avg(typical_days)) AS INT) AS typical FROM products GROUP BY 1),
-kfeat AS (SELECT customer_id, category, n_days, CAST(since AS INT) AS days_since, {R4.format("e")} AS expected_days, {R4.format("(since / e)")} AS overdue_ratio, CAST(since >= e AS INT) AS due, coalesce(spend_90, 0) AS spend_90,
-  coalesce(baskets_90, 0) AS baskets_90, coalesce(spend_share, 0) AS spend_share, coalesce(pop_share, 0) AS pop_share FROM (SELECT *, date_diff('day', l, {C}) AS since,
-  greatest(coalesce(CASE WHEN n_days >= 2 THEN date_diff('day', f, l) / (n_days - 1) END, typical * coalesce(1.45::DOUBLE - 0.125::DOUBLE * household_size, 1.0)), 2.0) AS e
-  FROM kdays LEFT JOIN krec USING (customer_id, category) LEFT JOIN customers USING (customer_id) JOIN ktyp USING (category) LEFT JOIN kpop USING (category)))"""
+kdep AS (SELECT category, department FROM (SELECT category, department, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, department) AS r FROM products GROUP BY 1, 2) WHERE r = 1),
+kspent AS (SELECT customer_id, category, sum(CAST(line_amount AS DECIMAL(18,2))) AS s, CAST(sum(quantity) AS BIGINT) AS cat_units FROM cl WHERE basket_day < {C} GROUP BY 1, 2),
+kfeat AS (SELECT customer_id, category, department, days_since, expected_days, observed_days, gap_std, typical, overdue_ratio, CAST(due AS INT) AS due, n_days, CAST(s AS DOUBLE) AS cat_spend,
+  {R6.format("(CAST(s AS DOUBLE) / CAST(sum(s) OVER (PARTITION BY customer_id) AS DOUBLE))")} AS spend_share, cat_units, pop_share, CAST((SELECT count(DISTINCT department) FROM kdep d WHERE d.department < k.department) AS INT) AS department_idx
+  FROM cycles FULL JOIN kspent USING (customer_id, category) LEFT JOIN kpop USING (category) LEFT JOIN kdep k USING (category))"""
 MARGINS = {"ECONOMY": 0.18, "STANDARD": 0.22, "PROMO": 0.30, "LARGE": 0.35}
 _M = "CASE department " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in MARGINS.items()) + " ELSE 0.25::DOUBLE END"
 #: Fixed scorers stand in for the models, so that the policy's arithmetic can be checked.
-CAND = f"""
-kmar AS (SELECT category, {R6.format("(sum(s * m) / sum(s))")} AS margin FROM (SELECT p.category, department, CAST(sum(CAST(line_amount AS DECIMAL(18,2))) AS DOUBLE) AS s, {_M} AS m FROM cl JOIN products p USING (product_id) GROUP BY 1, 2) GROUP BY 1),
-keco AS (SELECT category, round(avg(s) * 100) / 100 AS basket_spend FROM (SELECT category, basket_id, CAST(sum(CAST(line_amount AS DECIMAL(18,2))) AS DOUBLE) AS s FROM cl WHERE basket_day < {C} GROUP BY 1, 2) GROUP BY 1),
-cand AS (SELECT p.customer_id, p.category, p_purchase, p_churn, {R4.format("sp")} AS expected_spend, {R6.format("(sp * margin)")} AS gross_margin, {R6.format("(4 * c_spend * 7 / 90 * margin)")} AS retention_value,
-  {R6.format("(0.15::DOUBLE + 0.85::DOUBLE * coalesce(greatest(least(overdue_ratio, 1), 0), 0))")} AS relevance FROM (SELECT p.*, margin, c.spend_90 AS c_spend, overdue_ratio, least(coalesce(k.spend_90 / nullif(baskets_90, 0), basket_spend, 0), 60) AS sp,
+KECO = f"""
+keco AS (SELECT round(CAST(sum(s) AS DOUBLE) / count(*) * 10000) / 10000 AS visit_spend FROM (SELECT sum(CAST(line_amount AS DECIMAL(18,2))) AS s FROM cl WHERE basket_day < {C} GROUP BY customer_id, basket_day, category))"""
+KMAR = f"""
+kmar AS (SELECT customer_id, {R6.format("(CAST(sum(CAST(cat_spend * rate AS DECIMAL(28,8))) AS DOUBLE) / CAST(sum(CAST(cat_spend AS DECIMAL(28,8))) AS DOUBLE))")} AS blended FROM (SELECT customer_id, cat_spend, {_M} AS rate FROM pairs JOIN kfeat USING (customer_id, category)) GROUP BY 1)"""
+CAND = f"""{KECO},{KMAR},
+cand AS (SELECT customer_id, category, p_purchase, p_churn, {R4.format("sp")} AS expected_spend, {R6.format("(sp * rate)")} AS gross_margin, {R6.format("(4 * (spend_90 * (7.0::DOUBLE / 90.0::DOUBLE)) * blended)")} AS retention_value,
+  {R6.format("(0.15::DOUBLE + 0.85::DOUBLE * CASE WHEN overdue_ratio IS NULL THEN 0 WHEN overdue_ratio >= 1 THEN 1 ELSE overdue_ratio END)")} AS relevance FROM (SELECT p.customer_id, p.category, {_M} AS rate, blended, spend_90, overdue_ratio, least(coalesce(cat_spend / nullif(n_days, 0), visit_spend), 60) AS sp,
     {R6.format("least(n_days / 20, 0.9::DOUBLE)")} AS p_purchase, {R6.format("least(recency / 180, 0.95::DOUBLE)")} AS p_churn
-  FROM pairs p JOIN cfeat c USING (customer_id) LEFT JOIN kfeat k USING (customer_id, category) JOIN kmar USING (category) LEFT JOIN keco USING (category)) p)"""
+  FROM pairs p JOIN kfeat k ON k.customer_id = p.customer_id AND k.category = p.category JOIN cfeat c ON c.customer_id = p.customer_id JOIN kmar m ON m.customer_id = p.customer_id, keco) x)"""
 
 
 def value_sql(uplift: str, discount: str, cost: str, churn: str) -> str:
@@ -90,19 +92,16 @@ class Snapshot:
         return nba.churn_label(self.t["baskets"], self.cutoff)
 
     def customers(self):
-        return nba.customer_features(self.t["baskets"], self.lines, self.cutoff)
+        return nba.customer_features(self.t["baskets"], self.lines, self.t["customers"], self.cutoff)
 
     def categories(self):
-        return nba.category_features(self.lines, self.t["customers"], self.t["products"], self.cutoff)
-
-    def margin(self):
-        return nba.blended_margin(self.lines, MARGINS, self.t["products"])
+        return nba.category_features(self.lines, self.t["baskets"], self.t["items"], self.t["customers"], self.t["products"], self.cutoff)
 
     def candidates(self):
         own, cust = self.categories(), self.customers()
         scored = self.pairs.join(own.select("customer_id", "category", "n_days"), ["customer_id", "category"], "left").select("customer_id", "category", fixed(F.least(F.col("n_days") / 20, F.lit(0.9)), 6).alias("p_purchase"))
-        churn = cust.select("customer_id", fixed(F.least(F.col("recency") / 180, F.lit(0.95)), 6).alias("p_churn"))
-        return nba.policy_candidates(scored, churn, cust, own, self.margin(), nba.economics(self.lines, self.cutoff))
+        churn = cust.select("customer_id", "spend_90", fixed(F.least(F.col("recency") / 180, F.lit(0.95)), 6).alias("p_churn"))
+        return nba.policy_candidates(scored, churn, own, nba.economics(self.lines, self.cutoff), MARGINS)
 
     def comparison(self):
         cand = self.candidates()
@@ -112,9 +111,9 @@ class Snapshot:
         return nba.compare(policies)
 
 
-@query("nba_category_lines", CL + " SELECT customer_id, basket_id, basket_day, category, product_id, line_amount, is_promo FROM cl")
+@query("nba_category_lines", CL + " SELECT * FROM cl")
 def _(t):
-    return Snapshot(t).lines.select("customer_id", "basket_id", "basket_day", "category", "product_id", "line_amount", "is_promo")
+    return Snapshot(t).lines.select("customer_id", "basket_id", "basket_day", "category", "product_id", "quantity", "line_amount", "is_promo")
 
 
 @query("nba_active_customers", PAIRS + " SELECT customer_id FROM act")
@@ -162,17 +161,18 @@ def _(t):
     return nba.sample_customers(t["customers"].select("customer_id"), CUT, 300)
 
 
-@query("nba_economics", CL + "," + KFEAT + "," + CAND.split("cand AS")[0].rstrip().rstrip(",") + " SELECT * FROM keco")
+@query("nba_economics", CL + "," + KECO + " SELECT * FROM keco")
 def _(t):
     return nba.economics(Snapshot(t).lines, CUT)
 
 
-@query("nba_blended_margin", CL + "," + CAND.split("keco AS")[0].rstrip().rstrip(",") + " SELECT * FROM kmar")
+@query("nba_blended_margin", PAIRS + "," + KFEAT + "," + KMAR + " SELECT * FROM kmar")
 def _(t):
-    return Snapshot(t).margin()
+    s = Snapshot(t)
+    return nba.blended_margin(s.pairs.join(s.categories(), ["customer_id", "category"]), MARGINS)
 
 
-@query("nba_relevance", CL + "," + KFEAT + " SELECT customer_id, category, " + R6.format("(0.15::DOUBLE + 0.85::DOUBLE * coalesce(greatest(least(overdue_ratio, 1), 0), 0))") + " AS relevance FROM kfeat")
+@query("nba_relevance", CL + "," + KFEAT + " SELECT customer_id, category, " + R6.format("(0.15::DOUBLE + 0.85::DOUBLE * CASE WHEN overdue_ratio IS NULL THEN 0 WHEN overdue_ratio >= 1 THEN 1 ELSE overdue_ratio END)") + " AS relevance FROM kfeat")
 def _(t):
     return Snapshot(t).categories().select("customer_id", "category", fixed(nba.relevance("overdue_ratio"), 6).alias("relevance"))
 
@@ -240,27 +240,35 @@ def _(t):
     return nba.classification_metrics(scored, "s", "label")
 
 
-CHURN_FEATURES = ["recency", "n_180", "n_28", "n_56", "n_90", "spend_28", "spend_90", "visit_trend_28", "visit_trend_90", "cadence", "n_categories", "promo_share"]
+#: Cutoffs to train on, to stop early by, and to judge on.
+TRAIN, VALIDATE = ("2000-01-01", "2000-02-01", "2000-03-01", "2000-04-01"), "2000-05-01"
+ROUNDS = 30
 
 
-@query("nba_churn_model")
-def _(t):
-    """A boosted churn model of one cutoff, judged on a later one."""
-    old, new = Snapshot(t, "2000-03-01"), Snapshot(t)
-    rows = lambda s: s.customers().join(s.churn(), "customer_id")
-    model = nba.fit_propensity(rows(old), CHURN_FEATURES, "churned", iterations=5, depth=3)
-    return nba.classification_metrics(nba.predict(model, rows(new), CHURN_FEATURES, "p_churn"), "p_churn", "churned")
+def model_metrics(t, rows, features, label, name):
+    """Metrics on the last cutoff of a model trained on earlier ones, of which the last tells when to stop."""
+    full = None
+    for cutoff in (*TRAIN, VALIDATE):
+        part = rows(Snapshot(t, cutoff)).select(*features, label).withColumn("is_validation", F.lit(cutoff == VALIDATE))
+        full = part if full is None else full.unionByName(part)
+    full = saved(full)
+    model = nba.fit_propensity(full, features, label, ROUNDS)
+    forget(full)
+    return nba.classification_metrics(nba.predict(model, rows(Snapshot(t)), features, name), name, label)
 
 
-PAIR_FEATURES = ["n_days", "days_since", "expected_days", "overdue_ratio", "due", "spend_90", "baskets_90", "spend_share", "pop_share"]
+@query("nba_churn_model")
+def _(t):
+    """A boosted churn model of four cutoffs, stopped by a fifth and judged on a later one."""
+    return model_metrics(t, lambda s: s.customers().join(s.churn(), "customer_id"), list(nba.CUSTOMER_FEATURES), "churned", "p_churn")
 
 
 @query("nba_purchase_model")
 def _(t):
-    old, new = Snapshot(t, "2000-03-01"), Snapshot(t)
-    rows = lambda s: s.labels().join(s.categories(), ["customer_id", "category"])
-    model = nba.fit_propensity(rows(old), PAIR_FEATURES, "label", iterations=5, depth=3)
-    return nba.classification_metrics(nba.predict(model, rows(new), PAIR_FEATURES, "p_purchase"), "p_purchase", "label")
+    def rows(s):
+        return s.labels().join(s.customers(), "customer_id").join(s.categories(), ["customer_id", "category"])
+
+    return model_metrics(t, rows, [*nba.CUSTOMER_FEATURES, *nba.CATEGORY_FEATURES], "label", "p_purchase")
 
 
 BASELINE = "bl AS (SELECT count(DISTINCT date_trunc('month', basket_day)) AS n_months, count(*) AS n_baskets, count(*) FILTER (channel <> 'store') AS n_online, (SELECT round(CAST(sum(CAST(line_amount AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 100) / 100 FROM items) AS mean_line FROM baskets), bl2 AS (SELECT *, " + R4.format("(n_online / n_months)") + " AS online_per_month FROM bl)"

@@ -78,5 +78,5 @@ def retail_graph() -> Graph:
         Step("affinity", lambda t: affinity.cooccurrence(affinity.basket_items(t["items"], t["products"])), ("tables",), 1),
         Step("lines", lambda t: nba.category_lines(t["baskets"], t["items"], t["products"]), ("tables",)),
         Step("labels", lambda lines: nba.category_label(nba.candidate_pairs(lines, at), lines, at), ("lines",), 1),
-        Step("features", lambda t, lines: nba.category_features(lines, t["customers"], t["products"], at), ("tables", "lines"), 1),
+        Step("features", lambda t, lines: nba.category_features(lines, t["baskets"], t["items"], t["customers"], t["products"], at), ("tables", "lines"), 1),
     ])

@@ -26,8 +26,41 @@ def test_features_don_t_see_the_future(spark):
     for more in ([], [(3, 1, "2025-06-01", 7)]):
         b = h.baskets(spark, rows + more)
         lines = nba.category_lines(b, i, p)
-        both.append((nba.customer_features(b, lines, AT).collect(), nba.category_features(lines, h.customers(spark, [(1, 2)]), p, AT).collect()))
-    assert both[0] == both[1] and both[0][0][0]["visit_trend_28"] == 1.0
+        who = h.customers(spark, [(1, 2)])
+        both.append((nba.customer_features(b, lines, who, AT).collect(), nba.category_features(lines, b, i, who, p, AT).collect()))
+    one = both[0][0][0]
+    assert both[0] == both[1] and (one["visit_trend"], one["spend_trend"], one["ticket_trend"]) == (1.0, 2.0, 2.0)
+    assert (one["recency"], one["tenure"], one["cadence"], one["signup_tenure"], one["tier_idx"], one["channel_idx"], one["household_size"]) == (12, 42, 42.0, 151, 2, 0, 2)
+    pair = both[0][1][0]
+    assert (pair["cat_spend"], pair["cat_units"], pair["n_days"], pair["spend_share"], pair["pop_share"], pair["observed_days"]) == (15.0, 2, 2, 1.0, 1.0, 30.0)
+
+
+def test_policy_candidates_by_hand(spark):
+    """Margins blend over a customer's own departments: the worth of keeping one is the same whatever is offered."""
+    pairs = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.4), (2, "a", 0.1), (3, "b", 0.3)], "customer_id long, category string, p_purchase double")
+    churn = spark.createDataFrame([(1, 0.5, 90.0), (2, 0.25, 900.0)], "customer_id long, p_churn double, spend_90 double")
+    features = spark.createDataFrame(
+        [(1, "a", "fresh", 30.0, 3, 2.0), (1, "b", "care", 10.0, 1, 0.5), (2, "a", "fresh", 1000.0, 2, None)], "customer_id long, category string, department string, cat_spend double, n_days long, overdue_ratio double"
+    )
+    economics = spark.createDataFrame([(7.5,)], "visit_spend double")
+    got = {(r["customer_id"], r["category"]): r for r in nba.policy_candidates(pairs, churn, features, economics, {"fresh": 0.2, "care": 0.4}).collect()}
+    # (30 x 0.2 + 10 x 0.4) / 40 = 0.25; 4 weeks of 7 a week at that margin
+    assert [got[1, c]["retention_value"] for c in "ab"] == [7.0, 7.0] and got[2, "a"]["retention_value"] == 4 * 70 * 0.2
+    assert [got[1, c]["gross_margin"] for c in "ab"] == [2.0, 4.0] and (got[2, "a"]["expected_spend"], got[2, "a"]["gross_margin"]) == (60.0, 12.0)
+    assert (got[3, "b"]["expected_spend"], got[3, "b"]["gross_margin"], got[3, "b"]["p_churn"], got[3, "b"]["retention_value"]) == (7.5, 1.875, 0.0, 0.0)
+    assert [got[k]["relevance"] for k in ((1, "a"), (1, "b"), (2, "a"))] == [1.0, 0.575, 0.15]
+    assert {r[0]: r[1] for r in nba.blended_margin(features, {}).collect()} == {1: 0.25, 2: 0.25}
+
+
+def test_economics_and_departments(spark):
+    b = h.baskets(spark, [(1, 1, "2025-05-20", 1), (2, 1, "2025-05-20", 1), (3, 2, "2025-05-21", 1), (4, 2, "2025-06-02", 1)])
+    i = h.items(spark, [(1, 1, 1, 4), (2, 1, 1, 6), (3, 2, 1, 2), (4, 1, 1, 99)])
+    p = h.products(spark, [(1, "a", 9), (2, "b", 9)])
+    lines = nba.category_lines(b, i, p)
+    assert nba.economics(lines, AT).first()[0] == 6.0  # 10 on one day of one customer, 2 of another
+    assert nba.economics(lines, "2020-01-01").first()[0] == 0.0
+    many = spark.createDataFrame([(1, "a", "Z"), (2, "a", "Y"), (3, "a", "Z"), (4, "b", "Y"), (5, "b", "X")], "product_id long, category string, department string")
+    assert {r[0]: r[1] for r in nba.category_departments(many).collect()} == {"a": "Z", "b": "X"}
 
 
 def candidate(spark, **kw):
