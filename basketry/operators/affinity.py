@@ -21,20 +21,15 @@ def basket_items(items: DataFrame, products: DataFrame, level: str = "category")
 def cooccurrence(sets: DataFrame, min_baskets: int = 50, top: int | None = None) -> DataFrame:
     """Support, confidence, lift and Jaccard of ordered pairs that share ``min_baskets`` baskets.
 
-    Pairs are counted once (a < b) and mirrored after the filter, which halves the join.
+    A pair of items is counted in one order only; what passes the threshold stands for both rules.
     ``top`` keeps for each antecedent those of the highest lift, ties by shared baskets and
     consequent, with their ``rank``.
     """
     n = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     total = sets.select("basket_id").distinct().agg(F.count(F.lit(1)).alias("total_baskets"))
-    left, right = sets.withColumnRenamed("item", "a"), sets.withColumnRenamed("item", "b")
-    half = left.join(right, "basket_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_baskets)
-    both = half.select(F.col("a").alias("antecedent"), F.col("b").alias("consequent"), "n_both").unionByName(
-        half.select(F.col("b").alias("antecedent"), F.col("a").alias("consequent"), "n_both")
-    )
-    full = (
-        both.join(n.toDF("antecedent", "n_antecedent"), "antecedent").join(n.toDF("consequent", "n_consequent"), "consequent").crossJoin(F.broadcast(total))
-    )
+    met = sets.toDF("basket_id", "a").join(sets.toDF("basket_id", "b"), "basket_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_baskets)
+    rules = met.select("n_both", F.explode(F.array(F.struct(F.col("a").alias("antecedent"), F.col("b").alias("consequent")), F.struct(F.col("b").alias("antecedent"), F.col("a").alias("consequent")))).alias("r")).select("r.*", "n_both")
+    full = rules.join(n.toDF("antecedent", "n_antecedent"), "antecedent").join(n.toDF("consequent", "n_consequent"), "consequent").crossJoin(F.broadcast(total))
     confidence = ratio("n_both", "n_antecedent")
     out = full.select(
         "antecedent", "consequent", "total_baskets", "n_antecedent", "n_consequent", "n_both", fixed(ratio("n_both", "total_baskets"), 6).alias("support"),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fn import ratio
+from ..functions.fn import fixed, ratio
 
-CHANNELS = ("app", "store", "web")
+CHANNELS, TIERS = ("app", "store", "web"), ("bronze", "silver", "gold")
 
 
 def code(c: Column | str, domain: tuple[str, ...]) -> Column:
@@ -39,11 +40,11 @@ def session_features(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cart_features(prefix: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per query and category in the cart; per query and department; per query, the cart's size."""
-    full = prefix.join(products.select("product_id", "category", "department"), "product_id")
+    """Per query and category in the cart; per query and department, with its share of the cart; per query, the cart's size."""
+    full = prefix.select("query_id", "product_id").distinct().join(products.select("product_id", "category", "department"), "product_id")
     return (
         full.select("query_id", "category").distinct().withColumn("cat_in_cart", F.lit(1)),
-        full.groupBy("query_id", "department").agg(F.count(F.lit(1)).alias("dep_in_cart")),
+        full.groupBy("query_id", "department").agg(F.count(F.lit(1)).alias("dep_in_cart")).withColumn("dep_share", fixed(ratio("dep_in_cart", F.sum("dep_in_cart").over(W.partitionBy("query_id"))), 6)),
         full.groupBy("query_id").agg(F.count(F.lit(1)).alias("cart_size")),
     )
 
@@ -68,42 +69,64 @@ def active_discount(q: DataFrame, promotions: DataFrame) -> DataFrame:
     return valid.join(q.select("basket_day").distinct(), "basket_day", "left_semi").groupBy("basket_day", "product_id").agg(F.max("discount_value").alias("promo_discount"))
 
 
+def index_products(products: DataFrame) -> DataFrame:
+    """``products`` with ``department_idx`` and ``category_idx``, alphabetical numbers from 0."""
+    names = products.agg(*[F.array_sort(F.collect_set(c)).alias(f"_{c}") for c in ("department", "category")])  # closed domains
+    place = lambda c: (F.array_position(F.col(f"_{c}"), F.col(c)) - 1).cast("int")
+    return products.crossJoin(F.broadcast(names)).withColumns({"department_idx": place("department"), "category_idx": place("category")}).drop("_department", "_category")
+
+
 #: The contract of the matrix: its features, by family.
 FAMILIES: dict[str, tuple[str, ...]] = {
-    "source": ("pop_score", "aff_lift", "aff_confidence", "cataff_lift", "personal_score", "src_pop", "src_aff", "src_cataff", "src_hist", "n_sources"),
-    "product": ("unit_price", "private_label", "typical_days", "promo_discount"),
-    "context": ("month", "weekday", "channel_code", "is_known"),
-    "cart": ("cat_in_cart", "dep_in_cart", "cart_size"),
-    "customer": ("n_baskets", "spend", "recency", "cadence"),
-    "pair": ("n_times", "days_since"),
-    "category": ("cat_n_days", "cat_days_since", "cat_expected", "cat_overdue", "cat_due", "cat_share", "cat_freq_rank", "cat_need_rank"),
-    "session": ("n_views", "view_age_s", "n_events"),
-}
+    "source": (
+        "pop_score", "pop_rank", "aff_lift", "aff_confidence", "aff_support", "cataff_lift", "cataff_confidence", "hist_rank", "als_score", "als_rank",
+        "src_pop", "src_aff", "src_cataff", "src_hist", "src_als", "n_sources",
+    ),
+    "pair": ("n_times", "n_units", "days_since", "ever_bought"),
+    "category": ("cat_n_days", "cat_days_since", "cat_expected", "cat_overdue", "cat_due", "cat_freq_rank", "cat_share", "cat_need_rank"),
+    "product": ("pop_all", "pop_recent", "season_index", "month_rank", "unit_price", "pack_size", "typical_days", "private_label", "perishable", "department_idx", "category_idx"),
+    "context": (
+        "prefix_size", "month", "weekday", "channel_code", "is_known", "n_baskets", "recency", "avg_ticket", "n_products", "household_size", "tier_code", "on_promo", "promo_discount",
+    ),
+    "session": ("has_session", "viewed", "n_views", "view_age_s", "n_events"),
+    "cart": ("cat_in_cart", "dep_in_cart", "dep_share"),
+}
 FEATURES = tuple(f for family in FAMILIES.values() for f in family)
-#: Unknown stays null for these; all others are 0 where nothing is known.
-NULLABLE = frozenset(("recency", "cadence", "days_since", "cat_days_since", "cat_expected", "cat_overdue", "view_age_s"))
+#: 0 where nothing is known: never bought, not on offer, not seen. All others stay null.
+ZERO = frozenset(
+    ("n_times", "n_units", "cat_n_days", "cat_due", "cat_share", "promo_discount", "n_views", "n_events", "n_sources", "n_baskets", "n_products", "src_pop", "src_aff", "src_cataff", "src_hist", "src_als", *FAMILIES["cart"])
+)
+
 
+def build_matrix(
+    pool: DataFrame, q: DataFrame, prefix: DataFrame, history: dict[str, DataFrame], popular: DataFrame, products: DataFrame, customers: DataFrame, promotions: DataFrame, seen: DataFrame
+) -> DataFrame:
+    """``query_id, product_id, category`` and all ``FEATURES`` as double, in one projection.
 
-def build_matrix(pool: DataFrame, q: DataFrame, prefix: DataFrame, history: dict[str, DataFrame], products: DataFrame, promotions: DataFrame, seen: DataFrame) -> DataFrame:
-    """``query_id, product_id, category`` and all features as double, in one projection."""
+    Sources that ``pool`` hasn't got are silent. ``popular`` is what ``candidates.popularity`` gives.
+    """
     from .candidates import with_category_ranks
 
-    categories, departments, sizes = cart_features(prefix, products)
+    categories, departments, _ = cart_features(prefix, products)
     views, activity = session_features(seen)
-    ranked = with_category_ranks(history["category"]).select(
+    ranked = with_category_ranks(history["category"], history["customer"]).select(
         "query_id", "category", F.col("n_days").alias("cat_n_days"), F.col("days_since").alias("cat_days_since"), F.col("expected_days").alias("cat_expected"),
         F.col("overdue_ratio").alias("cat_overdue"), F.col("due").alias("cat_due"), F.col("share").alias("cat_share"), F.col("freq_rank").alias("cat_freq_rank"), F.col("need_rank").alias("cat_need_rank"),
     )
+    shelf = popular.select("product_id", "month", "pop_all", F.col("recent").alias("pop_recent"), F.col("index").alias("season_index"), F.col("rank").alias("month_rank"))
+    head = q.select("query_id", "customer_id", "basket_day", "channel", "is_known", "prefix_size", F.col("cut_ts").isNotNull().alias("has_session"), F.month("basket_day").alias("month"))
+    # a query's own columns come together first, so that pairs are joined with them once
+    head = head.join(history["customer"].select("query_id", "n_baskets", "recency", "avg_ticket", "n_products"), "query_id", "left").join(activity, "query_id", "left")
+    head = head.join(customers.select("customer_id", "household_size", "tier"), "customer_id", "left").drop("customer_id")
     full = (
-        pool.drop("days_since").join(products, "product_id").join(q.select("query_id", "basket_day", "channel", "is_known"), "query_id")
+        pool.join(index_products(products), "product_id").join(head, "query_id").join(shelf, ["product_id", "month"], "left")
         .join(active_discount(q, promotions), ["basket_day", "product_id"], "left").join(categories, ["query_id", "category"], "left").join(departments, ["query_id", "department"], "left")
-        .join(sizes, "query_id", "left").join(history["customer"], "query_id", "left").join(history["product"], ["query_id", "product_id"], "left")
-        .join(ranked, ["query_id", "category"], "left").join(views, ["query_id", "product_id"], "left").join(activity, "query_id", "left")
-        .withColumns({"month": F.month("basket_day"), "weekday": F.dayofweek("basket_day"), "channel_code": code("channel", CHANNELS)})
+        .join(history["product"], ["query_id", "product_id"], "left").join(ranked, ["query_id", "category"], "left").join(views, ["query_id", "product_id"], "left")
     )
-    value = lambda f: F.col(f).cast("double") if f in NULLABLE else F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+    known = lambda c: F.col(c).isNotNull()
+    made = {
+        "weekday": F.dayofweek("basket_day"), "channel_code": code("channel", CHANNELS), "tier_code": code("tier", TIERS), "on_promo": known("promo_discount"), "ever_bought": known("n_times"), "viewed": known("n_views"),
+    } | {f: F.lit(None) for f in FAMILIES["source"] if f not in pool.columns}
+    full = full.withColumns(made)
+    value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in ZERO else F.col(f).cast("double")
     return full.select("query_id", "product_id", "category", *[value(f).alias(f) for f in FEATURES])
-
-
-def with_pair_share(df: DataFrame, n: str, total: str, name: str) -> DataFrame:
-    return df.withColumn(name, ratio(n, total))

@@ -210,11 +210,9 @@ def seasonal_blind_spot(t: Tables, cutoff_month: int, level: str = "category") -
 
 def churn_deciles(rfm: DataFrame, by: str = "recency_days", bins: int = 10) -> DataFrame:
     """The churn rate of buyers by decile of a measure, ties by customer_id."""
-    from .segments import _tiles
+    from .segments import with_tile
 
-    buyers = rfm.where("has_purchases")
-    tiles = _tiles(buyers, by, True, bins, "decile")
-    return buyers.join(tiles, "customer_id").groupBy("decile").agg(
+    return with_tile(rfm.where("has_purchases"), F.asc(by), bins, "decile").groupBy("decile").agg(
         F.count(F.lit(1)).alias("n"), fixed(F.avg(F.col("churn_label").cast("double")), 6).alias("churn_rate"), F.min(by).alias("low"), F.max(by).alias("high")
     )
 

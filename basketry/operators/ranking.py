@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fn import count_if, fixed, ratio, uniform
+from ..functions.fn import category_need_score, count_if, fixed, ratio, uniform
+from ..shared import forget, saved
 
 #: Gains of relevance 0, 1, 2.
 GAINS = (0, 1, 3)
@@ -144,8 +145,8 @@ def baseline_scores(kind: str, q: DataFrame, categories: DataFrame, prefix: Data
         best = cart.withColumnRenamed("category", "antecedent").join(rules.select("antecedent", F.col("consequent").alias("category"), "confidence"), "antecedent").groupBy("query_id", "category").agg(F.max("confidence").alias("c"))
         out, score = grid.join(best, ["query_id", "category"], "left"), F.coalesce("c", none)
     else:
-        out = grid.join(category_history.select("query_id", "category", "n_days", "overdue_ratio"), ["query_id", "category"], "left")
-        score = {"frequency": F.col("n_days").cast("double"), "due": F.col("overdue_ratio"), "favourite": F.when(F.col("n_days") >= 2, F.col("n_days").cast("double"))}[kind]
+        out = grid.join(category_history.select("query_id", "category", "n_days", "due"), ["query_id", "category"], "left")
+        score = {"frequency": F.col("n_days").cast("double"), "due": category_need_score("n_days", "due"), "favourite": F.when(F.col("n_days") >= 2, F.col("n_days").cast("double"))}[kind]
         score = F.coalesce(score, none)
     return out.select("query_id", "category", score.alias("score"), "fill")
 
@@ -175,7 +176,7 @@ def poisson(u: Column) -> Column:
     return out
 
 
-def bootstrap(per_query: DataFrame, clusters: DataFrame, metric: str, resamples: int = 200, salt: str = "boot") -> DataFrame:
+def bootstrap(per_query: DataFrame, clusters: DataFrame, metric: str, resamples: int = 1000, salt: str = "boot") -> DataFrame:
     """``replicate, mean`` of a metric, resampling whole clusters with Poisson(1) weights.
 
     Sums by cluster come first, so that each replicate costs a row a cluster; weights come
@@ -192,9 +193,15 @@ def percentile_interval(replicates: DataFrame, level: float = 0.95) -> DataFrame
     return replicates.agg(fixed(F.percentile("mean", F.lit(tail)), 6).alias("low"), fixed(F.percentile("mean", F.lit(1 - tail)), 6).alias("high"))
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, clusters: DataFrame, metric: str, resamples: int = 200) -> DataFrame:
-    """One row ``difference, low, high, p``: the same resamples for both systems over the same queries."""
-    both = a.select("query_id", F.col(metric).alias("x")).join(b.select("query_id", F.col(metric).alias("y")), "query_id").select("query_id", (F.col("x") - F.col("y")).alias("d"))
+def paired_bootstrap(a: DataFrame, b: DataFrame, clusters: DataFrame, metric: str, resamples: int = 1000) -> DataFrame:
+    """One row ``difference, low, high, p``: the same resamples for both systems over the same queries.
+
+    A query that only one of them has is an error, which the result raises when it is computed.
+    """
+    sides = [s.select("query_id", F.struct(F.col(metric).alias("m")).alias(n)) for s, n in ((a, "x"), (b, "y"))]
+    both = sides[0].join(sides[1], "query_id", "full_outer")
+    alone = F.raise_error(F.concat(F.lit("only one system has the query "), F.col("query_id").cast("string"))).cast("double")
+    both = both.select("query_id", F.when(F.col("x").isNull() | F.col("y").isNull(), alone).otherwise(F.col("x.m") - F.col("y.m")).alias("d"))
     observed = both.agg(F.avg("d").alias("difference"))
     reps = bootstrap(both, clusters, "d", resamples).crossJoin(F.broadcast(observed))
     extreme = count_if(F.abs(F.col("mean") - F.col("difference")) >= F.abs("difference"))
@@ -227,14 +234,14 @@ def _drawn(chances: DataFrame, samples: int, salt: str) -> DataFrame:
     return each.where(uniform(F.concat_ws("-", "query_id", "category", "s"), salt) < F.col("p")).select("query_id", "category", "s")
 
 
-def ceiling_choice(chances: DataFrame, samples: int = 40, k: int = 5, salt: str = "ceiling") -> DataFrame:
+def ceiling_choice(chances: DataFrame, samples: int = 1000, k: int = 5, salt: str = "ceiling") -> DataFrame:
     """``query_id, category``: the k categories drawn most often on the even samples."""
     even = _drawn(chances, samples, salt).where("s % 2 = 0").groupBy("query_id", "category").agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy("query_id").orderBy(F.desc("n"), "category")
     return even.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "category")
 
 
-def ceiling(chances: DataFrame, samples: int = 40, k: int = 5, salt: str = "ceiling") -> DataFrame:
+def ceiling(chances: DataFrame, samples: int = 1000, k: int = 5, salt: str = "ceiling") -> DataFrame:
     """Per query, what the best list could hit: ``query_id, expected_hits, se``.
 
     ``chances`` has the probability ``p`` of each category. Baskets are simulated from hashes;
@@ -261,19 +268,130 @@ def ceiling_check(expected: DataFrame, realised: DataFrame) -> DataFrame:
 # --- learning to rank --------------------------------------------------------------------
 
 
-def fit_ranker(matrix: DataFrame, features: tuple[str, ...], iterations: int = 20, depth: int = 5, seed: int = 42):
+def gain_of(relevance: str = "relevance") -> Column:
+    return F.element_at(F.lit([float(g) for g in GAINS]), F.col(relevance).cast("int") + 1)
+
+
+def _assembler(features: tuple[str, ...]):
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(features), outputCol="x")
+
+
+def fit_ranker(matrix: DataFrame, features: tuple[str, ...], iterations: int = 30, depth: int = 5, seed: int = 42):
     """A boosted regression on the gain of each pair (pointwise); queries without any gain are left out.
 
-    MLlib has no listwise objective; the order of expected gains is what the metrics need.
+    Rows with ``is_validation`` stop it early if the column is there.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    gain = F.when(F.col("relevance") == 2, GAINS[2]).when(F.col("relevance") == 1, GAINS[1]).otherwise(GAINS[0]).cast("double")
     some = matrix.where("relevance > 0").select("query_id").distinct()
-    rows = matrix.join(some, "query_id", "left_semi").withColumn("gain", gain).na.fill(-1.0, list(features))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x"), GBTRegressor(featuresCol="x", labelCol="gain", maxIter=iterations, maxDepth=depth, seed=seed)]).fit(rows)
+    rows = matrix.join(some, "query_id", "left_semi").withColumn("gain", gain_of()).na.fill(-1.0, list(features))
+    gbt = GBTRegressor(featuresCol="x", labelCol="gain", maxIter=iterations, maxDepth=depth, seed=seed)
+    if "is_validation" in matrix.columns:
+        gbt = gbt.setValidationIndicatorCol("is_validation")
+    return Pipeline(stages=[_assembler(features), gbt]).fit(rows)
+
+
+def lambdas(scored: DataFrame, k: int = 5) -> DataFrame:
+    """``scored`` with ``lam`` and ``hess``: by how much NDCG wants each pair's score to rise, and the curvature of that.
+
+    For two candidates of a query with different gains, the pull is the logistic loss of their score
+    difference times the change of NDCG if they swapped places. A query's candidates are one group,
+    of a pool's size; its pulls are summed with matrices of relevant by other candidates.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["score", "product_id"], ascending=[False, True])
+        gain, score = group["gain"].to_numpy(), group["score"].to_numpy()
+        place = 1 / np.log2(np.arange(len(gain)) + 2.0)
+        ideal = (np.sort(gain)[::-1][:k] * place[: min(k, len(gain))]).sum()
+        lam, hess = np.zeros(len(gain)), np.zeros(len(gain))
+        for level in np.unique(gain)[1:]:
+            up, down = np.flatnonzero(gain == level), np.flatnonzero(gain < level)
+            rho = 1 / (1 + np.exp(np.clip(score[up, None] - score[None, down], -50, 50)))
+            swap = np.abs((gain[up, None] - gain[None, down]) * (place[up, None] - place[None, down])) / ideal
+            pull, bend = rho * swap, rho * (1 - rho) * swap
+            lam[up] += pull.sum(axis=1)
+            lam[down] -= pull.sum(axis=0)
+            hess[up] += bend.sum(axis=1)
+            hess[down] += bend.sum(axis=0)
+        return group.assign(lam=lam, hess=hess)
+
+    schema = scored.select("*", F.lit(0.0).alias("lam"), F.lit(0.0).alias("hess")).schema
+    return scored.groupBy("query_id").applyInPandas(one, schema)
+
+
+def fit_lambda_ranker(matrix: DataFrame, features: tuple[str, ...], rounds: int = 20, depth: int = 5, rate: float = 0.3, patience: int = 3, k: int = 5):
+    """Boosted trees on the pulls of ``lambdas`` (listwise), as a model that ``rank_with`` takes; and NDCG by round.
+
+    Each round fits a tree to lam / hess, weighted by hess, and adds ``rate`` times it to the scores.
+    Where ``is_validation`` marks queries, rounds end when their graded NDCG hasn't risen for
+    ``patience`` rounds, and trees behind the best one are dropped. Queries without gain are left out.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.pipeline import PipelineModel
+    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
+
+    spark = matrix.sparkSession
+    some = matrix.where("relevance > 0").select("query_id").distinct()
+    flag = F.col("is_validation") if "is_validation" in matrix.columns else F.lit(False)
+    rows = matrix.join(some, "query_id", "left_semi").select("query_id", "product_id", "relevance", gain_of().alias("gain"), flag.alias("is_validation"), *features).na.fill(-1.0, list(features))
+    assembler = _assembler(features)
+    pairs = saved(assembler.transform(rows).select("query_id", "product_id", "relevance", "gain", "is_validation", vector_to_array("x").alias("values"), F.lit(0.0).alias("score")))
+    trees, curve, best = [], [], 0
+    stop = bool(pairs.where("is_validation").limit(1).count())
+    for _ in range(rounds):
+        pulled = lambdas(pairs.where("not is_validation"), k).where("hess > 1e-9").select(array_to_vector("values").alias("x"), (F.col("lam") / F.col("hess")).alias("step"), "hess")
+        tree = DecisionTreeRegressor(featuresCol="x", labelCol="step", weightCol="hess", maxDepth=depth, seed=len(trees)).fit(pulled)
+        trees.append(tree)
+        moved = tree.transform(pairs.withColumn("x", array_to_vector("values"))).withColumn("score", F.col("score") + rate * F.col("prediction"))
+        last, pairs = pairs, saved(moved.select(*pairs.columns))
+        forget(last)
+        curve.append(mean_ndcg(pairs.where("is_validation") if stop else pairs, k))
+        if curve[-1] > curve[best]:
+            best = len(trees) - 1
+        if stop and len(trees) - 1 - best >= patience:
+            break
+    forget(pairs)
+    kept = trees[: best + 1] if stop else trees
+    # a boosted model of these trees, so that scoring is one pass and saving is MLlib's
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    jtrees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(kept))
+    weights = gateway.new_array(jvm.double, len(kept))
+    for i, tree in enumerate(kept):
+        jtrees[i], weights[i] = tree._java_obj, rate
+    model = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel("lambda_ranker", jtrees, weights))
+    model.setFeaturesCol("x")
+    return PipelineModel([assembler, model]), curve
+
+
+def mean_ndcg(scored: DataFrame, k: int = 5) -> float:
+    """The mean over queries of the NDCG of ``gain`` in the order of ``score``: one number."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "product_id"))
+    ideal = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("gain"), "product_id"))
+    part = lambda at: F.sum(F.when(F.col(at) <= k, F.col("gain") / _log2(F.col(at).cast("double") + 1)).otherwise(0.0))
+    per = scored.withColumns({"r": rank, "i": ideal}).groupBy("query_id").agg((part("r") / part("i")).alias("n"))
+    return float(per.agg(F.avg("n")).first()[0] or 0.0)
+
+
+def save_ranker(model, path: str, features: tuple[str, ...]) -> None:
+    """The model and the features it was fitted on, in their order."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame(list(enumerate(features)), "place int, feature string").write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_ranker(spark, path: str, features: tuple[str, ...] | None = None):
+    """The model of ``save_ranker`` and its features; an error if they aren't those that are asked for."""
+    from pyspark.ml.pipeline import PipelineModel
+
+    known = tuple(r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("place").collect())
+    if features is not None and known != tuple(features):
+        raise ValueError("the model was fitted on other features")
+    return PipelineModel.load(f"{path}/model"), known
 
 
 def rank_with(model, matrix: DataFrame, features: tuple[str, ...]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fn import expected_days, fixed, household_factor, money, ratio
+from ..functions.ranks import placed
 
 
 def reference_day(baskets: DataFrame, day: str | None = None) -> DataFrame:
@@ -35,51 +36,21 @@ def rfm(customers: DataFrame, baskets: DataFrame, bins: int = 5, day: str | None
 
 
 def with_scores(measured: DataFrame, bins: int) -> DataFrame:
-    """``r_score, f_score, m_score``.
-
-    A rank over all buyers needs one order over all of them, but no single task: see ``_tiles``.
-    """
-    buyers = measured.where("has_purchases")
-    scores = (("r_score", "recency_days", False), ("f_score", "frequency", True), ("m_score", "monetary", True))
-    cuts, scored = _cuts(buyers, [v for _, v, _ in scores]), buyers
-    for name, value, up in scores:
-        scored = scored.join(_tiles(buyers, value, up, bins, name, cuts[value]), "customer_id")
+    """``r_score, f_score, m_score``: ntiles of buyers by each value, ties by customer_id."""
+    scored = measured.where("has_purchases")
+    for name, order in (("r_score", F.desc("recency_days")), ("f_score", F.asc("frequency")), ("m_score", F.asc("monetary"))):
+        scored = with_tile(scored, order, bins, name)
     rest = measured.where("not has_purchases").withColumns({n: F.lit(1).cast("int") for n in ("r_score", "f_score", "m_score")})
     return scored.unionByName(rest)
 
 
-#: Ranges of values that are ranked in parallel.
-RANGES = 100
-
-
-def _cuts(df: DataFrame, values: list[str], ranges: int = RANGES) -> dict[str, list[float]]:
-    """Approximate quantiles of each value, a short list: one pass over ``df``, at once."""
-    shares = [i / ranges for i in range(1, ranges)]
-    row = df.agg(*[F.percentile_approx(F.col(v).cast("double"), F.lit(shares), F.lit(1000)).alias(v) for v in values]).first()
-    return {v: sorted(set(row[v] or [])) for v in values}
-
-
-def _tiles(df: DataFrame, value: str, ascending: bool, bins: int, name: str, cuts: list[float] | None = None) -> DataFrame:
-    """The ntile of each customer in the order of ``value``, then customer_id.
-
-    ``cuts`` divide the values into ranges. Rows are counted by distinct value, values are
-    accumulated within ranges in parallel, and the one running sum without partitions gets
-    a row a range. Where the cuts lie doesn't change the result.
-    """
-    cuts = _cuts(df, [value])[value] if cuts is None else cuts
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    at = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(value).cast("double"))) if cuts else F.lit(0)
-    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("range", at if ascending else -at)
-    totals = sizes.groupBy("range").agg(F.sum("n").alias("m"))
-    ahead = totals.select("range", (F.sum("m").over(W.orderBy("range")) - F.col("m")).alias("ahead"), F.sum("m").over(W.partitionBy()).alias("total"))
-    running = sizes.withColumn("run", F.sum("n").over(W.partitionBy("range").orderBy(order)) - F.col("n"))
-    before = running.join(F.broadcast(ahead), "range").select(F.col(value).alias("v"), (F.col("run") + F.col("ahead")).alias("before"), "total")
-    inside = df.select("customer_id", F.col(value).alias("v"), F.row_number().over(W.partitionBy(value).orderBy("customer_id")).alias("i"))
-    rank = F.col("before") + F.col("i") - 1
-    size, extra = F.floor(F.col("total") / bins), F.col("total") % bins
+def with_tile(df: DataFrame, order: Column, bins: int, name: str, key: str = "customer_id") -> DataFrame:
+    """``df`` with the ntile of each row in ``order``, then ``key``; rows are placed in parallel ranges of both."""
+    ranked = placed(df, [order, key], "_rank", total="_all")
+    rank, size, extra = F.col("_rank") - 1, F.floor(F.col("_all") / bins), F.col("_all") % bins
     big = extra * (size + 1)
     tile = F.when(rank < big, F.floor(rank / (size + 1))).otherwise(extra + F.floor((rank - big) / F.greatest(size, F.lit(1))))
-    return inside.join(before, "v").select("customer_id", (tile + 1).cast("int").alias(name))
+    return ranked.withColumn(name, (tile + 1).cast("int")).drop("_rank", "_all")
 
 
 def with_segment(scored: DataFrame, bins: int = 5) -> DataFrame:

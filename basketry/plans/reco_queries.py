@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..functions.fn import fixed
@@ -10,6 +12,7 @@ from ..operators import candidates as ca
 from ..operators import features as fe
 from ..operators import ranking as rk
 from ..operators import splits as sp
+from ..shared import forget, saved
 from .quality_queries import affinity_sql
 from .registry import query
 
@@ -46,50 +49,53 @@ hlast AS (SELECT max(basket_day) AS last FROM hb),
 pm AS (SELECT product_id, CAST(month(basket_day) AS INT) AS month, count(*) AS n_pm FROM hl GROUP BY 1, 2),
 pp AS (SELECT product_id, count(*) AS n_p, count(*) FILTER (basket_day > last - 90) AS recent FROM hl, hlast GROUP BY 1),
 mm AS (SELECT CAST(month(basket_day) AS INT) AS month, count(*) AS n_m, sum(count(*)) OVER () AS n_all FROM hb GROUP BY 1),
-pop0 AS (SELECT month, product_id, recent, round((n_pm / n_p) / (n_m / n_all) * 10000) / 10000 AS index FROM pm JOIN pp USING (product_id) JOIN mm USING (month)),
-pop AS (SELECT *, recent * index AS score, CAST(row_number() OVER (PARTITION BY month ORDER BY recent * index DESC, product_id) AS INT) AS rank FROM pop0)"""
+pop0 AS (SELECT month, product_id, n_p AS pop_all, recent, round((n_pm / n_p) / (n_m / n_all) * 10000) / 10000 AS index FROM pm JOIN pp USING (product_id) JOIN mm USING (month)),
+pop AS (SELECT *, recent * index AS score, row_number() OVER (PARTITION BY month ORDER BY recent * index DESC, product_id) AS rank FROM pop0)"""
 CATPOP = POP + """,
 cw AS (SELECT month, category, round(sum(score) * 10000) / 10000 AS weight FROM pop JOIN products USING (product_id) GROUP BY 1, 2),
 cwr AS (SELECT *, CAST(row_number() OVER (PARTITION BY month ORDER BY weight DESC, category) AS INT) AS category_rank FROM cw),
-catpop AS (SELECT p.month, p.category, product_id, score, weight, category_rank, rank_in_category FROM
-  (SELECT month, category, product_id, score, CAST(row_number() OVER (PARTITION BY month, category ORDER BY score DESC, product_id) AS INT) AS rank_in_category FROM pop JOIN products USING (product_id)) p JOIN cwr USING (month, category))"""
+catpop AS (SELECT p.month, p.category, product_id, score, rank, weight, category_rank, rank_in_category FROM
+  (SELECT month, category, product_id, score, rank, CAST(row_number() OVER (PARTITION BY month, category ORDER BY score DESC, product_id) AS INT) AS rank_in_category FROM pop JOIN products USING (product_id)) p JOIN cwr USING (month, category))"""
 CANDPOP = """
-candpop AS (SELECT DISTINCT query_id, product_id, score AS pop_score FROM qs JOIN (SELECT month, product_id, score FROM pop WHERE rank <= 30 UNION SELECT month, product_id, score FROM catpop WHERE category_rank <= 10 AND rank_in_category <= 1) c ON c.month = month(basket_day))"""
+candpop AS (SELECT query_id, product_id, score AS pop_score, rank AS pop_rank FROM qs JOIN (SELECT * FROM catpop WHERE rank <= 150 OR category_rank <= 62 AND rank_in_category <= 1) c ON c.month = month(basket_day))"""
 HAFF = affinity_sql("product_id", 2, "p").replace("FROM items)", "FROM hi)").replace("FROM items\n", "FROM hi\n")
 HCAFF = affinity_sql("category", 50, "c").replace("items JOIN products", "hi JOIN products")
 CANDAFF = """
-candaff AS (SELECT query_id, product_id, aff_lift, aff_confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY aff_lift DESC, aff_confidence DESC, product_id) AS r FROM (
-  SELECT query_id, consequent AS product_id, max(lift) AS aff_lift, round(sum(confidence) * 1e6::DOUBLE) / 1e6::DOUBLE AS aff_confidence FROM prefix p JOIN paff a ON a.antecedent = p.product_id GROUP BY 1, 2)) WHERE r <= 50)"""
+candaff AS (SELECT query_id, product_id, aff_lift, aff_confidence, aff_support FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY aff_lift DESC, aff_confidence DESC, product_id) AS r FROM (
+  SELECT query_id, consequent AS product_id, max(lift) AS aff_lift, round(sum(confidence) * 1e6::DOUBLE) / 1e6::DOUBLE AS aff_confidence, count(*) AS aff_support FROM prefix p JOIN paff a ON a.antecedent = p.product_id GROUP BY 1, 2)) WHERE r <= 50)"""
 LEADERS = """
 leaders AS (SELECT category, product_id, CAST(r AS INT) AS leader_rank FROM (SELECT category, product_id, row_number() OVER (PARTITION BY category ORDER BY n DESC, product_id) AS r FROM
   (SELECT product_id, count(*) AS n FROM (SELECT DISTINCT basket_id, product_id FROM hi) JOIN (SELECT basket_id FROM hb WHERE basket_day > (SELECT max(basket_day) FROM hb) - 90) USING (basket_id) GROUP BY 1) JOIN products USING (product_id)) WHERE r <= 4)"""
 CANDCAT = """
-candcat AS (SELECT query_id, product_id, cataff_lift FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cataff_lift DESC, consequent) AS r FROM (
-  SELECT query_id, consequent, max(lift) AS cataff_lift FROM (SELECT DISTINCT query_id, category FROM prefix JOIN products USING (product_id)) c JOIN caff a ON a.antecedent = c.category GROUP BY 1, 2)) b
+candcat AS (SELECT query_id, product_id, cataff_lift, cataff_confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cataff_lift DESC, consequent) AS r FROM (
+  SELECT query_id, consequent, max(lift) AS cataff_lift, max(confidence) AS cataff_confidence FROM (SELECT DISTINCT query_id, category FROM prefix JOIN products USING (product_id)) c JOIN caff a ON a.antecedent = c.category GROUP BY 1, 2)) b
   JOIN leaders l ON l.category = b.consequent WHERE r <= 15)"""
 ASOF = """
 own AS (SELECT query_id, customer_id, basket_day AS query_day FROM qs WHERE customer_id IS NOT NULL),
 seenb AS (SELECT o.*, b.basket_id, b.basket_day AS day, total_amount FROM own o JOIN baskets b ON b.customer_id = o.customer_id AND b.basket_day < o.query_day),
-hcust AS (SELECT query_id, count(*) AS n_baskets, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS spend, CAST(date_diff('day', max(day), query_day) AS INT) AS recency,
+hlines AS (SELECT s.query_id, s.query_day, s.basket_id, s.day, s.customer_id, i.product_id, units FROM seenb s JOIN (SELECT basket_id, product_id, sum(quantity) AS units FROM items GROUP BY 1, 2) i USING (basket_id)),
+hvar AS (SELECT query_id, count(DISTINCT product_id) AS n_products, count(DISTINCT day) AS n_days FROM hlines GROUP BY 1),
+hvis AS (SELECT query_id, count(*) AS n_baskets, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS spend, CAST(date_diff('day', max(day), query_day) AS INT) AS recency,
   round(CASE WHEN count(*) >= 2 THEN date_diff('day', min(day), max(day)) / (count(*) - 1) END * 10000) / 10000 AS cadence FROM seenb GROUP BY query_id, query_day),
-hlines AS (SELECT s.query_id, s.query_day, s.basket_id, s.day, s.customer_id, i.product_id FROM seenb s JOIN (SELECT DISTINCT basket_id, product_id FROM items) i USING (basket_id)),
-hprod AS (SELECT query_id, product_id, count(*) AS n_times, CAST(date_diff('day', max(day), query_day) AS INT) AS days_since FROM hlines GROUP BY query_id, product_id, query_day),
+hcust AS (SELECT query_id, n_baskets, spend, round(spend / n_baskets * 10000) / 10000 AS avg_ticket, recency, cadence, coalesce(n_products, 0) AS n_products, coalesce(n_days, 0) AS n_days FROM hvis LEFT JOIN hvar USING (query_id)),
+hprod AS (SELECT query_id, product_id, count(*) AS n_times, CAST(sum(units) AS BIGINT) AS n_units, CAST(date_diff('day', max(day), query_day) AS INT) AS days_since FROM hlines GROUP BY query_id, product_id, query_day),
 hdays AS (SELECT DISTINCT query_id, query_day, customer_id, category, day FROM hlines JOIN products USING (product_id)),
 htyp AS (SELECT category, CAST(round(avg(typical_days)) AS INT) AS typical FROM products GROUP BY 1),
 hcat0 AS (SELECT query_id, category, count(*) AS n_days, date_diff('day', max(day), query_day) AS since, CASE WHEN count(*) >= 2 THEN date_diff('day', min(day), max(day)) / (count(*) - 1) END AS gap, customer_id FROM hdays GROUP BY query_id, category, query_day, customer_id),
 hcat AS (SELECT query_id, category, n_days, CAST(since AS INT) AS days_since, round(e * 10000) / 10000 AS expected_days, round(since / e * 10000) / 10000 AS overdue_ratio, CAST(since >= e AS INT) AS due FROM (
   SELECT h.*, greatest(coalesce(gap, typical * coalesce(1.45::DOUBLE - 0.125::DOUBLE * household_size, 1.0)), 2.0) AS e FROM hcat0 h LEFT JOIN customers USING (customer_id) JOIN htyp USING (category)))"""
 CANDHIST = """
-candhist AS (SELECT query_id, product_id, personal_score, days_since FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY personal_score DESC, days_since, product_id) AS r FROM (
+candhist AS (SELECT query_id, product_id, personal_score, CAST(r AS INT) AS hist_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY personal_score DESC, days_since, product_id) AS r FROM (
   SELECT h.query_id, h.product_id, h.days_since, round((n_times * (1 + CASE WHEN coalesce(overdue_ratio, 0) >= 1 THEN 1 ELSE 0 END) + coalesce(overdue_ratio, 0)) * 1e6::DOUBLE) / 1e6::DOUBLE AS personal_score
   FROM hprod h JOIN products p ON p.product_id = h.product_id LEFT JOIN hcat c ON c.query_id = h.query_id AND c.category = p.category)) WHERE r <= 120)"""
 ALLC = ",".join([QS, CATPOP, CANDPOP, HAFF, CANDAFF, HCAFF, LEADERS, CANDCAT, ASOF, CANDHIST])
-POOL = ALLC + """,
-srcs AS (SELECT query_id, product_id, pop_score, NULL AS aff_lift, NULL AS aff_confidence, NULL AS cataff_lift, NULL AS personal_score, NULL AS days_since, 1 AS p, 0 AS a, 0 AS c, 0 AS h FROM candpop
-  UNION ALL SELECT query_id, product_id, NULL, aff_lift, aff_confidence, NULL, NULL, NULL, 0, 1, 0, 0 FROM candaff UNION ALL SELECT query_id, product_id, NULL, NULL, NULL, cataff_lift, NULL, NULL, 0, 0, 1, 0 FROM candcat
-  UNION ALL SELECT query_id, product_id, NULL, NULL, NULL, NULL, personal_score, days_since, 0, 0, 0, 1 FROM candhist),
-pool AS (SELECT query_id, product_id, max(pop_score) AS pop_score, max(aff_lift) AS aff_lift, max(aff_confidence) AS aff_confidence, max(cataff_lift) AS cataff_lift, max(personal_score) AS personal_score, max(days_since) AS days_since,
-  max(p) AS src_pop, max(a) AS src_aff, max(c) AS src_cataff, max(h) AS src_hist, max(p) + max(a) + max(c) + max(h) AS n_sources FROM srcs ANTI JOIN prefix USING (query_id, product_id) GROUP BY 1, 2)"""
+#: The columns of each source in the pool.
+_SOURCES = {"candpop": ("pop_score", "pop_rank"), "candaff": ("aff_lift", "aff_confidence", "aff_support"), "candcat": ("cataff_lift", "cataff_confidence"), "candhist": ("personal_score", "hist_rank")}
+_VALUES = [c for cols in _SOURCES.values() for c in cols]
+_FLAGS = ["src_pop", "src_aff", "src_cataff", "src_hist"]
+POOL = ALLC + ", srcs AS (" + " UNION ALL ".join(
+    f"SELECT query_id, product_id, {', '.join(c if c in cols else f'NULL AS {c}' for c in _VALUES)}, {', '.join(f'{int(i == j)} AS {f}' for j, f in enumerate(_FLAGS))} FROM {name}" for i, (name, cols) in enumerate(_SOURCES.items())
+) + f"), pool AS (SELECT query_id, product_id, {', '.join(f'max({c}) AS {c}' for c in _VALUES + _FLAGS)}, {' + '.join(f'max({f})' for f in _FLAGS)} AS n_sources FROM srcs ANTI JOIN prefix USING (query_id, product_id) GROUP BY 1, 2)"
 #: A fixed score, so that ordering and metrics can be checked without a model.
 SCORED = POOL + """,
 incart AS (SELECT DISTINCT query_id, category, 1 AS x FROM prefix JOIN products USING (product_id)),
@@ -109,7 +115,7 @@ pq AS (SELECT query_id, round(coalesce(coalesce(dcg, 0) / CASE WHEN n_target > 0
 
 
 class Window:
-    """The steps of one test window, each once."""
+    """The steps of one test window, each once: what several steps start from is written."""
 
     def __init__(self, t):
         self.t = t
@@ -117,15 +123,33 @@ class Window:
         self.history_items = sp.restrict(t["items"], self.history)
         self.test = sp.between(t["baskets"], TEST_START, TEST_END)
         self.adds = sp.first_adds(t["sessions"], t["events"])
-        self.parts = sp.query_items(sp.restrict(t["items"], self.test), self.adds, PLAN)
-        self.q = sp.queries(self.parts, t["baskets"], self.history, self.adds, t["sessions"])
-        self.prefix, self.target = sp.prefix_and_target(self.parts)
+        self.lazy_parts = sp.query_items(sp.restrict(t["items"], self.test), self.adds, PLAN)
+
+    @cached_property
+    def parts(self):
+        return saved(self.lazy_parts)
+
+    @cached_property
+    def q(self):
+        return saved(sp.queries(self.parts, self.t["baskets"], self.history, self.adds, self.t["sessions"]))
+
+    @property
+    def prefix(self):
+        return sp.prefix_and_target(self.parts)[0]
+
+    @property
+    def target(self):
+        return sp.prefix_and_target(self.parts)[1]
 
     def popularity(self):
         return ca.popularity(self.history, self.history_items)
 
+    @cached_property
+    def popular(self):
+        return saved(self.popularity())
+
     def category_popularity(self):
-        return ca.category_popularity(self.popularity(), self.t["products"])
+        return ca.category_popularity(self.popular, self.t["products"])
 
     def affinity(self, level):
         return aff.cooccurrence(aff.basket_items(self.history_items, self.t["products"], level), 2 if level == "product" else 50)
@@ -133,17 +157,29 @@ class Window:
     def asof(self):
         return ca.asof_history(self.q, self.t["baskets"], self.t["items"], self.t["products"], self.t["customers"])
 
-    def sources(self):
-        t, past = self.t, self.asof()
-        return {
-            "pop": ca.from_popularity(self.q, self.popularity(), self.category_popularity(), 30, 10, 1),
-            "aff": ca.from_product_affinity(self.prefix, self.affinity("product")),
-            "cataff": ca.from_category_affinity(self.prefix, t["products"], self.affinity("category"), ca.category_leaders(self.history, self.history_items, t["products"])),
-            "hist": ca.from_history(past["product"], past["category"], t["products"]),
-        }
-
-    def pool(self):
-        return ca.union_sources(self.q, ca.in_cart(self.prefix), **self.sources())
+    @cached_property
+    def past(self):
+        return {name: saved(table) for name, table in self.asof().items()}
+
+    def source(self, name):
+        t = self.t
+        if name == "pop":
+            return ca.from_popularity(self.q, self.category_popularity())
+        if name == "aff":
+            return ca.from_product_affinity(self.prefix, self.affinity("product"))
+        if name == "cataff":
+            return ca.from_category_affinity(self.prefix, t["products"], self.affinity("category"), ca.category_leaders(self.history, self.history_items, t["products"]))
+        if name == "hist":
+            return ca.from_history(self.past["product"], self.past["category"], t["products"])
+        return ca.from_latent(self.q, ca.fit_latent(ca.customer_products(self.history, self.history_items)))
+
+    def pool(self, *more):
+        return ca.union_sources(self.q, ca.in_cart(self.prefix), **{n: self.source(n) for n in ("pop", "aff", "cataff", "hist", *more)})
+
+    def matrix(self, *more):
+        t = self.t
+        seen = fe.events_before_cut(self.q, t["sessions"], t["events"])
+        return fe.build_matrix(self.pool(*more), self.q, self.prefix, self.past, self.popular, t["products"], t["customers"], t["promotions"], seen)
 
     def scored(self):
         z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -193,7 +229,7 @@ def _(t):
 
 @query("split_query_items", PARTS + " SELECT * FROM parts")
 def _(t):
-    return Window(t).parts
+    return Window(t).lazy_parts
 
 
 @query("split_all_prefixes", PARTS + """ SELECT basket_id || '#k' || k AS query_id, basket_id, product_id, position, n_items, CAST(k AS INT) AS prefix_size
@@ -249,12 +285,12 @@ def _(t):
 
 @query("cand_popularity", QS + "," + CATPOP + "," + CANDPOP + " SELECT * FROM candpop")
 def _(t):
-    return Window(t).sources()["pop"]
+    return Window(t).source("pop")
 
 
 @query("cand_product_affinity", PARTS + "," + HAFF + "," + CANDAFF + " SELECT * FROM candaff")
 def _(t):
-    return Window(t).sources()["aff"]
+    return Window(t).source("aff")
 
 
 @query("cand_category_leaders", HB + "," + LEADERS + " SELECT * FROM leaders")
@@ -265,7 +301,7 @@ def _(t):
 
 @query("cand_category_affinity", PARTS + "," + HCAFF + "," + LEADERS + "," + CANDCAT + " SELECT * FROM candcat")
 def _(t):
-    return Window(t).sources()["cataff"]
+    return Window(t).source("cataff")
 
 
 @query("cand_customer_products", HB + " SELECT customer_id, product_id, count(DISTINCT basket_id) AS n_baskets, CAST(sum(quantity) AS BIGINT) AS n_units, max(basket_day) AS last_day FROM hi JOIN hb USING (basket_id) WHERE customer_id IS NOT NULL GROUP BY 1, 2")
@@ -276,7 +312,7 @@ def _(t):
 
 @query("cand_personal", QS + "," + ASOF + "," + CANDHIST + " SELECT * FROM candhist")
 def _(t):
-    return Window(t).sources()["hist"]
+    return Window(t).source("hist")
 
 
 @query("cand_dense_index", "SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS category_idx FROM (SELECT DISTINCT category FROM products)")
@@ -291,9 +327,7 @@ def _(t):
 
 @query("cand_latent")
 def _(t):
-    w = Window(t)
-    model = ca.fit_latent(ca.customer_products(w.history, w.history_items))
-    return ca.from_latent(w.q, model)
+    return Window(t).source("als")
 
 
 @query("cand_union", POOL + " SELECT * FROM pool")
@@ -316,10 +350,14 @@ def _(t):
     return Window(t).asof()["category"]
 
 
-@query("asof_category_ranks", QS + "," + ASOF + """ SELECT *, round(n_days / sum(n_days) OVER (PARTITION BY query_id) * 1e6::DOUBLE) / 1e6::DOUBLE AS share, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY n_days DESC) AS INT) AS freq_rank,
-CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY overdue_ratio DESC) AS INT) AS need_rank FROM hcat""")
+_RANKS = """round({n} / u.n_days * 1e6::DOUBLE) / 1e6::DOUBLE AS share, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY {n} DESC) AS INT) AS freq_rank,
+CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY CASE WHEN due = 1 THEN 2 * {n} ELSE {n} END DESC) AS INT) AS need_rank"""
+
+
+@query("asof_category_ranks", QS + "," + ASOF + " SELECT " + _RANKS.format(n="h.n_days") + """, h.* FROM hcat h JOIN hcust u USING (query_id)""")
 def _(t):
-    return ca.with_category_ranks(Window(t).asof()["category"])
+    past = Window(t).asof()
+    return ca.with_category_ranks(past["category"], past["customer"])
 
 
 BEFORE = """
@@ -350,7 +388,7 @@ def _(t):
     return fe.session_features(before_cut(t))[1]
 
 
-@query("feat_cart_departments", PARTS + " SELECT query_id, department, count(*) AS dep_in_cart FROM prefix JOIN products USING (product_id) GROUP BY 1, 2")
+@query("feat_cart_departments", PARTS + " SELECT query_id, department, count(*) AS dep_in_cart, round(count(*) / sum(count(*)) OVER (PARTITION BY query_id) * 1e6::DOUBLE) / 1e6::DOUBLE AS dep_share FROM prefix JOIN products USING (product_id) GROUP BY 1, 2")
 def _(t):
     return fe.cart_features(Window(t).prefix, t["products"])[1]
 
@@ -370,33 +408,36 @@ def _(t):
     return Window(t).scored().select("query_id", "product_id", "relevance", "label")
 
 
-def matrix(t):
-    w = Window(t)
-    return fe.build_matrix(w.pool(), w.q, w.prefix, w.asof(), t["products"], t["promotions"], before_cut(t))
-
-
+_MATRIX = {
+    **{f: f"p.{f}" for f in _VALUES + _FLAGS + ["n_sources"] if f != "personal_score"}, "als_score": "NULL", "als_rank": "NULL", "src_als": "NULL",
+    "n_times": "n_times", "n_units": "n_units", "days_since": "hprod.days_since", "ever_bought": "CAST(n_times IS NOT NULL AS INT)",
+    "cat_n_days": "hr.n_days", "cat_days_since": "hr.days_since", "cat_expected": "expected_days", "cat_overdue": "overdue_ratio", "cat_due": "due", "cat_share": "share", "cat_freq_rank": "freq_rank", "cat_need_rank": "need_rank",
+    "pop_all": "pop.pop_all", "pop_recent": "pop.recent", "season_index": "pop.index", "month_rank": "pop.rank", "unit_price": "unit_price", "pack_size": "pack_size", "typical_days": "typical_days",
+    "private_label": "CAST(private_label AS INT)", "perishable": "CAST(perishable AS INT)", "department_idx": "(SELECT count(DISTINCT department) FROM products x WHERE x.department < d.department)",
+    "category_idx": "(SELECT count(DISTINCT category) FROM products x WHERE x.category < d.category)",
+    "prefix_size": "prefix_size", "month": "month(qs.basket_day)", "weekday": "dayofweek(qs.basket_day) + 1", "channel_code": "CASE channel WHEN 'app' THEN 0 WHEN 'store' THEN 1 WHEN 'web' THEN 2 ELSE 3 END", "is_known": "CAST(is_known AS INT)",
+    "n_baskets": "n_baskets", "recency": "recency", "avg_ticket": "avg_ticket", "n_products": "n_products", "household_size": "household_size", "tier_code": "CASE tier WHEN 'bronze' THEN 0 WHEN 'silver' THEN 1 WHEN 'gold' THEN 2 ELSE 3 END",
+    "on_promo": "CAST(promo_discount IS NOT NULL AS INT)", "promo_discount": "promo_discount", "has_session": "CAST(cut_ts IS NOT NULL AS INT)", "viewed": "CAST(n_views IS NOT NULL AS INT)", "n_views": "n_views", "view_age_s": "view_age_s", "n_events": "n_events",
+    "cat_in_cart": "cat_in_cart", "dep_in_cart": "dep_in_cart", "dep_share": "dep_share",
+}
 MATRIX = POOL + "," + BEFORE + """,
 disc AS (SELECT basket_day, product_id, max(discount_value) AS promo_discount FROM (SELECT DISTINCT basket_day FROM qs) JOIN promotions ON basket_day BETWEEN start_date AND end_date GROUP BY 1, 2),
-cic AS (SELECT DISTINCT query_id, category, 1 AS cat_in_cart FROM prefix JOIN products USING (product_id)), dic AS (SELECT query_id, department, count(*) AS dep_in_cart FROM prefix JOIN products USING (product_id) GROUP BY 1, 2),
-cs AS (SELECT query_id, count(*) AS cart_size FROM prefix GROUP BY 1), vw AS (SELECT query_id, product_id, count(*) AS n_views, floor(epoch(any_value(cut_ts))) - floor(epoch(max(event_ts))) AS view_age_s FROM bc WHERE event_type = 'view' GROUP BY 1, 2),
+cic AS (SELECT DISTINCT query_id, category, 1 AS cat_in_cart FROM prefix JOIN products USING (product_id)),
+dic AS (SELECT query_id, department, count(*) AS dep_in_cart, round(count(*) / sum(count(*)) OVER (PARTITION BY query_id) * 1e6::DOUBLE) / 1e6::DOUBLE AS dep_share FROM prefix JOIN products USING (product_id) GROUP BY 1, 2),
+vw AS (SELECT query_id, product_id, count(*) AS n_views, floor(epoch(any_value(cut_ts))) - floor(epoch(max(event_ts))) AS view_age_s FROM bc WHERE event_type = 'view' GROUP BY 1, 2),
 ev AS (SELECT query_id, count(*) AS n_events FROM bc GROUP BY 1),
-hr AS (SELECT *, round(n_days / sum(n_days) OVER (PARTITION BY query_id) * 1e6::DOUBLE) / 1e6::DOUBLE AS share, dense_rank() OVER (PARTITION BY query_id ORDER BY n_days DESC) AS fr, dense_rank() OVER (PARTITION BY query_id ORDER BY overdue_ratio DESC) AS nr FROM hcat)
+hr AS (SELECT """ + _RANKS.format(n="h.n_days") + """, h.* FROM hcat h JOIN hcust u USING (query_id))
 SELECT p.query_id, p.product_id, d.category, """ + ", ".join(
-    f"CAST({e if n in fe.NULLABLE else f'coalesce({e}, 0)'} AS DOUBLE) AS {n}" for n, e in {
-        **{f: f"p.{f}" for f in fe.FAMILIES["source"]}, "unit_price": "unit_price", "private_label": "CAST(private_label AS INT)", "typical_days": "typical_days", "promo_discount": "promo_discount",
-        "month": "month(qs.basket_day)", "weekday": "dayofweek(qs.basket_day) + 1", "channel_code": "CASE channel WHEN 'app' THEN 0 WHEN 'store' THEN 1 WHEN 'web' THEN 2 ELSE 3 END", "is_known": "CAST(is_known AS INT)",
-        "cat_in_cart": "cat_in_cart", "dep_in_cart": "dep_in_cart", "cart_size": "cart_size", "n_baskets": "n_baskets", "spend": "spend", "recency": "recency", "cadence": "cadence", "n_times": "n_times", "days_since": "hprod.days_since",
-        "cat_n_days": "hr.n_days", "cat_days_since": "hr.days_since", "cat_expected": "expected_days", "cat_overdue": "overdue_ratio", "cat_due": "due", "cat_share": "share", "cat_freq_rank": "fr", "cat_need_rank": "nr",
-        "n_views": "n_views", "view_age_s": "view_age_s", "n_events": "n_events",
-    }.items()
-) + """ FROM pool p JOIN products d ON d.product_id = p.product_id JOIN qs ON qs.query_id = p.query_id LEFT JOIN disc ON disc.basket_day = qs.basket_day AND disc.product_id = p.product_id
-LEFT JOIN cic ON cic.query_id = p.query_id AND cic.category = d.category LEFT JOIN dic ON dic.query_id = p.query_id AND dic.department = d.department LEFT JOIN cs ON cs.query_id = p.query_id LEFT JOIN hcust ON hcust.query_id = p.query_id
-LEFT JOIN hprod ON hprod.query_id = p.query_id AND hprod.product_id = p.product_id LEFT JOIN hr ON hr.query_id = p.query_id AND hr.category = d.category LEFT JOIN vw ON vw.query_id = p.query_id AND vw.product_id = p.product_id LEFT JOIN ev ON ev.query_id = p.query_id"""
+    f"CAST({f'coalesce({_MATRIX[n]}, 0)' if n in fe.ZERO else _MATRIX[n]} AS DOUBLE) AS {n}" for n in fe.FEATURES
+) + """ FROM pool p JOIN products d ON d.product_id = p.product_id JOIN qs ON qs.query_id = p.query_id LEFT JOIN customers cu ON cu.customer_id = qs.customer_id LEFT JOIN pop ON pop.product_id = p.product_id AND pop.month = month(qs.basket_day)
+LEFT JOIN disc ON disc.basket_day = qs.basket_day AND disc.product_id = p.product_id LEFT JOIN cic ON cic.query_id = p.query_id AND cic.category = d.category LEFT JOIN dic ON dic.query_id = p.query_id AND dic.department = d.department
+LEFT JOIN hcust ON hcust.query_id = p.query_id LEFT JOIN hprod ON hprod.query_id = p.query_id AND hprod.product_id = p.product_id LEFT JOIN hr ON hr.query_id = p.query_id AND hr.category = d.category
+LEFT JOIN vw ON vw.query_id = p.query_id AND vw.product_id = p.product_id LEFT JOIN ev ON ev.query_id = p.query_id"""
 
 
 @query("feat_matrix", MATRIX)
 def _(t):
-    return matrix(t)
+    return Window(t).matrix()
 
 
 @query("rank_order_candidates", SCORED + " SELECT query_id, product_id, category, score, cat_in_cart, relevance, label, demoted, rank FROM ordered")
@@ -455,7 +496,7 @@ def _(t):
 count(*) AS n_slots, CAST(sum(label) AS BIGINT) AS n_hits FROM top5 LEFT JOIN hprod h USING (query_id, product_id) GROUP BY 1""")
 def _(t):
     w = Window(t)
-    return rk.recency_slots(w.top(), w.asof()["product"])
+    return rk.recency_slots(w.top(), w.past["product"])
 
 
 _BASE = QS + "," + ASOF + "," + HCAFF + """,
@@ -468,7 +509,7 @@ _BASE_SCORE = {
     "global": "SELECT query_id, category, CAST(fill AS DOUBLE) AS score, fill FROM grid",
     "month": "SELECT query_id, g.category, coalesce(CAST(m.n AS DOUBLE), -1) AS score, fill FROM grid g LEFT JOIN mons m ON m.month = g.month AND m.category = g.category",
     "frequency": "SELECT query_id, category, coalesce(CAST(n_days AS DOUBLE), -1) AS score, fill FROM grid LEFT JOIN hcat USING (query_id, category)",
-    "due": "SELECT query_id, category, coalesce(overdue_ratio, -1) AS score, fill FROM grid LEFT JOIN hcat USING (query_id, category)",
+    "due": "SELECT query_id, category, coalesce(CAST(n_days * (1 + due) AS DOUBLE), -1) AS score, fill FROM grid LEFT JOIN hcat USING (query_id, category)",
     "favourite": "SELECT query_id, category, coalesce(CASE WHEN n_days >= 2 THEN CAST(n_days AS DOUBLE) END, -1) AS score, fill FROM grid LEFT JOIN hcat USING (query_id, category)",
     "rules": "SELECT g.query_id, g.category, coalesce(c, -1) AS score, fill FROM grid g LEFT JOIN (SELECT query_id, consequent AS category, max(confidence) AS c FROM cart JOIN caff ON antecedent = category GROUP BY 1, 2) r USING (query_id, category)",
 }
@@ -501,7 +542,7 @@ def _(t):
 _POISSON = " + ".join(f"CAST(u >= {s} AS INT)" for s in ("0.36787944117144233::DOUBLE", "0.7357588823428847::DOUBLE", "0.9196986029286058::DOUBLE", "0.9810118431238462::DOUBLE", "0.9963401531726563::DOUBLE", "0.9994058151824183::DOUBLE", "0.999916758850712::DOUBLE", "0.9999897508033253::DOUBLE"))
 _BOOT = METRICS + f""",
 cl AS (SELECT basket_id AS cluster, sum(hit) AS s, count(*) AS n FROM pq JOIN qs USING (query_id) GROUP BY 1),
-bt AS (SELECT replicate, sum(w * s) / nullif(sum(w * n), 0) AS mean FROM (SELECT *, {_POISSON} AS w FROM (SELECT *, {u("concat_ws('#', cluster, replicate)", "boot")} AS u FROM cl, range(1, 101) r(replicate))) GROUP BY 1)"""
+bt AS (SELECT replicate, sum(w * s) / nullif(sum(w * n), 0) AS mean FROM (SELECT *, {_POISSON} AS w FROM (SELECT *, {u("concat_ws('#', cluster, replicate)", "boot")} AS u FROM cl, range(1, 1001) r(replicate))) GROUP BY 1)"""
 
 
 def clusters(w):
@@ -511,25 +552,25 @@ def clusters(w):
 @query("boot_replicates", _BOOT + " SELECT CAST(replicate AS INT) AS replicate, round(mean * 1e6::DOUBLE) / 1e6::DOUBLE AS mean FROM bt")
 def _(t):
     w = Window(t)
-    return rk.bootstrap(w.metrics(), clusters(w), "hit", 100).withColumn("mean", fixed("mean", 6))
+    return rk.bootstrap(w.metrics(), clusters(w), "hit", 1000).withColumn("mean", fixed("mean", 6))
 
 
 @query("boot_interval", _BOOT + " SELECT round(quantile_cont(mean, 0.025) * 1e6::DOUBLE) / 1e6::DOUBLE AS low, round(quantile_cont(mean, 0.975) * 1e6::DOUBLE) / 1e6::DOUBLE AS high FROM bt")
 def _(t):
     w = Window(t)
-    return rk.percentile_interval(rk.bootstrap(w.metrics(), clusters(w), "hit", 100))
+    return rk.percentile_interval(rk.bootstrap(w.metrics(), clusters(w), "hit", 1000))
 
 
 @query("boot_paired", METRICS + f""",
 dd AS (SELECT query_id, CAST(hit AS DOUBLE) - recall AS d FROM pq), o AS (SELECT avg(d) AS difference FROM dd),
 cl AS (SELECT basket_id AS cluster, sum(d) AS s, count(*) AS n FROM dd JOIN qs USING (query_id) GROUP BY 1),
-bt AS (SELECT replicate, sum(w * s) / nullif(sum(w * n), 0) AS mean FROM (SELECT *, {_POISSON} AS w FROM (SELECT *, {u("concat_ws('#', cluster, replicate)", "boot")} AS u FROM cl, range(1, 101) r(replicate))) GROUP BY 1)
+bt AS (SELECT replicate, sum(w * s) / nullif(sum(w * n), 0) AS mean FROM (SELECT *, {_POISSON} AS w FROM (SELECT *, {u("concat_ws('#', cluster, replicate)", "boot")} AS u FROM cl, range(1, 1001) r(replicate))) GROUP BY 1)
 SELECT round(any_value(difference) * 1e6::DOUBLE) / 1e6::DOUBLE AS difference, round(quantile_cont(mean, 0.025) * 1e6::DOUBLE) / 1e6::DOUBLE AS low, round(quantile_cont(mean, 0.975) * 1e6::DOUBLE) / 1e6::DOUBLE AS high,
-round((1 + count(*) FILTER (abs(mean - difference) >= abs(difference))) / 101 * 1e6::DOUBLE) / 1e6::DOUBLE AS p FROM bt, o""")
+round((1 + count(*) FILTER (abs(mean - difference) >= abs(difference))) / 1001 * 1e6::DOUBLE) / 1e6::DOUBLE AS p FROM bt, o""")
 def _(t):
     w = Window(t)
     m = w.metrics()
-    return rk.paired_bootstrap(m.select("query_id", F.col("hit").cast("double").alias("x")), m.select("query_id", F.col("recall").alias("x")), clusters(w), "x", 100)
+    return rk.paired_bootstrap(m.select("query_id", F.col("hit").cast("double").alias("x")), m.select("query_id", F.col("recall").alias("x")), clusters(w), "x", 1000)
 
 
 @query("rank_examples", METRICS + """, h AS (SELECT profile, query_id, ndcg, row_number() OVER (PARTITION BY profile ORDER BY ndcg, query_id) AS i, count(*) OVER (PARTITION BY profile) AS n FROM pq JOIN qs USING (query_id) WHERE hit = 1)
@@ -541,11 +582,12 @@ def _(t):
 
 @query("rank_learned_top")
 def _(t):
-    """A boosted ranker fitted on the first half of the queries and applied to the rest."""
+    """A boosted ranker on the full pool, with latent factors: fitted on a half of the queries, stopped by its last days, applied to the rest."""
     w = Window(t)
-    full = fe.with_relevance(matrix(t), w.target, t["products"]).persist()
+    full = saved(fe.with_relevance(w.matrix("als"), w.target, t["products"]))
+    tail = sp.validation_tail(w.q).select("query_id", "is_validation")
     half = (F.hash("query_id") % 2) == 0
-    model = rk.fit_ranker(full.where(half), fe.FEATURES, iterations=5, depth=4)
+    model = rk.fit_ranker(full.where(half).join(tail, "query_id"), fe.FEATURES)
     return rk.top_k(rk.rank_with(model, full.where(~half), fe.FEATURES), 5).select("query_id", "product_id", "score", "rank", "label")
 
 
@@ -577,11 +619,11 @@ def _(t):
 
 _CHANCE = QS + "," + ASOF + """,
 ch AS (SELECT query_id, category, least(0.9::DOUBLE, n_days / 20) AS p FROM hcat),
-dr AS (SELECT query_id, category, s FROM ch, range(0, 40) r(s) WHERE """ + u("concat_ws('-', query_id, category, s)", "ceiling") + """ < p),
+dr AS (SELECT query_id, category, s FROM ch, range(0, 1000) r(s) WHERE """ + u("concat_ws('-', query_id, category, s)", "ceiling") + """ < p),
 ev AS (SELECT query_id, category FROM (SELECT query_id, category, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, category) AS r FROM dr WHERE s % 2 = 0 GROUP BY 1, 2) WHERE r <= 5),
 od AS (SELECT query_id, s, count(*) AS h FROM dr JOIN ev USING (query_id, category) WHERE s % 2 = 1 GROUP BY 1, 2),
 sm AS (SELECT query_id, sum(h) AS h, sum(h * h) AS h2 FROM od GROUP BY 1),
-ce AS (SELECT query_id, round(coalesce(h, 0) / 20 * 1e6::DOUBLE) / 1e6::DOUBLE AS expected_hits, round(sqrt(greatest((coalesce(h2, 0) - 20 * (coalesce(h, 0) / 20) * (coalesce(h, 0) / 20)) / 19, 0) / 20) * 1e6::DOUBLE) / 1e6::DOUBLE AS se FROM (SELECT DISTINCT query_id FROM ch) LEFT JOIN sm USING (query_id))"""
+ce AS (SELECT query_id, round(coalesce(h, 0) / 500 * 1e6::DOUBLE) / 1e6::DOUBLE AS expected_hits, round(sqrt(greatest((coalesce(h2, 0) - 500 * (coalesce(h, 0) / 500) * (coalesce(h, 0) / 500)) / 499, 0) / 500) * 1e6::DOUBLE) / 1e6::DOUBLE AS se FROM (SELECT DISTINCT query_id FROM ch) LEFT JOIN sm USING (query_id))"""
 
 
 def chances(w):
@@ -605,8 +647,21 @@ def _(t):
     return rk.ceiling_check(rk.ceiling(p), realised)
 
 
+@query("rank_listwise_top")
+def _(t):
+    """The listwise ranker on the pool without latent factors, stopped by the last days of its half of the queries, applied to the rest."""
+    w = Window(t)
+    full = saved(fe.with_relevance(w.matrix(), w.target, t["products"]))
+    tail = sp.validation_tail(w.q).select("query_id", "is_validation")
+    half = (F.hash("query_id") % 2) == 0
+    model, _ = rk.fit_lambda_ranker(full.where(half).join(tail, "query_id"), fe.FEATURES, rounds=8)
+    return rk.top_k(rk.rank_with(model, full.where(~half), fe.FEATURES), 5).select("query_id", "product_id", "score", "rank", "label")
+
+
 @query("rank_importance")
 def _(t):
     w = Window(t)
-    full = fe.with_relevance(matrix(t), w.target, t["products"])
-    return rk.importance(rk.fit_ranker(full, fe.FEATURES, iterations=3, depth=3), fe.FEATURES, full.sparkSession)
+    full = saved(fe.with_relevance(w.matrix("als"), w.target, t["products"]).join(sp.validation_tail(w.q).select("query_id", "is_validation"), "query_id"))
+    model = rk.fit_ranker(full, fe.FEATURES)
+    forget(full)
+    return rk.importance(model, fe.FEATURES, t["products"].sparkSession)

@@ -17,7 +17,7 @@ customers AS (SELECT c_custkey AS customer_id, CAST(DATE '1994-06-01' + CAST((c_
   CAST(1 + c_custkey % 6 AS INT) AS household_size, CASE c_custkey % 3 WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END AS tier,
   CASE c_custkey % 4 WHEN 0 THEN 'app' WHEN 1 THEN 'web' ELSE 'store' END AS preferred_channel, c_custkey % 5 = 0 AS churn_label FROM customer),
 products AS (SELECT p_partkey AS product_id, p_type AS department, p_brand AS category, p_name AS brand, p_partkey % 4 = 0 AS private_label, p_retailprice AS unit_price,
-  10 + p_size AS typical_days FROM part),
+  10 + p_size AS typical_days, CAST(1 + p_size % 6 AS INT) AS pack_size, p_partkey % 3 = 0 AS perishable FROM part),
 promotions AS (SELECT p_partkey AS promotion_id, p_partkey AS product_id, CASE p_partkey % 3 WHEN 0 THEN '2x1' WHEN 1 THEN 'discount_pct' ELSE 'coupon' END AS promo_type,
   CAST(p_partkey % 50 AS DOUBLE) / 100 AS discount_value, CAST(DATE '1995-06-01' + CAST((p_partkey * 13) % 2000 AS INT) AS DATE) AS start_date,
   CAST(DATE '1995-06-01' + CAST((p_partkey * 13) % 2000 + 5 + p_partkey % 30 AS INT) AS DATE) AS end_date FROM part WHERE p_partkey % 7 = 0),

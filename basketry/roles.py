@@ -28,6 +28,7 @@ def clean(spark: SparkSession, sf_dir: str) -> Tables:
     products = read("part").select(
         F.col("p_partkey").alias("product_id"), F.col("p_type").alias("department"), F.col("p_brand").alias("category"), F.col("p_name").alias("brand"),
         F.expr("p_partkey % 4 = 0").alias("private_label"), F.col("p_retailprice").alias("unit_price"), F.expr("10 + p_size").alias("typical_days"),
+        F.expr("cast(1 + p_size % 6 as int)").alias("pack_size"), F.expr("p_partkey % 3 = 0").alias("perishable"),
     )
     promotions = read("part").where("p_partkey % 7 = 0").select(
         F.col("p_partkey").alias("promotion_id"), F.col("p_partkey").alias("product_id"),

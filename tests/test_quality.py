@@ -58,7 +58,7 @@ def test_ntile_of_any_size(spark):
     for n in (1, 3, 5, 23):
         df = spark.range(n).select(F.col("id").alias("customer_id"), (F.col("id") * 7 % 5).alias("v"))
         want = df.select("customer_id", F.ntile(5).over(W.orderBy("v", "customer_id")).alias("t"))
-        assert sorted(map(tuple, segments._tiles(df, "v", True, 5, "t").collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(map(tuple, segments.with_tile(df, F.asc("v"), 5, "t").select("customer_id", "t").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_sign_before_repeats(spark):

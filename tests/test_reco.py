@@ -107,4 +107,92 @@ def test_latent_query_uses_the_production_settings(spark, monkeypatch):
     monkeypatch.setattr(reco_queries.ca, "fit_latent", lambda counts, *args, **options: seen.append((args, options)))
     monkeypatch.setattr(reco_queries.ca, "from_latent", lambda q, model, *args, **options: seen.append((args, options)) or q)
     queries()["cand_latent"](spark, "/root/testdata/sf0.001")
-    assert seen == [((), {}), ((), {})]
+    assert seen == [((), {}), ((), {})] and candidates.POPULAR == 150 and candidates.CATEGORIES == 62
+
+
+def test_category_ranks_by_hand(spark):
+    """Shares are of the customer's days; need doubles what is due, so a due category passes a more frequent one."""
+    category = spark.createDataFrame([("q", "a", 3, 0, 0.5), ("q", "b", 2, 1, 1.0), ("q", "c", 2, 0, 0.9), ("q", "d", 1, 1, 9.0)], "query_id string, category string, n_days long, due int, overdue_ratio double")
+    customer = spark.createDataFrame([("q", 4)], "query_id string, n_days long")
+    got = {r["category"]: (r["share"], r["freq_rank"], r["need_rank"]) for r in candidates.with_category_ranks(category, customer).collect()}
+    # needs: a 3, b 4, c 2, d 2
+    assert got == {"a": (0.75, 1, 2), "b": (0.5, 2, 1), "c": (0.5, 2, 3), "d": (0.25, 3, 3)}
+
+
+def test_due_baseline_by_hand(spark):
+    q = spark.createDataFrame([("q", h.day("2025-02-01"))], "query_id string, basket_day date")
+    none = spark.createDataFrame([], "query_id string, product_id long")
+    history = spark.createDataFrame([("q", "a", 3, 0), ("q", "b", 2, 1), ("q", "c", 5, 0)], "query_id string, category string, n_days long, due int")
+    categories = spark.createDataFrame([(c, 10 - i) for i, c in enumerate("abcd")], "category string, n long")
+    products = h.products(spark, [(1, "a", 9)])
+    scores = {r["category"]: r["score"] for r in ranking.baseline_scores("due", q, categories, none, history, None, None, products).collect()}
+    assert scores == {"a": 3.0, "b": 4.0, "c": 5.0, "d": -1.0}
+    frequency = {r["category"]: r["score"] for r in ranking.baseline_scores("frequency", q, categories, none, history, None, None, products).collect()}
+    assert frequency == {"a": 3.0, "b": 2.0, "c": 5.0, "d": -1.0}
+
+
+def test_paired_bootstrap_wants_the_same_queries(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 0.0)], "query_id string, m double")
+    clusters = a.select("query_id", F.col("query_id").alias("cluster"))
+    with pytest.raises(Exception, match="only one system has the query"):
+        ranking.paired_bootstrap(a, a.where("query_id = 'x'"), clusters, "m", 10).collect()
+
+
+def test_places_over_hot_values(spark):
+    from pyspark.sql import Window as W
+
+    from basketry.functions.ranks import placed, quantiles
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11).alias("v"), (F.col("id") % 2).alias("g"))
+    want = {r["id"]: r["r"] for r in df.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.desc("v"), "id"))).collect()}
+    got = placed(df, [F.desc("v"), "id"], "r", ("g",), total="n").collect()
+    assert {r["id"]: r["r"] for r in got} == want and {r["n"] for r in got} == {2500}
+    assert placed(df.where("false"), ["v", "id"], "r").count() == 0
+    x = df.select(F.when(F.col("id") % 5 > 0, F.col("id") * 0.37).alias("x"))
+    shares = (0.0, 0.25, 0.5, 0.77, 1.0)
+    exact = x.agg(*[F.percentile("x", F.lit(s)) for s in shares]).first()
+    assert [round(v, 9) for v in quantiles(x, "x", shares, "p").first()] == [round(v, 9) for v in exact]
+
+
+def ranking_rows(spark, n=60, pool=12):
+    rows = []
+    for i in range(n):
+        for p in range(pool):
+            good = (i * 7 + p * 5) % pool
+            rows.append((f"q{i}", p, 2 if good == 0 else 1 if good == 1 else 0, float(good), float((i * 13 + p) % 7), i >= 2 * n // 3))
+    return spark.createDataFrame(rows, "query_id string, product_id long, relevance int, f1 double, f2 double, is_validation boolean")
+
+
+def test_lambdas_by_hand(spark):
+    import math
+
+    rows = spark.createDataFrame([("q", 1, 0.0, 0.0), ("q", 2, 3.0, 0.0)], "query_id string, product_id long, gain double, score double")
+    got = {r["product_id"]: r for r in ranking.lambdas(rows).collect()}
+    swap = 3 * (1 - 1 / math.log2(3)) / 3
+    assert abs(got[2]["lam"] - 0.5 * swap) < 1e-12 and got[1]["lam"] == -got[2]["lam"] and abs(got[1]["hess"] - 0.25 * swap) < 1e-12
+
+
+def test_listwise_ranker(spark, tmp_path):
+    matrix = ranking_rows(spark)
+    model, curve = ranking.fit_lambda_ranker(matrix, ("f1", "f2"), rounds=6, depth=3)
+    assert curve[-1] > 0.99 and len(model.stages[-1].trees) <= 6
+    again = ranking.rank_with(model, matrix, ("f1", "f2")).withColumn("gain", ranking.gain_of())
+    assert abs(ranking.mean_ndcg(again.where("is_validation")) - max(curve)) < 1e-6
+    ranking.save_ranker(model, f"{tmp_path}/m", ("f1", "f2"))
+    back, features_ = ranking.load_ranker(spark, f"{tmp_path}/m", ("f1", "f2"))
+    assert features_ == ("f1", "f2")
+    scores = lambda m: [r["score"] for r in ranking.rank_with(m, matrix, ("f1", "f2")).orderBy("query_id", "product_id").limit(20).collect()]
+    assert scores(back) == scores(model)
+    with pytest.raises(ValueError):
+        ranking.load_ranker(spark, f"{tmp_path}/m", ("f2", "f1"))
+
+
+def test_early_stopping_keeps_the_best(spark):
+    """Validation that can't be learnt ends the rounds."""
+    noise = ranking_rows(spark).withColumn("f1", F.when(F.col("is_validation"), F.hash("query_id", "product_id") % 100).otherwise(F.col("f1")).cast("double"))
+    model, curve = ranking.fit_lambda_ranker(noise, ("f1", "f2"), rounds=12, depth=3, patience=2)
+    assert len(curve) < 12 and len(model.stages[-1].trees) == curve.index(max(curve)) + 1
+
+
+def test_the_contract_of_the_matrix():
+    assert len(features.FEATURES) == len(set(features.FEATURES)) == 60
