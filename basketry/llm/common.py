@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: the shared folder and row keys."""
+"""What the operators of this subpackage share: row keys, pieces of batches, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,38 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Used only where no shared folder is set.
-_own = ""
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is missing (tests on one machine) is a temporary folder used.
-    The folder goes when the driver's JVM ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        global _own
-        root = _own = _own or "file://" + tempfile.mkdtemp(prefix="basketry-")
-    if "://" not in root and root.startswith("/") and not root.startswith("//"):
-        local = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-        root = "file://" + root if local.startswith("file:") else root
-    out = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return out
-
-
-def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends here."""
-    out = shared_dir(df.sparkSession) + "/t"
-    df.write.option("compression", codec).parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+from ..shared import forget, saved, shared_dir  # noqa: F401
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -1,21 +1,24 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
 A window is ``WINDOW`` consecutive words. In every window the ``GRAM``-word gram with the
-smallest hash is its anchor; equal windows have equal anchors, wherever they stand.
-
-1. Index: the anchors of all documents, each with the hash of the words up to the next
-   one. The document with the smallest id that has an anchor is its reference block.
-2. Parse: a document is factored greedily against the reference blocks: a factor starts
-   at an anchor that a smaller document has, and runs on from anchor to anchor as long as
-   the same block has the same words at the same distances. All windows inside a factor
-   start in a smaller document.
+smallest hash is its anchor; equal windows have equal anchors, wherever they stand. The words
+from an anchor to the end of the next one are a link; a document is a chain of links.
+
+1. Index: the anchors of all documents, each with the hash of its link. Every block of every
+   document is indexed; an anchor has a reference block for each link that follows it
+   anywhere, that of the smallest document.
+2. Parse: a document is factored greedily against the reference blocks. A factor starts at an
+   anchor whose link a smaller document has, and runs on from link to link as long as the next
+   one has its reference in the same document, right behind. All windows inside a factor start
+   in a smaller document.
 3. Factor boundaries: a window that holds a shared anchor but lies in no factor (it
-   crosses a boundary, or its block has other words around) is looked up by a 96-bit hash
-   among all such windows; the smallest document with it decides. The first document with
-   a window never has it inside a factor, so what is looked up is complete.
+   crosses a boundary, or was changed near it) is looked up by a 96-bit hash among all such
+   windows; the smallest document with it decides. The first document with a window never has
+   it inside a factor, so what is looked up is complete.
 
 What windows share no anchor with another document leaves in step 1. Long copies thus cost
-an entry for every twenty words or so, not one for each window.
+an entry for every twenty words or so, not one for each window. Words are compared by hashes of
+64 bits for an anchor and 64 for its link, and of 96 for a window.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, columns, pieces, release, row_key, saved
+from .common import as_bytes, columns, forget, pieces, release, row_key, saved
 
 WINDOW, GRAM = 50, 10
 #: Distinct words whose hashes a task remembers before it forgets all of them.
@@ -116,7 +119,7 @@ class Parser:
                 mine = holds[start : end - self.window + 1]
                 places = mine[np.concatenate(([True], mine[1:] != mine[:-1]))]
                 links = np.zeros(len(places), np.uint64)
-                links[:-1] = self.rolling.ranges(self.first, places[:-1], places[1:], 0)
+                links[:-1] = self.rolling.ranges(self.first, places[:-1], places[1:] + k, 0) | np.uint64(1)
                 out.append((places - start, g[places], links, mine - start))
             start = end
         return words, out
@@ -136,8 +139,8 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def index_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The written index: ``key, doc_id, n_words, sha256, hashes, places, links`` a document.
 
-    ``links`` has the hash of the words from an anchor to the next one. Rows without id
-    have no anchors.
+    ``links`` has the hash of the words from an anchor to the end of the next one, 0 for the last.
+    Rows without id have no anchors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,26 +168,25 @@ def index_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 
 def shared_anchors(index: DataFrame) -> DataFrame:
-    """Written, per document: ``key, shared``: its anchors that other documents have.
+    """Written, per document: ``key, shared``: its anchors that other documents have too.
 
-    Each with its reference block: (place, doc, place there, link there).
+    Each with the reference block of its link: (place, doc, place there); the document itself
+    where no other one has the link.
     """
     each = index.select("key", "doc_id", F.explode(F.arrays_zip("hashes", "places", "links")).alias("a")).select(
         "key", "doc_id", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"), F.col("a.links").alias("link")
     )
-    blocks = (
-        each.groupBy("hash")
-        .agg(F.min(F.struct("doc_id", "place", "link")).alias("block"), F.max("doc_id").alias("last"))
-        .where(F.col("block.doc_id") < F.col("last"))
-        .drop("last")
-    )
-    # written, so that both sides of the join are dealt anew and a common anchor can be split
-    found = each.select("key", "hash", "place").join(saved(blocks), "hash")
-    return saved(
-        found.groupBy("key").agg(
-            F.collect_list(F.struct("place", F.col("block.doc_id").alias("doc"), F.col("block.place").alias("there"), F.col("block.link").alias("link"))).alias("shared")
-        )
+    ends = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    # written, so that both sides of the joins are dealt anew and a common anchor or link can be split
+    common = saved(ends.where("first < last").select("hash"))
+    found = saved(each.join(common, "hash"))
+    blocks = saved(found.where("link <> 0").groupBy("hash", "link").agg(F.min(F.struct("doc_id", "place")).alias("block")))
+    known = found.join(blocks, ["hash", "link"], "left").select(
+        "key", F.struct("place", F.coalesce("block.doc_id", "doc_id").alias("doc"), F.coalesce("block.place", "place").alias("there")).alias("s")
     )
+    out = saved(known.groupBy("key").agg(F.collect_list("s").alias("shared")))
+    forget(common, found, blocks)
+    return out
 
 
 def parse(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -203,14 +205,14 @@ def parse(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int =
             column = batch.column("shared")
             inner = column.flatten()
             offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-            fields = {c: inner.field(c).to_numpy(zero_copy_only=False) for c in ("place", "doc", "there", "link")}
+            fields = {c: inner.field(c).to_numpy(zero_copy_only=False) for c in ("place", "doc", "there")}
             factors, high, low, starts, base = [], [], [], [], 0
             for row, (doc_id, mine) in enumerate(zip(batch.column("doc_id").to_pylist(), found, strict=True)):
-                places, _, links, by_window = mine
+                places, by_window = mine[0], mine[3]
                 part = {c: v[offsets[row] : offsets[row + 1]] for c, v in fields.items()}
                 order = np.unique(part["place"], return_index=True)[1]  # repeated rows come twice
                 part = {c: v[order] for c, v in part.items()}
-                spans = _factors(doc_id, part, places, links, window, gram)
+                spans = _factors(doc_id, part, places, window, gram)
                 n = len(by_window)
                 held = np.zeros(len(lists[row]) + 1, bool)
                 held[part["place"]] = True
@@ -239,29 +241,25 @@ def parse(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int =
     return saved(rows.select(F.monotonically_increasing_id().alias("no"), "*"))
 
 
-def _factors(doc_id, part: dict, places: np.ndarray, links: np.ndarray, window: int, gram: int) -> list[tuple[int, int]]:
-    """Greedy factors, as spans of a window at least; ``part`` is sorted by place."""
-    if not len(part["place"]):
+def _factors(doc_id, part: dict, places: np.ndarray, window: int, gram: int) -> list[tuple[int, int]]:
+    """Greedy factors, as spans of a window at least; ``part`` has the shared anchors, sorted by place."""
+    place, doc, there = part["place"], part["doc"], part["there"]
+    if not len(place):
         return []
-    rank = np.searchsorted(places, part["place"])
-    own = links[rank].view(np.int64)
-    place, doc, there, link = (part[c] for c in ("place", "doc", "there", "link"))
-    smaller = doc < doc_id
-    on = (
-        smaller[:-1] & (rank[1:] == rank[:-1] + 1) & (doc[1:] == doc[:-1])
-        & (there[1:] - there[:-1] == place[1:] - place[:-1]) & (link[:-1] == own[:-1])
-    )
+    rank, smaller = np.searchsorted(places, place), doc < doc_id  # the last anchor has no link and no smaller reference
+    on = smaller[:-1] & smaller[1:] & (rank[1:] == rank[:-1] + 1) & (doc[1:] == doc[:-1]) & (there[1:] - there[:-1] == place[1:] - place[:-1])
     edges = np.flatnonzero(np.concatenate(([True], ~on, [True])))
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        s, e = int(place[a]), int(place[b - 1]) + gram
-        if smaller[a] and e - s >= window:
-            out.append((s, e))
+        if smaller[a]:
+            s, e = int(place[a]), int(places[rank[b - 1] + 1]) + gram
+            if e - s >= window:
+                out.append((s, e))
     return out
 
 
-def boundary_windows(parsed: DataFrame) -> DataFrame:
-    """``no, starts``: the looked-up windows of each document that a smaller one has."""
+def boundary_windows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``no, dup``: the looked-up windows of each document that a smaller one has; and the written table that this reads."""
     each = parsed.select("no", "doc_id", F.explode(F.arrays_zip("high", "low", "starts")).alias("w")).select(
         "no", "doc_id", F.col("w.high").alias("high"), F.col("w.low").alias("low"), F.col("w.starts").alias("start")
     )
@@ -270,37 +268,51 @@ def boundary_windows(parsed: DataFrame) -> DataFrame:
     first = saved(first)
     release(parsed.sparkSession)
     found = each.join(first, ["high", "low"]).where("first < doc_id")
-    return found.groupBy("no").agg(F.collect_list("start").alias("dup"))
+    return found.groupBy("no").agg(F.collect_list("start").alias("dup")), first
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The index, and ``key, spans`` of the documents with spans: sorted (start, end) in words, which may overlap."""
+    """The index, and ``key, spans, in_factors`` of the documents with spans.
+
+    ``spans`` are sorted (start, end) in words, which may overlap; ``in_factors`` counts the words in factors.
+    """
     index = index_anchors(docs, window, gram)
     shared = shared_anchors(index)
     release(docs.sparkSession)
     parsed = parse(docs, shared, window, gram)
+    forget(shared)
     release(docs.sparkSession)
-    both = parsed.select("no", "key", "factors").join(boundary_windows(parsed), "no", "left")
+    windows, owners = boundary_windows(parsed)
+    both = parsed.select("no", "key", "factors").join(windows, "no", "left")
     ranges = F.concat("factors", F.coalesce(F.transform("dup", lambda s: F.struct(s.cast("long").alias("start"), (s + window).cast("long").alias("end"))), F.array()))
-    spans = both.where(F.size(ranges) > 0).select("key", F.array_sort(ranges).alias("spans")).dropDuplicates(["key"])
+    spans = both.where(F.size(ranges) > 0).select("key", F.array_sort(ranges).alias("spans"), covered("factors").alias("in_factors")).dropDuplicates(["key"])
     spans = saved(spans)
+    forget(parsed, owners)
     release(docs.sparkSession)
     return index, spans
 
 
+def covered(spans: str) -> Column:
+    """The words in sorted spans, each once."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    add = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
+    return F.aggregate(spans, start, add)["n"]
+
+
 def repeated(index: DataFrame) -> bool:
     """Whether rows equal in id and text occur."""
     return index.groupBy("key").count().where("count > 1").limit(1).count() > 0
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per row of ``docs``: ``key, doc_id, n_words, n_removed, spans, kept, kept_sha256``.
+    """Per row of ``docs``: ``key, doc_id, n_words, n_removed, in_factors, spans, kept, kept_sha256``.
 
     A word goes if a window that covers it also starts in a document with a smaller id;
-    windows are judged on the input. ``kept`` is the text left, its words joined by one
-    space; null if nothing was removed. Null and empty texts have no words; texts shorter
-    than a window lose nothing; rows without id neither lose nor cause anything; rows
-    equal in id and text get equal results; other columns play no part.
+    windows are judged on the input. ``in_factors`` counts the words that factors alone cover.
+    ``kept`` is the text left, its words joined by one space; null if nothing was removed. Null and
+    empty texts have no words; texts shorter than a window lose nothing; very long ones are parsed
+    whole; rows without id neither lose nor cause anything; rows equal in id and text get equal
+    results; an empty table gives none; other columns play no part. Tables are written when called.
     """
     index, spans = duplicate_spans(docs, window, gram)
 
@@ -320,19 +332,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"), batch.column("spans"), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+                    batch.column("key"), batch.column("in_factors"), batch.column("spans"), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                 ],
-                ["key", "spans", "n_removed", "kept", "kept_sha256"],
+                ["key", "in_factors", "spans", "n_removed", "kept", "kept_sha256"],
             )
 
     texts = columns(docs, "doc_id", "text").select("text", row_key().alias("key")).where("text is not null")
     # rows equal in id and text come once
     cut = texts.join(spans, "key")
     if repeated(index):
-        cut = cut.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
-    cut = cut.mapInArrow(run, "key binary, spans array<struct<start: long, end: long>>, n_removed long, kept string, kept_sha256 string")
+        cut = cut.groupBy("key").agg(*[F.first(c).alias(c) for c in ("text", "spans", "in_factors")])
+    cut = cut.mapInArrow(run, "key binary, in_factors long, spans array<struct<start: long, end: long>>, n_removed long, kept string, kept_sha256 string")
     return index.select("key", "doc_id", "n_words", "sha256").join(cut, "key", "left").select(
-        "key", "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "spans", "kept",
+        "key", "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("in_factors", F.lit(0)).cast("long").alias("in_factors"), "spans", "kept",
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
     )

@@ -1,6 +1,6 @@
 import random
 
-from basketry.llm.substring_dedup import substring_dedup
+from basketry.llm.substring_dedup import covered, substring_dedup
 
 from .helpers import docs_of, odd_pairs, sample, sha
 
@@ -58,3 +58,23 @@ def test_empty_and_text(spark):
     body = [f"w{i}" for i in range(60)]
     rows = {r["doc_id"]: r for r in substring_dedup(docs_of(spark, [(1, " ".join(body)), (2, "a  b " + " ".join(body) + "\nc")])).collect()}
     assert rows[1]["kept"] is None and rows[2]["kept"] == "a b c" and rows[2]["n_removed"] == 60
+
+
+def test_factors_cover_copies(spark):
+    """A copy is one factor, also where one of its lines stands in an even smaller document; edges are looked up."""
+    line = " ".join(f"common{i}" for i in range(80))
+    body = lambda n, k: " ".join(f"{k}{i}" for i in range(n))
+    passage = body(150, "p") + " " + line + " " + body(150, "q")
+    pairs = [(1, body(60, "a") + " " + line + " " + body(60, "b")), (2, body(70, "c") + " " + passage), (3, passage + " " + body(30, "d")), (4, "x " + passage + " y")]
+    rows = {r["doc_id"]: r for r in substring_dedup(docs_of(spark, pairs)).collect()}
+    assert got(substring_dedup(docs_of(spark, pairs))) == plain(pairs)
+    assert rows[3]["n_removed"] == rows[4]["n_removed"] == 380 and rows[2]["n_removed"] == 80
+    assert rows[3]["in_factors"] > 150 and rows[4]["in_factors"] > 150
+    long = body(5000, "w")
+    rows = {r["doc_id"]: r for r in substring_dedup(docs_of(spark, [(1, long), (2, long)])).collect()}
+    assert rows[2]["n_removed"] == 5000 and rows[2]["in_factors"] > 4850
+
+
+def test_covered(spark):
+    df = spark.createDataFrame([([(0, 5), (3, 9), (20, 25), (21, 22)],), ([],)], "s array<struct<start: long, end: long>>")
+    assert [r[0] for r in df.select(covered("s")).collect()] == [14, 0]
