@@ -31,7 +31,21 @@ def test_against_sql(spark, name):
     assert text(map(tuple, got.collect())) == text(rel.fetchall())
 
 
-def test_without_the_llm_folders(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 100 and not any(x.startswith('op') for x in n), n; assert set(e.oracle_sql()) <= set(n)"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True)
+CODE = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 100 and not any(x.startswith('op') or x == 'pipeline' for x in n), n; assert set(e.oracle_sql()) <= set(n)"
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_without_the_llm_folders(tmp_path, pipeline):
+    """Without them, and with or without the pipeline's file, the rest imports; and its tests pass."""
+    gone = [".git", "__pycache__", "llm"] + ["corpus_pipeline.py"] * (not pipeline)
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(*gone))
+    subprocess.run([sys.executable, "-B", "-c", CODE], cwd=tmp_path / "r", check=True)
+    if pipeline:
+        subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-x", "-q", "-k", "not without_the_llm"], cwd=tmp_path / "r", check=True)
+
+
+def test_a_broken_import_is_an_error(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (tmp_path / "r" / "basketry" / "llm" / "pii.py").write_text("import nothing_of_this_name\n")
+    run = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path / "r", capture_output=True, text=True)
+    assert run.returncode and "nothing_of_this_name" in run.stderr
