@@ -28,13 +28,17 @@ def placed(df: DataFrame, order: list[Column | str], name: str, by: tuple[str, .
     return out if total else out.drop("_total")
 
 
-def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], prefix: str) -> DataFrame:
-    """One row with exact quantiles ``prefix0, prefix1, ...``, between the two nearest values as ``percentile`` takes them; nulls don't count."""
-    known = placed(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), ["v"], "i", total="n")
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], prefix: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each group of ``by`` with exact quantiles ``prefix0, prefix1, ...``, between the two nearest values as ``percentile`` takes them.
+
+    Nulls don't count. No task holds all distinct values.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_id"))
+    known = placed(known, ["_v", "_id"], "_i", by, total="_n")
     out = []
     for k, s in enumerate(shares):
-        at = F.lit(s) * (F.col("n") - 1)
+        at = F.lit(s) * (F.col("_n") - 1)
         low = F.floor(at)
-        weight = F.when(F.col("i") == low + 1, 1 - (at - low)).when(F.col("i") == low + 2, at - low).otherwise(0.0)
-        out.append(F.sum(F.when(weight > 0, F.col("v") * weight)).alias(f"{prefix}{k}"))
-    return known.agg(*out)
+        weight = F.when(F.col("_i") == low + 1, 1 - (at - low)).when(F.col("_i") == low + 2, at - low).otherwise(0.0)
+        out.append(F.sum(F.when(weight > 0, F.col("_v") * weight)).alias(f"{prefix}{k}"))
+    return known.groupBy(*by).agg(*out)

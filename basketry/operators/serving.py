@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fn import fixed, ratio, uniform
+from ..functions.ranks import quantiles
+from ..shared import forget, saved
 
 # --- one query, the same code as in batch ------------------------------------------------
 
@@ -18,29 +22,16 @@ def one_query(spark, query_id: str, customer_id: int | None, day: str, channel:
     return q, spark.createDataFrame([(query_id, int(p)) for p in cart], "query_id string, product_id long")
 
 
-def recommend(spark, t: dict[str, DataFrame], customer_id: int | None, day: str, cart: list[int], k: int = 5, channel: str = "web") -> DataFrame:
-    """``product_id, category, score, rank``: the best candidates of all sources for one cart, by summed scores."""
-    from . import affinity, candidates, features, ranking, splits
+#: Parts of the bundle's tables by customer.
+BUCKETS = 64
 
-    q, prefix = one_query(spark, "live", customer_id, day, channel, cart)
-    history = splits.before(t["baskets"], day)
-    items = splits.restrict(t["items"], history)
-    past = candidates.asof_history(q, history, items, t["products"], t["customers"])
-    popular = candidates.popularity(history, items)
-    sources = {
-        "pop": candidates.from_popularity(q, popular, candidates.category_popularity(popular, t["products"])),
-        "aff": candidates.from_product_affinity(prefix, affinity.cooccurrence(affinity.basket_items(items, t["products"], "product"), 2)),
-        "hist": candidates.from_history(past["product"], past["category"], t["products"]),
-    }
-    pool = candidates.union_sources(q, candidates.in_cart(prefix), **sources).join(t["products"].select("product_id", "category"), "product_id")
-    cats = features.cart_features(prefix, t["products"])[0]
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    scored = pool.join(cats, ["query_id", "category"], "left").withColumns({"score": fixed(z("pop_score") + z("aff_lift") + 5 * z("personal_score"), 4), "cat_in_cart": F.coalesce("cat_in_cart", F.lit(0))})
-    return ranking.top_k(scored, k).select("product_id", "category", "score", "rank")
+
+def _bucket(customer: Column) -> Column:
+    return F.pmod(F.xxhash64(customer.cast("long")), F.lit(BUCKETS)).cast("int")
 
 
 def export_bundle(t: dict[str, DataFrame], day: str, folder: str, latent_top: int = 0) -> list[str]:
-    """The fitted sources of a day and customers' histories as Parquet, for lookups by key; the names written.
+    """The fitted sources of a day, customers' histories and the dimensions as Parquet, for lookups by key; the names written.
 
     Histories are partitioned by a bucket of the customer, so that a lookup reads one part.
     """
@@ -49,22 +40,71 @@ def export_bundle(t: dict[str, DataFrame], day: str, folder: str, latent_top: in
 
     history = splits.before(t["baskets"], day)
     items = splits.restrict(t["items"], history)
-    popular = candidates.popularity(history, items)
+    popular = saved(candidates.popularity(history, items))
     bought = candidates.customer_products(history, items)
-    bucket = F.pmod(F.xxhash64("customer_id"), F.lit(64)).cast("int")
+    bucket = _bucket(F.col("customer_id"))
+    known = history.where("customer_id is not null").withColumn("bucket", bucket)
     tables = {
         "popularity": popular, "category_popularity": candidates.category_popularity(popular, t["products"]),
         "affinity_product": affinity.cooccurrence(affinity.basket_items(items, t["products"], "product"), 2, top=20),
         "affinity_category": affinity.cooccurrence(affinity.basket_items(items, t["products"])),
         "leaders": candidates.category_leaders(history, items, t["products"]), "customer_products": bought.withColumn("bucket", bucket),
+        "customer_baskets": known.select("customer_id", "basket_id", "basket_day", "total_amount", "bucket"),
+        "customer_lines": t["items"].join(known.select("basket_id", "customer_id", "bucket"), "basket_id").select("customer_id", "basket_id", "product_id", "quantity", "bucket"),
+        "products": t["products"], "customers": t["customers"], "promotions": t["promotions"],
     }
     if latent_top:
-        model = candidates.fit_latent(bought)
-        tables["latent"] = model.recommendForAllUsers(latent_top)
-    write_tables(tables, folder, {"customer_products": ["bucket"]})
+        found = candidates.fit_latent(bought).recommendForAllUsers(latent_top).select(F.col("customer_id").cast("long").alias("customer_id"), F.posexplode("recommendations").alias("at", "rec"))
+        tables["latent"] = found.select("customer_id", F.col("rec.product_id").cast("long").alias("product_id"), F.col("rec.rating").cast("double").alias("als_score"), (F.col("at") + 1).alias("als_rank")).withColumn("bucket", bucket)
+    write_tables(tables, folder, {n: ["bucket"] for n, df in tables.items() if "bucket" in df.columns})
+    forget(popular)
     return list(tables)
 
 
+def pool_for(spark, folder: str, customer_id: int | None, day: str, cart: list[int], channel: str = "web") -> tuple[DataFrame, DataFrame]:
+    """The candidates of all sources for one cart, by lookups in an exported bundle, and their feature matrix.
+
+    The functions are those that rank batches; a customer's tables are read from one bucket.
+    """
+    from ..sources.files import exists
+    from . import candidates, features
+
+    read = lambda n: spark.read.parquet(f"{folder}/{n}")
+    mine = lambda n: read(n).where((F.col("bucket") == _bucket(F.lit(customer_id))) & (F.col("customer_id") == F.lit(customer_id).cast("long"))).drop("bucket")
+    q, prefix = one_query(spark, "live", customer_id, day, channel, cart)
+    products = read("products")
+    past = candidates.asof_history(q, mine("customer_baskets"), mine("customer_lines").drop("customer_id"), products, read("customers"))
+    sources = {
+        "pop": candidates.from_popularity(q, read("category_popularity")), "aff": candidates.from_product_affinity(prefix, read("affinity_product")),
+        "cataff": candidates.from_category_affinity(prefix, products, read("affinity_category"), read("leaders")), "hist": candidates.from_history(past["product"], past["category"], products),
+    }
+    if exists(spark, f"{folder}/latent"):
+        sources["als"] = mine("latent").select(F.lit("live").alias("query_id"), "product_id", "als_score", "als_rank")
+    pool = candidates.union_sources(q, candidates.in_cart(prefix), **sources)
+    seen = spark.createDataFrame([], "query_id string, product_id long, event_type string, event_ts timestamp_ntz, cut_ts timestamp_ntz")
+    return pool, features.build_matrix(pool, q, prefix, past, read("popularity"), products, read("customers"), read("promotions"), seen)
+
+
+def recommend(spark, folder: str, customer_id: int | None, day: str, cart: list[int], k: int = 5, channel: str = "web", ranker=None) -> DataFrame:
+    """``product_id, category, score, rank``: the best candidates for one cart, from an exported bundle.
+
+    ``ranker`` is a fitted model of ``features.FEATURES``, or the folder where ``ranking.save_ranker``
+    put one; without it the sources' scores are summed.
+    """
+    from . import features, ranking
+
+    pool, matrix = pool_for(spark, folder, customer_id, day, cart, channel)
+    if isinstance(ranker, str):
+        ranker, _ = ranking.load_ranker(spark, ranker, features.FEATURES)
+    if ranker is not None:
+        scored = ranking.rank_with(ranker, matrix, features.FEATURES)
+    else:
+        z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        own = pool.select("query_id", "product_id", "personal_score")
+        scored = matrix.join(own, ["query_id", "product_id"]).withColumn("score", fixed(z("pop_score") + z("aff_lift") + z("cataff_lift") + 5 * z("personal_score"), 4))
+    return ranking.top_k(scored, k).select("product_id", "category", "score", "rank")
+
+
 def slice_for(tables: dict[str, DataFrame], customers: DataFrame) -> dict[str, DataFrame]:
     """Tables cut to some customers; those without a customer_id stay whole."""
     chosen = customers.select("customer_id").distinct()
@@ -79,7 +119,10 @@ def scenarios(customers: DataFrame, risk: str = "p_churn", spend: str = "spend_9
 
     A rule whose quantile doesn't separate (equal to the other one) is off.
     """
-    cuts = customers.agg(*[F.percentile(c, F.lit(p)).alias(f"{c}_{n}") for c in (risk, spend, visits) for n, p in (("lo", low), ("hi", high))])
+    cuts = None
+    for c in dict.fromkeys((risk, spend, visits)):
+        one = quantiles(customers, c, (low, high), c).toDF(f"{c}_lo", f"{c}_hi")
+        cuts = one if cuts is None else cuts.crossJoin(F.broadcast(one))  # one row each
     both = customers.crossJoin(F.broadcast(cuts))
     on = lambda c: F.col(f"{c}_hi") > F.col(f"{c}_lo")
     name = (
@@ -97,11 +140,6 @@ def spread_pick(scored: DataFrame, group: str, n: int, key: str = "customer_id")
     return placed.where((F.col("_i") % step == 0) & (F.col("_i") / step < n)).drop("_i", "_n")
 
 
-def risk_label(p: Column | str, lo: Column, hi: Column) -> Column:
-    p = F.col(p) if isinstance(p, str) else p
-    return F.when(p >= hi, "high").when(p >= lo, "medium").otherwise("low")
-
-
 # --- explanations -------------------------------------------------------------------------
 
 
@@ -171,17 +209,25 @@ def group_table(products: DataFrame) -> DataFrame:
     return products.groupBy(slugify(F.concat_ws(" ", "department", "category")).alias("slug")).agg(F.count(F.lit(1)).alias("n_products"), F.concat_ws(", ", F.array_sort(F.collect_set("brand"))).alias("brands"))
 
 
-def hamming_pairs(hashes: DataFrame, most: int = 8, bands: int = 16) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, most: int = 8, bands: int = 16, halves: int = 2) -> DataFrame:
     """``a, b, distance``: 64-bit hashes that differ in at most ``most`` bits.
 
-    By the pigeonhole principle such hashes agree in one of ``most + 1`` bands at least, so
-    equal bands are an equi-join and no pair is missed; ``bands`` must be above ``most``.
+    Of ``bands`` bands at least ``bands - most`` agree, and so, in one of ``halves`` parts of the bands,
+    ``ceil((bands - most) / halves)``: every choice of so many bands of a part is a key of an
+    equi-join, and no pair is missed. At the defaults these are 140 keys of 16 bits a hash, which a
+    random pair shares with a chance of one in 470.
     """
-    if bands <= most or 64 % bands:
-        raise ValueError("bands must divide 64 and be above most")
-    width = 64 // bands
-    band = lambda i: F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1))
-    each = hashes.select("id", "hash", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), band(i).alias("v")) for i in range(bands)])).alias("k"))
+    if bands <= most or 64 % bands or bands % halves:
+        raise ValueError("bands must divide 64, be above most, and divide into parts")
+    width, size = 64 // bands, bands // halves
+    need = -(-(bands - most) // halves)
+    masks = []
+    for part in range(halves):
+        for chosen in combinations(range(part * size, (part + 1) * size), need):
+            mask = sum(((1 << width) - 1) << (band * width) for band in chosen)
+            masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    keys = F.transform(F.lit(masks).cast("array<bigint>"), lambda m, i: F.struct(i.alias("i"), F.col("hash").bitwiseAND(m).alias("v")))
+    each = hashes.select("id", "hash", F.explode(keys).alias("k"))
     left, right = each.toDF("a", "ha", "k"), each.toDF("b", "hb", "k")
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     return left.join(right, "k").where("a < b").select("a", "b", d.alias("distance")).where(F.col("distance") <= most).distinct()
@@ -226,6 +272,3 @@ def defect(df: DataFrame, column: str, value: Column, rate: float, key: str, sal
 def mean_hits(precision: Column | str, k: int) -> Column:
     return fixed((F.col(precision) if isinstance(precision, str) else precision) * k, 4)
 
-
-def share_of(df: DataFrame, part: str, whole: str, name: str) -> DataFrame:
-    return df.withColumn(name, ratio(part, whole))

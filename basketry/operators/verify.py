@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fn import count_if, fixed, ratio
+from ..functions.ranks import quantiles
+from ..shared import saved
 from .affinity import basket_items
 
 
@@ -118,9 +120,11 @@ def churn_signal(customers: DataFrame, baskets: DataFrame, window: int = 90) ->
     ).where("n_base > 0")
     base_days = F.datediff("last", "first") - window + 1
     rates = per.select("customer_id", (ratio("n_recent", F.lit(window)) / ratio("n_base", base_days)).alias("v"), ratio("t_recent", "t_base").alias("t"))
-    return rates.join(customers.select("customer_id", "churn_label"), "customer_id").groupBy("churn_label").agg(
-        F.count(F.lit(1)).alias("n"), fixed(F.percentile("v", F.lit(0.5)), 4).alias("visit_ratio"), fixed(F.percentile("t", F.lit(0.5)), 4).alias("ticket_ratio")
-    )
+    both = saved(rates.join(customers.select("customer_id", "churn_label"), "customer_id"))
+    out = both.groupBy("churn_label").agg(F.count(F.lit(1)).alias("n"))
+    for value, name in (("v", "visit_ratio"), ("t", "ticket_ratio")):
+        out = out.join(quantiles(both, value, (0.5,), name, ("churn_label",)), "churn_label", "left").withColumn(name, fixed(f"{name}0", 4)).drop(f"{name}0")
+    return out
 
 
 def quality_issues(raw: dict[str, DataFrame]) -> DataFrame:
@@ -130,7 +134,7 @@ def quality_issues(raw: dict[str, DataFrame]) -> DataFrame:
     def rate(name: str, df: DataFrame, condition) -> DataFrame:
         return df.agg(F.lit(name).alias("issue"), count_if(condition).alias("n"), fixed(100 * F.avg(F.coalesce(condition.cast("double"), F.lit(0.0))), 4).alias("pct"))
 
-    q = baskets.agg(F.percentile("total_amount", F.lit(0.25)).alias("q1"), F.percentile("total_amount", F.lit(0.75)).alias("q3"))
+    q = quantiles(baskets, "total_amount", (0.25, 0.75), "q").toDF("q1", "q3")
     parts = [
         rate("negative_quantity", items, F.col("quantity") < 0), rate("missing_city", customers, F.col("city").isNull()), rate("missing_brand", products, F.col("brand").isNull()),
         rate("inverted_promotion", promotions, F.col("end_date") < F.col("start_date")), rate("total_outlier", baskets.crossJoin(F.broadcast(q)), F.col("total_amount") > F.col("q3") + 3 * (F.col("q3") - F.col("q1"))),

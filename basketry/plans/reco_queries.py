@@ -665,3 +665,15 @@ def _(t):
     model = rk.fit_ranker(full, fe.FEATURES)
     forget(full)
     return rk.importance(model, fe.FEATURES, t["products"].sparkSession)
+
+
+#: The served cart in SQL: the same definitions, with history up to its day and one query.
+_LIVE = """qs AS (SELECT 'live' AS query_id, CAST(7 AS BIGINT) AS customer_id, DATE '2000-06-15' AS basket_day),
+prefix AS (SELECT 'live' AS query_id, unnest([1, 2, 3]) AS product_id)"""
+_HB2 = "hb AS (SELECT * FROM baskets WHERE basket_day < DATE '2000-06-15'), hi AS (SELECT i.* FROM items i SEMI JOIN hb USING (basket_id))"
+_TOP20 = "paff AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY antecedent ORDER BY lift DESC, n_both DESC, consequent) AS rk FROM paff0) WHERE rk <= 20)"
+SERVE_SQL = ",".join([_HB2, _LIVE, CATPOP, CANDPOP, HAFF.replace("paff AS", "paff0 AS"), _TOP20, CANDAFF, HCAFF, LEADERS, CANDCAT, ASOF, CANDHIST]) + POOL[len(ALLC):] + """,
+sc AS (SELECT product_id, category, round((coalesce(pop_score, 0) + coalesce(aff_lift, 0) + coalesce(cataff_lift, 0) + 5 * coalesce(personal_score, 0)) * 10000) / 10000 AS score,
+  category IN (SELECT category FROM products WHERE product_id IN (1, 2, 3)) AS carted FROM pool JOIN products USING (product_id)),
+od AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, product_id) > 1 OR carted AS demoted FROM sc)
+SELECT * FROM (SELECT product_id, category, score, CAST(row_number() OVER (ORDER BY demoted, score DESC, product_id) AS INT) AS rank FROM od) WHERE rank <= 5"""

@@ -6,18 +6,27 @@ from pyspark.sql import functions as F
 
 from ..functions import fn
 from ..operators import serving as sv
+from ..shared import shared_dir
 from ..sources import files
 from . import steps
 from .nba_queries import CFEAT, PAIRS, Snapshot
-from .reco_queries import PARTS, POOL, QS, SCORED, Window, u
+from .reco_queries import PARTS, POOL, QS, SCORED, SERVE_SQL, Window, u
 from .registry import query
 
 PLAIN = "trim(regexp_replace(translate(lower({}), 'áàâäãåéèêëíìîïóòôöõúùûüñç', 'aaaaaaeeeeiiiiooooouuuunc'), '\\s+', ' ', 'g'))"
 
 
-@query("serve_recommend")
+SERVED = (7, "2000-06-15", [1, 2, 3])
+
+
+@query("serve_recommend", SERVE_SQL)
 def _(t):
-    return sv.recommend(t["items"].sparkSession, t, 7, "2000-06-15", [1, 2, 3])
+    """A cart of one customer, answered from an exported bundle."""
+    spark = t["items"].sparkSession
+    folder = shared_dir(spark)
+    customer, day, cart = SERVED
+    sv.export_bundle(t, day, folder)
+    return sv.recommend(spark, folder, customer, day, cart)
 
 
 @query("serve_slice", "SELECT basket_id, customer_id, channel FROM baskets WHERE customer_id % 50 = 0")
@@ -104,11 +113,11 @@ def _(t):
 HASHES = """h AS (SELECT product_id AS id, xor(CAST(concat('0x', substr(md5(CAST(product_id // 3 AS VARCHAR)), 1, 8)) AS BIGINT), CAST(pow(2, product_id % 3) AS BIGINT)) AS hash FROM products)"""
 
 
-@query("catalog_hash_pairs", HASHES + " SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6")
+@query("catalog_hash_pairs", HASHES + " SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 8")
 def _(t):
     base = F.conv(F.substring(F.md5(F.floor(F.col("product_id") / 3).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     hashes = t["products"].select(F.col("product_id").alias("id"), base.bitwiseXOR(F.pow(F.lit(2), F.col("product_id") % 3).cast("long")).alias("hash"))
-    return sv.hamming_pairs(hashes, 6, 8)
+    return sv.hamming_pairs(hashes)
 
 
 @query("catalog_merge_credits", "SELECT category AS slug, 'old' AS author FROM (SELECT DISTINCT category FROM products) WHERE category > 'Brand#2' UNION ALL SELECT DISTINCT category, 'new' FROM products WHERE category <= 'Brand#2'")
@@ -122,9 +131,12 @@ def _(t):
     return t["baskets"].where("basket_id = 77").select("basket_id", "channel")
 
 
-@query("file_manifest")
+@query("file_manifest", """
+m AS (SELECT 'customers' AS "table", to_json({'churn_label': churn_label, 'city': city, 'customer_id': customer_id, 'household_size': household_size, 'preferred_channel': preferred_channel, 'signup_date': CAST(signup_date AS VARCHAR), 'tier': tier}) AS j FROM customers
+  UNION ALL SELECT 'nations', to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}) FROM nation)
+SELECT "table", count(*) AS n_rows, CAST(CAST(sum(CAST(CAST(concat('0x', substr(sha256(CAST(j AS VARCHAR)), 1, 12)) AS BIGINT) AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS VARCHAR) AS digest FROM m GROUP BY 1""")
 def _(t):
-    return files.manifest({"customers": t["customers"], "products": t["products"]})
+    return files.manifest({"customers": t["customers"], "nations": t["nations"]})
 
 
 @query("fixture_defects", f"SELECT customer_id, CASE WHEN {u('customer_id', 'd')} < 0.1 THEN NULL ELSE city END AS city FROM customers")

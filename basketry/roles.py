@@ -59,7 +59,7 @@ def clean(spark: SparkSession, sf_dir: str) -> Tables:
     events = log.select(
         "session_id", "product_id", F.expr("CASE WHEN event_type IN ('click', 'purchase') THEN 'add_to_cart' ELSE 'view' END").alias("event_type"), F.col("ts").alias("event_ts")
     )
-    return {"customers": customers, "products": products, "promotions": promotions, "baskets": baskets, "items": items, "sessions": sessions, "events": events}
+    return {"customers": customers, "products": products, "promotions": promotions, "baskets": baskets, "items": items, "sessions": sessions, "events": events, "nations": read("nation")}
 
 
 def raw(spark: SparkSession, sf_dir: str) -> Tables:

@@ -84,15 +84,26 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A report of few rows as JSON on the driver."""
-    rows = [r.asDict(recursive=True) for r in df.limit(100_000).collect()]
+#: Rows that a report may have: it is written by the driver.
+REPORT_ROWS = 100_000
+
+
+def _few(df: DataFrame, most: int) -> list:
+    """The rows of a report; more than ``most`` are an error, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: write it as a table")
+    return rows
+
+
+def write_report(df: DataFrame, path: str, most: int = REPORT_ROWS) -> None:
+    """A report of few rows as JSON, written by the driver."""
+    rows = [r.asDict(recursive=True) for r in _few(df, most)]
     with open(path, "w") as f:
         json.dump(rows, f, default=str, indent=1)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small table as Markdown."""
-    rows = df.limit(most).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
+    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in _few(df, most))])

@@ -117,7 +117,9 @@ def test_hamming_pairs_miss_none(spark):
     hashes = [b ^ sum(1 << k for k in rng.sample(range(63), rng.randint(0, 10))) for b in base for _ in range(4)]
     df = spark.createDataFrame(list(enumerate(hashes)), "id long, hash long")
     want = {(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in range(80) for b in range(a + 1, 80) if (hashes[a] ^ hashes[b]).bit_count() <= 8}
-    assert set(map(tuple, serving.hamming_pairs(df, 8, 16).collect())) == want
+    assert set(map(tuple, serving.hamming_pairs(df).collect())) == want
+    signed = df.withColumn("hash", -F.col("hash"))
+    assert serving.hamming_pairs(signed, 6, 8).count() == sum((-hashes[a] & (1 << 64) - 1 ^ -hashes[b] & (1 << 64) - 1).bit_count() <= 6 for a in range(80) for b in range(a + 1, 80))
 
 
 def test_files(spark, tmp_path):

@@ -1,32 +1,56 @@
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry import roles
-from basketry.operators import serving, verify
+from basketry.operators import features, ranking, serving, verify
+from basketry.plans.reco_queries import TEST_START, Window
 from basketry.sources import files, tracking
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_recommend_leaves_the_cart_out(spark):
+def test_recommend_from_a_bundle(spark, tmp_path):
     t = roles.clean(spark, SF)
-    got = serving.recommend(spark, t, 7, "2000-06-15", [1, 2, 3], k=5).collect()
-    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and not {r["product_id"] for r in got} & {1, 2, 3}
-    assert len({r["category"] for r in got}) == 5
-    assert len(serving.recommend(spark, t, None, "2000-06-15", [], k=3).collect()) == 3
-
-
-def test_bundle_and_lookup(spark, tmp_path):
-    t = roles.clean(spark, SF)
-    names = serving.export_bundle(t, "2000-06-01", str(tmp_path))
+    names = serving.export_bundle(t, "2000-06-15", str(tmp_path))
     assert set(files.read_tables(spark, str(tmp_path), names)) == set(names)
     one = files.point_read(spark, f"{tmp_path}/customer_products", "customer_id", 7)
     assert {r["customer_id"] for r in one.collect()} == {7}
+    got = serving.recommend(spark, str(tmp_path), 7, "2000-06-15", [1, 2, 3], k=5).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and not {r["product_id"] for r in got} & {1, 2, 3}
+    assert len({r["category"] for r in got}) == 5
+    assert len(serving.recommend(spark, str(tmp_path), None, "2000-06-15", [], k=3).collect()) == 3
+    # one bucket is read
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
+    plan = serving.pool_for(spark, str(tmp_path), 7, "2000-06-15", [1])[0]._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", "8192")
+    assert len(re.findall(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = \d+\)\]", plan)) >= 2
     cut = serving.slice_for(t, t["customers"].where("customer_id = 7"))
     assert {r[0] for r in cut["baskets"].select("customer_id").collect()} == {7} and cut["products"].count() == t["products"].count()
 
 
+def test_served_and_batch_rankings_agree(spark, tmp_path):
+    """A query of the batch window on its first day, answered from a bundle of that day by the same trained ranker."""
+    t = roles.clean(spark, "/root/testdata/sf0.01")
+    w = Window(t)
+    first = w.q.where(F.col("basket_day") == TEST_START).where("customer_id is not null and prefix_size > 0").orderBy("query_id").first()
+    full = features.with_relevance(w.matrix(), w.target, t["products"])
+    ranker = ranking.fit_ranker(full, features.FEATURES, iterations=3, depth=3)
+    ranking.save_ranker(ranker, f"{tmp_path}/ranker", features.FEATURES)
+    serving.export_bundle(t, TEST_START, f"{tmp_path}/bundle")
+    cart = [r["product_id"] for r in w.prefix.where(F.col("query_id") == first["query_id"]).collect()]
+    _, live = serving.pool_for(spark, f"{tmp_path}/bundle", first["customer_id"], str(first["basket_day"]), cart, first["channel"])
+    batch = w.matrix().where(F.col("query_id") == first["query_id"])
+    # a live cart has no session, and is known by its customer
+    own = [f for f in features.FEATURES if f not in ("has_session", "viewed", "n_views", "view_age_s", "n_events", "is_known")]
+    rows = lambda df: sorted(map(tuple, df.select("product_id", "category", *own).collect()))
+    assert rows(live) == rows(batch) and len(rows(live)) > 100
+    served = serving.recommend(spark, f"{tmp_path}/bundle", first["customer_id"], str(first["basket_day"]), cart, channel=first["channel"], ranker=f"{tmp_path}/ranker").collect()
+    assert [r["rank"] for r in served] == [1, 2, 3, 4, 5]
+
+
 def test_tracking(tmp_path):
     log = tmp_path / "x" / "runs.jsonl"
     with tracking.track("a run: 1", str(log), k=5) as run:
@@ -42,3 +66,12 @@ def test_tracking(tmp_path):
 def test_catalog():
     assert verify.validate_catalog({"a": "D"}, {"a": 3}, [("a", "a", 1.5)], {"D": 0.2}) == []
     assert len(verify.validate_catalog({"a": "D", "b": "D"}, {"a": 0}, [("a", "z", -1.0)], {"D": 2.0, "E": 0.1})) == 6
+
+
+def test_reports_are_whole_or_refused(spark, tmp_path):
+    df = spark.range(30)
+    files.write_report(df, f"{tmp_path}/r.json", 30)
+    assert len(json.loads((tmp_path / "r.json").read_text())) == 30 and files.markdown(df, 30).count("\n") == 31
+    for write in (lambda: files.write_report(df, f"{tmp_path}/s.json", 29), lambda: files.markdown(df, 29)):
+        with pytest.raises(ValueError, match="more than 29 rows"):
+            write()
