@@ -9,6 +9,7 @@ mark that ends its turn.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import columns
@@ -32,20 +33,20 @@ def conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def with_swapped_reply(chats: DataFrame) -> DataFrame:
-    """``pair_id, chosen, rejected``: every conversation against itself with another last reply.
+def with_other_ending(chats: DataFrame) -> DataFrame:
+    """``pair_id, chosen, rejected``: every conversation against itself with another ending.
 
-    The reply is the last turn's text of the conversation whose id differs in the last bit
-    only; where there is none, it is empty.
+    Of its n turns the first ``conv_id mod n`` stay; what follows are the turns behind those of the
+    conversation whose id differs in the last bit only, none where there is none. So the common
+    prefix has any length, up to all of the rejected one.
     """
-    other = chats.select(
-        F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.element_at("turns", -1)["text"].alias("reply")
-    )
-    size = F.size("turns")
-    last = F.struct(F.element_at("turns", -1)["role"].alias("role"), F.coalesce("reply", F.lit("")).alias("text"))
-    return chats.join(other, "conv_id", "left").select(
-        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), size - 1), F.array(last)).alias("rejected")
-    )
+    two = W.partitionBy(F.shiftright("conv_id", 1))  # two conversations at most
+    odd = F.col("conv_id").bitwiseAND(F.lit(1).cast("long")) == 1
+    side = lambda mine: F.first(F.when(mine, F.col("turns")), ignorenulls=True).over(two)
+    other = F.coalesce(F.when(odd, side(~odd)).otherwise(side(odd)), F.array().cast("array<struct<role: string, text: string>>"))
+    both = chats.select("conv_id", "turns", other.alias("other"), F.pmod("conv_id", F.size("turns")).cast("int").alias("kept"))
+    rest = F.slice("other", F.col("kept") + 1, F.greatest(F.size("other"), F.lit(1)))
+    return both.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("kept")), rest).alias("rejected"))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -83,7 +84,7 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     ``pairs`` has ``pair_id`` and two lists of turns (role, text). Equal conversations are
     all prompt, with empty completions; without a common turn the prompt is empty. A null
     list counts as empty, a null role as ``unknown`` and a null text as empty, but null and
-    empty texts aren't the same turn. Repeated rows give repeated results; null ids are
+    empty texts aren't the same turn. Very long texts and conversations are rendered whole. Repeated rows give repeated results; null ids are
     kept; an empty table gives none; other columns play no part.
     """
     empty = F.array().cast("array<struct<role: string, text: string>>")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents, token_digests
-from .chat_format import conversations, format_preferences, with_swapped_reply
+from .chat_format import conversations, format_preferences, with_other_ending
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import extract
@@ -26,7 +26,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(with_swapped_reply(conversations(_read(spark, sf_dir, "conversations"))))
+    return format_preferences(with_other_ending(conversations(_read(spark, sf_dir, "conversations"))))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_chat_format": """
 WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-p AS (SELECT c.conv_id AS pair_id, c.t AS c, list_concat(list_slice(c.t, 1, len(c.t) - 1), [{'role': c.t[-1].role, 'text': coalesce(o.t[-1].text, '')}]) AS r
+p AS (SELECT c.conv_id AS pair_id, c.t AS c, list_concat(list_slice(c.t, 1, c.conv_id % len(c.t)), coalesce(list_slice(o.t, c.conv_id % len(c.t) + 1, len(o.t)), [])) AS r
       FROM c LEFT JOIN c o ON o.conv_id = xor(c.conv_id, 1)),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i].role IS DISTINCT FROM r[i].role OR c[i].text IS DISTINCT FROM r[i].text)) - 1,
                          least(len(c), len(r))) AS n FROM p),

@@ -43,13 +43,25 @@ def test_against_plain(spark):
 
 def test_no_python_in_the_plan(spark):
     rows = turns_of(spark, [(0, 0, "user", "a")])
-    plan = cf.format_preferences(cf.with_swapped_reply(cf.conversations(rows)))._jdf.queryExecution().toString()
+    execution = cf.format_preferences(cf.with_other_ending(cf.conversations(rows)))._jdf.queryExecution()
+    plan, steps = execution.toString(), execution.executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD ["))
+    assert steps.count("Exchange hashpartitioning") == 2 and "Join" not in steps
 
 
 def test_conversations_and_swap(spark):
     rows = [(0, 1, "assistant", "A0"), (0, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "A1"), (4, 0, "user", "alone"), (None, 0, "user", "lost"), (6, 2, "user", "b"), (6, 2, "user", "a"), (6, None, None, None)]
     chats = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in cf.conversations(turns_of(spark, rows)).collect()}
     assert chats == {0: [("user", "q"), ("assistant", "A0")], 1: [("user", "q"), ("assistant", "A1")], 4: [("user", "alone")], 6: [(None, None), ("user", "a"), ("user", "b")]}
-    pairs = {r["pair_id"]: r for r in cf.with_swapped_reply(cf.conversations(turns_of(spark, rows))).collect()}
-    assert pairs[0]["rejected"][-1]["text"] == "A1" and pairs[1]["rejected"][-1]["text"] == "A0" and pairs[4]["rejected"][0]["text"] == ""
+    pairs = {r["pair_id"]: r for r in cf.with_other_ending(cf.conversations(turns_of(spark, rows))).collect()}
+    ending = lambda i: [tuple(t) for t in pairs[i]["rejected"]]
+    assert ending(0) == chats[1] and ending(1) == [("user", "q"), ("assistant", "A0")] and ending(4) == ending(6) == []
+    lengths = {r["pair_id"]: r["n_prefix"] for r in cf.format_preferences(cf.with_other_ending(cf.conversations(turns_of(spark, rows)))).collect()}
+    assert lengths == {0: 1, 1: 1, 4: 0, 6: 0}
+
+
+def test_endings_of_many_lengths(spark):
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", f"t{c}-{i}") for c in range(-8, 12) if c != 5 for i in range(1 + c % 5)]
+    chats = {c: [("user" if i % 2 == 0 else "assistant", f"t{c}-{i}") for i in range(1 + c % 5)] for c in range(-8, 12) if c != 5}
+    got = {r["pair_id"]: [tuple(t) for t in r["rejected"]] for r in cf.with_other_ending(cf.conversations(turns_of(spark, rows))).collect()}
+    assert got == {c: t[: c % len(t)] + chats.get(c ^ 1, [])[c % len(t) :] for c, t in chats.items()}
