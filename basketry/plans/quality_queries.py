@@ -124,35 +124,42 @@ def _unique_sql(table: str, source: str, keys: str, name: str) -> str:
 
 
 def _fk_sql(table: str, source: str, column: str, other: str, key: str) -> str:
-    return f"SELECT '{table}', 'integrity', '{column} known', count(*), count(*) FILTER ({column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {other} WHERE {key} IS NOT NULL)) FROM {source}"
+    return f"SELECT '{table}', 'integrity', '{column} known', count({column}), count(*) FILTER ({column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {other} WHERE {key} IS NOT NULL)) FROM {source}"
 
 
 def _present(*columns: str) -> list[tuple[str, str, str]]:
     return [("completeness", f"{c} present", f"{c} IS NULL") for c in columns]
 
 
-CHECKS = """
-lsum AS (SELECT basket_id, CAST(sum(CAST(abs(quantity) * unit_price_paid AS DECIMAL(18,2))) AS DOUBLE) AS lines FROM ritems GROUP BY 1),
+def _ours(table: str, *checks: tuple[str, str, str]) -> str:
+    return _row_sql(table, f"r{table}", *_present(*tr.REQUIRED[table]), *checks)
+
+
+CHECKS = SPELLING + """,
+lsum AS (SELECT basket_id, CAST(sum(CAST(quantity * unit_price_paid AS DECIMAL(18,2))) AS DOUBLE) AS lines FROM ritems GROUP BY 1),
 headers AS (SELECT b.*, lines FROM rbaskets b LEFT JOIN lsum USING (basket_id)),
 firsts AS (SELECT customer_id, min(basket_day) AS first_day FROM rbaskets WHERE customer_id IS NOT NULL GROUP BY 1),
-signups AS (SELECT c.*, first_day FROM rcustomers c JOIN firsts USING (customer_id)),
+signups AS (SELECT c.*, first_day FROM rcustomers c LEFT JOIN firsts USING (customer_id)),
+spelt AS (SELECT category, canonical FROM rproducts LEFT JOIN spell ON norm = lower(trim(regexp_replace(category, '\\s+', ' ', 'g')))),
 active AS (SELECT basket_day, start_date, end_date FROM ritems i JOIN rpromotions p ON i.promotion_id = p.promotion_id JOIN rbaskets b ON b.basket_id = i.basket_id),
-timed AS (SELECT event_ts, session_ts FROM revents JOIN rsessions USING (session_id)),
+timed AS (SELECT event_ts, session_ts FROM revents LEFT JOIN rsessions USING (session_id)),
 checks AS (""" + "\nUNION ALL ".join([
-    _row_sql("customers", "rcustomers", *_present("customer_id", "signup_date", "city", "tier"), ("validity", "household 1 to 6", "household_size NOT BETWEEN 1 AND 6"), ("validity", "tier known", "tier NOT IN ('bronze', 'silver', 'gold')")),
-    _row_sql("customers", "signups", ("consistency", "signup before first purchase", "signup_date > first_day")),
-    _row_sql("products", "rproducts", *_present("product_id", "category", "brand"), ("validity", "price positive", "unit_price <= 0"), ("validity", "category trimmed", "category <> trim(category)")),
-    _row_sql("baskets", "rbaskets", *_present("basket_id", "basket_ts", "channel"), ("validity", "channel known", "channel NOT IN ('app', 'web', 'store')"), ("consistency", "store iff channel", "(channel = 'store') <> (store_id IS NOT NULL)")),
+    _ours("customers", ("validity", "household 1 to 6", "household_size NOT BETWEEN 1 AND 6"), ("validity", "tier known", "tier NOT IN ('bronze', 'silver', 'gold')"), ("validity", "preferred channel known", "preferred_channel NOT IN ('app', 'web', 'store')")),
+    _row_sql("customers", "signups", ("consistency", "signup before first purchase", "signup_date > first_day"), ("consistency", "signup within the period", "signup_date > (SELECT max(basket_day) FROM rbaskets)")),
+    _ours("products", ("validity", "price positive", "unit_price <= 0"), ("validity", "pack size positive", "pack_size <= 0"), ("validity", "typical days positive", "typical_days <= 0")),
+    _row_sql("products", "spelt", ("validity", "category spelt as usual", "category <> canonical")),
+    _ours("promotions", ("validity", "type known", "promo_type NOT IN ('2x1', 'discount_pct', 'coupon')"), ("validity", "discount positive", "discount_value <= 0"), ("validity", "range in order", "end_date < start_date")),
+    _ours("baskets", ("validity", "channel known", "channel NOT IN ('app', 'web', 'store')"), ("validity", "total positive", "total_amount <= 0"), ("consistency", "store iff channel", "(channel = 'store') <> (store_id IS NOT NULL)")),
     _row_sql("baskets", "headers", ("consistency", "header is sum of lines", "abs(total_amount - coalesce(lines, 0)) > 0.01")),
-    _row_sql("items", "ritems", *_present("basket_id", "product_id", "quantity"), ("validity", "quantity positive", "quantity <= 0")),
+    _ours("items", ("validity", "quantity positive", "quantity <= 0"), ("validity", "price paid positive", "unit_price_paid <= 0")),
     _row_sql("items", "active", ("consistency", "promotion active on day", "basket_day NOT BETWEEN start_date AND end_date")),
-    _row_sql("promotions", "rpromotions", *_present("promotion_id", "product_id"), ("consistency", "range in order", "end_date < start_date")),
-    _row_sql("sessions", "rsessions", *_present("session_id", "session_ts"), ("validity", "device known", "device NOT IN ('mobile', 'desktop', 'tablet')"), ("consistency", "converted iff basket", "converted <> (basket_id IS NOT NULL)")),
+    _ours("sessions", ("validity", "device known", "device NOT IN ('mobile', 'desktop', 'tablet')"), ("consistency", "converted iff basket", "converted <> (basket_id IS NOT NULL)")),
+    _ours("events", ("validity", "type known", "event_type NOT IN ('view', 'add_to_cart')")),
     _row_sql("events", "timed", ("consistency", "event after session start", "event_ts < session_ts")),
-    _unique_sql("customers", "rcustomers", "customer_id", "customer_id unique"), _unique_sql("products", "rproducts", "product_id", "product_id unique"), _unique_sql("baskets", "rbaskets", "basket_id", "basket_id unique"),
+    *[_unique_sql(n, f"r{n}", k, f"{k} unique") for n, k in (("customers", "customer_id"), ("products", "product_id"), ("promotions", "promotion_id"), ("baskets", "basket_id"), ("sessions", "session_id"))],
     _unique_sql("items", "ritems", "basket_id, product_id", "basket_id + product_id unique"), _unique_sql("items", "ritems", "*", "no repeated rows"), _unique_sql("events", "revents", "*", "no repeated rows"),
-    _fk_sql("items", "ritems", "basket_id", "rbaskets", "basket_id"), _fk_sql("items", "ritems", "product_id", "rproducts", "product_id"), _fk_sql("items", "ritems", "promotion_id", "rpromotions", "promotion_id"),
-    _fk_sql("baskets", "rbaskets", "customer_id", "rcustomers", "customer_id"), _fk_sql("sessions", "rsessions", "basket_id", "rbaskets", "basket_id"), _fk_sql("events", "revents", "product_id", "rproducts", "product_id"),
+    *[_fk_sql(n, f"r{n}", k, f"r{o}", k) for n, k, o in (("promotions", "product_id", "products"), ("baskets", "customer_id", "customers"), ("items", "basket_id", "baskets"), ("items", "product_id", "products"), ("items", "promotion_id", "promotions"),
+      ("sessions", "customer_id", "customers"), ("sessions", "basket_id", "baskets"), ("events", "session_id", "sessions"), ("events", "product_id", "products"))],
 ]) + ")"
 DETAIL = CHECKS + """,
 detail AS (SELECT dimension, count(*) AS n_checks, count(*) FILTER (rows_failed > 0) AS n_failing, avg(CASE WHEN rows_total > 0 THEN 1 - rows_failed / rows_total ELSE 1 END) * 100 AS rs,

@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 #: The clean roles in the SQL of the engine that checks.
 CLEAN = """
-customers AS (SELECT c_custkey AS customer_id, CAST(DATE '1994-06-01' + CAST((c_custkey * 37) % 500 AS INT) AS DATE) AS signup_date, 'CITY_' || c_nationkey AS city,
+customers AS (SELECT c_custkey AS customer_id, CAST(DATE '1994-06-01' + CAST((c_custkey * 37) % 500 AS INT) AS DATE) AS signup_date, 'CITY_' || c_nationkey AS city, 'COUNTRY_' || c_nationkey AS country,
   CAST(1 + c_custkey % 6 AS INT) AS household_size, CASE c_custkey % 3 WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END AS tier,
   CASE c_custkey % 4 WHEN 0 THEN 'app' WHEN 1 THEN 'web' ELSE 'store' END AS preferred_channel, c_custkey % 5 = 0 AS churn_label FROM customer),
 products AS (SELECT p_partkey AS product_id, p_type AS department, p_brand AS category, p_name AS brand, p_partkey % 4 = 0 AS private_label, p_retailprice AS unit_price,

@@ -132,7 +132,7 @@ def _(t):
 
 
 @query("file_manifest", """
-m AS (SELECT 'customers' AS "table", to_json({'churn_label': churn_label, 'city': city, 'customer_id': customer_id, 'household_size': household_size, 'preferred_channel': preferred_channel, 'signup_date': CAST(signup_date AS VARCHAR), 'tier': tier}) AS j FROM customers
+m AS (SELECT 'customers' AS "table", to_json({'churn_label': churn_label, 'city': city, 'country': country, 'customer_id': customer_id, 'household_size': household_size, 'preferred_channel': preferred_channel, 'signup_date': CAST(signup_date AS VARCHAR), 'tier': tier}) AS j FROM customers
   UNION ALL SELECT 'nations', to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}) FROM nation)
 SELECT "table", count(*) AS n_rows, CAST(CAST(sum(CAST(CAST(concat('0x', substr(sha256(CAST(j AS VARCHAR)), 1, 12)) AS BIGINT) AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS VARCHAR) AS digest FROM m GROUP BY 1""")
 def _(t):

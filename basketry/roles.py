@@ -19,7 +19,7 @@ def clean(spark: SparkSession, sf_dir: str) -> Tables:
     customers = read("customer").select(
         F.col("c_custkey").alias("customer_id"),
         F.expr("date_add(DATE'1994-06-01', cast(pmod(c_custkey * 37, 500) as int))").alias("signup_date"),
-        F.concat(F.lit("CITY_"), "c_nationkey").alias("city"),
+        F.concat(F.lit("CITY_"), "c_nationkey").alias("city"), F.concat(F.lit("COUNTRY_"), "c_nationkey").alias("country"),
         F.expr("cast(1 + c_custkey % 6 as int)").alias("household_size"),
         F.expr("CASE c_custkey % 3 WHEN 0 THEN 'bronze' WHEN 1 THEN 'silver' ELSE 'gold' END").alias("tier"),
         F.expr("CASE c_custkey % 4 WHEN 0 THEN 'app' WHEN 1 THEN 'web' ELSE 'store' END").alias("preferred_channel"),

@@ -104,3 +104,55 @@ def test_one_defect_one_check(spark):
 def test_foreign_keys_ignore_nulls(spark):
     a, b = spark.createDataFrame([(1,), (1,), (7,), (None,)], "k long"), spark.createDataFrame([(1,), (None,)], "id long")
     assert trust.foreign_key_check("t", a, "k", b, "id").first()["rows_failed"] == 1
+
+
+def flawless(spark):
+    """Seven tables on which no check fails."""
+    d, ts = h.day, __import__("datetime").datetime.fromisoformat
+    make = spark.createDataFrame
+    return {
+        "customers": make([(1, d("2025-01-01"), "ES", "X", 2, "gold", "app", False), (2, d("2025-01-01"), "ES", "Y", 6, "silver", "web", True)], "customer_id long, signup_date date, country string, city string, household_size int, tier string, preferred_channel string, churn_label boolean"),
+        "products": make([(1, "D", "a", "b", True, False, 2.0, 1, 9), (2, "D", "a", "b", True, False, 3.0, 1, 9)], "product_id long, department string, category string, brand string, private_label boolean, perishable boolean, unit_price double, pack_size int, typical_days int"),
+        "promotions": make([(1, 1, "2x1", 0.5, d("2025-02-01"), d("2025-02-09"))], "promotion_id long, product_id long, promo_type string, discount_value double, start_date date, end_date date"),
+        "baskets": make([(1, 1, "store", ts("2025-02-02 10:00"), d("2025-02-02"), 7.0, 3), (2, None, "app", ts("2025-03-02 10:00"), d("2025-03-02"), 2.0, None)], "basket_id long, customer_id long, channel string, basket_ts timestamp_ntz, basket_day date, total_amount double, store_id long"),
+        "items": make([(1, 1, 2, 2.0, 1), (1, 2, 1, 3.0, None), (2, 1, 1, 2.0, None)], "basket_id long, product_id long, quantity int, unit_price_paid double, promotion_id long"),
+        "sessions": make([(1, 1, ts("2025-02-02 09:00"), "mobile", 1, True), (2, None, ts("2025-02-02 09:00"), "tablet", None, False)], "session_id long, customer_id long, session_ts timestamp_ntz, device string, basket_id long, converted boolean"),
+        "events": make([(1, 1, "view", ts("2025-02-02 09:01")), (1, 1, "add_to_cart", ts("2025-02-02 09:02"))], "session_id long, product_id long, event_type string, event_ts timestamp_ntz"),
+    }
+
+
+def test_a_flawless_dataset_and_its_mutations(spark):
+    from pyspark.sql import functions as F
+
+    good = flawless(spark)
+    failed = lambda t, *only: {(r["table"], r["dimension"], r["name"]) for r in trust.retail_checks(t, only).where("rows_failed > 0").collect()}
+    checks = trust.retail_checks(good).collect()
+    assert len(checks) == 79 and len({(r["table"], r["name"]) for r in checks}) == 79 and not any(r["rows_failed"] for r in checks)
+    total = {(r["table"], r["name"]): r["rows_total"] for r in checks}
+    assert total["baskets", "customer_id known"] == 1 and total["items", "promotion active on day"] == 1 and total["customers", "signup before first purchase"] == 2
+    assert tuple(trust.trust_score(trust.retail_checks(good)).first()) == (100.0, "A")
+    one = F.col("customer_id") == 1
+    set_ = lambda table, column, value, rows=None: good | {table: good[table].withColumn(column, F.when(F.lit(True) if rows is None else rows, value).otherwise(F.col(column)).cast(good[table].schema[column].dataType))}
+    null = F.lit(None)
+    for table, names in trust.REQUIRED.items():
+        name = names[-1]
+        assert (table, "completeness", f"{name} present") in failed(set_(table, name, null), table)
+    cases = [
+        (set_("customers", "household_size", F.lit(7)), ("customers", "validity", "household 1 to 6")), (set_("customers", "preferred_channel", F.lit("fax")), ("customers", "validity", "preferred channel known")),
+        (set_("customers", "signup_date", F.lit("2025-02-03"), one), ("customers", "consistency", "signup before first purchase")), (set_("customers", "signup_date", F.lit("2025-03-03")), ("customers", "consistency", "signup within the period")),
+        (set_("products", "category", F.lit("A "), F.col("product_id") == 2), ("products", "validity", "category spelt as usual")), (set_("products", "pack_size", F.lit(0)), ("products", "validity", "pack size positive")),
+        (set_("promotions", "promo_type", F.lit("gift")), ("promotions", "validity", "type known")), (set_("promotions", "product_id", F.lit(9)), ("promotions", "integrity", "product_id known")),
+        (set_("baskets", "total_amount", F.lit(8.0), one), ("baskets", "consistency", "header is sum of lines")), (set_("baskets", "customer_id", F.lit(9)), ("baskets", "integrity", "customer_id known")),
+        (set_("items", "quantity", -F.col("quantity")), ("items", "validity", "quantity positive")), (set_("items", "quantity", -F.col("quantity")), ("baskets", "consistency", "header is sum of lines")),
+        (set_("items", "promotion_id", F.lit(1)), ("items", "consistency", "promotion active on day")), (set_("items", "product_id", F.lit(1)), ("items", "uniqueness", "basket_id + product_id unique")),
+        (set_("sessions", "converted", F.lit(True)), ("sessions", "consistency", "converted iff basket")), (set_("sessions", "customer_id", F.lit(9)), ("sessions", "integrity", "customer_id known")),
+        (set_("events", "session_id", F.lit(9)), ("events", "integrity", "session_id known")), (set_("events", "event_type", F.lit("click")), ("events", "validity", "type known")),
+        (good | {"items": good["items"].unionAll(good["items"])}, ("items", "uniqueness", "no repeated rows")), (good | {"promotions": good["promotions"].unionAll(good["promotions"])}, ("promotions", "uniqueness", "promotion_id unique")),
+    ]
+    for t, want in cases:
+        assert want in failed(t, want[0]), want
+    some = trust.retail_checks(good, ["events", "products"])
+    assert {r["table"] for r in some.select("table").distinct().collect()} == {"events", "products"}
+    for wrong in (lambda: trust.retail_checks({}), lambda: trust.retail_checks(good, ["orders"])):
+        with pytest.raises(KeyError):
+            wrong()
