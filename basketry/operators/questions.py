@@ -226,7 +226,7 @@ def over_representation(affinity_like: DataFrame, sales: DataFrame, key: str) ->
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: count, mean, population deviation, min and max, in one pass."""
-    one = df.agg(*[F.struct(F.count(c).alias("n"), fixed(F.avg(c), 4).alias("mean"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in columns])
+    one = df.agg(*[F.struct(F.count(c).alias("n"), fixed(F.avg(c), 4).alias("mean"), fixed(F.stddev_pop(c), 4).alias("deviation"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("s")) for c in columns])).alias("x")).select("x.name", "x.s.*")
 
 

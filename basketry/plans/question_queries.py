@@ -222,7 +222,7 @@ def _(t):
     return rfm(t).where("has_purchases").agg(fixed(F.corr("recency_days", "frequency"), 6).alias("r"))
 
 
-@query("q12_numeric_summary", "\nUNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}) * 10000) / 10000 AS mean, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM items" for c in ("quantity", "line_amount")))
+@query("q12_numeric_summary", "\nUNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}) * 10000) / 10000 AS mean, round(stddev_pop({c}) * 10000) / 10000 AS deviation, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM items" for c in ("quantity", "line_amount")))
 def _(t):
     return q.numeric_summary(t["items"], ["quantity", "line_amount"])
 

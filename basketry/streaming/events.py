@@ -6,17 +6,10 @@ watermark, and the funnel of each session as its events arrive.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the setting that driver and executors share; a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="basketry-stream-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+from ..shared import shared_dir
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -40,7 +33,7 @@ def session_funnel(events: DataFrame) -> DataFrame:
 def run_to_table(stream: DataFrame, out: str | None = None) -> DataFrame:
     """Process what is there and stop; the full result as a written table, replaced batch by batch."""
     spark = stream.sparkSession
-    out = out or shared_folder(spark)
+    out = out or shared_dir(spark)
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/table")
