@@ -158,8 +158,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, decode: bool
     """Per row of ``docs``: ``doc_id, ids`` and, if asked for, ``decoded``, the bytes of the ids.
 
     Each match of ``pattern`` is encoded separately, without special tokens. Null counts as
-    empty, which has no ids; repeated rows give repeated results; other columns play no
-    part. The rank file, about a megabyte whatever the input, goes to each executor once.
+    empty, which has no ids; very long texts and pre-tokens are encoded whole; repeated rows give
+    repeated results; null ids are kept; an empty table gives none; other columns play no part. The rank file, about a megabyte whatever the input, goes to each executor once.
     """
     with open(rank_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -181,7 +181,11 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, decode: bool
 
 
 def decode_documents(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``encoded`` (``doc_id, ids``) with ``decoded``; null ids give empty bytes."""
+    """Per row of ``encoded`` (``doc_id, ids``): ``doc_id, decoded``.
+
+    Null and empty lists give empty bytes; very long ones are decoded whole; repeated rows give
+    repeated results; null doc_ids are kept; an empty table gives none; other columns play no part.
+    """
     with open(rank_path, "rb") as f:
         held = encoded.sparkSession.sparkContext.broadcast(f.read())
     kind = encoded.schema["doc_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, pieces, row_key, saved
+from .common import columns, forget, fresh, pieces, row_key, saved
 
 #: Words of a window; anchors of a window; words that may come between its own in a proximity match.
 WINDOW, ANCHORS, SLOP = 13, 2, 3
@@ -248,7 +248,9 @@ def phrase_matches(docs: DataFrame, index: DataFrame, anchors: DataFrame, window
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "n_hit", "starts", "found", "near"])
 
     out = joined.mapInArrow(verify, "key binary, n_hit long, starts array<string>, found array<binary>, near array<struct<start: long, span: long>>")
-    return saved(out.dropDuplicates(["key"]))  # rows equal in id and text are one document
+    out = saved(out.dropDuplicates(["key"]))  # rows equal in id and text are one document
+    forget(tries)
+    return out
 
 
 def decontaminate(
@@ -271,6 +273,7 @@ def decontaminate(
     chosen = saved(anchors_of(windows, frequencies, anchors))
     index = build_index(docs, chosen.select("term").distinct(), limit)
     hits = phrase_matches(docs, index, chosen, windows, window, slop)
+    forget(windows, frequencies, chosen)
     named = cuts.where("item_id is not null").select("window_id", "item_id")
     items = hits.select("key", F.explode("found").alias("window_id")).join(named, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, pieces, saved
+from .common import columns, forget, pieces, saved
 
 #: Learning rows of each language on average: a fixed share of its rows by hash. The one bound of the model.
 ROWS_PER_LANGUAGE = 2_000
@@ -138,7 +138,9 @@ def _counted(found: Counter, names: list[str]) -> pa.RecordBatch:
 def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """A model of all words and n-grams of the learning rows, which are bounded for each language."""
     counted = saved(count_words(learning_rows(docs, rows_per_language)))
-    return model_of(count_grams(counted).toArrow())
+    counts = count_grams(counted).toArrow()
+    forget(counted)
+    return model_of(counts)
 
 
 def model_of(counts: pa.Table) -> Model:

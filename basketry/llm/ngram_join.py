@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, columns, fresh, pieces, release, row_key, saved
+from .common import as_bytes, columns, forget, fresh, pieces, release, row_key, saved
 from .decontaminate import words_of
 from .substring_dedup import Rolling, repeated
 
@@ -284,15 +284,17 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of a component's width; each round is written.
     """
     both = saved(edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
+    labels = written = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         spread = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "near").alias("next"), "label")
         ahead = spread.select(F.col("node").alias("next"), F.col("next").alias("far"))
         moved = saved(spread.join(ahead, "next").select("node", F.least("next", "far").alias("next"), "label"))
         more = moved.where("next <> label").limit(1).count() > 0
-        labels = moved.select("node", F.col("next").alias("label"))
+        forget(written)
+        written, labels = moved, moved.select("node", F.col("next").alias("label"))
         if not more:
+            forget(both)
             return labels
 
 
@@ -313,19 +315,26 @@ def forest_links(sets: DataFrame, texts, recall: float = RECALL, words: int = WO
     some = shallow.select("node").distinct()
     texts, sets = texts(some), saved(sets.join(some, "node"))
     tried = linked = None
+    done: list[DataFrame] = [texts, sets, shallow]
     while True:
         members = shallow if depth == least else trie_nodes(sets, depth, trees, levels)
         pairs, hot = candidates(members)
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        done += [members, pairs, hot]
         release(spark)
         found = saved(verify_pairs(pairs, texts, words))
         cells = saved(verify_chunks(hot, texts, words))
         release(spark)
         # links that now have a large node in common count there
-        linked = found if linked is None else saved(apart(linked, hot).unionByName(found))
+        if linked is not None:
+            done += [linked, found]
+            found = saved(apart(linked, hot).unionByName(found))
+        linked = found
         shorter = max(least, next_depth(depth, _seen(linked, cells), recall, trees))
         if shorter >= depth:
+            forget(*done)
             return linked, cells, depth
+        done.append(cells)
         depth, tried = shorter, pairs if tried is None else tried.unionByName(pairs)
 
 

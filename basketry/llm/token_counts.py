@@ -184,8 +184,9 @@ def scan_token_files(files: DataFrame, eod: int, dtype: str = "<u2", block: int
 def token_counts(docs: DataFrame, rank_path: str, pattern: str, eod: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_tokens``, by writing flat token files and scanning them.
 
-    Null and empty texts have none; repeated rows give repeated results; null ids are kept;
-    other columns play no part.
+    Null and empty texts have none; very long ones are written and scanned whole, a block at a
+    time; repeated rows give repeated results; null ids are kept; an empty table gives none; other
+    columns play no part. Files are written and scanned when called.
     """
     manifest = write_token_files(docs, rank_path, pattern, eod, dtype)
     counts = scan_token_files(manifest.groupBy("file").agg(F.max("n_bytes").alias("n_bytes")), eod, dtype, block)
