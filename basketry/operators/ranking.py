@@ -265,11 +265,106 @@ def ceiling_check(expected: DataFrame, realised: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("hits"), 6).alias("realised"), fixed(F.avg("expected_hits"), 6).alias("ceiling"), fixed(F.when(scale > 0, gap / scale), 4).alias("z"))
 
 
+def ceiling_given_cart(chances: DataFrame, samples: int = 1000, k: int = 5) -> DataFrame:
+    """``query_id, expected_hits, se, ess``: the ceiling for baskets whose cart and size are known.
+
+    ``chances`` has a row for each category of a query: ``weight``, whether it is ``in_cart``, and
+    ``n`` categories of the whole basket. Categories enter a basket one after another, each in
+    proportion to its weight, as if each had an exponential clock of that rate. So the categories
+    outside the cart are drawn by their clocks, and a draw counts by the chance that those of the cart
+    rang before the first one that didn't get in, which needs no rejected draws. Lists are chosen
+    on the even samples and valued on the odd ones; ``ess`` is the effective number of samples.
+    Draws follow from the query's id; a query's categories are one group.
+    """
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("category")
+        rng = np.random.default_rng(zlib.crc32(str(group["query_id"].iloc[0]).encode()))
+        free = group[(~group["in_cart"]) & (group["weight"] > 0)]["weight"].to_numpy()
+        cart = group[group["in_cart"]]["weight"].to_numpy()
+        left = max(0, int(group["n"].iloc[0]) - len(cart))
+        times = rng.exponential(size=(samples, len(free))) / free
+        order = np.argsort(times, axis=1, kind="stable")
+        inside = np.zeros(times.shape, bool)
+        np.put_along_axis(inside, order[:, :left], True, axis=1)
+        if left < len(free):
+            out = np.take_along_axis(times, order[:, left : left + 1], axis=1)
+            weight = np.prod(-np.expm1(-out * cart), axis=1)
+        else:
+            weight = np.ones(samples)
+        even, odd = weight[::2], weight[1::2]
+        if not even.sum() or not odd.sum():
+            return pd.DataFrame({"query_id": group["query_id"].iloc[:1], "expected_hits": [np.nan], "se": [np.nan], "ess": [0.0]})
+        best = np.argsort(-(even[:, None] * inside[::2]).sum(axis=0), kind="stable")[:k]
+        hits, share = inside[1::2][:, best].sum(axis=1), odd / odd.sum()
+        mean = (share * hits).sum()
+        return pd.DataFrame({"query_id": group["query_id"].iloc[:1], "expected_hits": [mean], "se": [np.sqrt((share**2 * (hits - mean) ** 2).sum())], "ess": [1 / (share**2).sum()]})
+
+    rows = chances.select("query_id", "category", F.col("weight").cast("double").alias("weight"), F.col("in_cart").cast("boolean").alias("in_cart"), F.col("n").cast("long").alias("n"))
+    return rows.groupBy("query_id").applyInPandas(one, "query_id string, expected_hits double, se double, ess double")
+
+
+# --- systems against each other -----------------------------------------------------------
+
+
+def compare_systems(systems: dict[str, DataFrame], clusters: DataFrame, metric: str = "ndcg", resamples: int = 1000) -> DataFrame:
+    """``system, mean, difference, low, high, p`` of each system's metric by query, against the first one.
+
+    All systems must have the same queries; otherwise the result raises an error when it is computed.
+    """
+    names = list(systems)
+    out = None
+    for name in names:
+        row = systems[name].agg(fixed(F.avg(metric), 6).alias("mean")).select(F.lit(name).alias("system"), "mean")
+        row = row.crossJoin(paired_bootstrap(systems[name], systems[names[0]], clusters, metric, resamples))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def source_coverage(pool: DataFrame, target: DataFrame, q: DataFrame, flags: tuple[str, ...]) -> DataFrame:
+    """``profile, source, n_candidates, n_targets, pct_targets``: what each source brings, by profile.
+
+    Targets are counted for every source that has them; the share is of the profile's targets.
+    """
+    each = pool.join(q.select("query_id", "profile"), "query_id").join(target.select("query_id", "product_id").distinct().withColumn("t", F.lit(1)), ["query_id", "product_id"], "left")
+    long = each.select("profile", "t", F.explode(F.array(*[F.struct(F.lit(f).alias("source"), F.col(f).alias("on")) for f in flags])).alias("s")).where("s.on = 1")
+    found = long.groupBy("profile", F.col("s.source").alias("source")).agg(F.count(F.lit(1)).alias("n_candidates"), F.count("t").alias("n_targets"))
+    total = q.groupBy("profile").agg(F.sum("n_target").alias("all"))
+    return found.join(total, "profile").select("profile", "source", "n_candidates", "n_targets", fixed(100 * ratio("n_targets", "all"), 4).alias("pct_targets"))
+
+
+#: What is learnt: name, gains of relevance 0, 1 and 2, features left out, and how validation queries are chosen.
+RANK_FEATURES = frozenset(("cat_freq_rank", "cat_share", "cat_need_rank"))
+OBJECTIVES = (
+    ("product only", (0, 0, 1), frozenset(), "time"), ("graded without ranks", GAINS, RANK_FEATURES, "time"), ("graded", GAINS, frozenset(), "time"), ("graded, validation by hash", GAINS, frozenset(), "hash"),
+)
+
+
+def objective_ablation(train: DataFrame, test: DataFrame, q: DataFrame, features: tuple[str, ...], iterations: int = 30, k: int = 5, variants=OBJECTIVES) -> DataFrame:
+    """``variant`` and mean metrics of models that differ in what they learn, on the same pools.
+
+    ``train`` has ``is_validation`` for the split by time; by hash a fifth of its queries validate.
+    """
+    out = None
+    for name, gains, without, split in variants:
+        own = tuple(f for f in features if f not in without)
+        rows = train if split == "time" else train.withColumn("is_validation", uniform("query_id", "validation") < 0.2)
+        top = top_k(rank_with(fit_ranker(rows, own, iterations, gains=gains), test, own), k)
+        metrics = per_query_metrics(top, q, k).join(graded_per_query(top, q, k).select("query_id", F.col("ndcg").alias("graded"), F.col("hit").alias("category_hit")), "query_id")
+        row = summarise(metrics).drop("all").withColumn("variant", F.lit(name)).select("variant", "n", "ndcg", "graded", "hit", "category_hit")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- learning to rank --------------------------------------------------------------------
 
 
-def gain_of(relevance: str = "relevance") -> Column:
-    return F.element_at(F.lit([float(g) for g in GAINS]), F.col(relevance).cast("int") + 1)
+def gain_of(relevance: str = "relevance", gains: tuple[int, ...] = GAINS) -> Column:
+    return F.element_at(F.lit([float(g) for g in gains]), F.col(relevance).cast("int") + 1)
 
 
 def _assembler(features: tuple[str, ...]):
@@ -278,8 +373,8 @@ def _assembler(features: tuple[str, ...]):
     return VectorAssembler(inputCols=list(features), outputCol="x")
 
 
-def fit_ranker(matrix: DataFrame, features: tuple[str, ...], iterations: int = 30, depth: int = 5, seed: int = 42):
-    """A boosted regression on the gain of each pair (pointwise); queries without any gain are left out.
+def fit_ranker(matrix: DataFrame, features: tuple[str, ...], iterations: int = 30, depth: int = 5, seed: int = 42, gains: tuple[int, ...] = GAINS):
+    """A boosted regression on the gain of each pair (pointwise); queries without any relevance are left out.
 
     Rows with ``is_validation`` stop it early if the column is there.
     """
@@ -287,7 +382,7 @@ def fit_ranker(matrix: DataFrame, features: tuple[str, ...], iterations: int = 3
     from pyspark.ml.regression import GBTRegressor
 
     some = matrix.where("relevance > 0").select("query_id").distinct()
-    rows = matrix.join(some, "query_id", "left_semi").withColumn("gain", gain_of()).na.fill(-1.0, list(features))
+    rows = matrix.join(some, "query_id", "left_semi").withColumn("gain", gain_of(gains=gains)).na.fill(-1.0, list(features))
     gbt = GBTRegressor(featuresCol="x", labelCol="gain", maxIter=iterations, maxDepth=depth, seed=seed)
     if "is_validation" in matrix.columns:
         gbt = gbt.setValidationIndicatorCol("is_validation")

@@ -372,4 +372,4 @@ def _(t):
 
 @query("verify_volumes", "\nUNION ALL ".join(f"SELECT '{a}' AS \"table\", count(*) AS n FROM {b}" for a, b in {"customers": "customers", "products": "products", "promotions": "promotions", "baskets": "baskets", "items": "items", "sessions": "sessions", "events": "sevents"}.items()))
 def _(t):
-    return ve.volumes(t)
+    return ve.volumes({n: df for n, df in t.items() if n != "nations"})

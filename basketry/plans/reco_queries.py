@@ -181,13 +181,17 @@ class Window:
         seen = fe.events_before_cut(self.q, t["sessions"], t["events"])
         return fe.build_matrix(self.pool(*more), self.q, self.prefix, self.past, self.popular, t["products"], t["customers"], t["promotions"], seen)
 
-    def scored(self):
+    def scored_parts(self):
+        """The pool with a fixed score of all sources, relevance, and what it is made of."""
         z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
         pairs = self.pool().join(self.t["products"].select("product_id", "category"), "product_id")
         labelled = fe.with_relevance(pairs, self.target, self.t["products"])
         cart = fe.cart_features(self.prefix, self.t["products"])[0]
         score = fixed(z("pop_score") + z("aff_lift") + z("cataff_lift") + 5 * z("personal_score"), 4)
-        return labelled.join(cart, ["query_id", "category"], "left").select("query_id", "product_id", "category", score.alias("score"), F.coalesce("cat_in_cart", F.lit(0)).alias("cat_in_cart"), "relevance", "label")
+        return labelled.join(cart, ["query_id", "category"], "left").select("query_id", "product_id", "category", score.alias("score"), F.coalesce("cat_in_cart", F.lit(0)).alias("cat_in_cart"), "relevance", "label", "pop_score")
+
+    def scored(self):
+        return self.scored_parts().drop("pop_score")
 
     def top(self):
         return rk.top_k(self.scored(), 5)
@@ -658,6 +662,58 @@ def _(t):
     return rk.top_k(rk.rank_with(model, full.where(~half), fe.FEATURES), 5).select("query_id", "product_id", "score", "rank", "label")
 
 
+@query("rank_objective_ablation")
+def _(t):
+    """Four objectives and validations, fitted on a half of the queries and judged on the rest."""
+    w = Window(t)
+    full = saved(fe.with_relevance(w.matrix(), w.target, t["products"]))
+    half = (F.hash("query_id") % 2) == 0
+    train = full.where(half).join(sp.validation_tail(w.q).select("query_id", "is_validation"), "query_id")
+    return rk.objective_ablation(train, full.where(~half), w.q.where(~half), fe.FEATURES, 10)
+
+
+def cart_chances(w):
+    """Weights of categories by how often the customer bought them, with those in the cart and the number in the basket."""
+    category = w.t["products"].select("product_id", "category")
+    cart = w.prefix.join(category, "product_id").select("query_id", "category").distinct().withColumn("in_cart", F.lit(True))
+    size = w.parts.join(category, "product_id").groupBy("query_id").agg(F.countDistinct("category").alias("n"))
+    own = w.past["category"].select("query_id", "category", F.col("n_days").cast("double").alias("weight"))
+    both = own.join(cart, ["query_id", "category"], "full_outer").join(w.past["customer"].select("query_id"), "query_id", "left_semi").join(size, "query_id")
+    return both.select("query_id", "category", F.coalesce("weight", F.lit(0.5)).alias("weight"), F.coalesce("in_cart", F.lit(False)).alias("in_cart"), "n")
+
+
+@query("rank_ceiling_given_cart")
+def _(t):
+    return rk.ceiling_given_cart(cart_chances(Window(t)))
+
+
+@query("rank_source_coverage", POOL + """, e AS (SELECT profile, unnest([{'s': 'src_pop', 'o': src_pop}, {'s': 'src_aff', 'o': src_aff}, {'s': 'src_cataff', 'o': src_cataff}, {'s': 'src_hist', 'o': src_hist}]) AS s, t.product_id AS hit
+  FROM pool JOIN qs USING (query_id) LEFT JOIN (SELECT DISTINCT query_id, product_id FROM target) t USING (query_id, product_id)), n AS (SELECT profile, sum(n_target) AS every FROM qs GROUP BY 1)
+SELECT profile, s.s AS source, count(*) AS n_candidates, count(hit) AS n_targets, round(100 * count(hit) / any_value(every) * 10000) / 10000 AS pct_targets FROM e JOIN n USING (profile) WHERE s.o = 1 GROUP BY 1, 2""")
+def _(t):
+    w = Window(t)
+    return rk.source_coverage(w.pool(), w.target, w.q, ("src_pop", "src_aff", "src_cataff", "src_hist"))
+
+
+#: The same metrics with a score that only knows what is popular.
+_POPULAR = METRICS.replace("round((coalesce(pop_score, 0) + coalesce(aff_lift, 0) + coalesce(cataff_lift, 0) + 5 * coalesce(personal_score, 0)) * 10000) / 10000 AS score", "round(coalesce(pop_score, 0) * 10000) / 10000 AS score")
+_COMPARE = ",".join([QS, "x AS (WITH " + METRICS[len(QS) + 1 :].lstrip() + " SELECT * FROM pq)", "y AS (WITH " + _POPULAR[len(QS) + 1 :].lstrip() + " SELECT * FROM pq)"]) + f""",
+sy AS (SELECT 'popular' AS system, query_id, ndcg FROM y UNION ALL SELECT 'all sources', query_id, ndcg FROM x), df AS (SELECT system, s.query_id, s.ndcg, s.ndcg - y.ndcg AS d FROM sy s JOIN y USING (query_id)),
+cl AS (SELECT system, basket_id AS cluster, sum(d) AS s, count(*) AS n FROM df JOIN qs USING (query_id) GROUP BY 1, 2), o AS (SELECT system, avg(ndcg) AS mean, avg(d) AS difference FROM df GROUP BY 1),
+bt AS (SELECT system, replicate, sum(w * s) / nullif(sum(w * n), 0) AS m FROM (SELECT *, {_POISSON} AS w FROM (SELECT *, {u("concat_ws('#', cluster, replicate)", "boot")} AS u FROM cl, range(1, 1001) r(replicate))) GROUP BY 1, 2)
+SELECT system, round(any_value(mean) * 1e6::DOUBLE) / 1e6::DOUBLE AS mean, round(any_value(difference) * 1e6::DOUBLE) / 1e6::DOUBLE AS difference, round(quantile_cont(m, 0.025) * 1e6::DOUBLE) / 1e6::DOUBLE AS low,
+round(quantile_cont(m, 0.975) * 1e6::DOUBLE) / 1e6::DOUBLE AS high, round((1 + count(*) FILTER (abs(m - difference) >= abs(difference))) / 1001 * 1e6::DOUBLE) / 1e6::DOUBLE AS p FROM bt JOIN o USING (system) GROUP BY 1"""
+
+
+@query("rank_compare_systems", _COMPARE)
+def _(t):
+    w = Window(t)
+    full = saved(w.scored_parts())
+    popular = full.withColumn("score", fixed(F.coalesce("pop_score", F.lit(0.0)), 4))
+    systems = {n: rk.per_query_metrics(rk.top_k(s, 5), w.q) for n, s in (("popular", popular), ("all sources", full))}
+    return rk.compare_systems(systems, clusters(w), "ndcg")
+
+
 @query("rank_importance")
 def _(t):
     w = Window(t)

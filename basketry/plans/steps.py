@@ -62,21 +62,39 @@ class Graph:
         return done
 
 
-def retail_graph() -> Graph:
-    """The retail chain over the roles; every result is a DataFrame or a table of them, lazy."""
-    from ..operators import affinity, cleaning, nba, segments, trust
+def retail_graph(raw: Any = None, tables: Any = None, at: str = "2000-06-01") -> Graph:
+    """The retail chain over the roles; every result is a DataFrame, a table of them, or a fitted model."""
+    from ..operators import affinity, cleaning, features, nba, questions, ranking, segments, splits, trust
+    from .nba_queries import Snapshot
+    from .reco_queries import Window, clusters
+
+    def ranker(w):
+        full = features.with_relevance(w.matrix(), w.target, w.t["products"])
+        return ranking.fit_ranker(full.join(splits.validation_tail(w.q).select("query_id", "is_validation"), "query_id"), features.FEATURES)
+
+    def systems(w, model):
+        served = ranking.rank_with(model, features.with_relevance(w.matrix(), w.target, w.t["products"]), features.FEATURES)
+        both = {"fixed score": w.metrics(), "ranker": ranking.per_query_metrics(ranking.top_k(served), w.q)}
+        return ranking.compare_systems(both, clusters(w), resamples=100)
 
-    at = "2000-06-01"
     return Graph([
-        Step("raw", lambda: None),
+        Step("raw", lambda: raw),
         Step("trust_raw", trust.retail_checks, ("raw",), 1),
         Step("clean", cleaning.clean_all, ("raw",), 2),
         Step("report", cleaning.cleaning_report, ("raw", "clean"), 1),
-        Step("tables", lambda: None),
+        Step("tables", lambda: tables),
         Step("rfm", lambda t: segments.rfm(t["customers"], t["baskets"]), ("tables",), 1),
         Step("cycles", lambda t: segments.repurchase(t["customers"], t["baskets"], t["items"], t["products"]), ("tables",), 1),
         Step("affinity", lambda t: affinity.cooccurrence(affinity.basket_items(t["items"], t["products"])), ("tables",), 1),
+        Step("value", lambda t: questions.add_shares(questions.value_by(t, "tier")), ("tables",)),
         Step("lines", lambda t: nba.category_lines(t["baskets"], t["items"], t["products"]), ("tables",)),
         Step("labels", lambda lines: nba.category_label(nba.candidate_pairs(lines, at), lines, at), ("lines",), 1),
         Step("features", lambda t, lines: nba.category_features(lines, t["baskets"], t["items"], t["customers"], t["products"], at), ("tables", "lines"), 1),
+        Step("window", lambda t: Window(t), ("tables",)),
+        Step("matrix", lambda w: w.matrix(), ("window",), 3),
+        Step("ranking_metrics", lambda w: ranking.summarise(w.metrics(), w.q), ("window",), 2),
+        Step("ranker", ranker, ("window",), 10),
+        Step("systems", systems, ("window", "ranker"), 4),
+        Step("decisions", lambda t: nba.decide(nba.action_values(Snapshot(t, at).candidates())), ("tables",), 2),
+        Step("policies", lambda t: Snapshot(t, at).comparison(), ("tables",), 2),
     ])

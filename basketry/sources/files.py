@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,3 +109,22 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small table as Markdown."""
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in _few(df, most))])
+
+
+def freeze(spark: SparkSession, metrics: dict, inputs: dict[str, DataFrame], path: str, force: bool = False) -> None:
+    """Metrics with the digests of the tables they come from, as the reference for what comes later."""
+    if os.path.exists(path) and not force:
+        raise FileExistsError(f"{path} is there already")
+    digests = {r["table"]: [r["n_rows"], r["digest"]] for r in manifest(inputs).collect()}
+    with open(path, "w") as f:
+        json.dump({"frozen": datetime.date.today().isoformat(), "inputs": digests, "metrics": metrics}, f, indent=1, default=str)
+
+
+def frozen(path: str, inputs: dict[str, DataFrame]) -> dict:
+    """The metrics of a snapshot; an error if the tables aren't those that it comes from."""
+    with open(path) as f:
+        snapshot = json.load(f)
+    now = {r["table"]: [r["n_rows"], r["digest"]] for r in manifest(inputs).collect()}
+    if changed := sorted(t for t in snapshot["inputs"].keys() | now.keys() if snapshot["inputs"].get(t) != now.get(t)):
+        raise ValueError(f"not the same inputs: {', '.join(changed)}")
+    return snapshot["metrics"]

@@ -196,3 +196,45 @@ def test_early_stopping_keeps_the_best(spark):
 
 def test_the_contract_of_the_matrix():
     assert len(features.FEATURES) == len(set(features.FEATURES)) == 60
+
+
+def test_ceiling_given_the_cart(spark):
+    """Against all orders in which categories can enter the basket."""
+    from itertools import permutations
+
+    weights, cart, n, k = {"a": 4.0, "b": 2.0, "c": 1.0, "d": 1.5, "e": 0.5}, {"c"}, 3, 2
+    chance = {}
+    for order in permutations(weights, n):
+        left, p = sum(weights.values()), 1.0
+        for c in order:
+            p *= weights[c] / left
+            left -= weights[c]
+        if cart <= set(order):
+            rest = frozenset(order) - cart
+            chance[rest] = chance.get(rest, 0.0) + p
+    total = sum(chance.values())
+    marginal = {c: sum(p for rest, p in chance.items() if c in rest) / total for c in weights if c not in cart}
+    want = sum(sorted(marginal.values(), reverse=True)[:k])
+    rows = [(f"q{i}", c, w, c in cart, n) for i in range(20) for c, w in weights.items()]
+    got = ranking.ceiling_given_cart(spark.createDataFrame(rows, "query_id string, category string, weight double, in_cart boolean, n int"), 2000, k).collect()
+    assert len(got) == 20 and abs(sum(r["expected_hits"] for r in got) / 20 - want) < 0.02
+    assert all(100 < r["ess"] <= 1000 and abs(r["expected_hits"] - want) < 5 * r["se"] for r in got)
+    whole = ranking.ceiling_given_cart(spark.createDataFrame([("q", "a", 1.0, False, 2), ("q", "b", 1.0, True, 2)], "query_id string, category string, weight double, in_cart boolean, n int"), 10, 5).first()
+    assert (round(whole["expected_hits"], 9), round(whole["ess"], 9)) == (1.0, 5.0)
+
+
+def test_compare_systems(spark):
+    a = spark.range(30).select(F.col("id").cast("string").alias("query_id"), (F.col("id") % 3).cast("double").alias("ndcg"))
+    clusters = a.select("query_id", F.col("query_id").alias("cluster"))
+    got = {r["system"]: r for r in ranking.compare_systems({"one": a, "two": a.withColumn("ndcg", F.col("ndcg") + 1)}, clusters, resamples=50).collect()}
+    assert (got["one"]["difference"], got["two"]["difference"], got["two"]["mean"], got["two"]["low"]) == (0.0, 1.0, 2.0, 1.0)
+    with pytest.raises(Exception, match="only one system has the query"):
+        ranking.compare_systems({"one": a, "two": a.where("query_id < '2'")}, clusters, resamples=5).collect()
+
+
+def test_objectives(spark):
+    rows = ranking_rows(spark).withColumns({"category": F.col("product_id").cast("string"), "cat_in_cart": F.lit(0)})
+    q = rows.where("relevance = 2").groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_target")).withColumn("n_items", F.lit(3))
+    full = rows.withColumn("label", (F.col("relevance") == 2).cast("int"))
+    got = {r["variant"]: r for r in ranking.objective_ablation(full, full.where("is_validation"), q.join(full.where("is_validation").select("query_id").distinct(), "query_id"), ("f1", "f2"), 5).collect()}
+    assert set(got) == {v[0] for v in ranking.OBJECTIVES} and all(r["hit"] == 1.0 and r["ndcg"] > 0.6 for r in got.values())

@@ -75,3 +75,28 @@ def test_reports_are_whole_or_refused(spark, tmp_path):
     for write in (lambda: files.write_report(df, f"{tmp_path}/s.json", 29), lambda: files.markdown(df, 29)):
         with pytest.raises(ValueError, match="more than 29 rows"):
             write()
+
+
+def test_snapshots(spark, tmp_path):
+    path, inputs = f"{tmp_path}/s.json", {"a": spark.range(5)}
+    files.freeze(spark, {"ndcg": 0.3}, inputs, path)
+    assert files.frozen(path, {"a": spark.range(5).orderBy(F.desc("id"))}) == {"ndcg": 0.3}
+    with pytest.raises(FileExistsError):
+        files.freeze(spark, {}, inputs, path)
+    files.freeze(spark, {"ndcg": 0.4}, inputs, path, force=True)
+    for other in ({"a": spark.range(6)}, {"a": spark.range(5), "b": spark.range(1)}):
+        with pytest.raises(ValueError, match="not the same inputs"):
+            files.frozen(path, other)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from basketry.__main__ import main
+
+    assert main(["list"]) == 0 and "affinity" in capsys.readouterr().out
+    assert main(["rfm", "--dry-run"]) == 0 and capsys.readouterr().out.startswith("tables, rfm: about 1 min")
+    assert main(["nothing"]) == 2 and "no such step" in capsys.readouterr().err
+    run = lambda *args: main([*args, "--data", SF, "--out", str(tmp_path)])
+    assert run("rfm", "labels") == 0 and "lines: written" in capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/rfm").count() == 150 and spark.read.parquet(f"{tmp_path}/labels").count() > 0
+    assert run("features", "--only") == 0 and spark.read.parquet(f"{tmp_path}/features").count() > 0
+    assert main(["labels", "--only", "--data", SF, "--out", f"{tmp_path}/none"]) == 2 and "labels needs lines" in capsys.readouterr().err
