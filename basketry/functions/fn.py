@@ -31,10 +31,6 @@ def uniform(key: Column | str, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def days_between(later: Column | str, earlier: Column | str) -> Column:
-    return F.datediff(col(later), col(earlier))
-
-
 def count_if(condition: Column) -> Column:
     """Rows where a condition holds; null doesn't."""
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")

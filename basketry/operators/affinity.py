@@ -48,7 +48,7 @@ def fpgrowth_rules(sets: DataFrame, min_support: float = 0.01, min_confidence: f
 
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets.groupBy("basket_id").agg(F.collect_set("item").alias("items")))
     joined = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",")
-    return model.associationRules.select(joined(F.col("antecedent")).alias("antecedent"), joined(F.col("consequent")).alias("consequent"), "confidence", "lift", "support")
+    return model.associationRules.select(joined(F.col("antecedent")).alias("antecedent"), joined(F.col("consequent")).alias("consequent"), *[fixed(c, 6).alias(c) for c in ("confidence", "lift", "support")])
 
 
 def expected_pairs(affinity: DataFrame, declared: DataFrame) -> DataFrame:

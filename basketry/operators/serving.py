@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fn import fixed, ratio, uniform
+from ..functions.fn import fixed, uniform
 from ..functions.ranks import quantiles
 from ..shared import forget, saved
 

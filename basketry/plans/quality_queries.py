@@ -317,6 +317,10 @@ def _(t):
     return aff.expected_pairs(affinity_category(t), spark.createDataFrame(DECLARED, "position int, antecedent string, consequent string, target_lift double"))
 
 
-@query("affinity_fpgrowth")
+#: At this support itemsets have two categories at most, so that rules are pairs.
+@query("affinity_fpgrowth", """s AS (SELECT DISTINCT basket_id, category AS i FROM items JOIN products USING (product_id)), t AS (SELECT count(DISTINCT basket_id) AS t FROM s), n AS (SELECT i, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.i AS a, y.i AS c, count(*) AS nb FROM s x JOIN s y ON x.basket_id = y.basket_id AND x.i <> y.i GROUP BY 1, 2)
+SELECT a AS antecedent, c AS consequent, round(nb / x.n * 1e6::DOUBLE) / 1e6::DOUBLE AS confidence, round((nb / x.n) / (y.n / t) * 1e6::DOUBLE) / 1e6::DOUBLE AS lift, round(nb / t * 1e6::DOUBLE) / 1e6::DOUBLE AS support
+FROM b JOIN n x ON x.i = a JOIN n y ON y.i = c, t WHERE nb >= ceil(0.01::DOUBLE * t) AND nb / x.n >= 0.1::DOUBLE""")
 def _(t):
     return aff.fpgrowth_rules(aff.basket_items(t["items"], t["products"]))

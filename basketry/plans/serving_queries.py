@@ -131,6 +131,43 @@ def _(t):
     return t["baskets"].where("basket_id = 77").select("basket_id", "channel")
 
 
+@query("file_csv_round_trip", "SELECT CAST(promotion_id AS VARCHAR) AS promotion_id, CAST(product_id AS VARCHAR) AS product_id, promo_type, discount_value, start_date, CASE WHEN product_id % 5 > 0 THEN end_date END AS end_date FROM promotions")
+def _(t):
+    """Written as CSV, read back with the declared schema; an empty field is null."""
+    spark, p = t["promotions"].sparkSession, t["promotions"]
+    folder = shared_dir(spark)
+    raw = p.select(F.col("promotion_id").cast("string"), F.col("product_id").cast("string"), "promo_type", "discount_value", "start_date", F.when(F.col("product_id") % 5 > 0, F.col("end_date")).alias("end_date"))
+    raw.write.option("header", "true").csv(f"{folder}/promotions.csv")
+    return files.read_raw(spark, folder, "promotions")
+
+
+@query("file_processed_round_trip", "SELECT customer_id, city, tier FROM customers WHERE tier = 'gold'")
+def _(t):
+    """Written in parts by tier, found by path, and read back in one part."""
+    spark = t["customers"].sparkSession
+    folder = shared_dir(spark)
+    files.write_tables({"customers": t["customers"].select("customer_id", "city", "tier")}, folder, {"customers": ["tier"]})
+    found = files.resolve(spark, f"{folder}/none", f"{folder}/customers")
+    return files.read_tables(spark, found.removesuffix("/customers"), ["customers"])["customers"].where("tier = 'gold'").select("customer_id", "city", "tier")
+
+
+@query("file_single", "SELECT n_nationkey, n_name, CAST(1 AS BIGINT) AS n_files FROM nation")
+def _(t):
+    """A small table as one file."""
+    spark = t["nations"].sparkSession
+    path = shared_dir(spark) + "/one"
+    files.write_single(t["nations"].select("n_nationkey", "n_name").repartition(4), path)
+    back = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    return back.drop("file").crossJoin(F.broadcast(back.agg(F.countDistinct("file").alias("n_files"))))
+
+
+@query("file_views", "SELECT c.tier, count(*) AS n FROM baskets b JOIN customers c ON c.customer_id = b.customer_id GROUP BY 1")
+def _(t):
+    """SQL over registered views."""
+    files.register_views(t, "retail_")
+    return t["baskets"].sparkSession.sql("SELECT c.tier, count(*) AS n FROM retail_baskets b JOIN retail_customers c ON c.customer_id = b.customer_id GROUP BY 1")
+
+
 @query("file_manifest", """
 m AS (SELECT 'customers' AS "table", to_json({'churn_label': churn_label, 'city': city, 'country': country, 'customer_id': customer_id, 'household_size': household_size, 'preferred_channel': preferred_channel, 'signup_date': CAST(signup_date AS VARCHAR), 'tier': tier}) AS j FROM customers
   UNION ALL SELECT 'nations', to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}) FROM nation)

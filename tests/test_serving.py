@@ -1,4 +1,5 @@
 import json
+import os
 import re
 
 import pytest
@@ -100,3 +101,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/rfm").count() == 150 and spark.read.parquet(f"{tmp_path}/labels").count() > 0
     assert run("features", "--only") == 0 and spark.read.parquet(f"{tmp_path}/features").count() > 0
     assert main(["labels", "--only", "--data", SF, "--out", f"{tmp_path}/none"]) == 2 and "labels needs lines" in capsys.readouterr().err
+
+
+def test_all_raw_tables(spark, tmp_path):
+    for name, schema in files.RAW_SCHEMAS.items():
+        spark.createDataFrame([], schema).write.option("header", "true").csv(f"{tmp_path}/{name}.csv")
+    raw = files.read_all_raw(spark, str(tmp_path))
+    assert {n: df.schema.simpleString() for n, df in raw.items()} == {n: spark.createDataFrame([], s).schema.simpleString() for n, s in files.RAW_SCHEMAS.items()}
+
+
+def test_session_settings(spark):
+    """Tests, queries and the command line run on the same settings."""
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")}
+    assert conf == {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+
+
+def test_shared_tables(spark):
+    from basketry import shared
+
+    df = shared.saved(spark.range(5))
+    folder = df._written_to.removeprefix("file://").removesuffix("/t")
+    assert df.count() == 5 and os.path.isdir(folder) and f"basketry-{spark.sparkContext.applicationId}" in folder
+    shared.forget(df, spark.range(1))
+    assert not os.path.exists(folder)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from basketry import shared
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.root_dir(fake)
