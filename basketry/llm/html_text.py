@@ -32,7 +32,7 @@ from .common import columns, pieces
 #: Labelled pages learnt from, on average; of their tags and names the most frequent are kept, others have the weight they start from.
 LEARN_PAGES, LEARNT = 2_000, 50_000
 #: Weight of an unknown tag, the least of any tag, and the largest weight of a word either way.
-TAG_WEIGHT, TAG_LEAST, MOST = -0.1, -3.0, 3.0
+TAG_WEIGHT, TAG_LEAST, MOST = -0.1, -1.0, 3.0
 #: Weight of a word in furniture, and the most that an element of it costs with all its tags. Inside main or
 #: article it costs nothing: an advert within an article doesn't end it.
 OUT_WEIGHT, OUT_MOST = -0.5, -30.0
@@ -231,6 +231,16 @@ def _scan(page: str, weights: Weights, wraps: frozenset[int], teach: Taught | No
             if last[4] == block:
                 out.runs[-1] = (last[0] + " ", *last[1:])
 
+    def pay(name: str, out: bool) -> None:
+        """A tag costs its weight, or counts for the furniture that it is in, begins or ends."""
+        nonlocal cost, inner
+        if out:
+            inner += 1
+        else:
+            cost += weights.tag(name)
+            if teach is not None:
+                teach.add("tag", name, stack[-1].in_article, 1)
+
     def close(depth: int) -> None:
         if teach is not None:
             for e in range(len(stack) - 1, depth - 1, -1):
@@ -249,13 +259,8 @@ def _scan(page: str, weights: Weights, wraps: frozenset[int], teach: Taught | No
         if name is None:
             continue
         name = name.lower()
-        if stack[-1].out:
-            inner += 1
-        else:
-            cost += weights.tag(name)
-            if teach is not None:
-                teach.add("tag", name, stack[-1].in_article, 1)
         if m[1]:
+            pay(name, stack[-1].out)
             if name in BLOCKS:
                 block += 1
             depth = len(stack) - 1
@@ -279,6 +284,8 @@ def _scan(page: str, weights: Weights, wraps: frozenset[int], teach: Taught | No
                     depth -= 1
                 if depth > 0 and stack[depth].name == "p" and name in CLOSED_BY_SAME["p"]:
                     close(depth)
+        if name in EMPTY or name in RAW:
+            pay(name, stack[-1].out)
         if name in EMPTY:
             continue
         attributes = m[3] or ""
@@ -314,6 +321,7 @@ def _scan(page: str, weights: Weights, wraps: frozenset[int], teach: Taught | No
             named[inmost].holds_main = True
         soft = inmost > 0 and (inmost not in wraps)
         furniture = hard or soft
+        pay(name, furniture)
         context = name if name in BLOCKS else top.context
         piece = top.piece if furniture else 0
         if furniture and not top.out:

@@ -213,3 +213,26 @@ def test_raw_elements_and_white_space():
         assert h.main_text(long, PLAIN).count("\n") == n
         times.append(time.perf_counter() - began)
     assert times[1] < 16 * times[0]
+
+
+PARA = "".join(f"<p>Sentence number {i} of the article has a fair number of words in it, with <a href='#'>a link</a> too.</p>" for i in range(5))
+LINES = [f"Sentence number {i} of the article has a fair number of words in it, with a link too." for i in range(5)]
+SHAPES = {
+    f"<body class='single has-sidebar'><header class='site-header'><a href='/'>Site</a><nav><ul><li><a>Home</a></li></ul></nav></header><main><article><header><h1>Title here</h1></header><div class='share-buttons'><a>Tweet</a></div>{PARA}"
+    "<figure><img><figcaption>A picture of it</figcaption></figure><aside class='related'><h2>Related</h2><a>Other story</a></aside><pre>code  here</pre></article><section id='comments'><h2>Comments</h2><div class='comment'><p>I disagree wholeheartedly with this.</p>"
+    "</div><form><textarea></textarea><button>Post</button></form></section></main><aside><p>Sidebar words</p></aside><footer><p>Copyright 2024</p></footer>": ["Title here", *LINES, "A picture of it", "code here"],
+    f"<div id='header'><a>Logo</a></div><div class='cookie-banner'>We use cookies to improve. <button>OK</button></div><div id='nav'><a>World</a></div><div id='wrapper'><div id='content' class='col-main'><h1>Headline of it</h1><div class='story'>{PARA}</div>"
+    f"<div class='ad-slot'>Buy now cheap</div>{PARA}</div><div id='sidebar' class='sidebar'><ul><li><a>One story</a></li></ul></div></div><div id='footer'>About us Contact</div>": ["Headline of it", *LINES, *LINES],
+    f"<div id='page' class='site'><div id='masthead' class='site-header'>My blog tagline</div><div id='content'><div class='post has-post-thumbnail'><h1 class='entry-title'>Entry</h1><div class='entry-content'>{PARA}</div></div><div id='comments' class='comments-area'>"
+    "<ol class='comment-list'><li class='comment'><p>Nice post, thanks for it all.</p></li></ol></div><div id='secondary' class='widget-area'><div class='widget'>Search archives</div></div></div></div>": ["Entry", *LINES],
+    f"<form id='form1' action='x'><div class='menu'><a>Home</a><a>About</a></div><div class='main-content'>{PARA}</div><div class='footer'>(c)</div></form>": LINES,
+    "<article><h1>Soup</h1><table><tr><td>Salt</td><td>2 g</td></tr></table><ol><li>Boil.</li><li>Eat.</li></ol></article>": ["Soup", "Salt", "2 g", "Boil.", "Eat."],
+    f"<article><div class='notice'>Subscribe to read more.</div>{PARA}<div role='complementary'>extra</div><form class='newsletter'><label>Your mail</label></form><p>The end.</p></article>": [*LINES, "The end."],
+}
+
+
+def test_pages_of_many_shapes(spark):
+    taught = h.learn(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    for weights in (PLAIN, taught):
+        for page_, want in SHAPES.items():
+            assert h.main_text(page(page_), weights).split("\n") == want
