@@ -147,7 +147,7 @@ def promo_days(t: Tables) -> DataFrame:
 
 
 def promo_uplift(t: Tables) -> DataFrame:
-    """Units per product and day, on and off promotion, over all days with baskets, zero days too.
+    """``state, n_units, n_days, units_per_day``: promoted products on and off promotion, over all days with baskets, zero days too.
 
     The grid of products and days is counted, not built: off days are all days less on days.
     """
@@ -160,13 +160,21 @@ def promo_uplift(t: Tables) -> DataFrame:
     n_on = on_days.agg(F.count(F.lit(1)).alias("days_on"))
     n_all = days.agg(F.count(F.lit(1)).alias("nd")).crossJoin(promoted.agg(F.count(F.lit(1)).alias("np")))
     both = units.crossJoin(n_on).crossJoin(n_all).withColumn("days_off", F.col("nd") * F.col("np") - F.col("days_on"))
-    rate_on, rate_off = ratio("units_on", "days_on"), ratio("units_off", "days_off")
-    return both.select("units_on", "days_on", "units_off", "days_off", fixed(rate_on, 6).alias("rate_on"), fixed(rate_off, 6).alias("rate_off"), fixed(ratio(rate_on, rate_off), 4).alias("uplift"))
+    state = lambda name, s: F.struct(F.lit(name).alias("state"), F.col(f"units_{s}").alias("n_units"), F.col(f"days_{s}").alias("n_days"), fixed(ratio(f"units_{s}", f"days_{s}"), 6).alias("units_per_day"))
+    return both.select(F.inline(F.array(state("on", "on"), state("off", "off")))).where("n_days > 0")
+
+
+def uplift_ratio(states: DataFrame) -> DataFrame:
+    """One row: units a day on promotion over those off it."""
+    rate = lambda s: F.sum(F.when(F.col("state") == s, F.col("n_units") / F.col("n_days")))
+    return states.agg(fixed(ratio(rate("on"), rate("off")), 4).alias("uplift"))
 
 
 def promo_by_type(t: Tables) -> DataFrame:
-    return t["promotions"].groupBy("promo_type").agg(
-        F.count(F.lit(1)).alias("n"), fixed(F.avg("discount_value"), 4).alias("avg_discount"), fixed(F.avg(F.datediff("end_date", "start_date") + 1), 4).alias("avg_days")
+    """What lines on promotion sell, by kind of promotion."""
+    kinds = t["promotions"].select("promotion_id", "promo_type")
+    return t["items"].where("promotion_id is not null").join(kinds, "promotion_id").groupBy("promo_type").agg(
+        F.countDistinct("promotion_id").alias("n_promotions"), F.count(F.lit(1)).alias("n_lines"), money("line_amount").alias("revenue"), fixed(F.avg("quantity"), 4).alias("units_per_line")
     )
 
 

@@ -117,6 +117,25 @@ def recency_slots(top: DataFrame, product_history: DataFrame) -> DataFrame:
     return both.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n_slots"), F.sum("label").alias("n_hits"))
 
 
+def recency_comparison(systems: dict[str, DataFrame], category_history: DataFrame, first: str, days: tuple[int, ...] = (7, 14), k: int = 5) -> DataFrame:
+    """``days, system, n_queries, pct_recent, precision, hit``: all systems on the queries where the first one offered a category bought that recently.
+
+    ``systems`` are top lists with category and label; precision and hits are of products.
+    """
+    since = category_history.select("query_id", "category", "days_since")
+    limits = F.explode(F.array(*[F.lit(d) for d in days])).alias("days")
+    marked = {n: top.join(since, ["query_id", "category"], "left").select("query_id", "label", "days_since", limits).withColumn("recent", F.coalesce((F.col("days_since") <= F.col("days")).cast("int"), F.lit(0))) for n, top in systems.items()}
+    chosen = marked[first].where("recent = 1").select("query_id", "days").distinct()
+    out = None
+    for name, slots in marked.items():
+        per = chosen.join(slots, ["query_id", "days"], "left").groupBy("days", "query_id").agg(F.coalesce(F.sum("recent"), F.lit(0)).alias("r"), F.coalesce(F.sum("label"), F.lit(0)).alias("h"))
+        row = per.groupBy("days").agg(
+            F.count(F.lit(1)).alias("n_queries"), fixed(100 * F.sum("r") / (F.count(F.lit(1)) * k), 4).alias("pct_recent"), fixed(F.avg(F.col("h") / k), 6).alias("precision"), fixed(F.avg((F.col("h") > 0).cast("double")), 6).alias("hit")
+        ).withColumn("system", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- baselines on the grid of queries and categories ------------------------------------
 
 BASELINES = ("random", "global", "month", "frequency", "due", "favourite", "rules")

@@ -111,6 +111,18 @@ def slice_for(tables: dict[str, DataFrame], customers: DataFrame) -> dict[str, D
     return {n: df.join(chosen, "customer_id", "left_semi") if "customer_id" in df.columns else df for n, df in tables.items()}
 
 
+def export_demo_bundle(tables: dict[str, DataFrame], customers: DataFrame, folder: str) -> list[str]:
+    """Tables cut to some customers, each as one file, with ``manifest`` (table, n_rows, digest) beside them; the names written."""
+    from ..sources.files import manifest, write_single
+
+    cut = slice_for(tables, customers)
+    for name, df in cut.items():
+        write_single(df, f"{folder}/{name}")
+    spark = customers.sparkSession
+    write_single(manifest({name: spark.read.parquet(f"{folder}/{name}") for name in cut}), f"{folder}/manifest")
+    return [*cut, "manifest"]
+
+
 # --- demo customers -----------------------------------------------------------------------
 
 
@@ -140,6 +152,13 @@ def spread_pick(scored: DataFrame, group: str, n: int, key: str = "customer_id")
     return placed.where((F.col("_i") % step == 0) & (F.col("_i") / step < n)).drop("_i", "_n")
 
 
+def risk_labels(customers: DataFrame, risk: str = "p_churn", high: float = 0.75) -> DataFrame:
+    """``customer_id, risk``: high, medium or low against all others: above a quantile, above the median, below."""
+    cuts = quantiles(customers, risk, (0.5, high), "q")
+    label = F.when(F.col(risk) >= F.col("q1"), "high").when(F.col(risk) >= F.col("q0"), "medium").otherwise("low")
+    return customers.crossJoin(F.broadcast(cuts)).select("customer_id", label.alias("risk"))
+
+
 # --- explanations -------------------------------------------------------------------------
 
 

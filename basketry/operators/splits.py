@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fn import uniform
+from ..functions.ranks import placed
 
 PLANS = ("headline", "empty_and_half", "all_prefixes", "random_fractions")
 
@@ -118,3 +119,13 @@ def validation_tail(q: DataFrame, days: int = 14) -> DataFrame:
     """``is_validation``: queries of the last days."""
     last = q.agg(F.max("basket_day").alias("_last"))
     return q.crossJoin(F.broadcast(last)).withColumn("is_validation", F.col("basket_day") > F.date_sub("_last", days)).drop("_last")
+
+
+def validation_first(q: DataFrame, n_valid: int, n_train: int | None = None, key: str = "basket_id") -> DataFrame:
+    """``is_validation``: queries of the ``n_valid`` baskets first by id, as text.
+
+    With fewer baskets than ``n_train + n_valid`` the same proportion of them, so that some are left to train.
+    """
+    ids = placed(q.select(key).distinct(), [F.col(key).cast("string")], "_r", total="_n")
+    share = F.lit(n_valid) if n_train is None else F.when(F.col("_n") < n_train + n_valid, F.round(F.col("_n") * n_valid / (n_train + n_valid))).otherwise(n_valid)
+    return q.join(ids.select(key, (F.col("_r") <= share).alias("is_validation")), key)

@@ -159,18 +159,27 @@ grid AS (SELECT product_id, day FROM (SELECT DISTINCT product_id FROM promotions
 sold AS (SELECT product_id, basket_day AS day, sum(quantity) AS units FROM items JOIN baskets USING (basket_id) GROUP BY 1, 2),
 g AS (SELECT g.*, coalesce(units, 0) AS units, pd.day IS NOT NULL AS on_ FROM grid g LEFT JOIN sold USING (product_id, day) LEFT JOIN pd USING (product_id, day)),
 a AS (SELECT CAST(coalesce(sum(units) FILTER (on_), 0) AS BIGINT) AS units_on, count(*) FILTER (on_) AS days_on, CAST(coalesce(sum(units) FILTER (NOT on_), 0) AS BIGINT) AS units_off, count(*) FILTER (NOT on_) AS days_off FROM g)
-SELECT *, round(units_on / days_on * 1e6::DOUBLE) / 1e6::DOUBLE AS rate_on, round(units_off / days_off * 1e6::DOUBLE) / 1e6::DOUBLE AS rate_off, round((units_on / days_on) / (units_off / days_off) * 10000) / 10000 AS uplift FROM a""")
+SELECT state, CAST(n_units AS BIGINT) AS n_units, n_days, round(n_units / n_days * 1e6::DOUBLE) / 1e6::DOUBLE AS units_per_day FROM (SELECT 'on' AS state, units_on AS n_units, days_on AS n_days FROM a UNION ALL SELECT 'off', units_off, days_off FROM a) WHERE n_days > 0""")
 def _(t):
     return q.promo_uplift(t)
 
 
+@query("q8_uplift_ratio", """
+pd AS (SELECT DISTINCT product_id, basket_day AS day FROM promotions JOIN (SELECT DISTINCT basket_day FROM baskets) ON basket_day BETWEEN start_date AND end_date),
+n AS (SELECT (SELECT count(*) FROM pd) AS days_on, (SELECT count(DISTINCT product_id) FROM promotions) * (SELECT count(DISTINCT basket_day) FROM baskets) AS every),
+s AS (SELECT sum(quantity) FILTER (pd.day IS NOT NULL) AS u_on, sum(quantity) FILTER (pd.day IS NULL) AS u_off FROM items i JOIN baskets b ON b.basket_id = i.basket_id LEFT JOIN pd ON pd.product_id = i.product_id AND pd.day = basket_day WHERE i.product_id IN (SELECT product_id FROM promotions))
+SELECT round((u_on / days_on) / (u_off / (every - days_on)) * 10000) / 10000 AS uplift FROM s, n""")
+def _(t):
+    return q.uplift_ratio(q.promo_uplift(t))
+
+
 @query("q8_promo_share_by_department", f"""SELECT department, {MONEY.format("line_amount")} AS revenue,
 round(100 * CAST(sum(CASE WHEN is_promo THEN CAST(line_amount AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) / {MONEY.format("line_amount")} * 10000) / 10000 AS pct FROM items JOIN products USING (product_id) GROUP BY 1""")
 def _(t):
     return q.conditional_share(t, "department", "is_promo")
 
 
-@query("q8_promo_by_type", "SELECT promo_type, count(*) AS n, round(avg(discount_value) * 10000) / 10000 AS avg_discount, round(avg(date_diff('day', start_date, end_date) + 1) * 10000) / 10000 AS avg_days FROM promotions GROUP BY 1")
+@query("q8_promo_by_type", f"SELECT promo_type, count(DISTINCT promotion_id) AS n_promotions, count(*) AS n_lines, {MONEY.format('line_amount')} AS revenue, round(avg(quantity) * 10000) / 10000 AS units_per_line FROM items JOIN promotions USING (promotion_id) GROUP BY 1")
 def _(t):
     return q.promo_by_type(t)
 

@@ -277,6 +277,12 @@ def _(t):
     return sp.validation_tail(Window(t).q).select("query_id", "is_validation")
 
 
+@query("split_validation_first", QS + """, b AS (SELECT basket_id, row_number() OVER (ORDER BY CAST(basket_id AS VARCHAR)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT basket_id FROM qs))
+SELECT query_id, r <= CASE WHEN n < 1200 THEN round(n * 200 / 1200) ELSE 200 END AS is_validation FROM qs JOIN b USING (basket_id)""")
+def _(t):
+    return sp.validation_first(Window(t).q, 200, 1000).select("query_id", "is_validation")
+
+
 @query("cand_popularity_fit", HB + "," + POP + " SELECT * FROM pop")
 def _(t):
     return Window(t).popularity()
@@ -372,6 +378,13 @@ def before_cut(t):
     return fe.events_before_cut(Window(t).q, t["sessions"], t["events"])
 
 
+@query("feat_customer_profile", HB + """ SELECT customer_id, n_baskets, round(spend / n_baskets * 10000) / 10000 AS avg_ticket, last_day, n_products FROM (SELECT customer_id, count(DISTINCT basket_id) AS n_baskets, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS spend, max(basket_day) AS last_day FROM hb WHERE customer_id IS NOT NULL GROUP BY 1)
+LEFT JOIN (SELECT customer_id, count(DISTINCT product_id) AS n_products FROM hi JOIN hb USING (basket_id) WHERE customer_id IS NOT NULL GROUP BY 1) USING (customer_id)""")
+def _(t):
+    w = Window(t)
+    return ca.customer_profile(w.history, w.history_items)
+
+
 @query("feat_events_before_cut", QS + "," + BEFORE + " SELECT query_id, product_id, event_type, epoch_us(event_ts) AS us FROM bc")
 def _(t):
     return before_cut(t).select("query_id", "product_id", "event_type", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("us"))
@@ -503,6 +516,21 @@ def _(t):
     return rk.recency_slots(w.top(), w.past["product"])
 
 
+_POP = SCORED.replace("round((coalesce(pop_score, 0) + coalesce(aff_lift, 0) + coalesce(cataff_lift, 0) + 5 * coalesce(personal_score, 0)) * 10000) / 10000 AS score", "round(coalesce(pop_score, 0) * 10000) / 10000 AS score")
+
+
+@query("rank_recency_comparison", SCORED + ", y AS (WITH " + _POP[len(QS) + 1 :].lstrip() + """ SELECT * FROM top5), sy AS (SELECT 'all sources' AS system, query_id, category, label FROM top5 UNION ALL SELECT 'popular', query_id, category, label FROM y),
+m AS (SELECT system, days, sy.query_id, label, CAST(coalesce(days_since <= days, false) AS INT) AS r FROM sy LEFT JOIN hcat USING (query_id, category), (VALUES (7), (14)) v(days)),
+ch AS (SELECT DISTINCT query_id, days FROM m WHERE system = 'all sources' AND r = 1), ss AS (SELECT DISTINCT system FROM sy),
+p AS (SELECT ss.system, ch.days, ch.query_id, coalesce(sum(r), 0) AS r, coalesce(sum(label), 0) AS h FROM ch CROSS JOIN ss LEFT JOIN m ON m.query_id = ch.query_id AND m.days = ch.days AND m.system = ss.system GROUP BY 1, 2, 3)
+SELECT days, system, count(*) AS n_queries, round(100 * sum(r) / (count(*) * 5) * 10000) / 10000 AS pct_recent, round(avg(h / 5) * 1e6::DOUBLE) / 1e6::DOUBLE AS precision, round(avg(CAST(h > 0 AS DOUBLE)) * 1e6::DOUBLE) / 1e6::DOUBLE AS hit FROM p GROUP BY 1, 2""")
+def _(t):
+    w = Window(t)
+    full = saved(w.scored_parts())
+    popular = full.withColumn("score", fixed(F.coalesce("pop_score", F.lit(0.0)), 4))
+    return rk.recency_comparison({"all sources": rk.top_k(full, 5), "popular": rk.top_k(popular, 5)}, w.past["category"], "all sources")
+
+
 _BASE = QS + "," + ASOF + "," + HCAFF + """,
 cats AS (SELECT category, count(*) AS n FROM csets s JOIN (SELECT DISTINCT category FROM products) c ON c.category = s.item GROUP BY 1),
 mons AS (SELECT CAST(month(basket_day) AS INT) AS month, item AS category, count(*) AS n FROM csets JOIN hb USING (basket_id) GROUP BY 1, 2),

@@ -24,7 +24,7 @@ promotions AS (SELECT p_partkey AS promotion_id, p_partkey AS product_id, CASE p
 baskets AS (SELECT o_orderkey AS basket_id, CASE WHEN o_orderkey % 10 <> 3 THEN o_custkey END AS customer_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'app' WHEN '2-HIGH' THEN 'web' ELSE 'store' END AS channel, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS basket_ts,
   CAST(o_orderdate AS DATE) AS basket_day, o_totalprice AS total_amount FROM orders),
-items AS (SELECT l_orderkey AS basket_id, l_partkey AS product_id, CAST(l_quantity AS INT) AS quantity, l_extendedprice AS line_amount, l_discount >= 0.05 AS is_promo FROM lineitem),
+items AS (SELECT l_orderkey AS basket_id, l_partkey AS product_id, CAST(l_quantity AS INT) AS quantity, l_extendedprice AS line_amount, l_discount >= 0.05 AS is_promo, CASE WHEN l_partkey % 7 = 0 AND l_discount >= 0.05 THEN l_partkey END AS promotion_id FROM lineitem),
 log AS (SELECT user_id, ts, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d, CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
   user_id * 1000 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS session_id FROM events),
 sessions AS (SELECT session_id, max(CASE WHEN user_id % 9 <> 0 THEN user_id END) AS customer_id, min(ts) AS session_ts,

@@ -40,6 +40,21 @@ def _(t):
     return sv.scenarios(Snapshot(t).customers(), risk="recency")
 
 
+@query("demo_risk_labels", CFEAT + """, c AS (SELECT customer_id, recency AS r FROM cfeat), k AS (SELECT quantile_cont(r, 0.5) AS m, quantile_cont(r, 0.75) AS h FROM c)
+SELECT customer_id, CASE WHEN r >= h THEN 'high' WHEN r >= m THEN 'medium' ELSE 'low' END AS risk FROM c, k""")
+def _(t):
+    return sv.risk_labels(Snapshot(t).customers(), "recency")
+
+
+@query("serve_demo_bundle", "SELECT 'baskets' AS \"table\", count(*) AS n_rows FROM baskets WHERE customer_id % 50 = 0 UNION ALL SELECT 'customers', count(*) FROM customers WHERE customer_id % 50 = 0 UNION ALL SELECT 'products', count(*) FROM products")
+def _(t):
+    """A bundle for some customers, and its manifest."""
+    spark = t["customers"].sparkSession
+    folder = shared_dir(spark)
+    sv.export_demo_bundle({n: t[n] for n in ("baskets", "customers", "products")}, t["customers"].where("customer_id % 50 = 0"), folder)
+    return spark.read.parquet(f"{folder}/manifest").select("table", "n_rows")
+
+
 @query("demo_spread_pick", "p AS (SELECT customer_id, tier, row_number() OVER (PARTITION BY tier ORDER BY customer_id) - 1 AS i, count(*) OVER (PARTITION BY tier) AS n FROM customers) SELECT customer_id, tier FROM p WHERE i % greatest(n // 10, 1) = 0 AND i / greatest(n // 10, 1) < 10")
 def _(t):
     return sv.spread_pick(t["customers"].select("customer_id", "tier"), "tier", 10)
@@ -191,6 +206,11 @@ def _(t):
     return t["baskets"].select("basket_id", fn.uniform("basket_id", "s").alias("u"))
 
 
+@query("fn_category_need", "SELECT basket_id, product_id, CAST(quantity * CASE WHEN is_promo THEN 2 ELSE 1 END AS DOUBLE) AS need, CASE WHEN quantity >= 20 THEN 1.0::DOUBLE ELSE quantity / 20 END AS weight FROM items")
+def _(t):
+    return t["items"].select("basket_id", "product_id", fn.category_need_score("quantity", F.col("is_promo").cast("int")).alias("need"), fn.need_weight(F.col("quantity") / 20).alias("weight"))
+
+
 @query("fn_household_factor", "SELECT customer_id, 1.45::DOUBLE - 0.125::DOUBLE * household_size AS factor FROM customers")
 def _(t):
     return t["customers"].select("customer_id", fn.household_factor("household_size").alias("factor"))

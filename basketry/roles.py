@@ -45,7 +45,7 @@ def clean(spark: SparkSession, sf_dir: str) -> Tables:
     )
     items = read("lineitem").select(
         F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id"), F.expr("cast(l_quantity as int)").alias("quantity"),
-        F.col("l_extendedprice").alias("line_amount"), F.expr("l_discount >= 0.05").alias("is_promo"),
+        F.col("l_extendedprice").alias("line_amount"), F.expr("l_discount >= 0.05").alias("is_promo"), F.expr("CASE WHEN l_partkey % 7 = 0 AND l_discount >= 0.05 THEN l_partkey END").alias("promotion_id"),
     )
     log = read("events").select(
         F.col("user_id"), "ts", "event_type", F.expr("datediff(cast(ts as date), DATE'2024-01-01')").alias("d"),
