@@ -252,6 +252,43 @@ def hamming_pairs(hashes: DataFrame, most: int = 8, bands: int = 16, halves: int
     return left.join(right, "k").where("a < b").select("a", "b", d.alias("distance")).where(F.col("distance") <= most).distinct()
 
 
+def dhash(pixels: Column | str, size: int = 8) -> Column:
+    """The hash of a grey picture of ``size`` rows and ``size + 1`` columns, as one list: whether each pixel is lighter than the next."""
+    pixels = F.col(pixels) if isinstance(pixels, str) else pixels
+    places = [r * (size + 1) + c for r in range(size) for c in range(size)]
+    bits = F.transform(F.lit(places), lambda i: (F.get(pixels, i) > F.get(pixels, i + 1)).cast("long"))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+
+
+# fixed values: words of a photo's description that bar it, and what others are worth
+BARRED = (
+    "woman women man men person people girl boy child children kid kids toddler infant newborn mother father parent family portrait model smiling hand hands holding chef cook cooking waiter barista "
+    "shopper customer female females male males anonymous crop torso lying sitting standing wearing laughing cute adorable playing sleeping feet foot legs arms face fingers skin"
+).split()
+WORTH = {
+    1.2: "white background isolated studio closeup close-up product packaging container bottle jar can pack package".split(),
+    -1.0: "restaurant kitchen cafe bar dining table plate served meal recipe farm field garden market supermarket shelf store aisle picnic party christmas street urban graffiti outdoor sidewalk wall".split(),
+    -0.8: "with alongside surrounded accompanied arrangement flatlay rustic cozy decorated festive aesthetic artistic vintage stacked composition".split(),
+    -1.5: "mockup blank plain unlabeled unbranded template".split(),
+}
+
+
+def photo_score(photos: DataFrame) -> DataFrame:
+    """``photo_id, score`` of photos that may show a product: bright ones, in words of a studio, not too long or wide.
+
+    ``photos``: photo_id, alt, avg_color (#RRGGBB), width, height. Barred ones are left out; an
+    unknown colour counts as middling, an unknown size as 1.
+    """
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("alt", F.lit(""))), r"[\s,-]+", " ")), " "))
+    shade = lambda at: F.conv(F.substring("avg_color", at, 2), 16, 10).cast("double")
+    bright = F.when(F.col("avg_color").rlike("^#[0-9A-Fa-f]{6}$"), (0.299 * shade(2) + 0.587 * shade(4) + 0.114 * shade(6)) / 255).otherwise(0.5)
+    w, h = (F.when(F.col(c) > 0, F.col(c)).otherwise(1) for c in ("width", "height"))
+    score = 3.0 * bright - F.least(F.greatest(w, h) / F.least(w, h) - 1, F.lit(2.0))
+    for worth, names in WORTH.items():
+        score = score + worth * F.size(F.array_intersect("words", F.lit(names)))
+    return photos.withColumn("words", words).where(~F.arrays_overlap("words", F.lit(BARRED))).select("photo_id", fixed(score, 3).alias("score"))
+
+
 def merge_credits(old: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame:
     """Old rows that aren't replaced, and the new ones."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

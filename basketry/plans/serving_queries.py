@@ -135,6 +135,14 @@ def _(t):
     return sv.hamming_pairs(hashes)
 
 
+@query("catalog_dhash", """p AS (SELECT product_id, list_transform(range(72), lambda i: (product_id * (i * 7 + 3)) % 251) AS v FROM products),
+b AS (SELECT product_id, list_sum(list_transform(range(64), lambda k: CAST(v[k // 8 * 9 + k % 8 + 1] > v[k // 8 * 9 + k % 8 + 2] AS HUGEINT) * CAST(pow(2, 63 - k) AS HUGEINT))) AS h FROM p)
+SELECT product_id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM b""")
+def _(t):
+    pixels = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(71).cast("long")), lambda i: (F.col("product_id") * (i * 7 + 3)) % 251)
+    return t["products"].select("product_id", sv.dhash(pixels).alias("hash"))
+
+
 @query("catalog_merge_credits", "SELECT category AS slug, 'old' AS author FROM (SELECT DISTINCT category FROM products) WHERE category > 'Brand#2' UNION ALL SELECT DISTINCT category, 'new' FROM products WHERE category <= 'Brand#2'")
 def _(t):
     names = t["products"].select(F.col("category").alias("slug")).distinct()

@@ -134,3 +134,13 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.root_dir(fake)
+
+
+def test_photos(spark):
+    rows = [(1, "White Bottle, isolated", "#FFFFFF", 100, 100), (2, "Smiling woman with jar", "#FFFFFF", 100, 100), (3, None, None, None, None), (4, "blank mockup on table", "#000000", 400, 100), (5, "close-up can", "#zzz", 300, 200)]
+    got = {r[0]: r[1] for r in serving.photo_score(spark.createDataFrame(rows, "photo_id long, alt string, avg_color string, width int, height int")).collect()}
+    assert got == {1: 6.6, 3: 1.5, 4: -6.0, 5: 2.2}
+    picture = [[(r * 3 + c * c) % 7 for c in range(9)] for r in range(8)]
+    want = int("".join("1" if row[c] > row[c + 1] else "0" for row in picture for c in range(8)), 2)
+    one = spark.createDataFrame([([x for row in picture for x in row],)], "p array<int>").select(serving.dhash("p")).first()[0]
+    assert one & (1 << 64) - 1 == want
