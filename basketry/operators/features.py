@@ -113,16 +113,22 @@ def build_matrix(
         "query_id", "category", F.col("n_days").alias("cat_n_days"), F.col("days_since").alias("cat_days_since"), F.col("expected_days").alias("cat_expected"),
         F.col("overdue_ratio").alias("cat_overdue"), F.col("due").alias("cat_due"), F.col("share").alias("cat_share"), F.col("freq_rank").alias("cat_freq_rank"), F.col("need_rank").alias("cat_need_rank"),
     )
-    shelf = popular.select("product_id", "month", "pop_all", F.col("recent").alias("pop_recent"), F.col("index").alias("season_index"), F.col("rank").alias("month_rank"))
+    # what is known of a query by product, category or department becomes a map of it, so that pairs are dealt to their query once
+    by = {"product_id": {"_bought": history["product"], "_viewed": views}, "category": {"_cart": categories, "_ranked": ranked}, "department": {"_shelves": departments}}
     head = q.select("query_id", "customer_id", "basket_day", "channel", "is_known", "prefix_size", F.col("cut_ts").isNotNull().alias("has_session"), F.month("basket_day").alias("month"))
-    # a query's own columns come together first, so that pairs are joined with them once
-    head = head.join(history["customer"].select("query_id", "n_baskets", "recency", "avg_ticket", "n_products"), "query_id", "left").join(activity, "query_id", "left")
     head = head.join(customers.select("customer_id", "household_size", "tier"), "customer_id", "left").drop("customer_id")
-    full = (
-        pool.join(index_products(products), "product_id").join(head, "query_id").join(shelf, ["product_id", "month"], "left")
-        .join(active_discount(q, promotions), ["basket_day", "product_id"], "left").join(categories, ["query_id", "category"], "left").join(departments, ["query_id", "department"], "left")
-        .join(history["product"], ["query_id", "product_id"], "left").join(ranked, ["query_id", "category"], "left").join(views, ["query_id", "product_id"], "left")
-    )
+    head = head.join(history["customer"].select("query_id", "n_baskets", "recency", "avg_ticket", "n_products"), "query_id", "left").join(activity, "query_id", "left")
+    looked_up, found = {}, {}
+    for key, tables in by.items():
+        for name, table in tables.items():
+            values = [c for c in table.columns if c not in ("query_id", key)]
+            entries = F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*values))))
+            head = head.join(table.groupBy("query_id").agg(entries.alias(name)), "query_id", "left")
+            looked_up[name] = F.try_element_at(name, F.col(key))
+            found |= {v: F.col(name)[v] for v in values}
+    shelf = popular.select("product_id", "month", "pop_all", F.col("recent").alias("pop_recent"), F.col("index").alias("season_index"), F.col("rank").alias("month_rank"))
+    full = pool.join(head, "query_id").join(index_products(products), "product_id").join(shelf, ["product_id", "month"], "left").join(active_discount(q, promotions), ["basket_day", "product_id"], "left")
+    full = full.withColumns(looked_up).withColumns(found)
     known = lambda c: F.col(c).isNotNull()
     made = {
         "weekday": F.dayofweek("basket_day"), "channel_code": code("channel", CHANNELS), "tier_code": code("tier", TIERS), "on_promo": known("promo_discount"), "ever_bought": known("n_times"), "viewed": known("n_views"),
