@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,6 +37,8 @@ WORDS, SIMILARITY = 5, (4, 5)
 TREES, LONGEST, RECALL = 24, 8, 0.99999
 #: Sets below a trie node up to which their pairs are listed; sets, and shingles on average, of a chunk above that.
 FEW, CHUNK, CHUNK_SHINGLES = 16, 256, 1 << 21
+#: Bytes of text that a task shingles at a time, but for a longer text.
+PIECE = 1 << 20
 #: Bytes of a level in a signature; similarities are counted in so many steps.
 LEVEL, STEPS = 2, 100
 
@@ -114,7 +115,7 @@ def sign(docs: DataFrame, words: int = WORDS, trees: int = TREES, levels: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, trees, levels)
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             sets = shingler.sets(as_bytes(batch))
             some = [s for s in sets if len(s)]
             found = iter(shingler.signatures(some) if some else ())
@@ -187,7 +188,7 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, 1, 1)
-        for batch in pieces(batches, "text_a"):
+        for batch in pieces(batches, "text_a", PIECE):
             one, two = shingler.sets(as_bytes(batch, "text_a")), shingler.sets(as_bytes(batch, "text_b"))
             sizes = [(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(one, two, strict=True)]
             out = batch.select(["a", "b"]).append_column("step", pa.array([_step(*x) for x in sizes], pa.int32()))
@@ -204,10 +205,10 @@ def verify_chunks(hot: DataFrame, texts: DataFrame, words: int = WORDS) -> DataF
     ``steps`` has, in one row of each pair of chunks, how many links have which similarity.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        key, i, j = int(group["key"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    def run(group: pa.Table) -> pa.Table:
+        key, i, j = (group[c][0].as_py() for c in ("key", "i", "j"))
         nodes = group["node"].to_numpy()
-        sets = Shingler(words, 1, 1).sets([x.encode() for x in group["text"]])
+        sets = Shingler(words, 1, 1).sets(group["text"].cast(pa.binary()).to_pylist())
         sizes = np.array([len(s) for s in sets])
         both = _overlaps(sets)
         link = _linked(sizes[:, None], sizes[None, :], both)
@@ -216,16 +217,17 @@ def verify_chunks(hot: DataFrame, texts: DataFrame, words: int = WORDS) -> DataF
         if i != j:
             link &= side[:, None] != side[None, :]
         above: dict[int, list[int]] = {}
-        for row, keys in enumerate(group["keys"]):
+        for row, keys in enumerate(group["keys"].to_pylist()):
             for k in keys:
                 if k < key:
-                    above.setdefault(int(k), []).append(row)
+                    above.setdefault(k, []).append(row)
         for rows in above.values():  # these pairs count elsewhere
             if len(rows) > 1:
                 link[np.ix_(rows, rows)] = False
         one, two = np.nonzero(np.triu(link))
         steps = np.bincount(_step(sizes[one], sizes[two], both[one, two]), minlength=STEPS + 1).tolist()
-        return pd.DataFrame({"node": nodes, "n": link.sum(axis=1).astype(np.int64), "root": nodes[_components(link)], "steps": [steps] + [None] * (len(nodes) - 1)})
+        counts = pa.array([steps] + [None] * (len(nodes) - 1), pa.list_(pa.int64()))
+        return pa.table([pa.array(nodes), pa.array(link.sum(axis=1).astype(np.int64)), pa.array(nodes[_components(link)]), counts], ["node", "n", "root", "steps"])
 
     each = hot.select("node", F.col("hot.key").alias("keys"), F.explode("hot").alias("h")).select("node", "keys", "h.key", "h.size", "h.weight")
     each = each.withColumn("chunks", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int"))
@@ -233,7 +235,7 @@ def verify_chunks(hot: DataFrame, texts: DataFrame, words: int = WORDS) -> DataF
     cells = each.select("node", "keys", "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     cells = cells.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other")
     rows = cells.join(texts, "node").select("node", "keys", "key", "chunk", "i", "j", "text")
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "node long, n long, root long, steps array<long>")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "node long, n long, root long, steps array<long>")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
