@@ -155,7 +155,7 @@ class Window:
         return aff.cooccurrence(aff.basket_items(self.history_items, self.t["products"], level), 2 if level == "product" else 50)
 
     def asof(self):
-        return ca.asof_history(self.q, self.t["baskets"], self.t["items"], self.t["products"], self.t["customers"])
+        return ca.asof_history(self.q, self.t["baskets"], self.t["items"], self.t["products"], self.t["customers"], saved)
 
     @cached_property
     def past(self):
