@@ -90,7 +90,7 @@ def _(t):
     return cl.duplicate_diagnostic(t["items"])
 
 
-@query("clean_dedupe_by_key", "SELECT basket_id, product_id, quantity, line_amount, is_promo FROM (SELECT *, row_number() OVER (PARTITION BY basket_id, product_id ORDER BY quantity NULLS FIRST, line_amount NULLS FIRST, is_promo NULLS FIRST) AS rk FROM items) WHERE rk = 1")
+@query("clean_dedupe_by_key", "SELECT basket_id, product_id, quantity, line_amount, is_promo, promotion_id FROM (SELECT *, row_number() OVER (PARTITION BY basket_id, product_id ORDER BY quantity NULLS FIRST, line_amount NULLS FIRST, is_promo NULLS FIRST, promotion_id NULLS FIRST) AS rk FROM items) WHERE rk = 1")
 def _(t):
     return cl.dedupe_by_key(t["items"], ["basket_id", "product_id"])
 
