@@ -234,7 +234,9 @@ def hamming_pairs(hashes: DataFrame, most: int = 8, bands: int = 16, halves: int
     Of ``bands`` bands at least ``bands - most`` agree, and so, in one of ``halves`` parts of the bands,
     ``ceil((bands - most) / halves)``: every choice of so many bands of a part is a key of an
     equi-join, and no pair is missed. At the defaults these are 140 keys of 16 bits a hash, which a
-    random pair shares with a chance of one in 470.
+    random pair shares with a chance of one in 470. The pairs that share keys are counted first (a job):
+    where bits hardly vary they are more than a twentieth of all pairs, and all are compared instead,
+    once each, by tiles.
     """
     if bands <= most or 64 % bands or bands % halves:
         raise ValueError("bands must divide 64, be above most, and divide into parts")
@@ -247,11 +249,27 @@ def hamming_pairs(hashes: DataFrame, most: int = 8, bands: int = 16, halves: int
             masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = F.transform(F.lit(masks).cast("array<bigint>"), lambda m, i: F.struct(i.alias("i"), F.col("hash").bitwiseAND(m).alias("v")))
     each = hashes.select("id", "hash", F.explode(keys).alias("k"))
+    met = each.groupBy("k").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum(F.when(F.col("k.i") == 0, F.col("n"))).alias("n")).first()
+    n = met["n"] or 0.0
+    if met["pairs"] and met["pairs"] > n * (n - 1) / 40:
+        return _all_pairs(hashes, int(n), most)
     left, right = each.toDF("a", "ha", "k"), each.toDF("b", "hb", "k")
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     return left.join(right, "k").where("a < b").select("a", "b", d.alias("distance")).where(F.col("distance") <= most).distinct()
 
 
+def _all_pairs(hashes: DataFrame, n: int, most: int, rows: int = 4096, tiles: int = 64) -> DataFrame:
+    """``a, b, distance`` by comparing all pairs: rows are dealt into tiles, and every two tiles meet in one place."""
+    count = max(1, min(tiles, -(-n // rows)))
+    parts = max(1, min(count * (count + 1) // 2, 4 * int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    t = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    left = hashes.select(F.col("id").alias("x"), F.col("hash").alias("hx"), t.alias("i"), F.explode(F.sequence(t, F.lit(count - 1))).alias("j")).repartition(parts, "i", "j")
+    right = hashes.select(F.col("id").alias("y"), F.col("hash").alias("hy"), t.alias("j"), F.explode(F.sequence(F.lit(0), t)).alias("i")).repartition(parts, "i", "j")
+    d = F.bit_count(F.col("hx").bitwiseXOR(F.col("hy")))
+    near = left.join(right, ["i", "j"]).where((d <= most) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), d.alias("distance"))
+
+
 def dhash(pixels: Column | str, size: int = 8) -> Column:
     """The hash of a grey picture of ``size`` rows and ``size + 1`` columns, as one list: whether each pixel is lighter than the next."""
     pixels = F.col(pixels) if isinstance(pixels, str) else pixels

@@ -148,3 +148,20 @@ def test_step_graph():
             steps.Graph(bad)
     with pytest.raises(KeyError):
         g.resolve(["zz"])
+
+
+def test_hamming_pairs_of_hashes_that_hardly_vary(spark):
+    """32 of 64 bits are the same everywhere: most pairs share keys, and each is compared once."""
+    import random
+
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(32) for _ in range(400)]
+    hashes += [h ^ (1 << rng.randrange(32)) for h in hashes[:50]] + hashes[:20]
+    df = spark.createDataFrame(list(enumerate(hashes)), "id long, hash long")
+    want = {(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if (hashes[a] ^ hashes[b]).bit_count() <= 8}
+    found = serving.hamming_pairs(df)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    tiled = [tuple(r) for r in serving._all_pairs(df, len(hashes), 8, rows=40).collect()]
+    assert set(tiled) == want and len(tiled) == len(want)
