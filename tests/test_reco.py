@@ -254,3 +254,15 @@ def test_what_a_month_offers_is_dealt_to_its_queries(spark):
     assert {(r["query_id"], r["product_id"]): (r["pop_rank"], r["x"], r["n_sources"]) for r in pool.collect()}["q", 2] == (2, 0.5, 2)
     plan = pool._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")]
+
+
+def test_labels_of_the_matrix(spark):
+    """A matrix with targets is labelled as ``with_relevance`` labels it, and the pool joined row by row gives the same features."""
+    from basketry import roles
+    from basketry.plans.reco_queries import Window
+
+    w = Window(roles.clean(spark, "/root/testdata/sf0.001"))
+    got = w.matrix(target=w.target).cache()
+    want = features.with_relevance(got.drop("relevance", "label"), w.target, w.t["products"]).select(got.columns)
+    assert got.count() > 1000 and got.where("relevance = 2 and label = 1").count() > 0 and got.exceptAll(want).count() == 0
+    got.unpersist()
