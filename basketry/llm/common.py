@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from ..shared import forget, saved, shared_dir  # noqa: F401
 
+#: What a partition of a result is worth at least, and the partitions that a core gets in any case.
+PART_BYTES = 8 << 20
+PARTS_PER_CORE = 3
+
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """16 bytes that name a row by its id and its text; rows equal in both are one document."""
@@ -33,6 +37,16 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def worth(df: DataFrame) -> int:
+    """Partitions that a result of the size of ``df`` is worth: ``PARTS_PER_CORE``, or one for each ``PART_BYTES`` that Spark estimates if that is more.
+
+    A shuffle deals a small table over as many partitions as a large one. Each becomes a file, and where
+    Hadoop lacks its native library, each local file is a process that a worker starts for ``chmod``.
+    """
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(PARTS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-estimate // PART_BYTES)), 2**31 - 1)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``most`` bytes of text each, a row at least."""
     for batch in batches:

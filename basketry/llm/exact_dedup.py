@@ -21,10 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, saved
+from .common import columns, fresh, saved, worth
 
 #: Rows that a lane holds at the end, on average; there are more lanes if there is more data.
 RUN_ROWS = 1_000_000
+#: A lane for fewer rows costs more in tasks and files than it spares.
+LEAST_ROWS = 20_000
 _SIZE = 40
 
 
@@ -121,12 +123,14 @@ def merge_runs(runs: DataFrame, keep: str = "max", lanes: int | None = None) ->
 
     ``runs`` has what ``digest_runs`` writes with the same ``keep``. ``lanes`` is rounded up to a
     power of two; by default there is one for each input partition, up to the session's number of
-    shuffle partitions, and one for each ``RUN_ROWS`` rows. A task holds the run of one lane.
+    shuffle partitions and one for each ``LEAST_ROWS`` rows, or one for each ``RUN_ROWS`` rows if
+    that is more. A task holds the run of one lane.
     """
     spark = runs.sparkSession
     if lanes is None:
         seen = runs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("lane") + 1, F.lit(1)).alias("parts")).first()
-        lanes = max(min(seen["parts"], int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-seen["n"] // RUN_ROWS), 1)
+        most = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen["n"] // LEAST_ROWS))
+        lanes = max(min(seen["parts"], most), -(-seen["n"] // RUN_ROWS), 1)
     rounds = math.ceil(math.log2(lanes))
     lanes = 1 << rounds
 
@@ -160,13 +164,14 @@ def exact_dedup(docs: DataFrame, keep: str = "max", lanes: int | None = None) ->
     Texts are equal when identical; null counts as empty; very long ones are compared whole. The
     row with the largest doc_id stays (``keep='min'``: the smallest); of rows equal in id and text
     exactly one stays. Null ids lose. An empty table gives an empty result; other columns play no
-    part. Runs are written and merged when called.
+    part. Runs are written and merged when called. The result has ``worth(docs)`` partitions at most.
     """
     runs = digest_runs(docs, keep)
     best = merge_runs(runs, keep, lanes).select("key", F.col("doc_id").alias("keep_id"), F.col("row_no").alias("keep_row"), "group_size")
-    return runs.join(best, "key").select(
+    out = runs.join(best, "key").select(
         "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256")
     )
+    return out.coalesce(worth(docs))
 
 
 def drop_copies(docs: DataFrame, keep: str = "max", lanes: int | None = None) -> DataFrame:
@@ -175,7 +180,7 @@ def drop_copies(docs: DataFrame, keep: str = "max", lanes: int | None = None) ->
     Which one, and what is equal, as in ``exact_dedup``: null and empty texts are one group, very
     long ones are compared whole, null ids lose, and of rows equal in id and text one stays. Other
     columns, whatever their names, are kept; an empty table gives none. Runs are written and merged
-    when called.
+    when called. The result has ``worth(docs)`` partitions at most.
     """
     runs = digest_runs(docs, keep)
     key, best = fresh(docs, "_digest"), fresh(docs, "_best")
@@ -183,4 +188,4 @@ def drop_copies(docs: DataFrame, keep: str = "max", lanes: int | None = None) ->
     kept = docs.withColumn(key, digest_key()).join(stay, key).where(F.col("doc_id").eqNullSafe(F.col(best)))
     if runs.groupBy("key", "doc_id").count().where("count > 1").limit(1).count() > 0:
         kept = kept.dropDuplicates([key])
-    return kept.select(*[F.col(f"`{n}`") for n in docs.columns])
+    return kept.select(*[F.col(f"`{n}`") for n in docs.columns]).coalesce(worth(docs))

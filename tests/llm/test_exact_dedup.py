@@ -4,6 +4,7 @@ from collections import defaultdict
 import pyarrow as pa
 import pytest
 
+from basketry.llm import common
 from basketry.llm import exact_dedup as ed
 from basketry.llm.common import saved
 from basketry.llm.exact_dedup import digest_runs, drop_copies, exact_dedup, merge_runs
@@ -53,6 +54,33 @@ def test_one_row_a_lane_and_digest(spark):
     assert rows_of(merge_runs(digest_runs(docs), lanes=8).select("doc_id", "group_size")) == [(199, 200)]
 
 
+def test_a_small_table_makes_few_files(spark, tmp_path):
+    """A thousand rows are one lane, and leave in a few partitions per core, however many there are to shuffle to."""
+    spark.createDataFrame([(i, f"text {i % 300}" if i % 3 else "hot") for i in range(1000)], "doc_id long, text string").repartition(40).write.parquet(f"{tmp_path}/d")
+    docs, most = spark.read.parquet(f"{tmp_path}/d"), common.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(was, ("211", "false", "128m"), strict=True):
+            spark.conf.set(k, v)
+        assert docs.rdd.getNumPartitions() == 40
+        assert len(merge_runs(digest_runs(docs)).inputFiles()) == 1
+        for i, out in enumerate((exact_dedup(docs), drop_copies(docs))):
+            out.write.parquet(f"{tmp_path}/{i}")
+            assert len(spark.read.parquet(f"{tmp_path}/{i}").inputFiles()) <= most
+        assert spark.read.parquet(f"{tmp_path}/0").where("kept").count() == spark.read.parquet(f"{tmp_path}/1").count() == len({f"text {i % 300}" if i % 3 else "hot" for i in range(1000)})
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_a_large_table_keeps_its_partitions(spark, monkeypatch):
+    docs = docs_of(spark, [(i, f"text {i}") for i in range(64)])
+    monkeypatch.setattr(common, "PART_BYTES", 1)
+    assert common.worth(docs) >= 64
+    monkeypatch.setattr(ed, "LEAST_ROWS", 16)
+    assert len(merge_runs(digest_runs(docs.repartition(8))).inputFiles()) == 4
+
+
 def test_lanes_meet_in_binary_rounds(spark, monkeypatch):
     """Lanes exchange log2 times, each of a pair's rows goes to one of the two, and nothing is sorted again."""
     plans = []
