@@ -266,3 +266,67 @@ def test_labels_of_the_matrix(spark):
     want = features.with_relevance(got.drop("relevance", "label"), w.target, w.t["products"]).select(got.columns)
     assert got.count() > 1000 and got.where("relevance = 2 and label = 1").count() > 0 and got.exceptAll(want).count() == 0
     got.unpersist()
+
+
+def test_trees_do_not_depend_on_partitioning(spark):
+    from basketry.operators import boosting
+
+    rows = ranking_rows(spark, 200).withColumn("gain", ranking.gain_of())
+    want = None
+    for n in (1, 7):
+        for listwise in (True, False):
+            got = boosting.boost(rows.repartition(n), ("f1", "f2"), listwise, 5, 3, 0.3)
+            want = want or {}
+            assert want.setdefault(listwise, got) == got
+
+
+def test_pulls_of_rows_in_memory(spark):
+    """What the trees are fitted to is what ``lambdas`` says, for scores with ties."""
+    import numpy as np
+
+    from basketry.operators import boosting
+
+    rows = ranking_rows(spark, 9).select("query_id", F.col("product_id"), ranking.gain_of().alias("gain"), (F.hash("query_id", "product_id") % 4 / 2.0).alias("score"))
+    want = ranking.lambdas(rows).orderBy("query_id", F.desc("gain"), "product_id").toPandas()
+    table = {"q": want["query_id"].str[1:].astype(int).to_numpy(), "p": want["product_id"].to_numpy(), "gain": want["gain"].to_numpy(), "codes": []}
+    part = boosting._part(table, np.arange(len(want)))
+    lam, hess = boosting._pulls(part, 5)(want["score"].to_numpy())
+    assert np.allclose(lam, want["lam"], atol=1e-12) and np.allclose(hess, want["hess"], atol=1e-12)
+    total, n = boosting._ndcg(part, 5)(want["score"].to_numpy())
+    assert n == 9 and abs(total / n - ranking.mean_ndcg(rows)) < 1e-8
+
+
+def test_pointwise_trees_are_those_of_mllib(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = ranking_rows(spark, 80).withColumns({"f3": (F.hash("query_id", "product_id") % 9).cast("double"), "gain": ranking.gain_of()})
+    names = ("f1", "f2", "f3")
+    model = ranking.fit_ranker(rows, names, 6, 3)
+    gbt = GBTRegressor(featuresCol="x", labelCol="gain", maxIter=6, maxDepth=3, seed=1, validationIndicatorCol="is_validation")
+    other = Pipeline(stages=[ranking._assembler(names), gbt]).fit(rows)
+    score = lambda m: [r["score"] for r in ranking.rank_with(m, rows, names).orderBy("query_id", "product_id").collect()]
+    assert len(model.stages[-1].trees) == len(other.stages[-1].trees)
+    assert max(abs(a - b) for a, b in zip(score(model), score(other), strict=True)) < 1e-4
+    assert all(abs(a - b) < 1e-3 for a, b in zip(model.stages[-1].featureImportances.toArray(), other.stages[-1].featureImportances.toArray(), strict=True))
+
+
+@pytest.mark.parametrize("name", ["rank_listwise_top"])
+def test_rankers_learn_until_validation_stops_them(spark, monkeypatch, name):
+    """The registered queries ask for the reference's 800 rounds at most and its patience of 50, not for a few rounds."""
+    from basketry import plans
+
+    class Asked(Exception):
+        pass
+
+    def listwise(matrix, features, rounds=20, depth=5, rate=0.3, patience=3, k=5):
+        raise Asked(rounds, patience)
+
+    def pointwise(matrix, features, iterations=30, depth=5, gains=None, rate=0.1, patience=None):
+        raise Asked(iterations, patience)
+
+    monkeypatch.setattr(ranking, "fit_lambda_ranker", listwise)
+    monkeypatch.setattr(ranking, "fit_ranker", pointwise)
+    with pytest.raises(Asked) as asked:
+        plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked.value.args == (800, 50)
