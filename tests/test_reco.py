@@ -311,7 +311,7 @@ def test_pointwise_trees_are_those_of_mllib(spark):
     assert all(abs(a - b) < 1e-3 for a, b in zip(model.stages[-1].featureImportances.toArray(), other.stages[-1].featureImportances.toArray(), strict=True))
 
 
-@pytest.mark.parametrize("name", ["rank_listwise_top"])
+@pytest.mark.parametrize("name", ["rank_listwise_top", "rank_objective_ablation"])
 def test_rankers_learn_until_validation_stops_them(spark, monkeypatch, name):
     """The registered queries ask for the reference's 800 rounds at most and its patience of 50, not for a few rounds."""
     from basketry import plans
